@@ -71,7 +71,7 @@ def section_token_counts(
         columns.append(spans.alias("sections"))
 
     def count(batches):
-        encoder = WordEncoder(tokenizer_path, offsets=True, limit=300_000)
+        encoder = WordEncoder(tokenizer_path, offsets=True)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             given_sections = batch.column(2).to_pylist() if sections else None

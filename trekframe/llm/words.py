@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import re
+from array import array
 
 import numpy as np
 import xxhash
 
-#: Characters that split words for every tokenizer here; all are white space to each of them.
-_PLAIN_SPACE = re.compile(r"[ \t\n\r]+")
-
 
 class WordHashes(dict):
     """word -> 64-bit hash, remembered for at most ``limit`` words at a time."""
@@ -48,57 +45,99 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-class WordEncoder:
-    """Encodes whole texts word by word: equal to encoding them at once, for a tokenizer that drops white space.
+class WordEncoder(dict):
+    """Encodes whole texts word by word: equal to encoding them at once, for a lower-casing, byte-level BPE tokenizer
+    that drops white space and keeps letters apart from punctuation.
 
-    Words are cut at plain white space only, which no token of such a tokenizer crosses. Texts that hold a special
-    token's string go to the tokenizer whole. Each distinct word is encoded once while it is remembered.
+    Words are cut at plain white space only, which no token of such a tokenizer crosses. A word of Latin letters and
+    trailing punctuation is two runs to the tokenizer; its letters go to the library's BPE model directly, once for
+    all their spellings. All other words go through the whole tokenizer, and texts that hold a special token's string
+    are encoded whole. Words are remembered as bytes: their ids, or with ``offsets`` their tokens' starts and ends.
     """
 
-    def __init__(self, path: str, offsets: bool = False, limit: int = 600_000):
+    def __init__(self, path: str, offsets: bool = False, limit: int = 400_000):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.offsets, self.limit, self.known = offsets, limit, {}
-
-    def _learn(self, words) -> None:
-        missing = list(set(words).difference(self.known))
-        if not missing:
-            return
-        if len(self.known) + len(missing) > self.limit:
-            self.known.clear()
-            missing = list(set(words))
-        encode = self.tokenizer.encode_batch if self.offsets else getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            for w, e in zip(some, encode(some, add_special_tokens=False)):
+        self.offsets, self.limit, self.cores, self.tails = offsets, limit, {}, {}
+        self.byte_chars = _byte_chars()
+
+    def _whole(self, text: str):
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        return array("I", sum(found.offsets, ()) if self.offsets else found.ids).tobytes()
+
+    def _letters(self, core: str):
+        ascii_only = core.isascii()
+        tokens = self.model.tokenize(core if ascii_only else core.encode("utf-8").decode("latin-1").translate(self.byte_chars))
+        if not self.offsets:
+            return array("I", [t.id for t in tokens]).tobytes()
+        suffix, ends = self.model.end_of_word_suffix or "", [0]
+        for t in tokens:
+            ends.append(ends[-1] + len(t.value.removesuffix(suffix)))  # in bytes
+        if ascii_only:
+            return array("I", [x for pair in zip(ends[:-1], ends[1:]) for x in pair]).tobytes()
+        char = [k for k, c in enumerate(core) for _ in c.encode("utf-8")]  # the character that each byte belongs to
+        return array("I", [x for a, b in zip(ends[:-1], ends[1:]) for x in (char[a], char[b - 1] + 1)]).tobytes()
+
+    def __missing__(self, word: str):
+        core = word.rstrip(_TAIL)
+        if core and core.isalpha() and (core.isascii() or max(core) < "\u0100"):
+            low = core.lower()
+            found = self.cores.get(low)
+            if found is None:
+                found = self.cores[low] = self._letters(low)
+            if len(core) != len(word):
+                tail = word[len(core) :]
+                rest = self.tails.get(tail)
+                if rest is None:
+                    rest = self.tails[tail] = self._whole(tail)
                 if self.offsets:
-                    self.known[w] = np.array(e.offsets, dtype=np.int32).reshape(-1, 2)
-                else:
-                    self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+                    rest = array("I", [x + len(core) for x in memoryview(rest).cast("I")]).tobytes()
+                found = found + rest
+        else:
+            found = self._whole(word)
+        self[word] = found
+        return found
+
+    def _tidy(self) -> None:
+        for kept in (self, self.cores, self.tails):
+            if len(kept) > self.limit:
+                kept.clear()
 
     def ids(self, text: str) -> bytes:
         """Token ids of one text as little-endian unsigned 32-bit values."""
         if any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = _PLAIN_SPACE.split(text)
-        self._learn(words)
-        return b"".join(map(self.known.__getitem__, words))
+        self._tidy()
+        return b"".join(map(self.__getitem__, _cut(text)))
 
     def spans(self, text: str) -> np.ndarray:
         """Character span of each token, one row ``(start, end)`` each."""
         if any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
-        words = _PLAIN_SPACE.split(text)
-        if not words:
-            return np.empty((0, 2), dtype=np.int64)
-        self._learn(words)
-        parts = list(map(self.known.__getitem__, words))
-        counts = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        if not counts.sum():
-            return np.empty((0, 2), dtype=np.int64)
+        self._tidy()
+        words = _cut(text)
+        parts = list(map(self.__getitem__, words))
+        counts = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 8
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        gaps = np.fromiter((m.end() - m.start() for m in _PLAIN_SPACE.finditer(text)), dtype=np.int64)
-        starts = np.concatenate(([0], np.cumsum(lengths[:-1] + gaps)))
-        return np.concatenate(parts).astype(np.int64) + np.repeat(starts, counts)[:, None]
+        starts = np.concatenate(([0], np.cumsum(lengths[:-1] + 1)))
+        return np.frombuffer(b"".join(parts), dtype=np.uint32).reshape(-1, 2).astype(np.int64) + np.repeat(starts, counts)[:, None]
+
+
+_TAIL = ".,;:!?\"()[]{}%$#&*|-_/\\<>=+"
+
+
+def _cut(text: str) -> list[str]:
+    """A text's parts between single plain white space characters; empty ones among them."""
+    return text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
+
+
+def _byte_chars() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself if printable in Latin-1,
+    else the next free one from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + k) for k, b in enumerate(others)}
