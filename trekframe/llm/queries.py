@@ -64,15 +64,15 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS ws FROM documents),
 g AS (SELECT doc_id, ws, least(5, len(ws)) AS k FROM w WHERE len(ws) > 0),
-at AS (SELECT doc_id, ws, k, unnest(range(1, CAST(len(ws) - k + 2 AS BIGINT))) AS i FROM g),
-sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + k - 1], ' ') AS s FROM at),
+pos AS (SELECT doc_id, ws, k, unnest(range(1, CAST(len(ws) - k + 2 AS BIGINT))) AS i FROM g),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + k - 1], ' ') AS s FROM pos),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
 links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 5 * c >= 4 * (nx.n + ny.n - c)),
-both AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
-reach AS (SELECT doc_id AS node, doc_id AS label FROM n UNION SELECT both.y, reach.label FROM reach JOIN both ON both.x = reach.node AND reach.label < both.y),
+sym AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS label FROM n UNION SELECT sym.y, reach.label FROM reach JOIN sym ON sym.x = reach.node AND reach.label < sym.y),
 comp AS (SELECT node, min(label) AS component_id FROM reach GROUP BY node),
-deg AS (SELECT x, count(*) AS n_links FROM both GROUP BY x),
+deg AS (SELECT x, count(*) AS n_links FROM sym GROUP BY x),
 cls AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY set_of) AS class_id FROM (SELECT doc_id, string_agg(s, '|' ORDER BY s) AS set_of FROM sh GROUP BY doc_id))
 SELECT d.doc_id, coalesce(cls.class_id, d.doc_id) AS class_id, CAST(coalesce(deg.n_links, 0) AS BIGINT) AS n_links,
   coalesce(comp.component_id, d.doc_id) AS component_id, d.doc_id = coalesce(comp.component_id, d.doc_id) AS kept
