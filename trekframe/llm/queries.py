@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from trekframe.llm import jaccard_join, packing, quality, token_counts, toxicity, warc
+from trekframe.llm import decontaminate, jaccard_join, packing, quality, token_counts, toxicity, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -79,6 +79,11 @@ SELECT d.doc_id, coalesce(cls.class_id, d.doc_id) AS class_id, CAST(coalesce(deg
 FROM documents d LEFT JOIN cls ON cls.doc_id = d.doc_id LEFT JOIN deg ON deg.x = d.doc_id LEFT JOIN comp ON comp.node = d.doc_id
 """
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in any document, up to 15 % of its words edited."""
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_warc": op7_warc,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_warc": OP7_SQL, "op8_jaccard_join": OP8_SQL}
