@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from trekframe.llm import decontaminate, jaccard_join, packing, quality, token_counts, toxicity, warc
+from trekframe.llm import decontaminate, jaccard_join, packing, quality, suffix_dedup, token_counts, toxicity, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -84,6 +84,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that repeat 100 bytes standing earlier."""
+    return suffix_dedup.repeat_report(_table(spark, sf_dir, "documents"), min_bytes=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_warc": OP7_SQL, "op8_jaccard_join": OP8_SQL}
