@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from trekframe.llm import decontaminate, jaccard_join, packing, quality, suffix_dedup, token_counts, toxicity, warc
+from trekframe.llm import decontaminate, embedding_dedup, jaccard_join, packing, quality, suffix_dedup, token_counts, toxicity, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -17,6 +17,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors against all, linked at a cosine of 0.95 or more."""
+    return embedding_dedup.embedding_links(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS len FROM v
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM n a JOIN n b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.len * b.len) >= 0.95),
+sym AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT vec_id AS node, vec_id AS label FROM n UNION SELECT sym.y, reach.label FROM reach JOIN sym ON sym.x = reach.node AND reach.label < sym.y),
+comp AS (SELECT node, min(label) AS component_id FROM reach GROUP BY node),
+deg AS (SELECT x, count(*) AS n_links FROM sym GROUP BY x)
+SELECT v.vec_id, CAST(coalesce(deg.n_links, 0) AS BIGINT) AS n_links, coalesce(comp.component_id, v.vec_id) AS component_id,
+  v.vec_id = coalesce(comp.component_id, v.vec_id) AS kept
+FROM v LEFT JOIN deg ON deg.x = v.vec_id LEFT JOIN comp ON comp.node = v.vec_id
+"""
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every block of 1,000 characters of every document; a token across a boundary counts where most of it is."""
     docs = _table(spark, sf_dir, "documents")
@@ -90,6 +111,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_toxicity": op5_toxicity,
@@ -100,4 +122,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_warc": OP7_SQL, "op8_jaccard_join": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op7_warc": OP7_SQL, "op8_jaccard_join": OP8_SQL}
