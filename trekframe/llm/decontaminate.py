@@ -196,7 +196,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.15, recal
     by_key = items.mapInArrow(item_keys, "item_id long, key long").distinct()
     windows = rows.mapInArrow(window_keys, "doc_id long, start long, key long")
     met = windows.join(by_key, "key").groupBy("doc_id", "item_id").agg(F.collect_set("start").alias("starts"))
-    found = met.join(items.distinct(), "item_id").join(rows, "doc_id").select("doc_id", "item_id", "starts", "item", "text")
+    found = met.join(items.distinct(), "item_id").join(rows.hint("merge"), "doc_id").select("doc_id", "item_id", "starts", "item", "text")
 
     def verify(batches):
         for batch in batches:
@@ -228,4 +228,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.15, recal
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.15, recall: float = 0.99) -> DataFrame:
     """All columns of the documents that hold no benchmark item; rows without doc_id stay."""
     gone = find_leaks(docs, benchmark, share, recall).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")

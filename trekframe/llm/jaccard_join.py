@@ -167,7 +167,7 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: f
             yield pa.RecordBatch.from_arrays(arrays, names=["node", "component", "blocks", "own", "class_key", "grams"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    members = texts.join(dealt, "node").mapInArrow(gather, "node long, component long, blocks int, own int, class_key binary, grams binary")
+    members = texts.join(dealt.hint("merge"), "node").mapInArrow(gather, "node long, component long, blocks int, own int, class_key binary, grams binary")
     members = members.join(known.select(F.col("class_id").alias("node"), "class_key", "copies", "bands"), ["node", "class_key"])
     blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
     spread = members.select("*", F.explode(blocks).alias("other")).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
@@ -214,4 +214,4 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: f
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.999) -> DataFrame:
     """All columns of the one row kept of each group of near-duplicates; rows without doc_id stay."""
     gone = jaccard_links(docs, threshold, k, recall).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")

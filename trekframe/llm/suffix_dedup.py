@@ -338,7 +338,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
             columns = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds)], names=["key", "doc_id", "pos", "left", "right"])
 
-    pieces = wanted.join(texts, "doc_id").select("doc_id", "places", "text")
+    pieces = wanted.hint("merge").join(texts, "doc_id").select("doc_id", "places", "text")
     fragments = materialize(pieces.mapInArrow(cut, "key long, doc_id long, pos long, left binary, right binary"), "pieces")
     small, hot = _by_size(fragments)
     found = [whole, _spans_of_groups(small, min_bytes)]
@@ -367,7 +367,7 @@ def removed_mask(n: int, spans) -> tuple[np.ndarray, int]:
 def _with_spans(docs: DataFrame, min_bytes: int) -> DataFrame:
     spans = repeated_spans(docs, min_bytes).groupBy("doc_id").agg(F.collect_list(F.array("start", "stop")).alias("_spans"))
     spans = spans.withColumnRenamed("doc_id", "_id")
-    return docs.join(spans, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    return docs.join(spans.hint("merge"), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
 
 
 def repeat_report(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
