@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from trekframe.llm import decontaminate, embedding_dedup, jaccard_join, packing, quality, suffix_dedup, token_counts, toxicity, warc
+from trekframe.llm import decontaminate, embedding_dedup, jaccard_join, license_scan, packing, quality, suffix_dedup, token_counts, toxicity, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -50,6 +50,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), max_tokens=2048)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in all documents."""
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
@@ -114,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_license_scan": op4_license_scan,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op7_warc": op7_warc,
@@ -122,4 +128,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op7_warc": OP7_SQL, "op8_jaccard_join": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op4_license_scan": license_scan.oracle_sql(), "op7_warc": OP7_SQL, "op8_jaccard_join": OP8_SQL}
