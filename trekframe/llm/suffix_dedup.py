@@ -18,7 +18,7 @@ from trekframe.llm.words import mix
 from trekframe.storage import materialize
 
 ANCHOR = 32  # bytes of an anchor
-GROUP = 256  # suffixes of one anchor that a task sorts at once; larger groups are first split by their next bytes
+GROUP = 512  # suffixes of one anchor that a task sorts at once; larger groups are first split by their next bytes
 _CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POS = np.uint64((1 << 24) - 1)
@@ -255,52 +255,103 @@ def _spans_of_groups(fragments: DataFrame, min_bytes: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["doc_id", "start", "stop"])
 
     ordered = fragments.repartition("key").sortWithinPartitions("key", "doc_id", "pos")
-    return ordered.mapInArrow(scan, "doc_id long, start long, stop long")
+    return ordered.mapInArrow(scan, _SPAN)
 
 
 def _split_hot(hot: DataFrame, min_bytes: int) -> tuple[DataFrame, DataFrame]:
     """One round on groups too large for a task: ``(spans, smaller groups)``.
 
-    Every row is compared with the earliest of its group, which settles what they have in common. What else it repeats
-    shares more with other rows than with that one: they have the same next byte to the left, or to the right, behind
-    the part in common. So each row goes on in the two groups of these bytes, where they are met by another row.
+    Every row is compared with its group's lead, the one with most copies. A string that a row has in common with the
+    lead is told by how far it begins before the anchor, and the earliest row with each is found by grouping rows by
+    the extents of what they share with the lead; that settles all these strings. Other strings that a row repeats are
+    shared with rows that have the same next byte behind the part in common, to the left or to the right. So each row
+    goes on in the two groups of these bytes.
     """
-    first = hot.groupBy("key").agg(F.min_by(F.struct("doc_id", "pos", "left", "right"), F.struct("doc_id", "pos")).alias("lead"))
+    reach = min_bytes - ANCHOR
+    lead = hot.groupBy("key").agg(F.max_by(F.struct("left", "right"), F.struct("n", -F.col("doc_id"), -F.col("pos"))).alias("lead"))
 
-    def against(batches):
+    def compare(batches):
         for batch in batches:
-            key, doc, pos, left, right, lead = (c.to_pylist() for c in batch.columns)
+            key, doc, pos, left, right, n, of = (c.to_pylist() for c in batch.columns)
             back = [x[::-1] for x in left]
             n_left, n_right = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-            of_l, of_r = [x["left"][::-1] for x in lead], [x["right"] for x in lead]
+            of_l, of_r = [x["left"][::-1] for x in of], [x["right"] for x in of]
             before = _common(_pad(back, min_bytes), _pad(of_l, min_bytes), n_left, np.array([len(x) for x in of_l]))
             after = _common(_pad(right, min_bytes), _pad(of_r, min_bytes), n_right, np.array([len(x) for x in of_r]))
-            rows = []
-            for k in range(len(key)):
-                if (doc[k], pos[k]) == (lead[k]["doc_id"], lead[k]["pos"]):
-                    continue
-                a, b = int(before[k]), int(after[k])
-                if a + b >= min_bytes:
-                    rows.append((None, doc[k], pos[k] - a, pos[k] + b, None, None))
-                for side, at, text in ((0, a, back[k]), (1, b, right[k])):
+            columns = [*batch.columns[:6], pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "pos", "left", "right", "n", "before", "after"])
+
+    met = hot.join(lead, "key").select("key", "doc_id", "pos", "left", "right", "n", "lead")
+    rows = materialize(met.mapInArrow(compare, _FRAGMENT + ", before int, after int"), "peel")
+    cells = rows.where(F.col("before") + F.col("after") >= min_bytes).groupBy("key", "before", "after").agg(F.min(F.struct("doc_id", "pos")).alias("spot"))
+    cells = cells.groupBy("key").agg(F.collect_list(F.struct("before", "after", "spot")).alias("cells"))  # at most the square of min_bytes
+
+    def earliest(batches):
+        for batch in batches:
+            docs, places = [], []
+            for own in batch.column(1).to_pylist():
+                best = [None] * (reach + 1)
+                for c in own:
+                    spot = (c["spot"]["doc_id"], c["spot"]["pos"])
+                    for o in range(max(0, min_bytes - c["after"]), min(reach, c["before"]) + 1):
+                        if best[o] is None or spot < best[o]:
+                            best[o] = spot
+                docs.append([x and x[0] for x in best])
+                places.append([x and x[1] for x in best])
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(docs, type=kind), pa.array(places, type=kind)], names=["key", "first_doc", "first_pos"])
+
+    firsts = cells.mapInArrow(earliest, "key long, first_doc array<long>, first_pos array<long>")
+
+    def settle(batches):
+        for batch in batches:
+            out = []
+            for doc, pos, before, after, fd, fp in zip(*(c.to_pylist() for c in batch.columns)):
+                lo = hi = None
+                for o in range(max(0, min_bytes - after), min(reach, before) + 1):
+                    if (fd[o], fp[o]) < (doc, pos):
+                        if hi is not None and hi == o - 1:
+                            hi = o
+                            continue
+                        if hi is not None:
+                            out.append((doc, pos - hi, pos - lo + min_bytes))
+                        lo = hi = o
+                if hi is not None:
+                    out.append((doc, pos - hi, pos - lo + min_bytes))
+            columns = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["doc_id", "start", "stop"])
+
+    common = rows.where(F.col("before") + F.col("after") >= min_bytes).join(firsts, "key")
+    spans = common.select("doc_id", "pos", "before", "after", "first_doc", "first_pos").mapInArrow(settle, _SPAN)
+
+    def branch(batches):
+        for batch in batches:
+            out = []
+            for key, doc, pos, left, right, n, before, after in zip(*(c.to_pylist() for c in batch.columns)):
+                for side, at, text in ((0, before, left[::-1]), (1, after, right)):
                     if at < len(text):
-                        digest = hashlib.blake2b(b"%d %d %d %d" % (key[k], side, at, text[at]), digest_size=8).digest()
-                        rows.append((int.from_bytes(digest, "little", signed=True), doc[k], pos[k], None, left[k], right[k]))
-            kinds = [pa.int64()] * 4 + [pa.binary()] * 2
-            columns = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds)], names=["key", "doc_id", "a", "b", "left", "right"])
+                        digest = hashlib.blake2b(b"%d %d %d %d" % (key, side, at, text[at]), digest_size=8).digest()
+                        out.append((int.from_bytes(digest, "little", signed=True), doc, pos, left, right, n))
+            yield _fragment_batch(out)
+
+    return spans, rows.mapInArrow(branch, _FRAGMENT)
+
+
+_SPAN = "doc_id long, start long, stop long"
+_FRAGMENT = "key long, doc_id long, pos long, left binary, right binary, n long"
 
-    met = hot.join(first, "key").select("key", "doc_id", "pos", "left", "right", "lead")
-    result = materialize(met.mapInArrow(against, "key long, doc_id long, a long, b long, left binary, right binary"), "peel")
-    spans = result.where("key is null").select("doc_id", F.col("a").alias("start"), F.col("b").alias("stop"))
-    return spans, result.where("key is not null").select("key", "doc_id", F.col("a").alias("pos"), "left", "right")
+
+def _fragment_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 3 + [pa.binary()] * 2 + [pa.int64()]
+    columns = list(zip(*rows)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds)], names=["key", "doc_id", "pos", "left", "right", "n"])
 
 
 def _by_size(fragments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of groups that a task can hold, and of larger ones; rows alone in their group are left out."""
-    sizes = fragments.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = fragments.join(sizes, "key")
-    return sized.where(F.col("n") <= GROUP).drop("n"), sized.where(F.col("n") > GROUP).drop("n")
+    sizes = fragments.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    sized = materialize(fragments.join(sizes, "key"), "sized")
+    return sized.where(F.col("size") <= GROUP).drop("size", "n"), sized.where(F.col("size") > GROUP).drop("size")
 
 
 def repeated_spans(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
@@ -323,8 +374,8 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
     whole = shared.join(classes.where("n > 1").select("hash", "fragment", "lead"), ["hash", "fragment"]).where(spot != F.col("lead"))
     whole = whole.select("doc_id", (F.col("pos") - reach).alias("start"), (F.col("pos") + min_bytes).alias("stop"))
     several = classes.groupBy("hash").agg(F.count("*").alias("k")).where("k > 1").select("hash")
-    leads = classes.join(several, "hash").select("hash", F.col("lead.doc_id").alias("doc_id"), F.col("lead.pos").alias("pos"))
-    wanted = leads.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "pos")).alias("places"))
+    leads = classes.join(several, "hash").select("hash", F.col("lead.doc_id").alias("doc_id"), F.col("lead.pos").alias("pos"), "n")
+    wanted = leads.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "pos", "n")).alias("places"))
 
     def cut(batches):
         for batch in batches:
@@ -333,25 +384,23 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
                 raw = text.encode("utf-8")
                 for p in places:
                     at = p["pos"]
-                    out.append((p["hash"], doc_id, at, raw[max(0, at - reach) : at], raw[at : at + min_bytes]))
-            kinds = [pa.int64()] * 3 + [pa.binary()] * 2
-            columns = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds)], names=["key", "doc_id", "pos", "left", "right"])
+                    out.append((p["hash"], doc_id, at, raw[max(0, at - reach) : at], raw[at : at + min_bytes], p["n"]))
+            yield _fragment_batch(out)
 
     pieces = wanted.hint("merge").join(texts, "doc_id").select("doc_id", "places", "text")
-    fragments = materialize(pieces.mapInArrow(cut, "key long, doc_id long, pos long, left binary, right binary"), "pieces")
-    small, hot = _by_size(fragments)
-    found = [whole, _spans_of_groups(small, min_bytes)]
-    for _ in range(2 * min_bytes):
+    fragments = materialize(pieces.mapInArrow(cut, _FRAGMENT), "pieces")
+    found = [whole]
+    while True:
+        small, hot = _by_size(fragments)
+        found.append(materialize(_spans_of_groups(small, min_bytes), "spans"))
         if hot.isEmpty():
             break
-        spans, rest = _split_hot(hot, min_bytes)
-        small, hot = _by_size(rest)
-        found += [spans, _spans_of_groups(small, min_bytes)]
+        spans, fragments = _split_hot(hot, min_bytes)
+        found.append(materialize(spans, "spans"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return materialize(out, "spans")
+    return out
 
 
 def removed_mask(n: int, spans) -> tuple[np.ndarray, int]:
