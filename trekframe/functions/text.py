@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that say what a place is but not which one it is.
 GENERIC_WORDS = ["the", "of", "at", "camp", "campsite", "campground", "hut", "shelter", "spring", "tank"]
@@ -16,7 +17,7 @@ GENERIC_WORDS = ["the", "of", "at", "camp", "campsite", "campground", "hut", "sh
 ABBREVIATIONS = {"mt": "mount", "st": "saint", "rd": "road", "nth": "north", "sth": "south", "ck": "creek"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_accents(texts: pd.Series) -> pd.Series:
     """Text without combining marks, by canonical decomposition."""
     return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)))
@@ -48,7 +49,7 @@ def _lcs(a: str, b: str) -> int:
     return row[-1]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the longest common subsequence over both lengths (STR_03)."""
     pairs = zip(a.fillna(""), b.fillna(""))
@@ -146,7 +147,7 @@ def format_distance(km: Column, unit: str = "km", digits: int = 1) -> Column:
     return F.format_string(f"%.{digits}f {unit}", convert_distance(km, unit))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def first_sentence(texts: pd.Series) -> pd.Series:
     """First sentence of the last "|" part; a stop after an initial or abbreviation ends none (STR_09)."""
     import re
@@ -165,7 +166,7 @@ def first_sentence(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_entities(texts: pd.Series) -> pd.Series:
     """XML character references decoded; those to characters that XML forbids stay as written (STR_12)."""
     import re
@@ -184,7 +185,7 @@ def decode_entities(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else pattern.sub(one, t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def rate_key(addresses: pd.Series) -> pd.Series:
     """The key that an address counts under: itself for IPv4 (mapped ones too), the /64 network for IPv6 (STR_18)."""
 
@@ -200,7 +201,7 @@ def rate_key(addresses: pd.Series) -> pd.Series:
     return addresses.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def short_hash(texts: pd.Series) -> pd.Series:
     """A 12-character base-36 fingerprint (STR_17): any fixed 62-bit hash serves, as it is only compared with itself."""
     import hashlib

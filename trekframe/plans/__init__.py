@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("tracks",)
+MODULES: tuple[str, ...] = ("tracks", "places", "relational")
 
 
 def load_queries():
