@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trekframe.llm.words import WordHashes, mix
+from trekframe.storage import materialize
 
-VOCABULARY_BITS = 22  # fixed size of the broadcast bitmap of benchmark words
+VOCABULARY_BITS = 20  # fixed size of the broadcast tables of benchmark words
 SAMPLED = 2  # sampled places of a repetition
 _ODD = np.uint64(0x100000001B3)
 
@@ -108,14 +109,32 @@ def edit_match(item: list, segment: list) -> tuple[int, int, int]:
     return best, last - int(lengths[0] if len(lengths) else 0), last - 1
 
 
+def window_starts(places: np.ndarray, n: int, size: int, least: int) -> np.ndarray:
+    """Starts of windows of ``size`` among ``n`` words that hold at least ``least`` of the sorted ``places``."""
+    if n < size:
+        return np.empty(0, dtype=np.int64)
+    if least <= 0:
+        return np.arange(n - size + 1)
+    if len(places) < least:
+        return np.empty(0, dtype=np.int64)
+    lo = np.maximum(places[least - 1 :] - size + 1, 0)
+    hi = np.minimum(places[: len(places) - least + 1], n - size)
+    lo, hi = lo[lo <= hi], hi[lo <= hi]
+    if not len(lo):
+        return lo
+    lo = np.maximum(lo, np.concatenate(([0], np.maximum.accumulate(hi)[:-1] + 1)))  # each start once
+    width = np.maximum(hi - lo + 1, 0)
+    return np.repeat(lo - np.concatenate(([0], np.cumsum(width)[:-1])), width) + np.arange(width.sum())
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.15, recall: float = 0.99) -> DataFrame:
     """``(doc_id, item_id, distance, first_word, last_word)`` of each document and benchmark item found in it.
 
     A document holds an item if some run of its words is at most ``share`` of the item's words away in edits (words
     inserted, deleted or replaced; lower case, split at white space); the nearest run is reported. Windows of an item's
-    size start at every word of every document. One is embedded only if it has enough words of the benchmark's
-    vocabulary for an item within the allowed edits, which a bitmap of fixed size tells without missing any. Repeated
-    random walks and bit sampling give the keys; ``recall`` sets the number of repetitions. Windows and items meet in
+    size start at every word of every document. One is embedded only if it has as many words, and as many rare words, of
+    the items of its size as any of them keeps after the allowed edits, which tables of fixed size tell without missing
+    any. Repeated random walks and bit sampling give the keys; ``recall`` sets the number of repetitions. Windows and items meet in
     a join on the keys, and each document and item that met is verified exactly.
 
     Null and empty texts hold nothing, and items without words are in nothing. Rows without doc_id or item_id are left
@@ -125,36 +144,37 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.15, recal
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     shift = np.uint64(64 - VOCABULARY_BITS)
 
-    def vocabulary(batches):
+    def item_words(batches):
         hashes = WordHashes()
         for batch in batches:
-            kind, value = [], []
-            for text in batch.column(0).to_pylist():
-                words = text.lower().split()
-                if words:
-                    spots = np.unique(hashes.of(words) >> shift).astype(np.int64)
-                    kind += [0] * len(spots) + [1]
-                    value += [*spots.tolist(), len(words)]
-            yield pa.RecordBatch.from_arrays([pa.array(kind, type=pa.int32()), pa.array(value, type=pa.int64())], names=["kind", "value"])
-
-    facts = items.select("item").mapInArrow(vocabulary, "kind int, value long")
-    size = F.when(F.col("kind") == 1, F.greatest(F.col("value"), F.lit(1)))  # lengths are few: their classes are geometric
-    facts = facts.select("kind", F.when(size > 20, F.floor(F.log(size / 20) / math.log(1.01)) + 1000).otherwise(F.col("value")).alias("bin"), "value")
-    facts = facts.groupBy("kind", "bin").agg(F.min("value").alias("low"), F.max("value").alias("high")).toArrow().to_pylist()
-    bitmap = np.zeros(1 << VOCABULARY_BITS, dtype=bool)
-    bitmap[[f["bin"] for f in facts if f["kind"] == 0]] = True
-    need: dict[int, int] = {}
-    for f in facts:
-        if f["kind"] == 1:
-            for n in {f["low"], f["high"]} if f["high"] - f["low"] < 2 else range(f["low"], f["high"] + 1):
-                c = length_class(n)
-                need[c] = min(need.get(c, c), c - max_edits(n, share))
+            out = []
+            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = hashes.of(text.lower().split())
+                n = len(words)
+                out += [(item_id, n, length_class(n), k, w) for k, w in enumerate(words.view(np.int64).tolist())]
+            columns = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["item_id", "n", "size", "place", "word"])
+
+    words = materialize(items.mapInArrow(item_words, "item_id long, n long, size long, place long, word long"), "items")
+    n_items = words.select("item_id").distinct().count()
+    spread = words.groupBy("word").agg(F.count_distinct("item_id").alias("df"))
+    words = words.join(spread, "word").withColumn("rare", F.col("df") <= max(2, n_items // 100))
+    per_item = words.where("place < size").groupBy("item_id", "n", "size").agg(F.count_distinct(F.when(F.col("rare"), F.col("word"))).alias("rare"))
+    spared = F.floor(F.col("n") * share + 1e-9)
+    needs = per_item.groupBy("size").agg(F.min(F.col("size") - spared).alias("known"), F.min(F.col("rare") - spared).alias("rare")).collect()  # a few length classes
+    need = {r["size"]: (r["known"], r["rare"]) for r in needs}
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("size", F.lit(64)).cast("int"))
+    bucket = F.shiftrightunsigned("word", 64 - VOCABULARY_BITS)
+    masks = words.groupBy(bucket.alias("b")).agg(F.bit_or(bit).alias("known"), F.bit_or(F.when(F.col("rare"), bit).otherwise(F.lit(0).cast("long"))).alias("rare")).toArrow()
+    known_mask, rare_mask = np.zeros(1 << VOCABULARY_BITS, dtype=np.int64), np.zeros(1 << VOCABULARY_BITS, dtype=np.int64)
+    at = masks.column("b").to_numpy()
+    known_mask[at], rare_mask[at] = masks.column("known").to_numpy(), masks.column("rare").to_numpy()
     repeats = {c: repeats_for(c, share, recall) for c in need}
-    packed = docs.sparkSession.sparkContext.broadcast((np.packbits(bitmap).tobytes(), need, repeats))  # fixed size
+    packed = docs.sparkSession.sparkContext.broadcast((known_mask, rare_mask, need, repeats))  # fixed size
 
     def item_keys(batches):
         hashes = WordHashes()
-        repeats_of = packed.value[2]
+        repeats_of = packed.value[3]
         for batch in batches:
             ids, keys = [], []
             for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -168,8 +188,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.15, recal
 
     def window_keys(batches):
         hashes = WordHashes()
-        bits, needed, repeats_of = packed.value
-        known = np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)
+        known_of, rare_of, needed, repeats_of = packed.value
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
             parts = [hashes.of(t.lower().split()) for t in batch.column(1).to_pylist()]
@@ -178,17 +197,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.15, recal
                 continue
             words = np.concatenate(parts)
             first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            counts = np.concatenate(([0], np.cumsum(known[words >> shift]))).astype(np.int32)
-            left = np.repeat((first + lengths).astype(np.int32), lengths) - np.arange(len(words), dtype=np.int32)  # words from here to the document's end
+            spots = words >> shift
+            rare = rare_of[spots]
+            marked = np.flatnonzero(rare)  # few words of a text are rare ones of the benchmark
+            rare = rare[marked]
             for c in sorted(needed):
-                if c > len(words):
-                    continue
-                enough = counts[c:] - counts[:-c] >= needed[c]
-                enough &= left[: len(enough)] >= c
-                starts = np.flatnonzero(enough)
+                least, least_rare = needed[c]
+                starts = window_starts(marked[(rare >> np.int64(c % 64)) & 1 > 0], len(words), c, least_rare)
                 if not len(starts):
                     continue
                 doc = np.searchsorted(first, starts, side="right") - 1  # the last that begins here is not an empty one
+                fits = starts + c <= (first + lengths)[doc]
+                starts, doc = starts[fits], doc[fits]
+                enough = np.zeros(len(starts), dtype=np.int64)
+                for j in range(c):
+                    enough += (known_of[spots[starts + j]] >> np.int64(c % 64)) & 1
+                starts, doc = starts[enough >= least], doc[enough >= least]
+                if not len(starts):
+                    continue
                 for repeat in range(repeats_of[c]):
                     keys = walk_keys(words, starts, c, repeat)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(starts - first[doc]), pa.array(keys)], names=["doc_id", "start", "key"])
