@@ -93,13 +93,10 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], pairs: np.ndarray
     return out[pairs[:, 0], pairs[:, 1]].round().astype(np.int64)
 
 
-def linked_pairs(bands_left, sets_left, bands_right, sets_right, threshold: float, same: bool) -> np.ndarray:
-    """Pairs (i, j) that share a band key and whose sets reach the threshold."""
-    meet = np.zeros((len(sets_left), len(sets_right)), dtype=bool)
-    for b in range(bands_left.shape[1]):
-        meet |= bands_left[:, b][:, None] == bands_right[:, b][None, :]
+def linked_pairs(sets_left: list[np.ndarray], sets_right: list[np.ndarray], threshold: float, same: bool) -> np.ndarray:
+    """Pairs (i, j) whose sets reach the threshold; of one block with itself, those with i < j."""
     n_left, n_right = np.array([len(x) for x in sets_left])[:, None], np.array([len(x) for x in sets_right])[None, :]
-    meet &= np.minimum(n_left, n_right) >= threshold * np.maximum(n_left, n_right) - 1e-9
+    meet = np.minimum(n_left, n_right) >= threshold * np.maximum(n_left, n_right) - 1e-9
     if same:
         meet = np.triu(meet, 1)
     pairs = np.argwhere(meet)
@@ -138,8 +135,9 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: f
     links; ``kept`` marks that row.
 
     Band keys are shuffled, and keys met by several classes give each of them an edge to the least one: the connected
-    groups hold every pair that shares a key. A group is cut into blocks of about ``BLOCK`` members by hash, and each
-    two blocks meet in a task of their own, where pairs sharing a key are verified on their full sets. No task holds a
+    groups hold every pair that shares a key, and ``recall`` is the chance that a pair at the threshold does. A group is
+    cut into blocks of about ``BLOCK`` members by hash, and each two blocks meet in a task of their own, where all their
+    pairs are verified on their full sets, also those that a band missed. No task holds a
     whole group, and no pairs are written: a task returns counts and a spanning forest.
 
     Nulls: a null text is empty. A row without words has no set and links with nothing. A row without doc_id links
@@ -168,22 +166,22 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: f
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     members = texts.join(dealt.hint("merge"), "node").mapInArrow(gather, "node long, component long, blocks int, own int, class_key binary, grams binary")
-    members = members.join(known.select(F.col("class_id").alias("node"), "class_key", "copies", "bands"), ["node", "class_key"])
+    members = members.join(known.select(F.col("class_id").alias("node"), "class_key", "copies"), ["node", "class_key"])
     blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
     spread = members.select("*", F.explode(blocks).alias("other")).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
     def compare(table: pa.Table) -> pa.Table:
         seen, sides = set(), {}
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        rows_in = zip(*(table.column(c).to_pylist() for c in ("node", "own", "copies", "bands", "grams")))
-        for node, own, copies, keys_of, grams in sorted(rows_in, key=lambda r: r[0]):
+        rows_in = zip(*(table.column(c).to_pylist() for c in ("node", "own", "copies", "grams")))
+        for node, own, copies, grams in sorted(rows_in, key=lambda r: r[0]):
             if node not in seen:
                 seen.add(node)
-                sides.setdefault(own, []).append((node, copies, keys_of, np.frombuffer(grams, dtype=np.uint64)))
+                sides.setdefault(own, []).append((node, copies, np.frombuffer(grams, dtype=np.uint64)))
         left, right = sides.get(i, []), sides.get(j, [])
         out_a, out_b, out_n = [], [], []
         if left and right:
-            pairs = linked_pairs(np.array([x[2] for x in left]), [x[3] for x in left], np.array([x[2] for x in right]), [x[3] for x in right], threshold, i == j)
+            pairs = linked_pairs([x[2] for x in left], [x[2] for x in right], threshold, i == j)
             total: dict[int, int] = {}
             edges = []
             for p, q in pairs.tolist():
@@ -197,7 +195,7 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: f
                 out_a.append(a), out_b.append(a), out_n.append(n)
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "links": pa.array(out_n, pa.int64())})
 
-    columns = ["component", "i", "j", "node", "own", "copies", "bands", "grams"]
+    columns = ["component", "i", "j", "node", "own", "copies", "grams"]
     found = materialize(spread.select(*columns).groupBy("component", "i", "j").applyInArrow(compare, "a long, b long, links long"), "found")
     counts = found.where("links > 0").groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("outer"))
     joined = connected_components(found, "a", "b").select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
