@@ -19,7 +19,7 @@ from trekframe.storage import materialize
 
 ANCHOR = 32  # bytes of an anchor
 GROUP = 512  # suffixes of one anchor that a task sorts at once; larger groups are first split by their next bytes
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POS = np.uint64((1 << 24) - 1)
 
@@ -80,7 +80,7 @@ def _chunks(texts: list[bytes], min_bytes: int):
     much longer comes in parts that overlap so far that no string of ``min_bytes`` and its fragment are cut."""
     run, size = [], 0
     for k, t in enumerate(texts):
-        step = 8 * _CHUNK
+        step = 4 * _CHUNK
         if len(t) <= step:
             parts = [(k, 0, t)]
         else:
@@ -235,7 +235,7 @@ def _spans_of_groups(fragments: DataFrame, min_bytes: int) -> DataFrame:
         held: list[tuple] = []
         for batch in batches:
             held += zip(*(c.to_pylist() for c in batch.columns))
-            if len(held) >= 20_000:
+            if len(held) >= 5_000:
                 cut = len(held) - 1
                 while cut > 0 and held[cut - 1][0] == held[-1][0]:
                     cut -= 1
@@ -288,41 +288,33 @@ def _split_hot(hot: DataFrame, min_bytes: int) -> tuple[DataFrame, DataFrame]:
 
     def earliest(batches):
         for batch in batches:
-            docs, places = [], []
+            packed = []
             for own in batch.column(1).to_pylist():
-                best = [None] * (reach + 1)
+                best = [_NEVER] * (reach + 1)
                 for c in own:
                     spot = (c["spot"]["doc_id"], c["spot"]["pos"])
                     for o in range(max(0, min_bytes - c["after"]), min(reach, c["before"]) + 1):
-                        if best[o] is None or spot < best[o]:
-                            best[o] = spot
-                docs.append([x and x[0] for x in best])
-                places.append([x and x[1] for x in best])
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(docs, type=kind), pa.array(places, type=kind)], names=["key", "first_doc", "first_pos"])
+                        best[o] = min(best[o], spot)
+                packed.append(np.array(best, dtype=np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, type=pa.binary())], names=["key", "firsts"])
 
-    firsts = cells.mapInArrow(earliest, "key long, first_doc array<long>, first_pos array<long>")
+    firsts = cells.mapInArrow(earliest, "key long, firsts binary")
 
     def settle(batches):
         for batch in batches:
             out = []
-            for doc, pos, before, after, fd, fp in zip(*(c.to_pylist() for c in batch.columns)):
-                lo = hi = None
-                for o in range(max(0, min_bytes - after), min(reach, before) + 1):
-                    if (fd[o], fp[o]) < (doc, pos):
-                        if hi is not None and hi == o - 1:
-                            hi = o
-                            continue
-                        if hi is not None:
-                            out.append((doc, pos - hi, pos - lo + min_bytes))
-                        lo = hi = o
-                if hi is not None:
-                    out.append((doc, pos - hi, pos - lo + min_bytes))
+            for doc, pos, before, after, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                lo = max(0, min_bytes - after)
+                first = np.frombuffer(packed, dtype=np.int64).reshape(-1, 2)[lo : min(reach, before) + 1]
+                earlier = (first[:, 0] < doc) | ((first[:, 0] == doc) & (first[:, 1] < pos))
+                edges = np.flatnonzero(np.diff(np.concatenate(([False], earlier, [False])).astype(np.int8)))
+                for a, b in edges.reshape(-1, 2).tolist():
+                    out.append((doc, pos - (lo + b - 1), pos - (lo + a) + min_bytes))
             columns = list(zip(*out)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["doc_id", "start", "stop"])
 
     common = rows.where(F.col("before") + F.col("after") >= min_bytes).join(firsts, "key")
-    spans = common.select("doc_id", "pos", "before", "after", "first_doc", "first_pos").mapInArrow(settle, _SPAN)
+    spans = common.select("doc_id", "pos", "before", "after", "firsts").mapInArrow(settle, _SPAN)
 
     def branch(batches):
         for batch in batches:
@@ -337,6 +329,7 @@ def _split_hot(hot: DataFrame, min_bytes: int) -> tuple[DataFrame, DataFrame]:
     return spans, rows.mapInArrow(branch, _FRAGMENT)
 
 
+_NEVER = ((1 << 63) - 1, 0)  # after every place
 _SPAN = "doc_id long, start long, stop long"
 _FRAGMENT = "key long, doc_id long, pos long, left binary, right binary, n long"
 
