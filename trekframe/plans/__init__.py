@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("tracks", "places", "relational", "scalars", "sequences", "streams")
+MODULES: tuple[str, ...] = ("tracks", "places", "relational", "scalars", "sequences", "streams", "planner")
 
 
 def load_queries():
