@@ -402,13 +402,13 @@ def win19(spark, sf_dir):
 @register(
     "win07_datasheet_legs",
     f"""WITH {DIST}, v AS (SELECT * FROM m WHERE event_type = 'purchase') SELECT trail_id, idx, {rnd('dist - coalesce(lag(dist) OVER w, 0)', 2)} AS distance, {rnd('dist', 2)} AS total_distance,
-  {rnd('cum_ascent - coalesce(lag(cum_ascent) OVER w, 0)', 0)} AS ascent, {rnd('cum_ascent', 0)} AS total_ascent FROM v {_W}""",
+  {rnd(rnd('cum_ascent - coalesce(lag(cum_ascent) OVER w, 0)', 6), 0)} AS ascent, {rnd(rnd('cum_ascent', 6), 0)} AS total_ascent FROM v {_W}""",
 )
 def win07(spark, sf_dir):
     w = Window.partitionBy("trail_id").orderBy("idx")
     leg = lambda c: F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0.0))
     rows = measured(spark, sf_dir).where("event_type = 'purchase'")
-    return rows.select("trail_id", "idx", js_round(leg("dist"), 2).alias("distance"), js_round("dist", 2).alias("total_distance"), js_round(leg("cum_ascent")).alias("ascent"), js_round("cum_ascent").alias("total_ascent"))
+    return rows.select("trail_id", "idx", js_round(leg("dist"), 2).alias("distance"), js_round("dist", 2).alias("total_distance"), js_round(js_round(leg("cum_ascent"), 6)).alias("ascent"), js_round(js_round("cum_ascent", 6)).alias("total_ascent"))
 
 
 @register(

@@ -57,15 +57,12 @@ def once(events: DataFrame, keys: list[str], at: str, within: str = "1 hour") ->
 
 
 def limit_rate(events: DataFrame, limit: int, window_ms: int) -> DataFrame:
-    """``(key, seq, allowed)``: a sliding-window limit with the allowed times as state, expired after the window (STM04, STM05).
+    """``(key, seq, allowed)``: a sliding-window limit; a key's state is its allowed times within the window (STM04, STM05).
 
     ``events`` are ``(key, seq, ms)``; refused ones do not count.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         kept = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["ms", "seq"])
         allowed = []
@@ -76,10 +73,9 @@ def limit_rate(events: DataFrame, limit: int, window_ms: int) -> DataFrame:
                 kept.append(int(t))
             allowed.append(ok)
         state.update((kept,))
-        state.setTimeoutDuration(window_ms)
         yield pd.DataFrame({"key": key[0], "seq": rows["seq"].to_numpy(), "allowed": allowed})
 
-    return events.groupBy("key").applyInPandasWithState(step, "key long, seq long, allowed boolean", "kept array<long>", "append", "ProcessingTimeTimeout")
+    return events.groupBy("key").applyInPandasWithState(step, "key long, seq long, allowed boolean", "kept array<long>", "append", "NoTimeout")
 
 
 def follow(positions: DataFrame, track: list[tuple[float, float]], hint: int = 50, trusted_m: float = 500.0) -> DataFrame:
