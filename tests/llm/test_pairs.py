@@ -132,6 +132,27 @@ def test_leaks_against_all_pairs(spark):
     assert got == want and len(want) >= 20
 
 
+def test_leaks_with_words_deleted_at_the_end_of_a_document(spark):
+    rng = random.Random(11)
+    items = [(k, text(rng, n)) for k, n in enumerate([7, 16, 20, 20, 39, 40, 59])]
+    docs = []
+    for k, t in items:
+        for cut in range(max_edits(len(t.split()), 0.15) + 1):
+            w = t.split()
+            for _ in range(cut):
+                w.pop(rng.randrange(len(w)))
+            for before in (0, 1, 40):
+                docs += [(len(docs), " ".join([text(rng, before), *w]), k, cut)]
+    docs += [(len(docs), "", None, None)]
+    frame = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string").coalesce(2)
+    found = find_leaks(frame, spark.createDataFrame(items, "item_id long, text string"), recall=0.9999).collect()
+    words = [t.split() for _, t, _, _ in docs]
+    assert {(r.doc_id, r.item_id) for r in found} == {(d, k) for d, _, k, _ in docs if k is not None}
+    for r in found:
+        assert r.distance == edit_match(items[r.item_id][1].split(), words[r.doc_id])[0] <= docs[r.doc_id][3]
+        assert 0 <= r.first_word <= r.last_word < len(words[r.doc_id])
+
+
 def test_edit_match_and_walks():
     assert edit_match("a b c".split(), "x a c y".split()) == (1, 1, 2)
     assert edit_match("a b c".split(), "x a b c y".split()) == (0, 1, 3)

@@ -132,7 +132,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.15, recal
 
     A document holds an item if some run of its words is at most ``share`` of the item's words away in edits (words
     inserted, deleted or replaced; lower case, split at white space); the nearest run is reported. Windows of an item's
-    size start at every word of every document. One is embedded only if it has as many words, and as many rare words, of
+    size start at every word of every document; behind its last word they run into as many empty words as edits are
+    allowed, so that a copy with words deleted is met at the end of a document too. One is embedded only if it has as many words, and as many rare words, of
     the items of its size as any of them keeps after the allowed edits, which tables of fixed size tell without missing
     any. Repeated random walks and bit sampling give the keys; ``recall`` sets the number of repetitions. Windows and items meet in
     a join on the keys, and each document and item that met is verified exactly.
@@ -161,8 +162,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.15, recal
     words = words.join(spread, "word").withColumn("rare", F.col("df") <= max(2, n_items // 100))
     per_item = words.where("place < size").groupBy("item_id", "n", "size").agg(F.count_distinct(F.when(F.col("rare"), F.col("word"))).alias("rare"))
     spared = F.floor(F.col("n") * share + 1e-9)
-    needs = per_item.groupBy("size").agg(F.min(F.col("size") - spared).alias("known"), F.min(F.col("rare") - spared).alias("rare")).collect()  # a few length classes
-    need = {r["size"]: (r["known"], r["rare"]) for r in needs}
+    needs = per_item.groupBy("size").agg(F.min(F.col("size") - spared).alias("known"), F.min(F.col("rare") - spared).alias("rare"), F.max(spared).alias("spared")).collect()  # a few length classes
+    need = {r["size"]: (r["known"], r["rare"], r["spared"]) for r in needs}
+    pad = max((spared for _, _, spared in need.values()), default=0)  # a copy with words deleted may end with its document
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("size", F.lit(64)).cast("int"))
     bucket = F.shiftrightunsigned("word", 64 - VOCABULARY_BITS)
     masks = words.groupBy(bucket.alias("b")).agg(F.bit_or(bit).alias("known"), F.bit_or(F.when(F.col("rare"), bit).otherwise(F.lit(0).cast("long"))).alias("rare")).toArrow()
@@ -195,23 +197,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.15, recal
             lengths = np.array([len(p) for p in parts], dtype=np.int64)
             if not lengths.sum():
                 continue
-            words = np.concatenate(parts)
-            first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+            gap = np.zeros(pad, dtype=np.uint64)
+            words = np.concatenate([w for p in parts for w in (p, gap)])
+            first = np.concatenate(([0], np.cumsum(lengths + pad)[:-1]))
             spots = words >> shift
-            rare = rare_of[spots]
+            known, rare = known_of[spots], rare_of[spots]
+            gaps = ((first + lengths)[:, None] + np.arange(pad)).ravel()
+            known[gaps] = rare[gaps] = 0
             marked = np.flatnonzero(rare)  # few words of a text are rare ones of the benchmark
             rare = rare[marked]
             for c in sorted(needed):
-                least, least_rare = needed[c]
+                least, least_rare, spared = needed[c]
                 starts = window_starts(marked[(rare >> np.int64(c % 64)) & 1 > 0], len(words), c, least_rare)
                 if not len(starts):
                     continue
                 doc = np.searchsorted(first, starts, side="right") - 1  # the last that begins here is not an empty one
-                fits = starts + c <= (first + lengths)[doc]
+                fits = starts + c <= (first + lengths)[doc] + spared
                 starts, doc = starts[fits], doc[fits]
                 enough = np.zeros(len(starts), dtype=np.int64)
                 for j in range(c):
-                    enough += (known_of[spots[starts + j]] >> np.int64(c % 64)) & 1
+                    enough += (known[starts + j] >> np.int64(c % 64)) & 1
                 starts, doc = starts[enough >= least], doc[enough >= least]
                 if not len(starts):
                     continue
