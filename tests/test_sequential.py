@@ -60,6 +60,53 @@ def test_beam_finds_the_cheapest_plan():
     assert S.beam_days(camps, total, target, most, width=50)[0] == min(every)[1]
 
 
+def every_plan(camps, total, target, most, days):
+    """All plans by brute force: ``(mean cost, days, camps, reaches the end)``, and the days where all fall short."""
+    at = {i: k for k, i in camps}
+    ended, short = [], {}
+    for n in range(len(camps) + 1):
+        for path in itertools.combinations([i for k, i in sorted(camps)], n):
+            stops = [0.0, *(at[i] for i in path)]
+            legs = [b - a for a, b in zip(stops, stops[1:])]
+            if n > days or any(not 0 < x <= most for x in legs):
+                continue
+            cost = sum(((x - target) / target) ** 2 for x in legs)
+            if n:
+                short.setdefault(n, []).append((cost / n, n, path, False))
+            rest = total - stops[-1]
+            if n < days and rest <= most:
+                forced = n == 0 or total - stops[-2] > most
+                ended.append(((cost + (0.0 if forced and rest <= target else ((rest - target) / target) ** 2)) / (n + 1), n + 1, path, True))
+    if ended or days in short:
+        return ended + short.get(days, []), None
+    return (short[max(short)], max(short)) if short else ([], None)
+
+
+def test_days_without_the_end_against_all_plans(spark):
+    rng = random.Random(3)
+    kinds = set()
+    for _ in range(150):
+        total, days = rng.choice([30.0, 60.0, 100.0]), rng.randint(2, 5)
+        camps = [(round(rng.uniform(0.5, total - 0.5), 2), i) for i in range(rng.randint(1, 9))]
+        want, short = every_plan(camps, total, 12.0, 25.0, days)
+        got = S.rank_days(camps, total, 12.0, 25.0, days, width=1000)
+        assert bool(got) == bool(want)
+        if want:
+            best = min(want)
+            assert got[0] == (best[2], best[3], short) and {g[0] for g in got} == {w[2] for w in want}
+            kinds.add((best[3], short is None))
+    assert kinds == {(True, True), (False, True), (False, False)}
+
+
+def test_suggested_days_of_long_trails_and_wide_gaps(spark):
+    long = [(1, 12.0 * i, i, 400.0) for i in range(1, 34)]
+    gap = [(2, 12.0, 1, 90.0), (2, 24.0, 2, 90.0), (2, 60.0, 3, 90.0)]
+    near = [(3, 12.0, 1, 20.0)]
+    frame = spark.createDataFrame(long + gap + near + [(4, 30.0, 1, 90.0)], "trail_id long, km double, camp long, total double")
+    got = sorted((r.trail_id, r.day, r.camp, r.short_of) for r in S.suggest_days(frame, 12.0, 25.0).collect())
+    assert got == [(1, d, d, None) for d in range(1, 15)] + [(2, 1, 1, 2), (2, 2, 2, 2), (3, 1, 1, None), (3, 2, None, None)]
+
+
 def test_shortest_walk_against_all_pairs():
     rng = random.Random(5)
     for _ in range(30):

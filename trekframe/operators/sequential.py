@@ -6,6 +6,7 @@ size of the table. The helpers take plain arrays and are tested on their own.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 
@@ -131,42 +132,63 @@ def combine_tracks(tracks: DataFrame) -> DataFrame:
     return tracks.groupBy("trail_id").applyInPandas(one, "trail_id long, track_id long, place int, reversed boolean")
 
 
-def beam_days(camps: list[tuple[float, int]], total: float, target: float, most: float, days: int = 14, width: int = 8) -> list[list[int]]:
-    """Plans of camps ``(km, id)`` whose days are near ``target`` and never over ``most``, cheapest first (SRT11, SRT12).
+def rank_days(camps: list[tuple[float, int]], total: float, target: float, most: float, days: int = 14, width: int = 8) -> list[tuple[tuple, bool, int | None]]:
+    """``(camps slept at, whether the end is reached, short_of)`` of the plans, least mean cost of a day first (SRT11, SRT12).
 
-    A layer per day holds the best few plans that end at each camp; the last day may be short for free.
+    A layer per day holds the best few plans that end at each camp ``(km, id)``. Complete are those that reach the end
+    and those that fill all ``days``; where there are none, the deepest layer's plans are returned, with ``short_of``
+    the number of days that they cover. A day costs its squared miss of ``target`` and is never over ``most``. The last
+    day to the end may be short for free, unless the day before could have walked out itself. Ties go to fewer days.
     """
-    layer = {(0.0, -1): [(0.0, ())]}
+    camps = sorted(c for c in camps if 0 < c[0] < total)
+    kms = [km for km, _ in camps]
+
+    def cost_of(km: float) -> float:
+        return ((km - target) / target) ** 2
+
+    layer = {(0.0, -1): [(0.0, (), None)]}
     done: list[tuple[float, tuple]] = []
-    for _ in range(days):
+    deepest: list[tuple[float, tuple]] = []
+    depth = 0
+    for day in range(1, days + 1):
         nxt: dict = {}
         for (km, _), plans in layer.items():
             rest = total - km
-            for cost, path in plans:
+            near = camps[bisect.bisect_right(kms, km) : bisect.bisect_right(kms, km + most + 1e-9)]
+            for cost, path, before in plans:
                 if rest <= most + 1e-9:
-                    done.append((cost + (0.0 if rest <= target else ((rest - target) / target) ** 2), path))
-                for at, camp in camps:
-                    if km < at <= min(total, km + most + 1e-9):
-                        nxt.setdefault((at, camp), []).append((cost + ((at - km - target) / target) ** 2, (*path, camp)))
+                    forced = before is None or total - before > most + 1e-9
+                    done.append(((cost + (0.0 if forced and rest <= target else cost_of(rest))) / day, path))
+                for at, camp in near:
+                    nxt.setdefault((at, camp), []).append((cost + cost_of(at - km), (*path, camp), km))
         layer = {k: heapq.nsmallest(width, v) for k, v in nxt.items()}
-    out, seen = [], set()
-    for _, path in sorted(done):
-        if path not in seen:
-            seen.add(path)
-            out.append(list(path))
-    return out
+        if layer:
+            depth, deepest = day, [(cost / day, path) for v in layer.values() for cost, path, _ in v]
+    full = deepest if depth == days else []
+    short = None if done or full else depth
+    found = [(c, len(p) + 1, p, True) for c, p in done] + [(c, len(p), p, False) for c, p in (full if short is None else deepest)]
+    return [(path, reaches, short) for _, _, path, reaches in sorted(found)]
 
 
-def suggest_days(camps: DataFrame, target: float, most: float, plans: int = 1) -> DataFrame:
-    """``(trail_id, plan, day, camp)``: the best ways to cut each trail into days at its camps (SRT12, SRT13)."""
+def beam_days(camps: list[tuple[float, int]], total: float, target: float, most: float, days: int = 14, width: int = 8) -> list[list[int]]:
+    """The camps of each plan of ``rank_days``, best first."""
+    return [list(path) for path, _, _ in rank_days(camps, total, target, most, days, width)]
+
+
+def suggest_days(camps: DataFrame, target: float, most: float, plans: int = 1, days: int = 14) -> DataFrame:
+    """``(trail_id, plan, day, camp, short_of)``: the best ways to cut each trail into days at its camps (SRT12).
+
+    ``camp`` is null on a day that walks out to the trail's end. ``short_of`` is the number of days covered where no
+    plan reaches the end or fills all the days. A trail whose first day has no camp and no end in reach has no rows.
+    """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["km", "camp"])
-        found = beam_days(list(rows[["km", "camp"]].itertuples(index=False, name=None)), float(rows["total"].iloc[0]), target, most)[:plans]
-        out = [(rows["trail_id"].iloc[0], p, d + 1, c) for p, path in enumerate(found) for d, c in enumerate(path)]
-        return pd.DataFrame(out, columns=["trail_id", "plan", "day", "camp"])
+        found = rank_days(list(rows[["km", "camp"]].itertuples(index=False, name=None)), float(rows["total"].iloc[0]), target, most, days)[:plans]
+        out = [(rows["trail_id"].iloc[0], p, d + 1, c, short) for p, (path, reaches, short) in enumerate(found) for d, c in enumerate((*path, None) if reaches else path)]
+        return pd.DataFrame(out, columns=["trail_id", "plan", "day", "camp", "short_of"]).astype({"camp": "Int64", "short_of": "Int32"})
 
-    return camps.select("trail_id", "km", "camp", "total").groupBy("trail_id").applyInPandas(one, "trail_id long, plan int, day int, camp long")
+    schema = "trail_id long, plan int, day int, camp long, short_of int"
+    return camps.select("trail_id", "km", "camp", "total").groupBy("trail_id").applyInPandas(one, schema)
 
 
 def shortest_walk(edges: list[tuple], sources: dict[int, float], goals: set[int]) -> tuple[int, float, list[int]] | None:
