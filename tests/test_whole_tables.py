@@ -1,11 +1,12 @@
 """Queries that take whole tables, against brute force on the smallest ones."""
 
 import duckdb
+import pytest
 
 from trekframe.plans import load_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES = load_queries()[0]
+QUERIES, TWINS = load_queries()
 
 
 def test_components_over_all_of_lineitem(spark):
@@ -22,3 +23,19 @@ def test_components_over_all_of_lineitem(spark):
         root[b] = a
     got = QUERIES["set08_all_components"](spark, SF).collect()
     assert len(got) == len(root) and {r.node: r.component for r in got} == {n: find(n) for n in root}
+
+
+@pytest.mark.parametrize("name", ["jon14_snap_to_trails", "jon13_all_visits"])
+def test_all_suppliers_and_all_customers_take_part(spark, name):
+    sf = SF.replace("0.001", "0.01")  # ten suppliers give no nation a trail
+    con = duckdb.connect()
+    for t in ("customer", "supplier", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    frame = QUERIES[name](spark, sf)
+    got = sorted(tuple(r) for r in frame.collect())
+    assert got == sorted(con.execute(f"SELECT {', '.join(frame.columns)} FROM ({TWINS[name]})").fetchall())
+    if name == "jon13_all_visits":
+        assert len({r[0] for r in got if r[0] >= 60}) > 1000
+    else:
+        trails = con.execute("SELECT count(*) FROM (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING count(*) > 1)").fetchone()[0]
+        assert trails - 3 <= len({r[1] for r in got}) <= trails

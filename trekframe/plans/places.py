@@ -74,6 +74,41 @@ def jon13(spark, sf_dir):
     return spatial.visits(places, pts(spark, sf_dir), 800, max_abs_lat=40).withColumn("metres", js_round("metres", 2))
 
 
+@register(
+    "jon14_snap_to_trails",
+    f"""WITH {CUST}, {SUPP}, route AS (SELECT s_nationkey AS trail_id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY lon, spot_id) - 1 AS BIGINT) AS idx, lat, lon FROM supp JOIN supplier ON s_suppkey = spot_id),
+g AS (SELECT trail_id, idx, lat AS lat1, lon AS lon1, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM route WINDOW w AS (PARTITION BY trail_id ORDER BY idx)),
+t AS (SELECT place_id, c.lat, c.lon, g.*, coalesce({_T}, 0.0) AS t FROM cust c, g WHERE lat2 IS NOT NULL), d AS (SELECT place_id, trail_id, idx, {hav('lat', 'lon', 'lat1 + (lat2 - lat1) * t', 'lon1 + (lon2 - lon1) * t')} AS m FROM t),
+b AS (SELECT place_id, min({{'m': m, 't': trail_id, 'i': idx}}) AS b FROM d WHERE m <= 20000 GROUP BY place_id) SELECT place_id, b.t AS trail_id, b.i AS idx, {rnd('b.m', 2)} AS metres FROM b""",
+)
+def jon14_trails(spark, sf_dir):
+    """All suppliers as points of one trail a nation."""
+    from pyspark.sql import Window
+
+    from trekframe.operators.track import cumulative_km
+
+    nation = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("spot_id"), F.col("s_nationkey").alias("trail_id"))
+    rows = supp(spark, sf_dir).join(nation, "spot_id")
+    rows = rows.withColumn("idx", (F.row_number().over(Window.partitionBy("trail_id").orderBy("lon", "spot_id")) - 1).cast("long"))
+    snapped = spatial.snap_to_track(cust(spark, sf_dir), cumulative_km(rows.withColumn("is_break", F.lit(False))), 20_000, max_abs_lat=40)
+    return snapped.select("place_id", "trail_id", "idx", js_round("metres", 2).alias("metres"))
+
+
+@register(
+    "jon13_all_visits",
+    f"""WITH {PTS}, pl AS (SELECT DISTINCT c_custkey AS place_id, -35 + (c_custkey * 37 % 1000) / 10000.0 AS lat, 148 + (c_custkey * 53 % 1000) / 10000.0 AS lon FROM customer),
+d AS (SELECT place_id, trail_id, idx, {hav('pl.lat', 'pl.lon', 'pts.lat', 'pts.lon')} AS m FROM pl, pts), n AS (SELECT * FROM d WHERE m <= 2400),
+r AS (SELECT *, idx - row_number() OVER (PARTITION BY place_id, trail_id ORDER BY idx) AS run FROM n),
+b AS (SELECT place_id, trail_id, min({{'m': m, 'i': idx}}) AS b FROM r GROUP BY place_id, trail_id, run HAVING min(m) <= 800)
+SELECT place_id, trail_id, CAST(row_number() OVER (PARTITION BY place_id, trail_id ORDER BY b.i) AS INT) AS visit, b.i AS idx, {rnd('b.m', 2)} AS metres FROM b""",
+)
+def jon13_all(spark, sf_dir):
+    """Visits of the tracks to all customers."""
+    k = F.col("c_custkey")
+    places = table(spark, sf_dir, "customer").select(k.alias("place_id"), (-35 + (k * 37 % 1000) / 10000.0).alias("lat"), (148 + (k * 53 % 1000) / 10000.0).alias("lon"))
+    return spatial.visits(places, pts(spark, sf_dir), 800, max_abs_lat=40).withColumn("metres", js_round("metres", 2))
+
+
 # Three triangles as regions; the first two overlap.
 REGIONS = [("west", 0, [(-39.0, 144.0), (-30.0, 144.0), (-34.0, 149.0)]), ("south", 1, [(-39.0, 144.0), (-39.0, 153.0), (-34.0, 148.0)]), ("east", 2, [(-38.0, 153.0), (-30.0, 153.0), (-33.0, 148.0)])]
 _EDGES = [(name, rank, *ring[k], *ring[(k + 1) % len(ring)]) for name, rank, ring in REGIONS for k in range(len(ring))]
