@@ -39,3 +39,15 @@ def test_all_suppliers_and_all_customers_take_part(spark, name):
     else:
         trails = con.execute("SELECT count(*) FROM (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING count(*) > 1)").fetchone()[0]
         assert trails - 3 <= len({r[1] for r in got}) <= trails
+
+
+def test_all_names_in_order(spark):
+    want = duckdb.sql(f"SELECT p_partkey FROM read_parquet('{SF}/part.parquet') ORDER BY lower(p_name), p_partkey").fetchall()
+    got = QUERIES["srt09_all_names"](spark, SF).collect()
+    assert [(r.p_partkey, r.place) for r in got] == [(k, i + 1) for i, (k,) in enumerate(want)] and len(got) > 60
+
+
+def test_entities_of_the_whole_text(spark, tmp_path):
+    spark.createDataFrame([(1, "far from here &lt; &#65;"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.decoded for r in QUERIES["str12_python_text"](spark, str(tmp_path)).collect()}
+    assert got == {1: "&é&#0;far from here < A", 2: None}

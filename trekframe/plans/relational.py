@@ -204,3 +204,16 @@ def stm06(spark, sf_dir):
 def srt11(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
     return table(spark, sf_dir, "orders").withColumn("r", F.row_number().over(w)).where("r <= 4").select("o_custkey", "o_orderkey")
+
+
+@register("srt09_all_names", "SELECT p_partkey, CAST(row_number() OVER (ORDER BY lower(p_name), p_partkey) AS BIGINT) AS place FROM part")
+def srt09_all(spark, sf_dir):
+    """Every part and its place by name: numbered within ranges of names, and the rows of the ranges before added."""
+    from trekframe.storage import materialize
+
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("n"))
+    ranges = materialize(rows.repartitionByRange("n", "p_partkey").withColumn("p", F.spark_partition_id()), "names")
+    sizes = ranges.groupBy("p").count()  # a row a range
+    before = sizes.select("p", (F.sum("count").over(Window.orderBy("p")) - F.col("count")).alias("before"))
+    within = ranges.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("n", "p_partkey")))
+    return within.join(F.broadcast(before), "p").select("p_partkey", (F.col("r") + F.col("before")).alias("place")).orderBy("place")

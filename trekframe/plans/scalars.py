@@ -162,7 +162,7 @@ def str06(spark, sf_dir):
 def str12(spark, sf_dir):
     """Text functions without a twin in SQL; see the tests."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.select("doc_id", text.first_sentence("text").alias("sentence"), text.decode_entities(F.concat(F.lit("&amp;&#233;&#0;"), F.substring("text", 1, 5))).alias("decoded"), text.short_hash("text").alias("hash"), text.rate_key(F.concat(F.lit("::ffff:10.0.0."), F.col("doc_id") % 200)).alias("key"))
+    return d.select("doc_id", text.first_sentence("text").alias("sentence"), text.decode_entities(F.concat(F.lit("&amp;&#233;&#0;"), F.col("text"))).alias("decoded"), text.short_hash("text").alias("hash"), text.rate_key(F.concat(F.lit("::ffff:10.0.0."), F.col("doc_id") % 200)).alias("key"))
 
 
 @register(
