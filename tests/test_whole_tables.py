@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from trekframe.operators.spatial import visits
 from trekframe.plans import load_queries
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +52,18 @@ def test_entities_of_the_whole_text(spark, tmp_path):
     spark.createDataFrame([(1, "far from here &lt; &#65;"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.decoded for r in QUERIES["str12_python_text"](spark, str(tmp_path)).collect()}
     assert got == {1: "&é&#0;far from here < A", 2: None}
+
+
+def test_the_end_of_a_loop_is_no_second_visit(spark):
+    out = [(-35.0, 148.0 + k / 500) for k in range(40)]
+    loop = [*out, *((-34.9, lon) for _, lon in out[::-1]), (-35.0, 148.0)]
+    line = [*out, *out[::-1][:-5]]  # comes back, but not to its start
+    rows = [(t, i, lat, lon) for t, points in ((1, loop), (2, line)) for i, (lat, lon) in enumerate(points)]
+    points = spark.createDataFrame(rows, "trail_id long, idx long, lat double, lon double")
+    places = spark.createDataFrame([(7, -35.0, 148.0), (8, -35.0, 148.02)], "place_id long, lat double, lon double")
+
+    def seen(merge):
+        return sorted((r.trail_id, r.place_id, r.visit, r.idx) for r in visits(places, points, 200, merge_loops=merge).collect())
+
+    assert seen(False) == [(1, 7, 1, 0), (1, 7, 2, 80), (1, 8, 1, 10), (2, 7, 1, 0), (2, 8, 1, 10), (2, 8, 2, 69)]
+    assert seen(True) == [v for v in seen(False) if v != (1, 7, 2, 80)]

@@ -221,7 +221,7 @@ def walk_cost(length_m, climb_m):
 
 
 def access_routes(edges: DataFrame, places: DataFrame, goals: DataFrame) -> DataFrame:
-    """``(area, place, goal, cost, hops)``: the cheapest walk from each place to the route, within its area (SIM10, SIM11)."""
+    """``(area, place, goal, cost, hops)``: the cheapest walk from each place to the route, within its area (SIM11, on a network that is given)."""
 
     def one(key, e: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         out = []

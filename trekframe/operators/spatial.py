@@ -108,18 +108,26 @@ def snap_to_track(places: DataFrame, points: DataFrame, radius_m: float, place_i
     return best.select(place_id, "b.trail_id", "b.idx", "b.km", "b.metres")
 
 
-def visits(places: DataFrame, points: DataFrame, radius_m: float, place_id: str = "place_id", max_abs_lat: float = 85.0) -> DataFrame:
+def visits(places: DataFrame, points: DataFrame, radius_m: float, place_id: str = "place_id", max_abs_lat: float = 85.0, merge_loops: bool = False) -> DataFrame:
     """``(place_id, trail_id, visit, idx, metres)``: a row each time a track comes to a place (JON13).
 
     A visit begins at a row within ``radius_m`` and lasts until one beyond three times that; its nearest row counts,
     the earlier in a tie. Rows out of the wider radius are not in the join, so a jump in ``idx`` ends a visit as well.
+    With ``merge_loops``, the visit in which a closed track ends is no second one of a place that is in reach of its first row.
     """
     met = radius_pairs(places.select(place_id, "lat", "lon"), points.select("trail_id", "idx", "lat", "lon"), 3 * radius_m, max_abs_lat)
     w = Window.partitionBy(place_id, "trail_id").orderBy("idx")
     met = met.withColumn("_run", F.sum(F.coalesce((F.col("idx") - F.lag("idx").over(w) > 1).cast("int"), F.lit(0))).over(w))
-    per = met.groupBy(place_id, "trail_id", "_run").agg(F.min(F.struct("metres", "idx")).alias("b")).where(F.col("b.metres") <= radius_m)
+    per = met.groupBy(place_id, "trail_id", "_run").agg(F.min(F.struct("metres", "idx")).alias("b"), F.max("idx").alias("_until"), F.first("lat").alias("_lat"), F.first("lon").alias("_lon")).where(F.col("b.metres") <= radius_m)
     order = Window.partitionBy(place_id, "trail_id").orderBy("b.idx")
-    return per.select(place_id, "trail_id", F.row_number().over(order).alias("visit"), "b.idx", "b.metres")
+    per = per.withColumn("visit", F.row_number().over(order))
+    if merge_loops:
+        at = F.struct("lat", "lon")
+        ends = points.groupBy("trail_id").agg(F.min_by(at, "idx").alias("_a"), F.max_by(at, "idx").alias("_z"), F.max("idx").alias("_end"))
+        loops = ends.where(haversine_m(F.col("_a.lat"), F.col("_a.lon"), F.col("_z.lat"), F.col("_z.lon")) <= radius_m).select("trail_id", "_a", "_end")
+        again = (F.col("visit") > 1) & (F.col("_until") == F.col("_end")) & (haversine_m(F.col("_lat"), F.col("_lon"), F.col("_a.lat"), F.col("_a.lon")) <= radius_m)
+        per = per.join(loops, "trail_id", "left").where(~F.coalesce(again, F.lit(False)))
+    return per.select(place_id, "trail_id", "visit", "b.idx", "b.metres")
 
 
 def region_of(places: DataFrame, edges: DataFrame, place_id: str = "place_id") -> DataFrame:
