@@ -9,9 +9,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trekframe.llm.words import WordEncoder
+from trekframe.llm.words import WordEncoder, small_batches
+from trekframe.storage import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+SEQUENCES = 8192  # about as many sequences as a task fills
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
@@ -72,16 +74,22 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, e
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(out, kinds)], names=names)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, PIECES)
 
 
 def pack_pieces(pieces: DataFrame, max_tokens: int = 2048, open_bins: int = 1024, partitions: int | None = None) -> DataFrame:
     """Adds ``sequence_id`` and ``offset``. Each partition packs its pieces on their own, in a fixed order.
 
+    A partition ends with some sequences unfilled, so there is one for every ``SEQUENCES`` that the tokens need, at any
+    setting of the session, unless ``partitions`` says how many.
+
     Pieces are dealt by a hash of document and piece, so that one long or repeated document cannot crowd a task, and
     the order within a partition is by hash too: the lengths come mixed, and a task that is run again gives the same.
     """
-    n = partitions or int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if partitions is None:
+        total = pieces.agg(F.sum("length")).first()[0] or 0
+        partitions = 1 + total // (SEQUENCES * max_tokens)
 
     def pack(batches):
         bins = OpenBins(max_tokens, open_bins, TaskContext.get().partitionId() << 40)
@@ -90,7 +98,7 @@ def pack_pieces(pieces: DataFrame, max_tokens: int = 2048, open_bins: int = 1024
             extra = [pa.array([p[i] for p in placed], type=pa.int64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], *extra], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    dealt = pieces.repartition(n, F.xxhash64("doc_id", "piece"))
+    dealt = pieces.repartition(partitions, F.xxhash64("doc_id", "piece"))
     ordered = dealt.sortWithinPartitions(F.xxhash64("piece", "doc_id"), "doc_id", "piece", "start", "length", "ids_crc32")
     return ordered.mapInArrow(pack, PACKED)
 
@@ -102,7 +110,7 @@ def pack_documents(
 
     Bounded-space online best-fit: at most ``open_bins`` open sequences in a task, kept in a bitset by free space; a
     piece goes to the one it fills best, and when too many are open the fullest closes first. A null or empty text is
-    its end token alone. Rows are packed one by one: repeated rows and null ids are packed as they come. Other columns
-    are ignored. An empty table gives an empty result.
+    its end token alone, and a text of any length is encoded whole. Rows are packed one by one: repeated rows and null
+    ids are packed as they come. Other columns are ignored. An empty table gives an empty result.
     """
-    return pack_pieces(token_pieces(docs, tokenizer_path, max_tokens, end_id), max_tokens, open_bins, partitions)
+    return pack_pieces(materialize(token_pieces(docs, tokenizer_path, max_tokens, end_id), "pieces"), max_tokens, open_bins, partitions)

@@ -2,51 +2,39 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trekframe.llm.labelled import held_out, labelled_sample
-from trekframe.llm.words import mix
+from trekframe.llm.words import Memo, mix, small_batches
 
 BITS = 18
-_SHAPES = 16
-_EDGE = ".,;:?\"'()«»¿¡-"
-
-
-def word_shape(word: str) -> int:
-    """A small class of how a word is written: letters and case, digits, and what clings to it."""
-    if word.isalpha() and word.islower():
-        return 11
-    core = word.strip(_EDGE)
-    if not core:
-        return 1
-    letters = core.strip("!%$#&*@|<>=~^_+/\\")
-    if not letters:
-        return 2 if len(core) == 1 else 3
-    if letters != core:
-        return 4 if core.endswith("!!") and letters.isupper() else 5 if len(core) - len(letters) > 1 else 6
-    if letters.isdigit():
-        return 7
-    if not letters.isalpha():
-        return 8 if "/" in letters or "@" in letters else 9 if any(c.isdigit() for c in letters) else 10
-    if letters.islower():
-        return 11
-    if letters.isupper():
-        return 12 if len(letters) == 1 else 13
-    return 14 if letters.istitle() else 15
-
-
-class WordCodes(dict):
-    """word -> hash of its lower-case form, with its shape in the four lowest bits."""
-
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh64_intdigest(word.lower().encode("utf-8", "surrogatepass"))
-        code = self[word] = (h & ~0xF) | word_shape(word)
-        return code
+_SHAPE_BITS = 16
+
+
+def word_shape(word: str) -> str:
+    """How a word is written: its kinds of characters in order, a run of one kind at most twice. Letters are ``A`` or
+    ``a`` by case, digits are ``0``, other characters stand for themselves."""
+    kinds = "".join("a" if c.islower() else "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
+    return _RUN.sub(r"\1\1", kinds)
+
+
+_RUN = re.compile(r"(.)\1{2,}", re.DOTALL)
+_LOW = np.uint64((1 << _SHAPE_BITS) - 1)
+
+
+def _code(word: str) -> int:
+    """Hash of a word's lower-case form, with that of its shape in the lowest bits."""
+    h = xxhash.xxh64_intdigest(word.lower().encode("utf-8", "surrogatepass"))
+    return (h & ~int(_LOW)) | zlib.crc32(word_shape(word).encode("utf-8", "surrogatepass")) & int(_LOW)
 
 
 def distinct(values: np.ndarray) -> np.ndarray:
@@ -55,35 +43,34 @@ def distinct(values: np.ndarray) -> np.ndarray:
 
 
 class TextNgrams:
-    """Distinct hashed n-grams of a text: words and word pairs, runs of three word shapes, runs of repetition."""
+    """Distinct hashed n-grams of a text: words and word pairs, runs of one to three word shapes, and
+    of three distances to the same word before."""
 
-    def __init__(self, limit: int = 400_000):
-        self.limit, self.known = limit, WordCodes()
+    def __init__(self):
+        self.codes = Memo(_code)
 
     def features(self, text: str | None) -> np.ndarray:
         """Sorted distinct feature numbers below ``N_FEATURES``."""
         words = (text or "").split()
         if not words:
             return np.empty(0, dtype=np.int32)
-        if len(self.known) > self.limit:
-            self.known.clear()
-        codes = np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
-        shape = (codes & np.uint64(15)).astype(np.int32)
-        word = codes >> np.uint64(4)
-        top = np.uint64(64 - BITS)
-        padded = np.concatenate(([0], shape, [0])).astype(np.int32)
-        triple = (padded[:-2] * _SHAPES + padded[1:-1]) * _SHAPES + padded[2:]
-        same = np.concatenate((word[1:] == word[:-1], [False, False, False])).astype(np.int32)
-        runs = (same[:-2] * 2 + same[1:-1]) * 2 + same[2:]
-        base = np.int32(1 << BITS)
-        parts = [
-            (mix(word) >> top).astype(np.int32), (mix(word[:-1] * np.uint64(31) + word[1:] * np.uint64(0x100000001B3)) >> top).astype(np.int32),
-            distinct(base + triple), distinct(base + 4096 + runs), distinct(base + 8192 + padded[:-1] * _SHAPES + padded[1:]),
-        ]
+        codes = np.fromiter(map(self.codes.__getitem__, words), dtype=np.uint64, count=len(words))
+        word = codes >> np.uint64(_SHAPE_BITS)
+        edged = np.concatenate(([np.uint64(0)], (codes & _LOW) + np.uint64(1), [np.uint64(0)]))
+        pair = edged[:-1] * _STEP + edged[1:]
+        triple = pair[:-1] * _STEP + edged[2:]
+        back = np.zeros(len(words) + 2, dtype=np.uint64)  # how far back the same word stands, if near
+        for d in range(_NEAR, 0, -1):
+            back[d : len(words)][word[d:] == word[:-d]] = d
+        again = (back[:-2] * _STEP + back[1:-1]) * _STEP + back[2:]
+        top, short, base = np.uint64(64 - BITS), np.uint64(64 - _SHAPE_BITS), np.int32(1 << BITS)
+        parts = [(mix(w) >> top).astype(np.int32) for w in (word, word[:-1] * np.uint64(31) + word[1:] * _STEP)]
+        parts += [base + (mix(s * _STEP + np.uint64(k)) >> short).astype(np.int32) for k, s in enumerate((edged[1:-1], pair, triple, again))]
         return distinct(np.concatenate(parts))
 
 
-N_FEATURES = (1 << BITS) + 3 * 4096
+_STEP, _NEAR = np.uint64(0x100000001B3), 4
+N_FEATURES = (1 << BITS) + (1 << _SHAPE_BITS)
 
 
 @dataclass
@@ -174,40 +161,34 @@ def fit(rows: list[np.ndarray], y: np.ndarray, n_features: int = N_FEATURES, c:
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 10_000, c: float = 1.0) -> NbSvm:
     """Learns from at most ``max_rows`` labelled documents outside the held-out third; their texts come to the driver."""
-    got = labelled_sample(docs, labels, label, max_rows).select("doc_id", "text", "y").toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    got = labelled_sample(docs, labels, label, max_rows).select("doc_id", "text", "y").toArrow().sort_by("doc_id")
     ngrams = TextNgrams()
     rows = [ngrams.features(t) for t in got.column("text").to_pylist()]
     return fit(rows, got.column("y").to_numpy().astype(np.int64), c=c)
 
 
-def score_quality(docs: DataFrame, model: NbSvm) -> DataFrame:
-    """All columns of ``docs`` and ``quality_score``, from the whole text alone; a null text counts as empty."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.bias, model.slope, model.shift))  # fixed size
+def score_quality(docs: DataFrame, model: NbSvm, column: str = "quality_score") -> DataFrame:
+    """All columns of ``docs`` and the score in ``column`` (which replaces one of that name), from the whole text alone; a
+    null text counts as empty."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias, model.slope, model.shift))  # fixed size
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own, ngrams = NbSvm(*shared.value), TextNgrams()
+        for texts in batches:
+            yield pa.array([own.score(ngrams.features(t)) for t in texts.to_pylist()], type=pa.float64())
 
-        own = NbSvm(*shared.value)
-        ngrams = _ngrams()
-        return pd.Series([own.score(ngrams.features(t)) for t in texts], dtype="float64")
-
-    return docs.withColumn("quality_score", score(F.col("text").cast("string")))
-
-
-_KEPT: list[TextNgrams] = []
-
-
-def _ngrams() -> TextNgrams:
-    if not _KEPT:
-        _KEPT.append(TextNgrams())
-    return _KEPT[0]
+    return docs.withColumn(column, score(F.col("text").cast("string")))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = 10_000) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` of every document, repeated rows and null ids included."""
+    """``(doc_id, held_out, score, predicted)`` of every document.
+
+    Null and empty texts get a score too; repeated rows and rows without an id are scored as they come, and a text of
+    any length is scored whole. Other columns, whatever their names, are ignored. An empty table gives an empty result,
+    and labels of one class only, or none, a constant score.
+    """
     scored = score_quality(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train_quality(docs, labels, max_rows=max_rows))
     return scored.select(
         "doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= threshold).cast("int").alias("predicted")

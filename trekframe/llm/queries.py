@@ -41,7 +41,7 @@ FROM v LEFT JOIN deg ON deg.x = v.vec_id LEFT JOIN comp ON comp.node = v.vec_id
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every block of 1,000 characters of every document; a token across a boundary counts where most of it is."""
     docs = _table(spark, sf_dir, "documents")
-    docs = docs.withColumn("blocks", token_counts.block_sections("text", 1000))
+    docs = docs.select("doc_id", "text", token_counts.block_sections("text", 1000).alias("blocks"))
     return token_counts.section_token_counts(docs, public_tokenizers.path(WORD_BPE), sections="blocks", rule="majority")
 
 
@@ -66,7 +66,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages written as WARC records and read back."""
+    """All pages written as WARC records and read back, with digests and lengths taken from the payloads read."""
     back = warc.archive_round_trip(_table(spark, sf_dir, "pages"), min_bytes=0)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -82,6 +82,7 @@ SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
 FROM p JOIN m USING (h)
 """
 
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates among all documents: five-word n-grams, similarity of 0.8 or more."""
     return jaccard_join.jaccard_links(_table(spark, sf_dir, "documents"), threshold=0.8, k=5)
@@ -105,6 +106,7 @@ SELECT d.doc_id, coalesce(cls.class_id, d.doc_id) AS class_id, CAST(coalesce(deg
 FROM documents d LEFT JOIN cls ON cls.doc_id = d.doc_id LEFT JOIN deg ON deg.x = d.doc_id LEFT JOIN comp ON comp.node = d.doc_id
 """
 
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item found in any document, up to 15 % of its words edited."""
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))

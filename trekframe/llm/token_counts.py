@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trekframe.llm.words import WordEncoder
+from trekframe.llm.words import small_batches
 
 COUNTS = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long"
 RULES = ("start", "end", "majority")
@@ -61,8 +61,10 @@ def section_token_counts(
     the text are the sections. The whole text is encoded once and its token spans are joined with the sections; see
     ``allocate`` for tokens that cross a boundary. Returns a row for each section: ``n_tokens`` given to it and
     ``n_crossing`` of the tokens that it shares with another. A null text counts as empty, with one empty section; a
-    null or empty list of sections gives no row. Repeated rows give repeated results.
+    null or empty list of sections gives no row. Repeated rows and null ids give rows of their own, texts of any length
+    are encoded whole, other columns are ignored, and an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     columns = [F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")]
@@ -71,7 +73,9 @@ def section_token_counts(
         columns.append(spans.alias("sections"))
 
     def count(batches):
-        encoder = WordEncoder(tokenizer_path, offsets=True)
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(tokenizer_path)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             given_sections = batch.column(2).to_pylist() if sections else None
@@ -82,7 +86,8 @@ def section_token_counts(
                 if not own:
                     continue
                 own = np.array(own, dtype=np.int64).reshape(-1, 2)
-                tokens, crossing = allocate(encoder.spans(text), own, rule)
+                spans = np.array(tokenizer.encode(text, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
+                tokens, crossing = allocate(spans, own, rule)
                 m = len(own)
                 out.append((np.full(m, -1 if doc_id is None else doc_id, np.int64), np.full(m, doc_id is None), np.arange(m, dtype=np.int32), own[:, 0], own[:, 1], tokens, crossing))
             if not out:
@@ -95,7 +100,7 @@ def section_token_counts(
 
 
 def block_sections(text: str = "text", size: int = 1000):
-    """Column of consecutive sections of ``size`` characters that cover a text; an empty or null text has none."""
+    """Column of consecutive sections of ``size`` characters that cover a text; an empty or null text has one empty one."""
     n = F.char_length(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("long")
-    starts = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1, F.lit(size).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0).cast("long")), F.lit(size).cast("long"))
     return F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + size, n).alias("end")))

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trekframe.llm.labelled import held_out, labelled_sample
 from trekframe.llm.quality import platt
+from trekframe.llm.words import small_batches
 
 BUCKETS = 1 << 18  # bucket 0 is the padding between texts
 PREFIXES = (3, 4, 5)  # a word's embedding is the sum of those of the word and of its first letters
@@ -30,7 +33,7 @@ class Vocabulary(dict):
     remembered apart, as new words mostly begin like known ones.
     """
 
-    def __init__(self, per_word=None, limit: int = 250_000):
+    def __init__(self, per_word=None, limit: int = 60_000):
         super().__init__()
         self.per_word, self.limit, self.prefixes, self.pending = per_word or (lambda b: b), limit, {}, []
         self.rows = self.per_word(np.zeros((1, 1 + len(PREFIXES)), dtype=np.int64))
@@ -62,14 +65,15 @@ class Vocabulary(dict):
 
 
 def lay_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in one array with padding around each, and where each begins; every window lies in one text's part."""
-    gap = np.zeros(max(WIDTHS), dtype=np.int64)
+    """All texts in one array with padding before and behind each, and where each begins; a window that begins in one
+    text's part reaches no word of the next."""
+    gap = np.zeros(max(WIDTHS) - 1, dtype=np.int64)
     parts, starts, at = [], [], 0
     for t in texts:
         starts.append(at)
-        parts += [t, gap]
-        at += len(t) + len(gap)
-    parts.append(gap)
+        parts += [gap, t, gap]
+        at += len(t) + 2 * len(gap)
+    parts.append(np.zeros(max(WIDTHS), dtype=np.int64))
     return np.concatenate(parts), np.array(starts, dtype=np.int64)
 
 
@@ -110,37 +114,24 @@ class ConvModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * logits + self.shift, -40, 40)))
 
 
-def association(texts: list[np.ndarray], words: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How far each bucket's count of label-1 texts lies from what chance gives, in standard deviations."""
-    df, pos = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for t, label in zip(texts, y):
-        own = np.unique(words[np.unique(t)])
-        df[own] += 1
-        if label:
-            pos[own] += 1
-    share = (y > 0).mean()
-    return (pos - df * share) / np.sqrt(df * share * (1 - share) + 1.0)
-
-
-def initial(associated: np.ndarray, dim: int, n_filters: int, seed: int) -> ConvModel:
-    """Random but for the first dimension of the embedding, which starts as the word's clear association with the label."""
+def initial(dim: int, n_filters: int, seed: int) -> ConvModel:
+    """A random model; nothing in it is set by the labels."""
     rng = np.random.default_rng(seed)
-    embedding = rng.normal(0, 0.02, (BUCKETS, dim)).astype(np.float32)
-    embedding[:, 0] = np.clip(np.sign(associated) * np.maximum(np.abs(associated) - 4, 0) / 5.0, -1, 3)
+    embedding = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     embedding[0] = 0
-    filters = [rng.normal(0, 0.1, (w, dim, n_filters)).astype(np.float32) for w in WIDTHS]
-    for f in filters:
-        f[:, 0, :] = np.abs(rng.normal(0.6, 0.2, f[:, 0, :].shape)) / len(f)
-    return ConvModel(embedding, filters, [np.full(n_filters, -0.5, np.float32) for _ in WIDTHS], np.full(n_filters * len(WIDTHS), 0.5), -1.0)
+    filters = [rng.normal(0, (2 / (w * dim)) ** 0.5, (w, dim, n_filters)).astype(np.float32) for w in WIDTHS]
+    return ConvModel(embedding, filters, [np.zeros(n_filters, np.float32) for _ in WIDTHS], rng.normal(0, 0.3, n_filters * len(WIDTHS)), -1.0)
 
 
 def train(
-    texts: list[np.ndarray], words: np.ndarray, y: np.ndarray, dim: int = 8, n_filters: int = 4, epochs: int = 2, batch: int = 64, rate: float = 0.01,
-    embedding_rate: float = 0.002, seed: int = 11,
+    texts: list[np.ndarray], words: np.ndarray, y: np.ndarray, dim: int = 8, n_filters: int = 6, shown: int = 40_000, batch: int = 16, rate: float = 0.01,
+    embedding_rate: float = 0.5, seed: int = 11,
 ) -> ConvModel:
-    """Stochastic gradient steps (Adam on the small layers, Adagrad on embedding rows) through the pooled windows."""
+    """Stochastic gradient steps (Adam on the small layers, Adagrad on embedding rows) through the pooled windows, from a
+    random start. Few texts are gone through more often: about ``shown`` are shown in all, in 3 to 30 rounds."""
     y = np.asarray(y, dtype=np.float64)
-    model = initial(association(texts, words, y), dim, n_filters, seed)
+    model = initial(dim, n_filters, seed)
+    epochs = min(30, max(3, -(-shown // max(1, len(texts)))))
     rng = np.random.default_rng(seed)
     k = len(WIDTHS)
     small = [s.astype(np.float64) for s in (*model.filters, *model.biases, model.out, np.array([model.out_bias]))]
@@ -221,7 +212,7 @@ def fit(texts: list[str | None], y: np.ndarray, langs: list, spare: int = 5, **o
     y = np.asarray(y)
     if len(y) == 0 or y.min() == y.max():
         share = 0.5 if len(y) == 0 else (y.sum() + 1) / (len(y) + 2)
-        model = initial(np.zeros(BUCKETS), 8, 4, 0)
+        model = initial(8, 6, 0)
         model.out[:], model.out_bias = 0, float(np.log(share / (1 - share)))
         return model
     own = np.arange(len(y)) % spare != 0
@@ -253,36 +244,32 @@ def logits_of(texts: list[str | None], model: ConvModel, vocabulary: Vocabulary,
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 10_000, **options) -> ConvModel:
     """Learns from at most ``max_rows`` labelled documents outside the held-out third; their texts come to the driver."""
-    got = labelled_sample(docs, labels, label, max_rows).select("doc_id", "text", "lang", "y").toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    got = labelled_sample(docs, labels, label, max_rows).select("doc_id", "text", "lang", "y").toArrow().sort_by("doc_id")
     return fit(got.column("text").to_pylist(), got.column("y").to_numpy().astype(np.int64), got.column("lang").to_pylist(), **options)
 
 
-def score_toxicity(docs: DataFrame, model: ConvModel) -> DataFrame:
-    """All columns of ``docs`` and ``toxicity_score``, from the whole text alone; a null text counts as empty."""
+def score_toxicity(docs: DataFrame, model: ConvModel, column: str = "toxicity_score") -> DataFrame:
+    """All columns of ``docs`` and the score in ``column`` (which replaces one of that name), from the whole text alone; a
+    null text counts as empty."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        own, vocabulary = _loaded(shared.value)
-        return pd.Series(own.calibrated(logits_of(list(texts), own, vocabulary)), dtype="float64")
-
-    return docs.withColumn("toxicity_score", score(F.col("text").cast("string")))
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = shared.value
+        vocabulary = Vocabulary(own.responses)
+        for texts in batches:
+            yield pa.array(own.calibrated(logits_of(texts.to_pylist(), own, vocabulary)), type=pa.float64())
 
-
-_KEPT: dict = {}
-
-
-def _loaded(model: ConvModel):
-    if model is not _KEPT.get("model"):
-        _KEPT.update(model=model, ready=(model, Vocabulary(model.responses)))
-    return _KEPT["ready"]
+    return docs.withColumn(column, score(F.col("text").cast("string")))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = 10_000) -> DataFrame:
-    """``(doc_id, held_out, score, predicted, flagged)`` of every document, repeated rows and null ids included.
+    """``(doc_id, held_out, score, predicted, flagged)`` of every document.
+
+    Null and empty texts get a score too; repeated rows and rows without an id are scored as they come, and a text of
+    any length is scored whole. Other columns, whatever their names, are ignored. An empty table gives an empty result,
+    and labels of one class only, or none, a constant score.
 
     ``predicted`` uses the one threshold; ``flagged`` uses the threshold calibrated for the row's language, where the
     language is known. The score itself sees nothing but the text.

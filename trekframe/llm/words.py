@@ -2,24 +2,46 @@
 
 from __future__ import annotations
 
+import json
 from array import array
 
 import numpy as np
 import xxhash
+from pyspark.sql import SparkSession
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered for at most ``limit`` words at a time."""
 
-    def __init__(self, limit: int = 400_000):
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Texts go to Python workers in Arrow batches of at most ``most`` bytes from now on, if the session allows more."""
+    now = (spark.conf.get(_BATCH_BYTES, None) or "").rstrip("b")
+    if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
+        spark.conf.set(_BATCH_BYTES, str(most))
+
+
+class Memo(dict):
+    """Values of ``compute(key)``, of which the last ``limit`` to twice as many keys met are remembered."""
+
+    def __init__(self, compute, limit: int = 40_000):
         super().__init__()
-        self.limit = limit
+        self.compute, self.limit, self.older = compute, limit, {}
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, key):
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
+        return value
+
+
+class WordHashes(Memo):
+    """word -> 64-bit hash."""
+
+    def __init__(self, limit: int = 40_000):
+        super().__init__(lambda word: xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")), limit)
 
     def of(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
@@ -45,88 +67,65 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-class WordEncoder(dict):
-    """Encodes whole texts word by word: equal to encoding them at once, for a lower-casing, byte-level BPE tokenizer
-    that drops white space and keeps letters apart from punctuation.
+class WordEncoder:
+    """Token ids of whole texts. For a tokenizer whose own description says that it lower-cases, drops white space and
+    cuts byte-level BPE words at letter runs, texts are encoded word by word with a bounded memory, which gives the same
+    ids; any other tokenizer encodes each text at once.
 
     Words are cut at plain white space only, which no token of such a tokenizer crosses. A word of Latin letters and
     trailing punctuation is two runs to the tokenizer; its letters go to the library's BPE model directly, once for
-    all their spellings. All other words go through the whole tokenizer, and texts that hold a special token's string
-    are encoded whole. Words are remembered as bytes: their ids, or with ``offsets`` their tokens' starts and ends.
+    all their spellings. All other words go through the whole tokenizer, as do texts that hold a special token's string.
     """
 
-    def __init__(self, path: str, offsets: bool = False, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 100_000):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = cuts_at_white_space(json.loads(self.tokenizer.to_str()))
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.offsets, self.limit, self.cores, self.tails = offsets, limit, {}, {}
+        self.words, self.letters, self.tails = Memo(self._word, limit), Memo(self._letters, limit // 2), Memo(self._whole, limit // 8)
         self.byte_chars = _byte_chars()
 
-    def _whole(self, text: str):
-        found = self.tokenizer.encode(text, add_special_tokens=False)
-        return array("I", sum(found.offsets, ()) if self.offsets else found.ids).tobytes()
-
-    def _letters(self, core: str):
-        ascii_only = core.isascii()
-        tokens = self.model.tokenize(core if ascii_only else core.encode("utf-8").decode("latin-1").translate(self.byte_chars))
-        if not self.offsets:
-            return array("I", [t.id for t in tokens]).tobytes()
-        suffix, ends = self.model.end_of_word_suffix or "", [0]
-        for t in tokens:
-            ends.append(ends[-1] + len(t.value.removesuffix(suffix)))  # in bytes
-        if ascii_only:
-            return array("I", [x for pair in zip(ends[:-1], ends[1:]) for x in pair]).tobytes()
-        char = [k for k, c in enumerate(core) for _ in c.encode("utf-8")]  # the character that each byte belongs to
-        return array("I", [x for a, b in zip(ends[:-1], ends[1:]) for x in (char[a], char[b - 1] + 1)]).tobytes()
-
-    def __missing__(self, word: str):
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, core: str) -> bytes:
+        chars = core if core.isascii() else core.encode("utf-8").decode("latin-1").translate(self.byte_chars)
+        return array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
         core = word.rstrip(_TAIL)
-        if core and core.isalpha() and (core.isascii() or max(core) < "\u0100"):
-            low = core.lower()
-            found = self.cores.get(low)
-            if found is None:
-                found = self.cores[low] = self._letters(low)
-            if len(core) != len(word):
-                tail = word[len(core) :]
-                rest = self.tails.get(tail)
-                if rest is None:
-                    rest = self.tails[tail] = self._whole(tail)
-                if self.offsets:
-                    rest = array("I", [x + len(core) for x in memoryview(rest).cast("I")]).tobytes()
-                found = found + rest
-        else:
-            found = self._whole(word)
-        self[word] = found
-        return found
-
-    def _tidy(self) -> None:
-        for kept in (self, self.cores, self.tails):
-            if len(kept) > self.limit:
-                kept.clear()
+        if not (core and core.isalpha() and (core.isascii() or max(core) < "\u0100")):
+            return self._whole(word)
+        found = self.letters[core.lower()]
+        return found if len(core) == len(word) else found + self.tails[word[len(core) :]]
 
     def ids(self, text: str) -> bytes:
         """Token ids of one text as little-endian unsigned 32-bit values."""
-        if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        self._tidy()
-        return b"".join(map(self.__getitem__, _cut(text)))
-
-    def spans(self, text: str) -> np.ndarray:
-        """Character span of each token, one row ``(start, end)`` each."""
-        if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
-        self._tidy()
-        words = _cut(text)
-        parts = list(map(self.__getitem__, words))
-        counts = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 8
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        starts = np.concatenate(([0], np.cumsum(lengths[:-1] + 1)))
-        return np.frombuffer(b"".join(parts), dtype=np.uint32).reshape(-1, 2).astype(np.int64) + np.repeat(starts, counts)[:, None]
-
-
+        if not self.by_word or any(s in text for s in self.special):
+            return self._whole(text)
+        return b"".join(map(self.words.__getitem__, _cut(text)))
+
+
+def cuts_at_white_space(tokenizer: dict) -> bool:
+    """Whether a tokenizer's JSON says that its tokens never cross white space, letter runs stand alone, and case is lost."""
+    steps = lambda part, name: part.get(name, [part]) if part else []
+    normal = steps(tokenizer.get("normalizer"), "normalizers")
+    split = steps(tokenizer.get("pre_tokenizer"), "pretokenizers")
+    model = tokenizer["model"]
+    return (
+        [n["type"] for n in normal] == ["NFC", "Replace", "Lowercase"]
+        and (normal[1]["pattern"], normal[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [p["type"] for p in split] == ["Split", "ByteLevel"]
+        and (split[0]["pattern"], split[0]["behavior"], split[0]["invert"]) == ({"Regex": _WORD_RUNS}, "Removed", True)
+        and not split[1]["add_prefix_space"]
+        and not split[1]["use_regex"]
+        and (model["type"], model["dropout"], model["continuing_subword_prefix"]) == ("BPE", None, None)
+    )
+
+
+_WORD_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: the split of the vocabulary's authors
 _TAIL = ".,;:!?\"()[]{}%$#&*|-_/\\<>=+"
 
 
