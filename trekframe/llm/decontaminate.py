@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trekframe.llm.words import WordHashes, mix
+from trekframe.llm.words import WordHashes, mix, small_batches
 from trekframe.storage import materialize
 
 VOCABULARY_BITS = 20  # fixed size of the broadcast tables of benchmark words
@@ -60,8 +60,9 @@ def walk_keys(words: np.ndarray, starts: np.ndarray, size: int, repeat: int) ->
     return key.view(np.int64)
 
 
-def repeats_for(size: int, share: float, recall: float, trials: int = 400, most: int = 96) -> int:
-    """Repetitions after which ``recall`` of simulated windows, with as many random edits as allowed, met their item."""
+def repeats_for(size: int, share: float, recall: float, trials: int = 400, most: int = 4096) -> int:
+    """Repetitions after which ``recall`` of simulated windows, with as many random edits as allowed, met their item.
+    Raises an error if ``most`` do not get there."""
     rng = np.random.default_rng(size)
     plain, edited = [], []
     for _ in range(trials):
@@ -84,7 +85,7 @@ def repeats_for(size: int, share: float, recall: float, trials: int = 400, most:
         met |= walk_keys(a, starts, size, repeat) == walk_keys(b, starts, size, repeat)
         if met.mean() >= recall:
             return repeat + 1
-    return most
+    raise ValueError(f"no {most} repetitions reach a recall of {recall} for {size} words with a share of {share} edited")
 
 
 def edit_match(item: list, segment: list) -> tuple[int, int, int]:
@@ -133,14 +134,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.15, recal
     A document holds an item if some run of its words is at most ``share`` of the item's words away in edits (words
     inserted, deleted or replaced; lower case, split at white space); the nearest run is reported. Windows of an item's
     size start at every word of every document; behind its last word they run into as many empty words as edits are
-    allowed, so that a copy with words deleted is met at the end of a document too. One is embedded only if it has as many words, and as many rare words, of
-    the items of its size as any of them keeps after the allowed edits, which tables of fixed size tell without missing
-    any. Repeated random walks and bit sampling give the keys; ``recall`` sets the number of repetitions. Windows and items meet in
-    a join on the keys, and each document and item that met is verified exactly.
+    allowed, so that a copy with words deleted is met at the end of a document, or is all of it. A window is embedded
+    only if it has as many words, and as many rare words, of the items of its size as any of them keeps after the
+    allowed edits, which tables of fixed size tell without missing any. Repeated random walks and bit sampling give the
+    keys; ``recall`` sets the number of repetitions. Embedded windows that overlap form a stretch of text; windows and
+    items meet in a join on the keys, and the whole stretch around a window is verified exactly against each item that
+    it met. Texts themselves are not shuffled.
 
     Null and empty texts hold nothing, and items without words are in nothing. Rows without doc_id or item_id are left
-    out. Repeated documents with one id are reported once, with the best run of any; repeated items likewise.
+    out. Repeated documents with one id are reported once, with the best run of any; repeated items likewise. Texts of
+    any length are searched whole, other columns are ignored, and an empty table on either side gives an empty result.
     """
+    small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item")).where("item_id is not null and item is not null")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     shift = np.uint64(64 - VOCABULARY_BITS)
@@ -162,9 +167,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.15, recal
     words = words.join(spread, "word").withColumn("rare", F.col("df") <= max(2, n_items // 100))
     per_item = words.where("place < size").groupBy("item_id", "n", "size").agg(F.count_distinct(F.when(F.col("rare"), F.col("word"))).alias("rare"))
     spared = F.floor(F.col("n") * share + 1e-9)
-    needs = per_item.groupBy("size").agg(F.min(F.col("size") - spared).alias("known"), F.min(F.col("rare") - spared).alias("rare"), F.max(spared).alias("spared")).collect()  # a few length classes
-    need = {r["size"]: (r["known"], r["rare"], r["spared"]) for r in needs}
-    pad = max((spared for _, _, spared in need.values()), default=0)  # a copy with words deleted may end with its document
+    needs = per_item.groupBy("size").agg(F.min(F.col("size") - spared).alias("known"), F.min(F.col("rare") - spared).alias("rare"), F.max(spared).alias("spared"), F.max("n").alias("longest")).collect()  # a few length classes
+    need = {r["size"]: (r["known"], r["rare"], r["spared"], r["longest"]) for r in needs}
+    pad = max((spared for _, _, spared, _ in need.values()), default=0)  # a copy with words deleted may end with its document
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("size", F.lit(64)).cast("int"))
     bucket = F.shiftrightunsigned("word", 64 - VOCABULARY_BITS)
     masks = words.groupBy(bucket.alias("b")).agg(F.bit_or(bit).alias("known"), F.bit_or(F.when(F.col("rare"), bit).otherwise(F.lit(0).cast("long"))).alias("rare")).toArrow()
@@ -192,8 +197,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.15, recal
         hashes = WordHashes()
         known_of, rare_of, needed, repeats_of = packed.value
         for batch in batches:
-            ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
-            parts = [hashes.of(t.lower().split()) for t in batch.column(1).to_pylist()]
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            parts = [hashes.of(t.lower().split()) for t in texts]
             lengths = np.array([len(p) for p in parts], dtype=np.int64)
             if not lengths.sum():
                 continue
@@ -207,7 +212,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.15, recal
             marked = np.flatnonzero(rare)  # few words of a text are rare ones of the benchmark
             rare = rare[marked]
             for c in sorted(needed):
-                least, least_rare, spared = needed[c]
+                least, least_rare, spared, longest = needed[c]
                 starts = window_starts(marked[(rare >> np.int64(c % 64)) & 1 > 0], len(words), c, least_rare)
                 if not len(starts):
                     continue
@@ -220,34 +225,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.15, recal
                 starts, doc = starts[enough >= least], doc[enough >= least]
                 if not len(starts):
                     continue
-                for repeat in range(repeats_of[c]):
-                    keys = walk_keys(words, starts, c, repeat)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(starts - first[doc]), pa.array(keys)], names=["doc_id", "start", "key"])
+                keys = np.stack([walk_keys(words, starts, c, repeat) for repeat in range(repeats_of[c])])
+                cuts = np.flatnonzero((np.diff(doc) > 0) | (np.diff(starts) > c)) + 1
+                out, split = [], (None, None)
+                for lo, hi in zip([0, *cuts], [*cuts, len(starts)]):
+                    d = int(doc[lo])
+                    if split[0] != d:
+                        split = (d, texts[d].lower().split())
+                    at = max(0, int(starts[lo] - first[d]) - spared)
+                    stretch = split[1][at : int(starts[hi - 1] - first[d]) + longest + 2 * spared]
+                    out.append((ids[d], at, c, " ".join(stretch), np.unique(keys[:, lo:hi]).tolist()))
+                columns = [pa.array(x, type=t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "size", "stretch", "keys"])
 
     by_key = items.mapInArrow(item_keys, "item_id long, key long").distinct()
-    windows = rows.mapInArrow(window_keys, "doc_id long, start long, key long")
-    met = windows.join(by_key, "key").groupBy("doc_id", "item_id").agg(F.collect_set("start").alias("starts"))
-    found = met.join(items.distinct(), "item_id").join(rows.hint("merge"), "doc_id").select("doc_id", "item_id", "starts", "item", "text")
+    stretches = materialize(rows.mapInArrow(window_keys, "doc_id long, at long, size long, stretch string, keys array<long>"), "stretch")
+    where = ["doc_id", "at", "size"]
+    met = stretches.select(*where, F.explode("keys").alias("key")).join(by_key, "key").select(*where, "item_id").distinct()
+    found = stretches.select(*where, "stretch").join(met, where).join(items.distinct(), "item_id").select("doc_id", "item_id", "at", "stretch", "item")
 
     def verify(batches):
         for batch in batches:
-            out, last = [], (None, None)
-            for doc_id, item_id, starts, item, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if last[0] is not text:
-                    last = (text, text.lower().split())
-                words, want = last[1], item.lower().split()
-                k = max_edits(len(want), share)
-                best, stop = None, -1
-                for start in sorted(starts):
-                    lo, hi = max(0, start - k), min(len(words), start + len(want) + 2 * k)
-                    if start + len(want) <= stop:  # lies in the part looked at just before
-                        continue
-                    d, a, b = edit_match(want, words[lo:hi])
-                    stop = hi
-                    if d <= k and (best is None or d < best[0]):
-                        best = (d, lo + a, lo + b)
-                if best:
-                    out.append((doc_id, item_id, *best))
+            out = []
+            for doc_id, item_id, at, stretch, item in zip(*(c.to_pylist() for c in batch.columns)):
+                want = item.lower().split()
+                distance, a, b = edit_match(want, stretch.split(" "))
+                if distance <= max_edits(len(want), share):
+                    out.append((doc_id, item_id, distance, at + a, at + b))
             columns = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["doc_id", "item_id", "distance", "first_word", "last_word"])
 
@@ -258,5 +262,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.15, recal
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.15, recall: float = 0.99) -> DataFrame:
     """All columns of the documents that hold no benchmark item; rows without doc_id stay."""
-    gone = find_leaks(docs, benchmark, share, recall).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = find_leaks(docs, benchmark, share, recall).select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == gone["gone"], "left_anti")
