@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,30 +11,39 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trekframe.llm.jaccard_join import spanning_edges
+from trekframe.llm.pair_blocks import LINKS, deal, linked, spanning_edges
+from trekframe.llm.words import small_batches
 from trekframe.operators.graph import connected_components
 from trekframe.storage import materialize
 
 WINDOW = 0.5  # half width of the query-centred window, for projections of unit vectors on standard normal directions
+LEAST = 3  # collisions that a pair needs, at any number of vectors
+CROWD = 32  # vectors in one slot of a cell from which on it is looked at for crowds
+BLOCK = 256  # vectors of a block of a crowd
 
 
-def collision_plan(n: int, threshold: float, recall: float, mean: float = 7.5) -> tuple[int, int, int]:
+def collision_plan(n: int, threshold: float, recall: float) -> tuple[int, int, int]:
     """``(bits, tables, count)`` for ``n`` vectors.
 
-    A table sorts one projection within the cells of ``bits`` hyperplane signs; the signs grow with log2(n), so that a
-    vector's window holds a few others at any size. A pair at the threshold collides in a table with probability p;
-    there are ``mean / p`` tables, and ``count`` is the most collisions that such a pair has with probability ``recall``.
+    A table sorts one projection within the cells of ``bits`` hyperplane signs. Alone, a window over a projection would
+    hold a fixed share of all vectors; as the signs grow with log2(n), it holds a few others at any ``n``. A pair at
+    the threshold collides in a table with probability p; there are as many tables as give it ``LEAST`` collisions with
+    probability ``recall``, and ``count`` is the most collisions that it has with that probability.
     """
     bits = max(0, round(math.log2(max(n, 2))) - 4)
     apart = math.sqrt(2 - 2 * threshold)
     p = (1 - math.acos(threshold) / math.pi) ** bits * math.erf(WINDOW / apart / math.sqrt(2))
-    tables = math.ceil(mean / p)
-    below, count = 0.0, 0
-    while True:
-        below += math.comb(tables, count) * p**count * (1 - p) ** (tables - count)
-        if 1 - below < recall:
-            return bits, tables, max(1, count)
+
+    def at_least(count: int, tables: int) -> float:
+        return 1 - sum(math.comb(tables, k) * p**k * (1 - p) ** (tables - k) for k in range(count))
+
+    tables = LEAST
+    while at_least(LEAST, tables) < recall:
+        tables += 1 + tables // 50
+    count = LEAST
+    while count < tables and at_least(count + 1, tables) >= recall:
         count += 1
+    return bits, tables, count
 
 
 def _unit(value) -> np.ndarray | None:
@@ -48,6 +58,75 @@ def _unit(value) -> np.ndarray | None:
     return v / np.sqrt(v @ v)
 
 
+def _by_length(units: list[bytes]):
+    """``(rows, matrix)`` of the vectors of each length."""
+    dims = np.array([len(x) // 8 for x in units])
+    for dim in np.unique(dims):
+        own = np.flatnonzero(dims == dim)
+        yield own, np.frombuffer(b"".join(units[k] for k in own), dtype=np.float64).reshape(-1, dim)
+
+
+@lru_cache(maxsize=4)
+def _directions(dim: int, tables: int, bits: int) -> np.ndarray:
+    return np.random.default_rng(dim).normal(size=(dim, tables * (bits + 1)))
+
+
+def projections(m: np.ndarray, tables: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each vector in each table, numbered through all tables and lengths, and its projection there."""
+    dim = m.shape[1]
+    at = (m @ _directions(dim, tables, bits)).reshape(len(m), tables, bits + 1)
+    signs = (at[:, :, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
+    return signs + (((dim << 12) + np.arange(tables, dtype=np.int64)) << 40)[None, :], at[:, :, bits]
+
+
+_NONE = -(1 << 63)  # the crowd of vectors in none
+
+
+def _with_units(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    left = units.select(F.col("class_id").alias("a"), F.col("unit").alias("ua"), F.col("copies").alias("ca"))
+    right = units.select(F.col("class_id").alias("b"), F.col("unit").alias("ub"), F.col("copies").alias("cb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ua", "ub", "ca", "cb")
+
+
+def _verify(threshold: float, emit):
+    """A task over rows of ``_with_units``: what ``emit`` makes of those whose cosine reaches the threshold."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, ua, ub, ca, cb = (c.to_pylist() for c in batch.columns)
+            cosine = np.full(len(a), -1.0)
+            same = np.array([len(x) == len(y) for x, y in zip(ua, ub)], dtype=bool)
+            for own, x in _by_length([u if s else b"" for u, s in zip(ua, same)]):
+                if x.shape[1]:
+                    cosine[own] = np.einsum("ij,ij->i", x, np.frombuffer(b"".join(ub[k] for k in own), dtype=np.float64).reshape(x.shape))
+            yield emit([(a[k], b[k], ca[k], cb[k]) for k in np.flatnonzero(cosine >= threshold).tolist()])
+
+    return run
+
+
+def _links(pairs: list[tuple]) -> pa.RecordBatch:
+    total: dict[int, int] = {}
+    for a, b, ca, cb in pairs:
+        total[a] = total.get(a, 0) + cb
+        total[b] = total.get(b, 0) + ca
+    edges = [(x, y, 0) for x, y in spanning_edges([p[:2] for p in pairs])] + [(x, x, n) for x, n in total.items()]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in list(zip(*edges)) or [()] * 3], names=["a", "b", "links"])
+
+
+def _ends(pairs: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], type=pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _crowds(placed: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
+    """``(node, crowd)`` of the vectors in crowds. The vectors of a crowded slot are held against the one with the least
+    hash; each belongs to the crowd of the first by hash that it links with, itself included."""
+    rank = F.struct(F.xxhash64("id").alias("h"), F.col("id"))
+    slots = placed.groupBy("cell", "slot").agg(F.min(rank).alias("lead"), F.count("*").alias("n")).where(F.col("n") >= CROWD)
+    stars = placed.join(slots, ["cell", "slot"]).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
+    near = _with_units(stars, units).mapInArrow(_verify(threshold, _ends), "a long, b long")
+    return near.groupBy(F.col("b").alias("node")).agg(F.min(F.struct(F.xxhash64("a").alias("h"), F.col("a"))).alias("first")).select("node", F.col("first.a").alias("crowd"))
+
+
 def embedding_links(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.998, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` of every row.
 
@@ -56,12 +135,20 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, recall: float =
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing, nor do vectors of
     different lengths with each other.
 
-    Equal vectors form a class, and classes are compared. Each table joins every vector with those of its cell whose
-    projection lies within ``WINDOW`` above its own, through slots of that width, so that a crowded cell is many keys.
-    Collisions are counted by pair over all tables, and pairs with the planned count are verified. Every vector is
-    compared, none sampled; pairs at the threshold are found with probability ``recall``, closer ones more surely.
-    Repeated rows are rows of their own with one id; rows without id link with nothing.
+    Equal vectors form a class, and classes are compared. Each table sorts a projection within cells, and every vector
+    meets those of its cell whose projection lies within ``WINDOW`` above its own, through slots of that width, so that
+    a crowded cell is many keys. Collisions are counted by pair over all tables, and pairs with the planned count are
+    verified. Every vector is compared, none sampled; pairs at the threshold are found with probability ``recall``,
+    closer ones more surely.
+
+    Pairs of one crowd are counted without writing them: where a slot is crowded, its vectors are held against one of
+    them, the same for most slots, and those linked with it are a crowd. A crowd is cut into blocks, and each two blocks
+    meet in a task that counts the same collisions of all their pairs. Only pairs across crowds are written.
+
+    Repeated rows are rows of their own with one id; rows without id link with nothing. An empty table gives an empty
+    result, and other columns are ignored.
     """
+    small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("v"))
 
     def read(batches):
@@ -80,56 +167,45 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, recall: float =
     bits, tables, count = collision_plan(classes.count(), threshold, recall)
 
     def project(batches):
-        directions: dict[int, np.ndarray] = {}
         for batch in batches:
-            ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
-            raw = batch.column(1).to_pylist()
-            dims = np.array([len(x) // 8 for x in raw])
-            for dim in np.unique(dims):
-                own = np.flatnonzero(dims == dim)
-                m = np.frombuffer(b"".join(raw[k] for k in own), dtype=np.float64).reshape(-1, dim)
-                if dim not in directions:
-                    directions[dim] = np.random.default_rng(int(dim)).normal(size=(dim, tables, bits + 1))
+            ids = batch.column(0).to_numpy()
+            for own, m in _by_length(batch.column(1).to_pylist()):
+                cells, p = projections(m, tables, bits)
                 for t in range(tables):
-                    at = m @ directions[dim][:, t]
-                    cell = (at[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64)) + (((int(dim) << 12) + t) << 40)
-                    arrays = [pa.array(ids[own]), pa.array(cell.astype(np.int64)), pa.array(at[:, bits])]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["id", "cell", "p"])
-
-    placed = classes.select("class_id", "unit").mapInArrow(project, "id long, cell long, p double")
-    placed = placed.withColumn("slot", F.floor(F.col("p") / WINDOW))
-    query = placed.select(F.col("id").alias("a"), "cell", F.col("p").alias("pa"), F.explode(F.array("slot", F.col("slot") + 1)).alias("slot"))
-    other = placed.select(F.col("id").alias("b"), "cell", F.col("p").alias("pb"), "slot")
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(cells[:, t]), pa.array(p[:, t])], names=["id", "cell", "p"])
+
+    units = classes.select("class_id", "unit", "copies")
+    placed = units.select("class_id", "unit").mapInArrow(project, "id long, cell long, p double").withColumn("slot", F.floor(F.col("p") / WINDOW))
+    crowds = materialize(_crowds(placed, units, threshold), "crowd")
+    own_crowd = crowds.select(F.col("node").alias("id"), "crowd")
+    marked = placed.join(own_crowd, "id", "left").withColumn("crowd", F.coalesce("crowd", F.lit(_NONE)))
+    query = marked.select(F.col("id").alias("a"), "cell", F.col("p").alias("pa"), F.col("crowd").alias("of_a"), F.explode(F.array("slot", F.col("slot") + 1)).alias("slot"))
+    other = marked.select(F.col("id").alias("b"), F.col("cell").alias("cell_b"), F.col("p").alias("pb"), F.col("crowd").alias("of_b"), F.col("slot").alias("slot_b"))
     above = (F.col("pb") > F.col("pa")) | ((F.col("pb") == F.col("pa")) & (F.col("b") > F.col("a")))
-    met = query.join(other, ["cell", "slot"]).where(above & (F.col("pb") - F.col("pa") <= WINDOW))
+    apart = (F.col("of_a") != F.col("of_b")) | (F.col("of_a") == _NONE)
+    same_slot = (F.col("cell") == F.col("cell_b")) & (F.col("slot") == F.col("slot_b"))
+    met = query.join(other, same_slot & apart & above & (F.col("pb") - F.col("pa") <= WINDOW))
     pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= count)
-    units = classes.select("class_id", "unit", "copies")
-    both = (
-        pairs.select("a", "b")
-        .join(units.select(F.col("class_id").alias("a"), F.col("unit").alias("ua"), F.col("copies").alias("ca")), "a")
-        .join(units.select(F.col("class_id").alias("b"), F.col("unit").alias("ub"), F.col("copies").alias("cb")), "b")
-        .select("a", "b", "ua", "ub", "ca", "cb")
-    )
-
-    def verify(batches):
-        for batch in batches:
-            a, b, ua, ub, ca, cb = (c.to_pylist() for c in batch.columns)
-            same = [k for k in range(len(a)) if len(ua[k]) == len(ub[k])]
-            cosine = np.zeros(len(a))
-            for dim in {len(ua[k]) for k in same}:
-                own = [k for k in same if len(ua[k]) == dim]
-                x, y = (np.frombuffer(b"".join(u[k] for k in own), dtype=np.float64).reshape(len(own), -1) for u in (ua, ub))
-                cosine[own] = np.einsum("ij,ij->i", x, y)
-            linked = np.flatnonzero(cosine >= threshold).tolist()
-            total: dict[int, int] = {}
-            for k in linked:
-                total[a[k]] = total.get(a[k], 0) + cb[k]
-                total[b[k]] = total.get(b[k], 0) + ca[k]
-            edges = [(x, y, 0) for x, y in spanning_edges([(a[k], b[k]) for k in linked])] + [(x, x, n) for x, n in total.items()]
-            columns = list(zip(*edges)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["a", "b", "links"])
-
-    found = materialize(both.mapInArrow(verify, "a long, b long, links long"), "found")
+    across = _with_units(pairs.select("a", "b"), units).mapInArrow(_verify(threshold, _links), LINKS)
+
+    def load(block: pa.Table):
+        return [(own, m, *projections(m, tables, bits)) for own, m in _by_length(block.column("unit").to_pylist())]
+
+    def compare(left, right, same: bool) -> np.ndarray:
+        out = [np.empty((0, 2), dtype=np.int64)]
+        for own_l, m_l, cell_l, p_l in left:
+            for own_r, m_r, cell_r, p_r in right:
+                if m_l.shape[1] == m_r.shape[1]:
+                    met = np.zeros((len(m_l), len(m_r)), dtype=np.int32)
+                    for t in range(tables):
+                        met += (cell_l[:, t, None] == cell_r[None, :, t]) & (np.abs(p_l[:, t, None] - p_r[None, :, t]) <= WINDOW)
+                    hit = (met >= count) & (m_l @ m_r.T >= threshold)
+                    pairs = np.argwhere(np.triu(hit, 1) if same else hit)
+                    out.append(np.stack([own_l[pairs[:, 0]], own_r[pairs[:, 1]]], axis=1))
+        return np.concatenate(out)
+
+    members = deal(crowds, "crowd", "node", BLOCK).join(units.withColumnRenamed("class_id", "node"), "node")
+    found = materialize(across.unionByName(linked(members, "crowd", "node", load, compare)), "found")
     counts = found.where("links > 0").groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("outer"))
     joined = connected_components(found, "a", "b").select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
     reached = classes.join(counts, "class_id", "left").join(joined, "class_id", "left")

@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trekframe.llm.words import WordHashes, mix, shingles
+from trekframe.llm.pair_blocks import deal, linked
+from trekframe.llm.words import WordHashes, mix, shingles, small_batches
 from trekframe.operators.graph import connected_components
 from trekframe.storage import materialize
 
@@ -93,10 +94,20 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], pairs: np.ndarray
     return out[pairs[:, 0], pairs[:, 1]].round().astype(np.int64)
 
 
-def linked_pairs(sets_left: list[np.ndarray], sets_right: list[np.ndarray], threshold: float, same: bool) -> np.ndarray:
-    """Pairs (i, j) whose sets reach the threshold; of one block with itself, those with i < j."""
+def shared_bands(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which rows of two matrices of band keys have a key in common."""
+    met = np.zeros((len(left), len(right)), dtype=bool)
+    for band in range(left.shape[1]):
+        met |= left[:, band, None] == right[None, :, band]
+    return met
+
+
+def linked_pairs(sets_left: list[np.ndarray], sets_right: list[np.ndarray], threshold: float, same: bool, met: np.ndarray | None = None) -> np.ndarray:
+    """Pairs (i, j) whose sets reach the threshold, of those ``met``; of one block with itself, those with i < j."""
     n_left, n_right = np.array([len(x) for x in sets_left])[:, None], np.array([len(x) for x in sets_right])[None, :]
     meet = np.minimum(n_left, n_right) >= threshold * np.maximum(n_left, n_right) - 1e-9
+    if met is not None:
+        meet &= met
     if same:
         meet = np.triu(meet, 1)
     pairs = np.argwhere(meet)
@@ -107,26 +118,7 @@ def linked_pairs(sets_left: list[np.ndarray], sets_right: list[np.ndarray], thre
     return pairs[both >= threshold * union - 1e-9]
 
 
-def spanning_edges(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """A forest that joins what the pairs join."""
-    root: dict[int, int] = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for a, b in pairs:
-        x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
-
-
-def jaccard_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.999) -> DataFrame:
+def jaccard_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9997) -> DataFrame:
     """``(doc_id, class_id, n_links, component_id, kept)`` of every row of ``docs``.
 
     Rows link if the Jaccard similarity of their sets of ``k``-word n-grams is at least ``threshold``. Rows with equal
@@ -136,13 +128,15 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: f
 
     Band keys are shuffled, and keys met by several classes give each of them an edge to the least one: the connected
     groups hold every pair that shares a key, and ``recall`` is the chance that a pair at the threshold does. A group is
-    cut into blocks of about ``BLOCK`` members by hash, and each two blocks meet in a task of their own, where all their
-    pairs are verified on their full sets, also those that a band missed. No task holds a
-    whole group, and no pairs are written: a task returns counts and a spanning forest.
+    cut into blocks of about ``BLOCK`` members by hash, and each two blocks meet in a task of their own, where the pairs
+    that share a band key are verified on their full sets. No task holds a whole group, and no pairs are written.
 
-    Nulls: a null text is empty. A row without words has no set and links with nothing. A row without doc_id links
-    with nothing that has none, and counts as a copy of equal rows. Repeated rows are rows of their own with one id.
+    A null text is empty, and a row without words has no set and links with nothing; an empty table gives an empty
+    result. A row without doc_id links with nothing that has none, and counts as a copy of equal rows. Repeated rows are
+    rows of their own with one id; rows of one id are expected to have one text. Texts of any length count whole, and
+    other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     bands, rows = band_plan(threshold, recall)
     signed = materialize(signatures(docs, k, bands, rows), "sign")
     classes = signed.where("class_key is not null").groupBy("class_key")
@@ -152,9 +146,7 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: f
     met = keys.groupBy("key").agg(F.min("class_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
     stars = keys.join(met, "key").where("class_id <> lead").select("class_id", "lead").distinct()
     groups = materialize(connected_components(stars, "class_id", "lead"), "group")
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    dealt = groups.join(sizes, "component").select("node", "component", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = deal(groups, "component", "node", BLOCK)
 
     def gather(batches):
         hashes = WordHashes()
@@ -166,37 +158,16 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: f
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     members = texts.join(dealt.hint("merge"), "node").mapInArrow(gather, "node long, component long, blocks int, own int, class_key binary, grams binary")
-    members = members.join(known.select(F.col("class_id").alias("node"), "class_key", "copies"), ["node", "class_key"])
-    blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
-    spread = members.select("*", F.explode(blocks).alias("other")).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-
-    def compare(table: pa.Table) -> pa.Table:
-        seen, sides = set(), {}
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        rows_in = zip(*(table.column(c).to_pylist() for c in ("node", "own", "copies", "grams")))
-        for node, own, copies, grams in sorted(rows_in, key=lambda r: r[0]):
-            if node not in seen:
-                seen.add(node)
-                sides.setdefault(own, []).append((node, copies, np.frombuffer(grams, dtype=np.uint64)))
-        left, right = sides.get(i, []), sides.get(j, [])
-        out_a, out_b, out_n = [], [], []
-        if left and right:
-            pairs = linked_pairs([x[2] for x in left], [x[2] for x in right], threshold, i == j)
-            total: dict[int, int] = {}
-            edges = []
-            for p, q in pairs.tolist():
-                (a, n_a), (b, n_b) = left[p][:2], right[q][:2]
-                total[a] = total.get(a, 0) + n_b
-                total[b] = total.get(b, 0) + n_a
-                edges.append((a, b))
-            for a, b in spanning_edges(edges):
-                out_a.append(a), out_b.append(b), out_n.append(0)
-            for a, n in total.items():
-                out_a.append(a), out_b.append(a), out_n.append(n)
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "links": pa.array(out_n, pa.int64())})
-
-    columns = ["component", "i", "j", "node", "own", "copies", "grams"]
-    found = materialize(spread.select(*columns).groupBy("component", "i", "j").applyInArrow(compare, "a long, b long, links long"), "found")
+    members = members.join(known.select(F.col("class_id").alias("node"), "class_key", "copies", "bands"), ["node", "class_key"])
+
+    def load(block: pa.Table):
+        return [np.frombuffer(g, dtype=np.uint64) for g in block.column("grams").to_pylist()], np.array(block.column("bands").to_pylist())
+
+    def compare(left, right, same: bool) -> np.ndarray:
+        return linked_pairs(left[0], right[0], threshold, same, shared_bands(left[1], right[1]))
+
+    columns = ["component", "blocks", "node", "own", "copies", "bands", "grams"]
+    found = materialize(linked(members.select(*columns), "component", "node", load, compare), "found")
     counts = found.where("links > 0").groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("outer"))
     joined = connected_components(found, "a", "b").select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
     reached = classes.join(counts, "class_id", "left").join(joined, "class_id", "left")
@@ -209,7 +180,8 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: f
     )
 
 
-def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.999) -> DataFrame:
-    """All columns of the one row kept of each group of near-duplicates; rows without doc_id stay."""
-    gone = jaccard_links(docs, threshold, k, recall).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
+def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9997) -> DataFrame:
+    """All columns of the documents kept, one id of each group of near-duplicates. Rows without doc_id stay, and so do
+    repeated rows of a kept id."""
+    gone = jaccard_links(docs, threshold, k, recall).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == gone["gone"], "left_anti")
