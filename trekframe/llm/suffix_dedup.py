@@ -8,13 +8,14 @@ an anchor. All suffixes that begin with one anchor's bytes form a part of the su
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trekframe.llm.words import mix
+from trekframe.llm.words import mix, small_batches
 from trekframe.storage import materialize
 
 ANCHOR = 32  # bytes of an anchor
@@ -123,6 +124,7 @@ def anchors(docs: DataFrame, min_bytes: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
 
@@ -258,6 +260,18 @@ def _spans_of_groups(fragments: DataFrame, min_bytes: int) -> DataFrame:
     return ordered.mapInArrow(scan, _SPAN)
 
 
+_PARTS = 16  # of a large group's rows, so that they meet what is known of the group in several tasks
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(_PARTS)).cast("int"))
+
+
+def _on_all_parts(groups: DataFrame) -> DataFrame:
+    """One row a group, for each of its parts."""
+    return groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
+
+
 def _split_hot(hot: DataFrame, min_bytes: int) -> tuple[DataFrame, DataFrame]:
     """One round on groups too large for a task: ``(spans, smaller groups)``.
 
@@ -281,7 +295,7 @@ def _split_hot(hot: DataFrame, min_bytes: int) -> tuple[DataFrame, DataFrame]:
             columns = [*batch.columns[:6], pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "pos", "left", "right", "n", "before", "after"])
 
-    met = hot.join(lead, "key").select("key", "doc_id", "pos", "left", "right", "n", "lead")
+    met = _dealt(hot).join(_on_all_parts(lead), ["key", "part"]).select("key", "doc_id", "pos", "left", "right", "n", "lead")
     rows = materialize(met.mapInArrow(compare, _FRAGMENT + ", before int, after int"), "peel")
     cells = rows.where(F.col("before") + F.col("after") >= min_bytes).groupBy("key", "before", "after").agg(F.min(F.struct("doc_id", "pos")).alias("spot"))
     cells = cells.groupBy("key").agg(F.collect_list(F.struct("before", "after", "spot")).alias("cells"))  # at most the square of min_bytes
@@ -313,7 +327,7 @@ def _split_hot(hot: DataFrame, min_bytes: int) -> tuple[DataFrame, DataFrame]:
             columns = list(zip(*out)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["doc_id", "start", "stop"])
 
-    common = rows.where(F.col("before") + F.col("after") >= min_bytes).join(firsts, "key")
+    common = _dealt(rows.where(F.col("before") + F.col("after") >= min_bytes)).join(_on_all_parts(firsts), ["key", "part"])
     spans = common.select("doc_id", "pos", "before", "after", "firsts").mapInArrow(settle, _SPAN)
 
     def branch(batches):
@@ -406,17 +420,26 @@ def removed_mask(n: int, spans) -> tuple[np.ndarray, int]:
     return gone, int((gone & ~np.concatenate(([False], gone[:-1]))).sum())
 
 
-def _with_spans(docs: DataFrame, min_bytes: int) -> DataFrame:
-    spans = repeated_spans(docs, min_bytes).groupBy("doc_id").agg(F.collect_list(F.array("start", "stop")).alias("_spans"))
-    spans = spans.withColumnRenamed("doc_id", "_id")
-    return docs.join(spans.hint("merge"), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+def _with_spans(docs: DataFrame, min_bytes: int, name: str) -> DataFrame:
+    """``docs`` with the spans of each row in a new column ``name``."""
+    spans = repeated_spans(docs, min_bytes).groupBy("doc_id").agg(F.collect_list(F.array("start", "stop")).alias("spans"))
+    spans = spans.select(F.col("doc_id").alias(name + "_id"), F.col("spans").alias(name))
+    return docs.join(spans.hint("merge"), F.col("doc_id").cast("long") == F.col(name + "_id"), "left").drop(name + "_id")
+
+
+def _free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as set it apart from all columns."""
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name = "_" + name
+    return name
 
 
 def repeat_report(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` of every row.
 
     A null text is empty. Rows without doc_id neither repeat nor are repeated, and keep all their bytes. Repeated rows
-    with one doc_id stand at the same place: none of them is earlier, and spans found in one count for all.
+    with one doc_id stand at the same place: none of them is earlier, and spans found in one count for all. Texts of any
+    length are looked at whole, other columns are ignored, and an empty table gives an empty result.
     """
 
     def digest(batches):
@@ -430,8 +453,8 @@ def repeat_report(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
             columns = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), min_bytes)
-    return rows.select("doc_id", "text", "_spans").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), min_bytes, "spans")
+    return rows.select("doc_id", "text", "spans").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def drop_repeats(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
@@ -441,22 +464,22 @@ def drop_repeats(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
     empty or null before stay as they are.
     """
 
-    @F.pandas_udf("string")
-    def kept(texts, spans):
-        import pandas as pd
-
-        out = []
-        for text, own in zip(texts, spans):
-            raw = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
-            gone, _ = removed_mask(len(raw), np.array([list(x) for x in own], dtype=np.int64).reshape(-1, 2))
-            out.append(raw[~gone].tobytes().decode("utf-8", errors="ignore"))
-        return pd.Series(out, dtype=object)
-
-    marked = _with_spans(docs, min_bytes)
-    touched = F.col("_spans").isNotNull() & F.col("text").isNotNull()
-    marked = marked.withColumn("_kept", F.when(touched, kept(F.coalesce("text", F.lit("")), F.coalesce("_spans", F.array().cast("array<array<bigint>>")))))
-    marked = marked.where(F.col("_kept").isNull() | (F.col("_kept") != ""))
-    out = marked.withColumn("text", F.coalesce("_kept", "text"))
+    @F.arrow_udf("string")
+    def kept(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, spans in batches:
+            out = []
+            for text, own in zip(texts.to_pylist(), spans.to_pylist()):
+                raw = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
+                gone, _ = removed_mask(len(raw), np.array(own, dtype=np.int64).reshape(-1, 2))
+                out.append(raw[~gone].tobytes().decode("utf-8", errors="ignore"))
+            yield pa.array(out, type=pa.string())
+
+    spans, rest = _free_name(docs, "spans"), _free_name(docs, "rest")
+    marked = _with_spans(docs, min_bytes, spans)
+    touched = F.col(spans).isNotNull() & F.col("text").isNotNull()
+    marked = marked.withColumn(rest, F.when(touched, kept(F.coalesce("text", F.lit("")), F.coalesce(spans, F.array().cast("array<array<bigint>>")))))
+    marked = marked.where(F.col(rest).isNull() | (F.col(rest) != ""))
+    out = marked.withColumn("text", F.coalesce(rest, "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.char_length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(rest).isNotNull(), F.char_length(rest).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
