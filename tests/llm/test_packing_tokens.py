@@ -22,13 +22,16 @@ def docs(spark):
 
 def test_word_encoder_equals_whole_encoding():
     tok = Tokenizer.from_file(PATH)
-    ids, spans = WordEncoder(PATH), WordEncoder(PATH, offsets=True)
+    ids = WordEncoder(PATH, limit=50)
+    assert ids.by_word
     rng = random.Random(1)
     more = ["".join(rng.choice("aB é́\t\nßİ'sz1中 !? \x0b") for _ in range(200)) for _ in range(200)]
     for t in [x for x in TEXTS if x is not None] + more:
         e = tok.encode(t, add_special_tokens=False)
         assert np.frombuffer(ids.ids(t), "<u4").tolist() == e.ids
-        assert [tuple(x) for x in spans.spans(t)] == e.offsets
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    whole = WordEncoder(other)
+    assert not whole.by_word and np.frombuffer(whole.ids("a  B\nc"), "<u4").tolist() == Tokenizer.from_file(other).encode("a  B\nc", add_special_tokens=False).ids
 
 
 def test_packing(docs):
@@ -116,12 +119,39 @@ def test_section_counts(docs):
     blocks = docs.withColumn("s", block_sections("text", 7))
     got = section_token_counts(blocks, PATH, sections="s").collect()
     for i, t in enumerate(TEXTS):
-        if t is None:
-            continue
+        t = t or ""
         rows = sorted((r for r in got if r.doc_id == i), key=lambda r: r.section)
-        sections = [(k, min(k + 7, len(t))) for k in range(0, len(t), 7)]
+        sections = [(k, min(k + 7, len(t))) for k in range(0, len(t), 7)] or [(0, 0)]
         assert [(r.start, r.end) for r in rows] == sections
         want = _brute(tok.encode(t, add_special_tokens=False).offsets, sections, "majority")
         assert ([r.n_tokens for r in rows], [r.n_crossing for r in rows]) == want
     lines = section_token_counts(docs, PATH).where("doc_id = 3").collect()
     assert len(lines) == 3
+
+
+def test_packing_does_not_hang_on_the_session_and_equals_a_plain_packer(spark):
+    """One partition for few tokens, whatever the shuffle partitions are, and the plain best fit over its pieces."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, "ab " * rng.randint(0, 300)) for i in range(400)], "doc_id long, text string")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    try:
+        for n in ("3", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            seen.append(sorted(tuple(r) for r in pack_documents(docs, PATH, max_tokens=256).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert seen[0] == seen[1]
+    free, placed = [], {}
+    order = spark.createDataFrame([r[:5] for r in seen[0]], "doc_id long, piece int, start long, length long, ids_crc32 long").selectExpr("*", "xxhash64(piece, doc_id) as h").orderBy("h", "doc_id", "piece").collect()
+    for r in order:
+        fit = [(f, k) for k, f in enumerate(free) if f >= r.length]
+        if fit:
+            k = min(fit, key=lambda x: x[0])[1]
+        else:
+            free.append(256)
+            k = len(free) - 1
+        free[k] -= r.length
+        placed[r.doc_id, r.piece] = k
+    assert len({r[5] for r in seen[0]}) <= len(free) + 2
+    assert sum(r[3] for r in seen[0]) <= 256 * len({r[5] for r in seen[0]}) <= 1.1 * sum(r[3] for r in seen[0]) + 512

@@ -59,3 +59,26 @@ def test_reader_in_small_blocks_and_broken_archives():
         list(RecordReader(io.BytesIO(one[:-5])))
     wrong = record_bytes(1, "u", b"body", b32("other"), None)
     assert parse_record(*next(iter(RecordReader(io.BytesIO(wrong)))))[6] is False
+
+
+def test_a_length_that_does_not_hold_is_told():
+    raw = gzip.decompress(record_bytes(1, "u", b"body", b32("body"), None)).replace(b"Content-Length: 4\r\n\r\nbody", b"Content-Length: 9\r\n\r\nbody")
+    assert parse_record(*next(iter(RecordReader(io.BytesIO(gzip.compress(raw))))))[6] is False
+
+
+def test_round_trip_raises_on_a_wrong_digest(spark, tmp_path):
+    from trekframe.llm import warc
+
+    def lies(rows):
+        path = f"file://{tmp_path}/{len(rows)}"
+        members = b"\0".join(rows) + b"\0"
+        (tmp_path / str(len(rows))).mkdir()
+        (tmp_path / str(len(rows)) / "a.warc.gz").write_bytes(members)
+        return warc.verified(spark, path).collect()
+
+    good = record_bytes(9, "u", b"body", b32("body"), None)
+    assert len(lies([good])) == 1
+    with pytest.raises(Exception, match="differs"):
+        lies([good, record_bytes(1, "u", b"other", b32("other"), 9)])
+    with pytest.raises(Exception, match="differs"):
+        lies([good, record_bytes(1, "u", b"x", b32("y"), None), good])
