@@ -17,7 +17,8 @@ from trekframe.storage import materialize
 def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores 0.5 or more. It learns from labelled rows of the stage's input."""
     model = quality.train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_quality(docs, model).where(F.col("quality_score") >= 0.5).drop("quality_score")
+    score = "_".join(["score", *docs.columns])  # a name that no column has
+    return quality.score_quality(docs, model, score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
