@@ -19,7 +19,7 @@ from trekframe.storage import materialize
 WINDOW = 0.5  # half width of the query-centred window, for projections of unit vectors on standard normal directions
 LEAST = 3  # collisions that a pair needs, at any number of vectors
 CROWD = 32  # vectors in one slot of a cell from which on it is looked at for crowds
-BLOCK = 256  # vectors of a block of a crowd
+BLOCK = 64  # vectors of a block of a crowd
 
 
 def collision_plan(n: int, threshold: float, recall: float) -> tuple[int, int, int]:
