@@ -12,16 +12,26 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+_SALTS = 8  # parts of a node's edges, so that those of a hub meet its least neighbour in several tasks
+
+
+def _with_low(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """Edges ``(u, v)`` with the ``m`` of their ``u``."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(_SALTS)).cast("int"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
+    return salted.join(low.select("u", "m", salts).hint("merge"), ["u", "salt"]).select("u", "v", "m")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_low(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = down.groupBy("u").agg(F.min("v").alias("m"))
-    met = down.join(low, "u")
+    met = _with_low(down, low)
     return (
         met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         .unionByName(low.select("u", F.col("m").alias("v")))
