@@ -85,3 +85,16 @@ def option_access(km_off: Column, mode: Column, routed: Column, most_walk_km: fl
     """How a place off the trail is reached: walked if routed, said to be, on the trail, or near; else ridden (MTH20)."""
     walk = routed | (mode == "foot") | (F.coalesce(km_off, F.lit(0.0)) == 0) | (mode.isNull() & (km_off <= most_walk_km))
     return F.when(F.coalesce(walk, F.lit(False)), "walk").otherwise("ride")
+
+
+def add_walks(km: Column, ascent: Column, descent: Column, out: Column, into: Column) -> Column:
+    """A leg with the walk back from the place it starts at and the one to the place it ends at (MTH17).
+
+    Walks are structs ``(km, ascent, descent)`` from the trail to the place, null for none; the way back climbs what the
+    way there came down.
+    """
+    part = lambda walk, name: F.coalesce(walk[name], F.lit(0))
+    return F.struct(
+        (km + part(out, "km") + part(into, "km")).alias("km"), (ascent + part(out, "descent") + part(into, "ascent")).alias("ascent"),
+        (descent + part(out, "ascent") + part(into, "descent")).alias("descent"),
+    )

@@ -12,19 +12,22 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_M = 111_320.0
+_EARTH_M = 6_371_000.0
 
 
 def _offline_m(lat, lon, a: int, b: int) -> np.ndarray:
-    """Metres of the points between ``a`` and ``b`` from the line through both, on a local plane."""
-    k = math.cos(math.radians(lat[a]))
-    x, y = (lon[a + 1 : b] - lon[a]) * k * _M, (lat[a + 1 : b] - lat[a]) * _M
-    dx, dy = (lon[b] - lon[a]) * k * _M, (lat[b] - lat[a]) * _M
-    length = math.hypot(dx, dy)
-    return np.hypot(x, y) if length == 0 else np.abs(x * dy - y * dx) / length
+    """Metres of the points between ``a`` and ``b`` from the segment of both, on a plane that is true at its mean latitude."""
+    k = math.cos(math.radians((lat[a] + lat[b]) / 2))
+    scale = math.pi / 180 * _EARTH_M
+    x, y = (lon[a + 1 : b] - lon[a]) * k * scale, (lat[a + 1 : b] - lat[a]) * scale
+    dx, dy = (lon[b] - lon[a]) * k * scale, (lat[b] - lat[a]) * scale
+    square = dx * dx + dy * dy
+    t = np.clip((x * dx + y * dy) / square, 0, 1) if square else 0.0
+    return np.hypot(x - t * dx, y - t * dy)
 
 
 def douglas_peucker(lat: np.ndarray, lon: np.ndarray, tolerance_m: float) -> np.ndarray:
@@ -46,31 +49,54 @@ def douglas_peucker(lat: np.ndarray, lon: np.ndarray, tolerance_m: float) -> np.
 
 
 def simplify_to_target(lat, lon, target: int, rounds: int = 20) -> np.ndarray:
-    """Bisects the tolerance between 1 and 500 m until about ``target`` points are kept (SIM02)."""
+    """Bisects the tolerance between 1 and 500 m (SIM02). The last result with at most ``target`` points counts, or the
+    first within a tenth of it; all points if there is none."""
+    best = np.arange(len(lat))
     if len(lat) <= target:
-        return np.arange(len(lat))
-    lo, hi, best = 1.0, 500.0, None
+        return best
+    lo, hi = 1.0, 500.0
     for _ in range(rounds):
         mid = (lo + hi) / 2
         got = douglas_peucker(lat, lon, mid)
-        if best is None or abs(len(got) - target) < abs(len(best) - target):
-            best = got
-        if abs(len(got) - target) <= 0.1 * target:
-            break
-        lo, hi = (mid, hi) if len(got) > target else (lo, mid)
+        if len(got) > target:
+            lo = mid
+        else:
+            hi, best = mid, got
+        if abs(len(got) - target) < 0.1 * target:
+            return got
     return best
 
 
 def simplify(points: DataFrame, tolerance_m: float | None = None, target: int | None = None) -> DataFrame:
-    """``(trail_id, idx)`` of the points kept of each stretch (SIM01, SIM02, SIM04, SNK06)."""
+    """``(trail_id, idx)`` of the points kept of each stretch (SIM01, SIM02, SIM04, SNK06).
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        lat, lon = rows["lat"].to_numpy(), rows["lon"].to_numpy()
-        kept = douglas_peucker(lat, lon, tolerance_m) if target is None else simplify_to_target(lat, lon, target)
-        return rows.iloc[kept][["trail_id", "idx"]]
+    Points are dealt by stretch and sorted once, and a task walks its stretches one after the other.
+    """
 
-    return points.select("trail_id", "stretch", "idx", "lat", "lon").groupBy("trail_id", "stretch").applyInPandas(one, "trail_id long, idx long")
+    def thin(batches):
+        held = None
+        for batch in batches:
+            now = [batch.column(k).to_numpy() for k in range(5)]
+            held = now if held is None else [np.concatenate(pair) for pair in zip(held, now)]
+            edges = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])) + 1
+            if len(edges):
+                yield work([c[: edges[-1]] for c in held], edges[:-1])
+                held = [c[edges[-1] :] for c in held]
+        if held is not None and len(held[0]):
+            yield work(held, np.empty(0, dtype=np.int64))
+
+    def work(columns, edges) -> pa.RecordBatch:
+        trail, _, idx, lat, lon = columns
+        kept = []
+        for a, b in zip([0, *edges], [*edges, len(idx)]):
+            own = douglas_peucker(lat[a:b], lon[a:b], tolerance_m) if target is None else simplify_to_target(lat[a:b], lon[a:b], target)
+            kept.append(a + own)
+        at = np.concatenate(kept)
+        return pa.RecordBatch.from_arrays([pa.array(trail[at]), pa.array(idx[at])], names=["trail_id", "idx"])
+
+    rows = points.select(F.col("trail_id").cast("long"), F.col("stretch").cast("long"), F.col("idx").cast("long"), F.col("lat").cast("double"), F.col("lon").cast("double"))
+    rows = rows.dropna().repartition("trail_id", "stretch").sortWithinPartitions("trail_id", "stretch", "idx")
+    return rows.mapInArrow(thin, "trail_id long, idx long")
 
 
 def pack_in_order(sizes: DataFrame, most: float, key: str = "trail_id", order: str = "seq", size: str = "size") -> DataFrame:
@@ -175,6 +201,101 @@ def beam_days(camps: list[tuple[float, int]], total: float, target: float, most:
     return [list(path) for path, _, _ in rank_days(camps, total, target, most, days, width)]
 
 
+def greedy_stops(camps: list[tuple[float, int]], km: np.ndarray, hours: np.ndarray, start: float, end: float, target_h: float) -> list[tuple[float, int | None]]:
+    """``(km, camp)`` of the nights between two places (SRT13), with the walking time to each ``km`` of a profile.
+
+    A day goes on for ``target_h``; the last two are balanced, and a rest that a day can hold ends it. A night is at the camp
+    nearest in time within a window, unless too little would be left, else in the wild, to a tenth of a kilometre.
+    """
+    target_h = max(0.1, target_h)
+    window, floor = min(2.5, max(0.75, target_h * 0.35)), max(0.75, target_h * 0.25)
+    time = lambda x: float(np.interp(x, km, hours))
+    inner = sorted(c for c in camps if start < c[0] < end)
+    out, last = [], start
+    for _ in range(500):
+        rest = time(end) - time(last)
+        if rest <= target_h + floor:
+            break
+        goal = rest / 2 if rest <= 2 * target_h else target_h
+        near = [(abs(time(at) - time(last) - goal), at, camp) for at, camp in inner if at > last and time(end) - time(at) >= floor]
+        near = [c for c in near if c[0] <= window]
+        if near:
+            _, last, camp = min(near, key=lambda c: c[0])
+            out.append((last, camp))
+        else:
+            last = math.floor(float(np.interp(time(last) + goal, hours, km)) * 10 + 0.5) / 10
+            out.append((last, None))
+    return out
+
+
+def day_stops(camps: DataFrame, profile: DataFrame, target_h: float, kmh: float = 4.0) -> DataFrame:
+    """``(trail_id, day, km, camp)``: nights of each trail by ``greedy_stops``, a null camp in the wild (SRT13). ``camps`` are
+    ``(trail_id, km, camp)``, ``profile`` ``(trail_id, km, ascent)`` with the running climb."""
+
+    def one(key, c: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("km")
+        if len(p) < 2:
+            return pd.DataFrame({"trail_id": [], "day": [], "km": [], "camp": []})
+        km, up = p["km"].to_numpy(), p["ascent"].to_numpy()
+        hours = (km - km[0]) / kmh + (up - up[0]) / 600
+        found = greedy_stops(list(c[["km", "camp"]].itertuples(index=False, name=None)), km, hours, float(km[0]), float(km[-1]), target_h)
+        rows = [(key[0], day + 1, at, camp) for day, (at, camp) in enumerate(found)]
+        return pd.DataFrame(rows, columns=["trail_id", "day", "km", "camp"]).astype({"camp": "Int64"})
+
+    sides = camps.select("trail_id", "km", "camp").groupBy("trail_id"), profile.select("trail_id", "km", "ascent").groupBy("trail_id")
+    return sides[0].cogroup(sides[1]).applyInPandas(one, "trail_id long, day int, km double, camp long")
+
+
+def first_fit_boxes(boxes: list[tuple], most_km: float) -> list[int]:
+    """The cluster of each box ``(west, south, east, north)``, taken in order: the first one that it overlaps and that stays
+    within ``most_km`` with it, else a new one (SIM12)."""
+    clusters: list[list[float]] = []
+    out = []
+    for w, s, e, n in boxes:
+        for k, c in enumerate(clusters):
+            u = [min(c[0], w), min(c[1], s), max(c[2], e), max(c[3], n)]
+            wide = max(u[3] - u[1], (u[2] - u[0]) * math.cos(math.radians((u[1] + u[3]) / 2))) * 111.32
+            if c[0] <= e and w <= c[2] and c[1] <= n and s <= c[3] and wide <= most_km:
+                clusters[k] = u
+                out.append(k)
+                break
+        else:
+            clusters.append([w, s, e, n])
+            out.append(len(clusters) - 1)
+    return out
+
+
+def cluster_candidates(candidates: DataFrame, most_km: float) -> DataFrame:
+    """``(trail_id, id, cluster)`` of each trail's boxes ``(trail_id, id, km, west, south, east, north)`` along it (SIM12)."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["km", "id"])
+        found = first_fit_boxes(list(rows[["west", "south", "east", "north"]].itertuples(index=False, name=None)), most_km)
+        return pd.DataFrame({"trail_id": rows["trail_id"], "id": rows["id"], "cluster": found})
+
+    return candidates.groupBy("trail_id").applyInPandas(one, "trail_id long, id long, cluster int")
+
+
+def corridor_chunks(points: DataFrame, radius_m: float, most: int = 300, gap_m: float | None = None) -> DataFrame:
+    """``(trail_id, idx, line, chunk)``: stretches of tracks simplified at a quarter of the radius, joined over gaps of up to
+    twice it, and cut into chunks of at most ``most`` rows that overlap by one (SIM04)."""
+    from pyspark.sql import Window
+
+    from trekframe.functions.geo import haversine_m
+
+    kept = points.join(simplify(points, tolerance_m=max(1.0, radius_m / 4)), ["trail_id", "idx"], "left_semi")
+    w = Window.partitionBy("trail_id").orderBy("idx")
+    apart = haversine_m(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")) > (2 * radius_m if gap_m is None else gap_m)
+    fresh = F.coalesce((F.lag("stretch").over(w) != F.col("stretch")) & apart, F.lit(False))
+    rows = kept.withColumn("_f", fresh.cast("int")).withColumn("line", F.sum("_f").over(w).cast("long"))
+    own = Window.partitionBy("trail_id", "line")
+    rows = rows.withColumn("k", F.row_number().over(own.orderBy("idx")) - 1).withColumn("n", F.count("*").over(own))
+    at, step = F.floor(F.col("k") / (most - 1)), F.col("k") % (most - 1) == 0
+    both = (F.col("n") > most) & step & (F.col("k") > 0)
+    chunks = F.when(F.col("n") <= most, F.array(F.lit(0).cast("long"))).when(both & (F.col("k") == F.col("n") - 1), F.array(at - 1)).when(both, F.array(at - 1, at)).otherwise(F.array(at))
+    return rows.select("trail_id", "idx", "line", F.explode(chunks).alias("chunk"))
+
+
 def suggest_days(camps: DataFrame, target: float, most: float, plans: int = 1, days: int = 14) -> DataFrame:
     """``(trail_id, plan, day, camp, short_of)``: the best ways to cut each trail into days at its camps (SRT12).
 

@@ -10,70 +10,112 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trekframe.functions.geo import M_PER_DEGREE, haversine_m, segment_distance_m, segment_fraction
+from trekframe.functions.geo import EARTH_M, haversine_m, segment_distance_m, segment_fraction, wrap_lon
+from trekframe.storage import materialize
 
 
-def _cells(lat: Column, lon: Column, lat_step: float, lon_step: float):
-    return F.floor(lat / lat_step), F.floor(lon / lon_step)
+class Grid:
+    """Cells of at least ``radius_m`` on the whole globe: rows of latitude, each cut into as many columns as fit around it.
 
+    Near the poles a row has few columns or one, and columns are numbered around the circle, so that places on both sides
+    of the antimeridian, or around a pole, are neighbours like all others.
+    """
+
+    def __init__(self, radius_m: float):
+        self.half = min(math.pi / 2, radius_m / EARTH_M / 2)  # half the angle that the radius spans
+        self.step = min(180.0, math.degrees(2 * self.half) * 1.0001)
+
+    def row(self, lat: Column) -> Column:
+        return F.floor(lat / self.step)
+
+    def columns(self, row: Column) -> Column:
+        """How many columns a row has: places in it and in the rows beside it are less than one apart."""
+        widest = F.least(F.lit(90.0), F.greatest(F.abs((row - 1) * self.step), F.abs((row + 2) * self.step)))
+        sine = F.least(F.lit(1.0), math.sin(self.half) / F.greatest(F.cos(F.radians(widest)), F.lit(1e-12)))
+        fit = F.floor(180.0 / (F.degrees(F.asin(sine)) * 1.0001) - 1e-9)
+        return F.when(fit < 3, F.lit(1).cast("long")).otherwise(fit.cast("long"))
+
+    def column(self, lon: Column, columns: Column) -> Column:
+        return F.pmod(F.floor((lon + 180) / 360 * columns).cast("long"), columns)
+
+    def own(self, lat: Column, lon: Column) -> list[Column]:
+        """Row and column of a place."""
+        row = self.row(lat)
+        return [row.alias("cy"), self.column(lon, self.columns(row)).alias("cx")]
+
+    def around(self, lat: Column, lon: Column) -> Column:
+        """The cells that hold all places within the radius, as an array of ``(cy, cx)``."""
+        rows = F.sequence(self.row(lat) - 1, self.row(lat) + 1)
+
+        def beside(row):
+            n = self.columns(row)
+            at = self.column(lon, n)
+            return F.transform(F.array_distinct(F.array(F.pmod(at - 1, n), at, F.pmod(at + 1, n))), lambda x: F.struct(row.alias("cy"), x.alias("cx")))
+
+        return F.flatten(F.transform(rows, beside))
+
+    def along(self, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+        """The cells of all places within the radius of a segment, row by row along it, as an array of ``(cy, cx)``."""
+        turn = wrap_lon(lon2 - lon1)
+        rows = F.sequence(self.row(F.least(lat1, lat2)) - 1, self.row(F.greatest(lat1, lat2)) + 1)
+
+        def share(lat):
+            return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (lat - lat1) / F.nullif(lat2 - lat1, F.lit(0.0))))
+
+        def beside(row):
+            n = self.columns(row)
+            a, b = F.coalesce(share((row - 1) * self.step), F.lit(0.0)), F.coalesce(share((row + 2) * self.step), F.lit(1.0))
+            x, y = lon1 + turn * a, lon1 + turn * b
+            first = F.floor((F.least(x, y) + 180) / 360 * n).cast("long") - 1
+            last = F.floor((F.greatest(x, y) + 180) / 360 * n).cast("long") + 1
+            return F.transform(F.sequence(first, F.least(last, first + n - 1)), lambda c: F.struct(row.alias("cy"), F.pmod(c, n).alias("cx")))
 
-def lon_step_for(radius_m: float, max_abs_lat: float) -> float:
-    """Degrees of longitude that are at least ``radius_m`` wide at any latitude up to ``max_abs_lat``."""
-    narrow = math.cos(math.radians(min(89.0, max_abs_lat + radius_m / M_PER_DEGREE)))
-    return radius_m / M_PER_DEGREE / narrow * 1.02
+        return F.flatten(F.transform(rows, beside))
 
 
-def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, max_abs_lat: float = 85.0, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``left`` columns, ``right`` columns and ``metres`` of all pairs within ``radius_m`` (JON18).
+def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``left`` columns, ``right`` columns and ``metres`` of all pairs within ``radius_m``, anywhere on the globe (JON18).
 
     Both sides need ``lat`` and ``lon``; the right side's come back as ``r_lat`` and ``r_lon``. The left side goes to
-    its own cell and the eight around it, the right side to its own.
+    its own cell and those around it, the right side to its own. Rows without a position meet nothing.
     """
-    lat_step, lon_step = radius_m / M_PER_DEGREE * 1.02, lon_step_for(radius_m, max_abs_lat)
-    y, x = _cells(F.col("lat"), F.col("lon"), lat_step, lon_step)
-    around = F.array(*(F.struct((y + i).alias("cy"), (x + j).alias("cx")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    a = left.withColumn("_c", F.explode(around)).select("*", "_c.cy", "_c.cx").drop("_c")
+    grid = Grid(radius_m)
+    a = left.withColumn("_c", F.explode(grid.around(F.col("lat"), F.col("lon")))).select(*left.columns, "_c.cy", "_c.cx")
     b = right.withColumnsRenamed({"lat": "r_lat", "lon": "r_lon"})
-    y2, x2 = _cells(F.col("r_lat"), F.col("r_lon"), lat_step, lon_step)
-    b = b.withColumn("cy", y2).withColumn("cx", x2)
+    b = b.select("*", *grid.own(F.col("r_lat"), F.col("r_lon")))
     met = a.join(b, ["cy", "cx", *keys]).withColumn("metres", haversine_m(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")))
     return met.where(F.col("metres") <= radius_m).drop("cy", "cx")
 
 
-def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius_m: float, max_abs_lat: float = 85.0) -> DataFrame:
-    """``(left_id, right_id, metres)`` of the nearest right place within the radius; the smaller id in a tie (JON12, JON15)."""
-    met = radius_pairs(left.select(left_id, "lat", "lon"), right.select(right_id, "lat", "lon"), radius_m, max_abs_lat)
+def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius_m: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``(left_id, right_id, metres)`` of the nearest right place within the radius; the smaller id in a tie (JON12, JON15).
+    Places with different ``keys`` do not meet."""
+    met = radius_pairs(left.select(left_id, "lat", "lon", *keys), right.select(right_id, "lat", "lon", *keys), radius_m, keys)
     best = met.groupBy(left_id).agg(F.min(F.struct(F.col("metres"), F.col(right_id))).alias("b"))
     return best.select(left_id, f"b.{right_id}", "b.metres")
 
 
-def nearest_place(left: DataFrame, right: DataFrame, left_id: str, right_id: str, first_radius_m: float, widen: float = 4.0, max_abs_lat: float = 85.0) -> DataFrame:
+def nearest_place(left: DataFrame, right: DataFrame, left_id: str, right_id: str, first_radius_m: float, widen: float = 4.0) -> DataFrame:
     """``(left_id, right_id, metres)`` of the nearest right place at any distance (JON17).
 
-    Rings of growing radius: rows that found a neighbour within the ring are done, and only the others go on. The last
-    ring spans the globe; by then a few stragglers are left, which meet the right side through one coarse cell.
+    Rings of growing radius, each written down: rows that found a neighbour within a ring are done, and only the others
+    go on to the next. The last ring spans the globe.
     """
     rest, found, radius = left.select(left_id, "lat", "lon"), None, first_radius_m
     while True:
-        wide = radius > 2_000_000
-        if wide:
-            met = rest.join(right.select(right_id, F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")))
-            met = met.withColumn("metres", haversine_m(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")))
-            got = met.groupBy(left_id).agg(F.min(F.struct(F.col("metres"), F.col(right_id))).alias("b")).select(left_id, f"b.{right_id}", "b.metres")
-        else:
-            got = nearest_within(rest, right, left_id, right_id, radius, max_abs_lat)
+        got = materialize(nearest_within(rest, right, left_id, right_id, radius), "ring")
         found = got if found is None else found.unionByName(got)
-        if wide:
+        if radius >= math.pi * EARTH_M:
             return found
-        rest = rest.join(got.select(left_id), left_id, "left_anti")
+        rest = materialize(rest.join(got.select(left_id), left_id, "left_anti"), "rest")
         if rest.isEmpty():
             return found
-        radius *= widen
+        radius = min(radius * widen, math.pi * EARTH_M)
 
 
-def near_rows(left: DataFrame, right: DataFrame, left_id: str, metres: float, max_abs_lat: float = 85.0) -> DataFrame:
+def near_rows(left: DataFrame, right: DataFrame, left_id: str, metres: float) -> DataFrame:
     """Left rows with any right place nearer than ``metres`` (JON19)."""
-    ids = radius_pairs(left.select(left_id, "lat", "lon"), right.select("lat", "lon"), metres, max_abs_lat).where(F.col("metres") < metres).select(left_id).distinct()
+    ids = radius_pairs(left.select(left_id, "lat", "lon"), right.select("lat", "lon"), metres).where(F.col("metres") < metres).select(left_id).distinct()
     return left.join(ids, left_id, "left_semi")
 
 
@@ -87,19 +129,15 @@ def segments(points: DataFrame) -> DataFrame:
     return after.where("lat2 is not null and not coalesce(_b, false)").drop("_b")
 
 
-def snap_to_track(places: DataFrame, points: DataFrame, radius_m: float, place_id: str = "place_id", max_abs_lat: float = 85.0) -> DataFrame:
+def snap_to_track(places: DataFrame, points: DataFrame, radius_m: float, place_id: str = "place_id") -> DataFrame:
     """``(place_id, trail_id, idx, km, metres)``: where each place meets the nearest segment within the radius (JON14, JON15, JON47).
 
-    A segment goes to every cell that its box covers, a place to its own and those around it; the earlier segment wins a tie.
+    A segment goes to the cells along it, a place to its own; the earlier segment wins a tie.
     """
-    lat_step, lon_step = radius_m / M_PER_DEGREE * 1.02, lon_step_for(radius_m, max_abs_lat)
+    grid = Grid(radius_m)
     seg = segments(points)
-    rows = F.sequence(F.floor(F.least("lat1", "lat2") / lat_step), F.floor(F.greatest("lat1", "lat2") / lat_step))
-    columns = F.sequence(F.floor(F.least("lon1", "lon2") / lon_step), F.floor(F.greatest("lon1", "lon2") / lon_step))
-    seg = seg.withColumn("cy", F.explode(rows)).withColumn("cx", F.explode(columns))
-    y, x = _cells(F.col("lat"), F.col("lon"), lat_step, lon_step)
-    around = F.array(*(F.struct((y + i).alias("cy"), (x + j).alias("cx")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    near = places.select(place_id, "lat", "lon").withColumn("_c", F.explode(around)).select(place_id, "lat", "lon", "_c.cy", "_c.cx")
+    seg = seg.withColumn("_c", F.explode(grid.along(*(F.col(c) for c in ("lat1", "lon1", "lat2", "lon2"))))).select(*seg.columns, "_c.cy", "_c.cx")
+    near = places.select(place_id, "lat", "lon", *grid.own(F.col("lat"), F.col("lon")))
     met = near.join(seg, ["cy", "cx"])
     ends = [F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")]
     met = met.withColumn("metres", segment_distance_m(*ends)).where(F.col("metres") <= radius_m)
@@ -108,14 +146,45 @@ def snap_to_track(places: DataFrame, points: DataFrame, radius_m: float, place_i
     return best.select(place_id, "b.trail_id", "b.idx", "b.km", "b.metres")
 
 
-def visits(places: DataFrame, points: DataFrame, radius_m: float, place_id: str = "place_id", max_abs_lat: float = 85.0, merge_loops: bool = False) -> DataFrame:
+def nearest_on_route(places: DataFrame, points: DataFrame, first_radius_m: float, place_id: str = "place_id", widen: float = 4.0) -> DataFrame:
+    """``(place_id, trail_id, idx, km, metres)`` of the nearest segment at any distance (JON16, JON44): rings of growing radius,
+    each written down, as in ``nearest_place``."""
+    rest, found, radius = places.select(place_id, "lat", "lon"), None, first_radius_m
+    while True:
+        got = materialize(snap_to_track(rest, points, radius, place_id), "ring")
+        found = got if found is None else found.unionByName(got)
+        if radius >= math.pi * EARTH_M:
+            return found
+        rest = materialize(rest.join(got.select(place_id), place_id, "left_anti"), "rest")
+        if rest.isEmpty():
+            return found
+        radius = min(radius * widen, math.pi * EARTH_M)
+
+
+def bounds(points: DataFrame, buffer_deg: float = 0.0) -> DataFrame:
+    """``(trail_id, south, north, west, east)`` with a margin (AGG33)."""
+    return points.groupBy("trail_id").agg(
+        (F.min("lat") - buffer_deg).alias("south"), (F.max("lat") + buffer_deg).alias("north"), (F.min("lon") - buffer_deg).alias("west"), (F.max("lon") + buffer_deg).alias("east")
+    )
+
+
+def world_cells(spark, step: int, south: int, north: int, west: int, east: int, shards: list[tuple[str, float, float, float, float]]) -> DataFrame:
+    """``(lat, lon, shard)`` of the cells of a lattice in a box (SIM14); a cell belongs to the first shard ``(name, south,
+    north, west, east)`` whose half-open box holds its centre."""
+    lat, lon = (F.explode(F.sequence(F.lit(a), F.lit(b - step), F.lit(step))) for a, b in ((south, north), (west, east)))
+    cells = spark.range(1).select(lat.alias("lat")).select("lat", lon.alias("lon"))
+    y, x = F.col("lat") + step / 2, F.col("lon") + step / 2
+    return cells.select("lat", "lon", F.coalesce(*(F.when((y >= s) & (y < n) & (x >= w) & (x < e), name) for name, s, n, w, e in shards)).alias("shard"))
+
+
+def visits(places: DataFrame, points: DataFrame, radius_m: float, place_id: str = "place_id", merge_loops: bool = False) -> DataFrame:
     """``(place_id, trail_id, visit, idx, metres)``: a row each time a track comes to a place (JON13).
 
     A visit begins at a row within ``radius_m`` and lasts until one beyond three times that; its nearest row counts,
     the earlier in a tie. Rows out of the wider radius are not in the join, so a jump in ``idx`` ends a visit as well.
     With ``merge_loops``, the visit in which a closed track ends is no second one of a place that is in reach of its first row.
     """
-    met = radius_pairs(places.select(place_id, "lat", "lon"), points.select("trail_id", "idx", "lat", "lon"), 3 * radius_m, max_abs_lat)
+    met = radius_pairs(places.select(place_id, "lat", "lon"), points.select("trail_id", "idx", "lat", "lon"), 3 * radius_m)
     w = Window.partitionBy(place_id, "trail_id").orderBy("idx")
     met = met.withColumn("_run", F.sum(F.coalesce((F.col("idx") - F.lag("idx").over(w) > 1).cast("int"), F.lit(0))).over(w))
     per = met.groupBy(place_id, "trail_id", "_run").agg(F.min(F.struct("metres", "idx")).alias("b"), F.max("idx").alias("_until"), F.first("lat").alias("_lat"), F.first("lon").alias("_lon")).where(F.col("b.metres") <= radius_m)
@@ -143,10 +212,10 @@ def region_of(places: DataFrame, edges: DataFrame, place_id: str = "place_id") -
     return odd.groupBy(place_id).agg(F.min_by("region", "rank").alias("region"))
 
 
-def near_duplicate_routes(routes: DataFrame, metres: float = 200.0, share: float = 0.05, max_abs_lat: float = 85.0) -> DataFrame:
+def near_duplicate_routes(routes: DataFrame, metres: float = 200.0, share: float = 0.05) -> DataFrame:
     """``(a, b)`` of routes with near ends and lengths within the share (JON39)."""
     starts = routes.select("id", F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon"), "end_lat", "end_lon", "km")
     other = starts.withColumnsRenamed({"id": "b", "end_lat": "b_end_lat", "end_lon": "b_end_lon", "km": "b_km"})
-    met = radius_pairs(starts.withColumnRenamed("id", "a"), other, metres, max_abs_lat).where("a < b")
+    met = radius_pairs(starts.withColumnRenamed("id", "a"), other, metres).where("a < b")
     ends = haversine_m(F.col("end_lat"), F.col("end_lon"), F.col("b_end_lat"), F.col("b_end_lon")) <= metres
     return met.where(ends & (F.abs(F.col("km") - F.col("b_km")) <= share * F.greatest("km", "b_km"))).select("a", "b")

@@ -15,36 +15,23 @@ _D = hav("c.lat", "c.lon", "s.lat", "s.lon")
 
 @register("jon12_nearest_within", f"WITH {CUST}, {SUPP}, d AS (SELECT place_id, spot_id, {_D} AS m FROM cust c, supp s WHERE {_D} <= 60000), b AS (SELECT place_id, min({{'m': m, 'i': spot_id}}) AS b FROM d GROUP BY place_id) SELECT place_id, b.i AS spot_id, {rnd('b.m', 2)} AS metres FROM b")
 def jon12(spark, sf_dir):
-    return spatial.nearest_within(cust(spark, sf_dir), supp(spark, sf_dir), "place_id", "spot_id", 60_000, 40).withColumn("metres", js_round("metres", 2))
+    return spatial.nearest_within(cust(spark, sf_dir), supp(spark, sf_dir), "place_id", "spot_id", 60_000).withColumn("metres", js_round("metres", 2))
 
 
 @register("jon17_nearest_place", f"WITH {CUST}, {SUPP}, d AS (SELECT place_id, spot_id, {_D} AS m FROM cust c, supp s), b AS (SELECT place_id, min({{'m': m, 'i': spot_id}}) AS b FROM d GROUP BY place_id) SELECT place_id, b.i AS spot_id, {rnd('b.m', 2)} AS metres FROM b")
 def jon17(spark, sf_dir):
-    return spatial.nearest_place(cust(spark, sf_dir), supp(spark, sf_dir), "place_id", "spot_id", 40_000, max_abs_lat=40).withColumn("metres", js_round("metres", 2))
+    return spatial.nearest_place(cust(spark, sf_dir), supp(spark, sf_dir), "place_id", "spot_id", 40_000).withColumn("metres", js_round("metres", 2))
 
 
 @register("jon18_radius_pairs", f"WITH {CUST}, {SUPP} SELECT place_id, spot_id, {rnd(_D, 2)} AS metres FROM cust c, supp s WHERE {_D} <= 30000")
 def jon18(spark, sf_dir):
-    met = spatial.radius_pairs(cust(spark, sf_dir), supp(spark, sf_dir), 30_000, 40)
+    met = spatial.radius_pairs(cust(spark, sf_dir), supp(spark, sf_dir), 30_000)
     return met.select("place_id", "spot_id", js_round("metres", 2).alias("metres"))
 
 
 @register("jon19_near_rows", f"WITH {CUST}, {SUPP} SELECT place_id FROM cust c WHERE EXISTS (SELECT 1 FROM supp s WHERE {_D} < 25000)")
 def jon19(spark, sf_dir):
-    return spatial.near_rows(cust(spark, sf_dir), supp(spark, sf_dir), "place_id", 25_000, 40).select("place_id")
-
-
-_ROUTE = "route AS (SELECT 1 AS trail_id, CAST(row_number() OVER (ORDER BY lon, spot_id) - 1 AS BIGINT) AS idx, lat, lon FROM supp WHERE spot_id < 60)"
-
-
-def _route(spark, sf_dir):
-    from pyspark.sql import Window
-
-    from trekframe.operators.track import cumulative_km
-
-    rows = supp(spark, sf_dir).where("spot_id < 60").withColumn("trail_id", F.lit(1))
-    rows = rows.withColumn("idx", (F.row_number().over(Window.partitionBy("trail_id").orderBy("lon", "spot_id")) - 1).cast("long"))
-    return cumulative_km(rows.withColumn("is_break", F.lit(False)))
+    return spatial.near_rows(cust(spark, sf_dir), supp(spark, sf_dir), "place_id", 25_000).select("place_id")
 
 
 _T = "least(1.0, greatest(0.0, ((c.lon - lon1) * cos(radians(lat1)) * (lon2 - lon1) * cos(radians(lat1)) + (c.lat - lat1) * (lat2 - lat1)) / nullif(pow((lon2 - lon1) * cos(radians(lat1)), 2) + pow(lat2 - lat1, 2), 0)))"
@@ -52,30 +39,6 @@ _T = "least(1.0, greatest(0.0, ((c.lon - lon1) * cos(radians(lat1)) * (lon2 - lo
 
 @register(
     "jon14_snap_to_track",
-    f"""WITH {CUST}, {SUPP}, {_ROUTE}, g AS (SELECT idx, lat AS lat1, lon AS lon1, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM route WINDOW w AS (ORDER BY idx)),
-t AS (SELECT place_id, c.lat, c.lon, g.*, coalesce({_T}, 0.0) AS t FROM cust c, g WHERE lat2 IS NOT NULL), d AS (SELECT place_id, idx, {hav('lat', 'lon', 'lat1 + (lat2 - lat1) * t', 'lon1 + (lon2 - lon1) * t')} AS m FROM t),
-b AS (SELECT place_id, min({{'m': m, 'i': idx}}) AS b FROM d WHERE m <= 20000 GROUP BY place_id) SELECT place_id, b.i AS idx, {rnd('b.m', 2)} AS metres FROM b""",
-)
-def jon14(spark, sf_dir):
-    return spatial.snap_to_track(cust(spark, sf_dir), _route(spark, sf_dir), 20_000, max_abs_lat=40).select("place_id", "idx", js_round("metres", 2).alias("metres"))
-
-
-@register(
-    "jon13_visits",
-    f"""WITH {PTS}, pl AS (SELECT DISTINCT c_custkey AS place_id, -35 + (c_custkey * 37 % 1000) / 10000.0 AS lat, 148 + (c_custkey * 53 % 1000) / 10000.0 AS lon FROM customer WHERE c_custkey < 60),
-d AS (SELECT place_id, trail_id, idx, {hav('pl.lat', 'pl.lon', 'pts.lat', 'pts.lon')} AS m FROM pl, pts), n AS (SELECT * FROM d WHERE m <= 2400),
-r AS (SELECT *, idx - row_number() OVER (PARTITION BY place_id, trail_id ORDER BY idx) AS run FROM n),
-b AS (SELECT place_id, trail_id, min({{'m': m, 'i': idx}}) AS b FROM r GROUP BY place_id, trail_id, run HAVING min(m) <= 800)
-SELECT place_id, trail_id, CAST(row_number() OVER (PARTITION BY place_id, trail_id ORDER BY b.i) AS INT) AS visit, b.i AS idx, {rnd('b.m', 2)} AS metres FROM b""",
-)
-def jon13(spark, sf_dir):
-    k = F.col("c_custkey")
-    places = table(spark, sf_dir, "customer").where(k < 60).select(k.alias("place_id"), (-35 + (k * 37 % 1000) / 10000.0).alias("lat"), (148 + (k * 53 % 1000) / 10000.0).alias("lon"))
-    return spatial.visits(places, pts(spark, sf_dir), 800, max_abs_lat=40).withColumn("metres", js_round("metres", 2))
-
-
-@register(
-    "jon14_snap_to_trails",
     f"""WITH {CUST}, {SUPP}, route AS (SELECT s_nationkey AS trail_id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY lon, spot_id) - 1 AS BIGINT) AS idx, lat, lon FROM supp JOIN supplier ON s_suppkey = spot_id),
 g AS (SELECT trail_id, idx, lat AS lat1, lon AS lon1, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM route WINDOW w AS (PARTITION BY trail_id ORDER BY idx)),
 t AS (SELECT place_id, c.lat, c.lon, g.*, coalesce({_T}, 0.0) AS t FROM cust c, g WHERE lat2 IS NOT NULL), d AS (SELECT place_id, trail_id, idx, {hav('lat', 'lon', 'lat1 + (lat2 - lat1) * t', 'lon1 + (lon2 - lon1) * t')} AS m FROM t),
@@ -90,12 +53,12 @@ def jon14_trails(spark, sf_dir):
     nation = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("spot_id"), F.col("s_nationkey").alias("trail_id"))
     rows = supp(spark, sf_dir).join(nation, "spot_id")
     rows = rows.withColumn("idx", (F.row_number().over(Window.partitionBy("trail_id").orderBy("lon", "spot_id")) - 1).cast("long"))
-    snapped = spatial.snap_to_track(cust(spark, sf_dir), cumulative_km(rows.withColumn("is_break", F.lit(False))), 20_000, max_abs_lat=40)
+    snapped = spatial.snap_to_track(cust(spark, sf_dir), cumulative_km(rows.withColumn("is_break", F.lit(False))), 20_000)
     return snapped.select("place_id", "trail_id", "idx", js_round("metres", 2).alias("metres"))
 
 
 @register(
-    "jon13_all_visits",
+    "jon13_visits",
     f"""WITH {PTS}, pl AS (SELECT DISTINCT c_custkey AS place_id, -35 + (c_custkey * 37 % 1000) / 10000.0 AS lat, 148 + (c_custkey * 53 % 1000) / 10000.0 AS lon FROM customer),
 d AS (SELECT place_id, trail_id, idx, {hav('pl.lat', 'pl.lon', 'pts.lat', 'pts.lon')} AS m FROM pl, pts), n AS (SELECT * FROM d WHERE m <= 2400),
 r AS (SELECT *, idx - row_number() OVER (PARTITION BY place_id, trail_id ORDER BY idx) AS run FROM n),
@@ -106,7 +69,7 @@ def jon13_all(spark, sf_dir):
     """Visits of the tracks to all customers."""
     k = F.col("c_custkey")
     places = table(spark, sf_dir, "customer").select(k.alias("place_id"), (-35 + (k * 37 % 1000) / 10000.0).alias("lat"), (148 + (k * 53 % 1000) / 10000.0).alias("lon"))
-    return spatial.visits(places, pts(spark, sf_dir), 800, max_abs_lat=40).withColumn("metres", js_round("metres", 2))
+    return spatial.visits(places, pts(spark, sf_dir), 800).withColumn("metres", js_round("metres", 2))
 
 
 # Three triangles as regions; the first two overlap.
@@ -151,7 +114,7 @@ def jon39(spark, sf_dir):
     c = cust(spark, sf_dir)
     k = F.col("place_id")
     routes = c.select(k.alias("id"), F.col("lat").alias("start_lat"), F.col("lon").alias("start_lon"), (F.col("lat") + 0.01 * (k % 3)).alias("end_lat"), F.col("lon").alias("end_lon"), (10.0 + k % 4).alias("km"))
-    return spatial.near_duplicate_routes(routes, 9000, 0.05, 40)
+    return spatial.near_duplicate_routes(routes, 9000, 0.05)
 
 
 _PARTS = """wp AS (SELECT p_partkey AS id, p_name AS name, p_type AS type, p_size, -35 + (p_partkey * 37 % 499) / 10000.0 AS lat, 148 + (p_partkey * 53 % 499) / 10000.0 AS lon FROM part)"""
@@ -162,33 +125,54 @@ def _wp(spark, sf_dir):
     return table(spark, sf_dir, "part").select(k.alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), "p_size", (-35 + (k * 37 % 499) / 10000.0).alias("lat"), (148 + (k * 53 % 499) / 10000.0).alias("lon"))
 
 
-_TOK = "list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '' AND NOT list_contains(['the', 'of', 'at', 'camp', 'campsite', 'campground', 'hut', 'shelter', 'spring', 'tank'], w))"
+# Input: parts as places and waypoints, with names that end in what names of places end in.
+_ENDS = ["", " Camp", " Upper", " 2", " Hut"]
+_KINDS, _TYPES = ["camping", "water", "resupply", "transport"], ["hut", "spring", "shop", "poi", "campsite", "water"]
+_NAMED = f"""named AS (SELECT id, lat, lon, [{", ".join(f"'{k}'" for k in _KINDS)}][1 + (id // 2) % {len(_KINDS)}] AS category, [{", ".join(f"'{k}'" for k in _TYPES)}][1 + (id // 2) % {len(_TYPES)}] AS type,
+  CASE WHEN id % 10 = 0 THEN 'Campsite' ELSE name || [{", ".join(f"'{k}'" for k in _ENDS)}][1 + (id // 3) % {len(_ENDS)}] END AS name FROM wp),
+tok AS (SELECT *, string_split(lower(name), ' ') AS w FROM named), fin AS (SELECT *, list_distinct(list_filter(w, lambda x: x NOT IN ('camp', 'hut', 'campsite'))) AS t, list_filter(w, lambda x: x NOT IN ('camp', 'hut', 'campsite')) AS u,
+  list_distinct(list_transform(w, lambda x: CASE WHEN x = 'campsite' THEN 'camp' ELSE x END)) AS k FROM tok)"""
+
+
+def _score(x: str, y: str) -> str:
+    i = f"len(list_intersect({x}.t, {y}.t))"
+    same = f"{i} >= 2 OR len({x}.t) = len({y}.t) OR ({x}.u[1] = {y}.u[1] AND len(list_intersect({x}.k, {y}.k)) >= 2)"
+    return f"CASE WHEN len({x}.t) = 0 OR len({y}.t) = 0 THEN 0.0 WHEN {i} = least(len({x}.t), len({y}.t)) AND ({same}) THEN 1.0 ELSE {i} / len(list_distinct(list_concat({x}.t, {y}.t))) END"
+
+
+_ALLOWED = "(values ('camping', 'hut'), ('camping', 'campsite'), ('water', 'spring'), ('water', 'water'), ('resupply', 'shop')) ok(c, y)"
+
+
+def _named(spark, sf_dir):
+    k = F.col("id")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.floor(k / n) % len(values) + 1).cast("int"))
+    name = F.when(k % 10 == 0, "Campsite").otherwise(F.concat("name", pick(_ENDS, 3)))
+    rows = _wp(spark, sf_dir).select("id", "lat", "lon", pick(_KINDS, 2).alias("category"), pick(_TYPES, 2).alias("type"), name.alias("name"))
+    places = rows.where(k % 2 == 0).select(k.alias("place_id"), "category", "name", "lat", "lon")
+    return places, rows.where(k % 2 == 1).select(k.alias("waypoint_id"), "type", F.col("name").alias("wp_name"), "lat", "lon")
 
 
 @register(
     "jon20_mark_duplicates",
-    f"""WITH {_PARTS}, a AS (SELECT *, {_TOK.format('name')} AS t FROM wp WHERE id % 2 = 0), b AS (SELECT *, {_TOK.format('name')} AS t FROM wp WHERE id % 2 = 1),
-m AS (SELECT a.id AS place_id, b.id AS waypoint_id, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS metres, a.t AS ta, b.t AS tb FROM a, b WHERE a.type = b.type AND {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 250),
-s AS (SELECT *, len(list_intersect(ta, tb)) AS i, len(list_distinct(list_concat(ta, tb))) AS u, least(len(list_distinct(ta)), len(list_distinct(tb))) AS l FROM m),
-k AS (SELECT *, CASE WHEN metres <= 10 THEN 1.0 WHEN l = 0 THEN 0.0 WHEN i = l THEN 1.0 ELSE i / u END AS score FROM s),
-f AS (SELECT * FROM k WHERE score >= 0.9 OR (metres <= 25 AND score >= 0.85)), r AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY score DESC, metres, waypoint_id) AS r FROM f)
-SELECT place_id, waypoint_id, score, {rnd('metres', 2)} AS metres FROM r WHERE r = 1""",
+    f"""WITH {_PARTS}, {_NAMED}, a AS (SELECT * FROM fin WHERE id % 2 = 0), b AS (SELECT * FROM fin WHERE id % 2 = 1),
+m AS (SELECT a.id AS place_id, b.id AS waypoint_id, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS metres, {_score('a', 'b')} AS score, list_sort(a.t) = list_sort(b.t) AS exact, a.category, b.type,
+  list_contains(a.w, 'upper') <> list_contains(b.w, 'upper') AS apart FROM a, b WHERE len(a.t) > 0 AND len(b.t) > 0 AND {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 250),
+f AS (SELECT * FROM m WHERE NOT apart AND score >= CASE WHEN metres <= 25 THEN 0.85 ELSE 0.9 END AND (EXISTS (SELECT 1 FROM {_ALLOWED} WHERE c = category AND y = type) OR (metres <= 10 AND score = 1 AND category <> 'transport' AND type = 'poi'))),
+r AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY score DESC, exact DESC, metres, waypoint_id) AS r FROM f),
+h AS (SELECT a.id AS place_id, b.id AS waypoint_id, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS metres FROM a, b WHERE len(a.t) = 0 AND a.category = 'camping' AND b.type IN ('hut', 'campsite') AND {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 60),
+n AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY metres, waypoint_id) AS r FROM h), lone AS (SELECT * FROM n WHERE r = 1 AND metres <= 30)
+SELECT place_id, waypoint_id, score, {rnd('metres', 2)} AS metres FROM r WHERE r = 1 UNION ALL SELECT place_id, waypoint_id, NULL, {rnd('metres', 2)} FROM lone
+WHERE NOT EXISTS (SELECT 1 FROM n JOIN b x ON x.id = lone.waypoint_id JOIN b y ON y.id = n.waypoint_id WHERE n.place_id = lone.place_id AND n.r > 1 AND n.metres - lone.metres <= 30 AND {_score('x', 'y')} < 0.9)""",
 )
 def jon20(spark, sf_dir):
-    wp = _wp(spark, sf_dir)
-    places = wp.where("id % 2 = 0").select(F.col("id").alias("place_id"), F.col("type").alias("category"), "name", "lat", "lon")
-    waypoints = wp.where("id % 2 = 1").select(F.col("id").alias("waypoint_id"), "type", F.col("name").alias("wp_name"), "lat", "lon")
-    compatible = wp.select(F.col("type").alias("category"), "type").distinct()
-    return linkage.mark_duplicates(places, waypoints, compatible, exact_lcs=False).withColumn("metres", js_round("metres", 2))
+    """Names compared by their words alone, which SQL can do too."""
+    return linkage.mark_duplicates(*_named(spark, sf_dir), exact_lcs=False).withColumn("metres", js_round("metres", 2))
 
 
 @register("jon20_mark_duplicates_by_letters")
 def jon20_letters(spark, sf_dir):
     """As above with the letters' order counted too; the longest common subsequence is beyond SQL, see the tests."""
-    wp = _wp(spark, sf_dir)
-    places = wp.where("id % 2 = 0").select(F.col("id").alias("place_id"), F.col("type").alias("category"), "name", "lat", "lon")
-    waypoints = wp.where("id % 2 = 1").select(F.col("id").alias("waypoint_id"), "type", F.col("name").alias("wp_name"), "lat", "lon")
-    return linkage.mark_duplicates(places, waypoints, wp.select(F.col("type").alias("category"), "type").distinct())
+    return linkage.mark_duplicates(*_named(spark, sf_dir))
 
 
 @register(

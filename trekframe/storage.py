@@ -12,9 +12,12 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared scratch folder; only a session without one (tests) gets a local folder."""
+    """The session's shared scratch folder. Only a local session (tests) without one gets a folder of its own; on a
+    cluster, where executors would each write to their own disk, that is an error."""
     known = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if not known:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError(f"set {_KEY} to a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="trekframe-")
         spark.conf.set(_KEY, known)
     return known.rstrip("/")
