@@ -11,6 +11,9 @@ from trekframe.plans import load_queries
 
 SF = "/root/testdata/sf0.001"
 QUERIES, TWINS = load_queries()
+# Beyond SQL; their operators are held against brute force in test_sequential, test_rules_and_globe and test_files_and_streams.
+TESTED_ELSEWHERE = """sim01_douglas_peucker sim02_simplify_to_target stm04_rate_limit stm04_rate_limit_stream sim08_combine_tracks srt12_suggest_days sim11_access_routes jon23_match_one_to_one set11_drop_close_stops
+win26_reach_in_hours str12_python_text snk01_gpx_documents jon20_mark_duplicates_by_letters str03_letter_ratio snk06_mobile_json jon40_known_retraces srt13_greedy_days sim12_candidate_clusters sim21_finished_places""".split()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -38,7 +41,8 @@ def test_query(spark, duck, name):
     frame = QUERIES[name](spark, SF)
     rows, columns = frame.collect(), sorted(frame.columns)
     if name not in TWINS:
-        assert rows is not None
+        assert name in TESTED_ELSEWHERE
+        assert rows and len({tuple(map(str, r)) for r in rows}) > 1
         return
     duck.execute(TWINS[name])
     names = [c[0] for c in duck.description]

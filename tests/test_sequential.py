@@ -135,5 +135,5 @@ def test_letters_in_order_and_python_text(spark):
 
     assert got == [pytest.approx(2 * lcs(a or "", b) / (len(a or "") + len(b))) for a, b in rows]
     one = spark.createDataFrame([("x | St. Mary is far. Next.", "&#65;&#0;&lt;", "::ffff:1.2.3.4", "2001:db8:1:2:3::4", "Café – Mt Éa - x")], "s string, e string, a string, b string, n string")
-    r = one.select(text.first_sentence("s").alias("s"), text.decode_entities("e").alias("e"), text.rate_key("a").alias("a"), text.rate_key("b").alias("b"), text.name_tokens(F.col("n"), fold=True).alias("n")).first()
+    r = one.select(text.first_sentence("s").alias("s"), text.decode_entities("e").alias("e"), text.rate_key("a").alias("a"), text.rate_key("b").alias("b"), text.name_tokens(F.col("n")).alias("n")).first()
     assert (r.s, r.e, r.a, r.b, list(r.n)) == ("St. Mary is far.", "A&#0;<", "1.2.3.4", "2001:db8:1:2::/64", ["cafe", "mount", "ea"])

@@ -22,11 +22,11 @@ def test_components_over_all_of_lineitem(spark):
     for a, b in edges:
         a, b = sorted((find(a), find(b)))
         root[b] = a
-    got = QUERIES["set08_all_components"](spark, SF).collect()
+    got = QUERIES["set08_components"](spark, SF).collect()
     assert len(got) == len(root) and {r.node: r.component for r in got} == {n: find(n) for n in root}
 
 
-@pytest.mark.parametrize("name", ["jon14_snap_to_trails", "jon13_all_visits"])
+@pytest.mark.parametrize("name", ["jon14_snap_to_track", "jon13_visits"])
 def test_all_suppliers_and_all_customers_take_part(spark, name):
     sf = SF.replace("0.001", "0.01")  # ten suppliers give no nation a trail
     con = duckdb.connect()
@@ -35,7 +35,7 @@ def test_all_suppliers_and_all_customers_take_part(spark, name):
     frame = QUERIES[name](spark, sf)
     got = sorted(tuple(r) for r in frame.collect())
     assert got == sorted(con.execute(f"SELECT {', '.join(frame.columns)} FROM ({TWINS[name]})").fetchall())
-    if name == "jon13_all_visits":
+    if name == "jon13_visits":
         assert len({r[0] for r in got if r[0] >= 60}) > 1000
     else:
         trails = con.execute("SELECT count(*) FROM (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING count(*) > 1)").fetchone()[0]
@@ -44,7 +44,7 @@ def test_all_suppliers_and_all_customers_take_part(spark, name):
 
 def test_all_names_in_order(spark):
     want = duckdb.sql(f"SELECT p_partkey FROM read_parquet('{SF}/part.parquet') ORDER BY lower(p_name), p_partkey").fetchall()
-    got = QUERIES["srt09_all_names"](spark, SF).collect()
+    got = QUERIES["srt09_sorted_names"](spark, SF).collect()
     assert [(r.p_partkey, r.place) for r in got] == [(k, i + 1) for i, (k,) in enumerate(want)] and len(got) > 60
 
 

@@ -200,3 +200,17 @@ def monthly_climate(daily: DataFrame, key: str = "location") -> DataFrame:
         key, "month", zero(F.col("lo")).alias("avg_temp_min"), zero(F.col("hi")).alias("avg_temp_max"),
         zero(F.coalesce("rain", F.lit(0.0)) / F.col("years")).alias("avg_precipitation"), zero(F.col("wet") / F.col("years")).alias("avg_rainy_days"),
     )
+
+
+def alternate_km(points: DataFrame, pieces: DataFrame, slack_km: float = 0.1) -> DataFrame:
+    """Adds ``route_km`` to ``(trail_id, name, km)`` on an alternate's own axis: a little beyond its ends counts as the end
+    (JON30). ``pieces`` are ``(trail_id, name, from_km, to_km, route_start)``, one an alternate taken."""
+    met = points.join(pieces, ["trail_id", "name"], "left")
+    inside = F.col("km").between(F.col("from_km") - slack_km, F.col("to_km") + slack_km)
+    at = F.least("to_km", F.greatest("from_km", "km")) - F.col("from_km")
+    return met.withColumn("route_km", F.when(inside, F.col("route_start") + at)).drop("from_km", "to_km", "route_start")
+
+
+def count_in_window(events: DataFrame, window_ms: int, key: str = "key", at: str = "ms") -> DataFrame:
+    """Adds ``n``: the key's events up to this one within the window before it (AGG31)."""
+    return events.withColumn("n", F.count("*").over(Window.partitionBy(key).orderBy(at).rangeBetween(-window_ms + 1, 0)))

@@ -5,7 +5,9 @@ A row with ``is_break`` starts a new stretch: nothing is measured between it and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trekframe.functions.geo import haversine_m
@@ -185,3 +187,41 @@ def km_range_in_bounds(points: DataFrame, south: float, north: float, west: floa
     d = haversine_m(F.col("lat"), F.col("lon"), F.lit((south + north) / 2), F.lit((west + east) / 2))
     near = runs.groupBy("trail_id").agg(F.min_by("_grp", F.struct(d, F.col("idx"))).alias("_grp"))
     return runs.join(near, ["trail_id", "_grp"]).groupBy("trail_id").agg(F.min("dist").alias("from_km"), F.max("dist").alias("to_km"))
+
+
+def with_elevation(points: DataFrame, elevation_at: Callable[[Column, Column], Column]) -> DataFrame:
+    """Adds ``ele`` from the caller's sampler of two columns, latitude and longitude (UDF02); what it cannot tell stays null."""
+    return points.withColumn("ele", elevation_at(F.col("lat"), F.col("lon")))
+
+
+def recompute_elevation(points: DataFrame, elevation_at: Callable[[Column, Column], Column]) -> DataFrame:
+    """All columns that hang on height anew, after a backfill (WIN32): heights of the sampler where it has one, else those
+    known, gaps drawn by distance, and the running climb."""
+    filled = with_elevation(points.withColumnRenamed("ele", "_old"), elevation_at).withColumn("ele", F.coalesce("ele", "_old")).drop("_old")
+    filled = interpolate_nulls(filled, "ele", "dist").withColumn("ele", F.coalesce("filled", F.lit(0.0))).drop("filled")
+    return cumulative_climb(filled.drop("cum_ascent", "cum_descent"))
+
+
+def build_trail(points: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A measured track, with the caller's own steps taken in turn before it is measured (UDF01)."""
+    for step in steps:
+        points = points.transform(step)
+    return cumulative_climb(cumulative_km(points))
+
+
+def contour_index(elevation: Column, step: int) -> Column:
+    """1 for the contours that are drawn heavier, else 0 (SIM19)."""
+    return F.when(elevation % step == 0, 1).otherwise(0)
+
+
+def batch_stats(points: DataFrame, content: str) -> DataFrame:
+    """``(trail_id, n, ascent, bytes)`` of a batch and of what it is written as (AGG27)."""
+    return cumulative_climb(points).groupBy("trail_id").agg(F.count("*").alias("n"), js_round(F.max("cum_ascent"), 3).alias("ascent"), F.sum(F.octet_length(content)).alias("bytes"))
+
+
+def reverse_trail(points: DataFrame) -> DataFrame:
+    """A whole track the other way, with its breaks: the first row behind a break walked one way is the last one before it
+    walked the other (WIN22)."""
+    last = F.max("idx").over(Window.partitionBy("trail_id"))
+    breaks = points.withColumn("_n", last + 1).where(_broken() & (F.col("idx") > 0)).select("trail_id", (F.col("_n") - F.col("idx")).alias("idx"), F.lit(True).alias("is_break"))
+    return reverse_track(points).join(breaks, ["trail_id", "idx"], "left").withColumn("is_break", _broken())

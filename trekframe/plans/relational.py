@@ -66,10 +66,9 @@ sql(
     "WITH a AS (SELECT user_id, count(*) AS n, sum(value) AS km, max(value) AS top FROM events GROUP BY user_id) SELECT user_id, 'points' AS rule, CASE WHEN n < 2 THEN 'fail' ELSE 'pass' END AS level FROM a UNION ALL SELECT user_id, 'length', CASE WHEN km < 100 THEN 'warn' ELSE 'pass' END FROM a UNION ALL SELECT user_id, 'elevation', CASE WHEN top > 99 THEN 'fail' ELSE 'pass' END FROM a",
 )
 sql("win06_last_per_group", "SELECT o_custkey, o_orderkey, n FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM {orders}) t WHERE r <= 3")
-sql("srt05_flag_first_order", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY CASE WHEN o_orderstatus IS NOT DISTINCT FROM 'P' THEN 0 ELSE 1 END, o_totalprice DESC, o_orderkey) AS BIGINT) AS place FROM {orders} ORDER BY place LIMIT 50")
+sql("srt05_flag_first_order", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY first, o_totalprice DESC, o_orderkey) AS BIGINT) AS place FROM (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderstatus IS NOT DISTINCT FROM 'P' THEN 0 ELSE 1 END AS first FROM {orders} ORDER BY first, o_totalprice DESC, o_orderkey LIMIT 50) x")
 sql("srt06_case_ranked_by_json", "SELECT event_id FROM {events} ORDER BY CASE WHEN CAST(get_json_object(props, '$.k') AS INT) > 90 THEN 0 WHEN event_type = 'error' THEN 1 ELSE 2 END, event_id LIMIT 40", "SELECT event_id FROM events ORDER BY CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) > 90 THEN 0 WHEN event_type = 'error' THEN 1 ELSE 2 END, event_id LIMIT 40")
 sql("srt08_due_queue", "SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'O' AND o_totalprice > 1000 ORDER BY o_orderdate, o_orderkey LIMIT 25")
-sql("srt09_sorted_names", "SELECT p_partkey, CAST(row_number() OVER (ORDER BY lower(p_name), p_partkey) AS BIGINT) AS place FROM {part} ORDER BY place LIMIT 60")
 sql("srt14_next_per_type", "SELECT user_id, event_type, min(event_id) AS event_id FROM {events} WHERE event_id > 100 GROUP BY user_id, event_type")
 sql("srt16_pinned_first", "SELECT n_nationkey, CAST(row_number() OVER (ORDER BY CASE WHEN n_nationkey = 7 THEN 0 ELSE 1 END, n_nationkey) AS INT) AS place FROM {nation}")
 sql("srt20_by_report_count", "SELECT c_custkey, count(o_orderkey) AS n FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey GROUP BY c_custkey ORDER BY n DESC, c_custkey DESC LIMIT 20")
@@ -206,8 +205,8 @@ def srt11(spark, sf_dir):
     return table(spark, sf_dir, "orders").withColumn("r", F.row_number().over(w)).where("r <= 4").select("o_custkey", "o_orderkey")
 
 
-@register("srt09_all_names", "SELECT p_partkey, CAST(row_number() OVER (ORDER BY lower(p_name), p_partkey) AS BIGINT) AS place FROM part")
-def srt09_all(spark, sf_dir):
+@register("srt09_sorted_names", "SELECT p_partkey, CAST(row_number() OVER (ORDER BY lower(p_name), p_partkey) AS BIGINT) AS place FROM part")
+def srt09(spark, sf_dir):
     """Every part and its place by name: numbered within ranges of names, and the rows of the ranges before added."""
     from trekframe.storage import materialize
 

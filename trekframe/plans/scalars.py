@@ -4,16 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trekframe.functions import hiking, text
+from trekframe.functions import hiking, pois, text
 from trekframe.functions.rounding import js_round, round_km
 from trekframe.plans.registry import register
 from trekframe.plans.tables import rnd, table
 
-# Waypoint types where water or supplies can be had, with the names other files use.
-WATER = ["water", "water-tank", "spring", "creek", "stream", "river", "tap", "tank", "rainwater", "water-source", "watersource", "waterhole", "well", "soak", "bore", "trough"]
-RESUPPLY = ["town", "food", "resupply", "store", "shop", "supermarket", "grocery", "groceries", "kiosk", "cafe", "restaurant", "post-office", "postoffice", "roadhouse", "village", "settlement"]
-
-
 @register(
     "mth04_hiking_time",
     f"""SELECT event_id, {rnd('value / 4.0 + (value * 20) / 600.0 + greatest(0.0, (value * 15 - 300) / 600.0)', 6)} AS hours, {rnd('value / 4.0 + (value * 20) / 600.0 + greatest(0.0, (value * 15 - 300) / 600.0)', 1)} AS rounded,
@@ -73,33 +68,12 @@ _KIND = "lower(trim(CASE p_partkey % 5 WHEN 0 THEN ' Spring ' WHEN 1 THEN 'town-
 
 @register(
     "flt01_type_families",
-    f"""SELECT p_partkey, {_KIND} IN ({", ".join(f"'{w}'" for w in WATER)}) AS water, {_KIND} IN ({", ".join(f"'{w}'" for w in RESUPPLY)}) AS resupply, {_KIND} LIKE '%-access' AS turn_off, regexp_replace({_KIND}, '-access$', '') AS base FROM part""",
+    f"""SELECT p_partkey, {_KIND} IN ({", ".join(f"'{w}'" for w in pois.WATER_TYPES)}) AS water, {_KIND} IN ({", ".join(f"'{w}'" for w in pois.RESUPPLY_TYPES)}) AS resupply, {_KIND} LIKE '%-access' AS turn_off, regexp_replace({_KIND}, '-access$', '') AS base FROM part""",
 )
 def flt01(spark, sf_dir):
     k = F.col("p_partkey") % 5
-    kind = F.lower(F.trim(F.when(k == 0, " Spring ").when(k == 1, "town-access").when(k == 2, "Supermarket").when(k == 3, "hut").otherwise("WATER-tank")))
-    return table(spark, sf_dir, "part").select("p_partkey", kind.isin(WATER).alias("water"), kind.isin(RESUPPLY).alias("resupply"), kind.endswith("-access").alias("turn_off"), F.regexp_replace(kind, "-access$", "").alias("base"))
-
-
-_TAGS = "CASE WHEN event_id % 11 = 0 THEN 'bus_stop' END AS highway, CASE WHEN event_id % 7 = 0 THEN 'picnic_shelter' END AS shelter, CASE WHEN event_id % 5 = 0 THEN 'no' END AS emergency, CASE WHEN event_id % 3 = 0 THEN 'convenience' END AS shop"
-
-
-@register(
-    "flt05_noise_reason",
-    f"""WITH t AS (SELECT event_id, event_type, {_TAGS} FROM events) SELECT event_id, CASE WHEN event_type = 'error' AND shop IS NULL THEN 'excluded-by-trail' WHEN highway = 'bus_stop' THEN 'bus-stop'
-  WHEN shelter = 'picnic_shelter' THEN 'minor-shelter' WHEN emergency = 'no' THEN 'no-emergency-department' END AS reason,
-  CASE WHEN shop = 'convenience' AND emergency IS NULL THEN 'resupply' WHEN shop = 'convenience' THEN 'shop' WHEN shelter IS NOT NULL THEN 'shelter' ELSE 'other' END AS category FROM t""",
-)
-def flt05(spark, sf_dir):
-    """Ordered rules over a map of tags (FLT05-08, FLT16, MAP01, MAP02)."""
-    k = F.col("event_id")
-    pairs = [(11, "highway", "bus_stop"), (7, "shelter", "picnic_shelter"), (5, "emergency", "no"), (3, "shop", "convenience")]
-    tags = F.map_from_entries(F.filter(F.array(*(F.when(k % n == 0, F.struct(F.lit(a), F.lit(b))) for n, a, b in pairs)), lambda x: x.isNotNull()))
-    tag = lambda name: F.try_element_at("tags", F.lit(name))
-    reason = F.when((F.col("event_type") == "error") & tag("shop").isNull(), "excluded-by-trail").when(tag("highway") == "bus_stop", "bus-stop")
-    reason = reason.when(tag("shelter") == "picnic_shelter", "minor-shelter").when(tag("emergency") == "no", "no-emergency-department")
-    category = F.when((tag("shop") == "convenience") & tag("emergency").isNull(), "resupply").when(tag("shop") == "convenience", "shop").when(tag("shelter").isNotNull(), "shelter").otherwise("other")
-    return table(spark, sf_dir, "events").withColumn("tags", tags).select("event_id", reason.alias("reason"), category.alias("category"))
+    kind = F.when(k == 0, " Spring ").when(k == 1, "town-access").when(k == 2, "Supermarket").when(k == 3, "hut").otherwise("WATER-tank")
+    return table(spark, sf_dir, "part").select("p_partkey", pois.is_water(kind).alias("water"), pois.is_resupply(kind).alias("resupply"), pois.is_access(kind).alias("turn_off"), pois.base_type(kind).alias("base"))
 
 
 @register("flt11_search", "SELECT c_custkey FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), lower(trim(' MACH '))) AND CASE WHEN c_acctbal < 30 THEN 'short' WHEN c_acctbal <= 3000 THEN 'medium' ELSE 'long' END IN ('medium', 'long')")

@@ -64,56 +64,57 @@ def read_gpx_waypoints(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def _json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """JSON files of one document each, or of one document a line."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
-def read_pois(spark: SparkSession, path: str) -> DataFrame:
+def read_pois(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Places of interest that are whole and not rejected (SRC07, FLT10)."""
-    rows = _json(spark, path, POI_FILE).select(F.col("trailId").alias("trail_id"), F.coalesce("rejected", F.array().cast("array<string>")).alias("rejected"), F.explode("pois").alias("p"))
+    rows = _json(spark, path, POI_FILE, lines).select(F.col("trailId").alias("trail_id"), F.coalesce("rejected", F.array().cast("array<string>")).alias("rejected"), F.explode("pois").alias("p"))
     rows = rows.select("trail_id", "rejected", "p.*").withColumn("key", F.concat_ws("/", "type", F.col("id").cast("string")))
     return rows.where("lat is not null and lon is not null and key rlike '^(node|way|relation)/[0-9]+$' and not array_contains(rejected, key)").drop("rejected")
 
 
-def read_overpass(spark: SparkSession, path: str) -> DataFrame:
+def read_overpass(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Elements with a place of their own or a centre (SRC10)."""
-    e = _json(spark, path, OVERPASS_FILE).select(F.explode("elements").alias("e"))
+    e = _json(spark, path, OVERPASS_FILE, lines).select(F.explode("elements").alias("e"))
     rows = e.select("e.type", "e.id", F.coalesce("e.lat", "e.center.lat").alias("lat"), F.coalesce("e.lon", "e.center.lon").alias("lon"), "e.tags")
     return rows.where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
 
 
-def read_daily_climate(spark: SparkSession, path: str) -> DataFrame:
+def read_daily_climate(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """``(location, day, t_max, t_min, rain)`` from parallel arrays (SRC11)."""
-    d = _json(spark, path, CLIMATE_FILE).select("location", F.explode(F.arrays_zip("daily.time", "daily.temperature_2m_max", "daily.temperature_2m_min", "daily.precipitation_sum")).alias("d"))
+    d = _json(spark, path, CLIMATE_FILE, lines).select("location", F.explode(F.arrays_zip("daily.time", "daily.temperature_2m_max", "daily.temperature_2m_min", "daily.precipitation_sum")).alias("d"))
     return d.select("location", F.to_date("d.time").alias("day"), F.col("d.temperature_2m_max").alias("t_max"), F.col("d.temperature_2m_min").alias("t_min"), F.col("d.precipitation_sum").alias("rain"))
 
 
-def read_trail_configs(spark: SparkSession, path: str) -> DataFrame:
+def read_trail_configs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(SRC06)"""
-    return _json(spark, path, TRAIL_CONFIG)
+    return _json(spark, path, TRAIL_CONFIG, lines)
 
 
-def read_markers(spark: SparkSession, path: str) -> DataFrame:
+def read_markers(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Map markers with the name of their folder (SRC05)."""
-    f = _json(spark, path, GEOJSON_FILE).select(F.explode("features").alias("f")).select("f.id", "f.properties.*", F.col("f.geometry.coordinates").alias("c"))
+    f = _json(spark, path, GEOJSON_FILE, lines).select(F.explode("features").alias("f")).select("f.id", "f.properties.*", F.col("f.geometry.coordinates").alias("c"))
     folders = f.where("class = 'Folder'").select(F.col("id").alias("folderId"), F.col("title").alias("folder"))
     markers = f.where("class = 'Marker'").join(folders, "folderId", "left")
     return markers.select("id", F.trim("title").alias("name"), "folder", "description", F.get("c", F.lit(1)).alias("lat"), F.get("c", F.lit(0)).alias("lon"))
 
 
-def read_access(spark: SparkSession, path: str) -> DataFrame:
+def read_access(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Ways to places, with whether each is complete for its method (SRC08)."""
-    p = _json(spark, path, ACCESS_FILE).select(F.col("trailId").alias("trail_id"), F.explode("places").alias("waypoint_id", "p")).select("trail_id", "waypoint_id", "p.*")
+    p = _json(spark, path, ACCESS_FILE, lines).select(F.col("trailId").alias("trail_id"), F.explode("places").alias("waypoint_id", "p")).select("trail_id", "waypoint_id", "p.*")
     routed = F.col("junction").isNotNull() & (F.size("junction") == 2) & (F.col("offTrailKm") >= 0)
     valid = F.when(F.col("method").isNull(), F.col("store").isNotNull()).when(F.col("method") == "none", F.length(F.trim("reason")) > 0).when(F.col("method").isin("osm", "manual"), routed)
     return p.withColumn("valid", F.coalesce(valid, F.lit(False)))
 
 
-def read_descriptions(spark: SparkSession, path: str, trail_id: str, most: int = 2000) -> DataFrame:
+def read_descriptions(spark: SparkSession, path: str, trail_id: str, most: int = 2000, lines: bool = False) -> DataFrame:
     """Trimmed texts of one trail, each with a reason if it has to be refused (SRC09)."""
     from pyspark.sql import Window
 
-    d = _json(spark, path, DESCRIPTION_FILE).select("trailId", F.explode("descriptions").alias("d")).select("trailId", F.col("d.id").alias("waypoint_id"), F.trim("d.description").alias("description"))
+    d = _json(spark, path, DESCRIPTION_FILE, lines).select("trailId", F.explode("descriptions").alias("d")).select("trailId", F.col("d.id").alias("waypoint_id"), F.trim("d.description").alias("description"))
     n = F.count("*").over(Window.partitionBy("waypoint_id"))
     why = F.when(F.col("trailId") != trail_id, "trail").when(F.coalesce("waypoint_id", F.lit("")) == "", "id").when(n > 1, "repeated").when(F.coalesce("description", F.lit("")) == "", "empty").when(F.length("description") > most, "long")
     return d.withColumn("refused", why).drop("trailId")
@@ -121,7 +122,7 @@ def read_descriptions(spark: SparkSession, path: str, trail_id: str, most: int =
 
 def read_waypoint_csv(spark: SparkSession, path: str) -> DataFrame:
     """(SRC22)"""
-    rows = spark.read.option("header", True).schema("name string, lat string, lon string, type string, description string").csv(path)
+    rows = spark.read.option("header", True).option("escape", '"').schema("name string, lat string, lon string, type string, description string").csv(path)
     rows = rows.withColumn("lat", coordinate(F.col("lat"), 90)).withColumn("lon", coordinate(F.col("lon"), 180))
     return rows.where("name is not null and lat is not null and lon is not null").withColumn("type", F.coalesce("type", F.lit("waypoint")))
 
@@ -140,3 +141,17 @@ def read_handoff(texts: DataFrame, column: str, schema: str) -> tuple[DataFrame,
     parsed = texts.withColumn("_t", F.from_json(column, f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     bad = F.col("_t").isNull() | F.col("_t._corrupt").isNotNull()
     return parsed.where(~bad).select("_t.*").drop("_corrupt"), parsed.where(bad).drop("_t")
+
+
+def sample_grid(places: DataFrame, cells: DataFrame, step: float) -> DataFrame:
+    """Adds ``ele`` to places ``(place_id, lat, lon)``: heights drawn between the four cells around them (SRC12).
+
+    ``cells`` are ``(y, x, ele)`` of a raster with ``step`` degrees between its rows and columns; where one of the four is
+    missing or has no height, the place has none. A place goes to four keys, so this is one equi-join.
+    """
+    y, x = F.col("lat") / step, F.col("lon") / step
+    corner = F.explode(F.array(*(F.struct((F.floor(y) + i).alias("y"), (F.floor(x) + j).alias("x"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
+    rows = places.select("place_id", (y - F.floor(y)).alias("fy"), (x - F.floor(x)).alias("fx"), corner.alias("c")).select("place_id", "fy", "fx", "c.*")
+    share = F.when(F.col("i") == 1, F.col("fy")).otherwise(1 - F.col("fy")) * F.when(F.col("j") == 1, F.col("fx")).otherwise(1 - F.col("fx"))
+    met = rows.join(cells.where("ele is not null"), ["y", "x"]).groupBy("place_id").agg(F.sum(share * F.col("ele")).alias("ele"), F.count("*").alias("n")).where("n = 4")
+    return places.join(met.select("place_id", "ele"), "place_id", "left")

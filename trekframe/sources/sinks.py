@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from trekframe.functions.text import csv_quote, escape_xml
 
 
+EXTENSIONS = [("off_trail_km", "offTrailKm"), ("access_mode", "accessMode")]
+
+
 def gpx_documents(points: DataFrame, waypoints: DataFrame | None = None) -> DataFrame:
     """``(trail_id, gpx)``: one document a trail, points in order within tracks (SNK01, SNK02, SNK04).
 
-    ``points`` are ``(trail_id, track, idx, lat, lon, ele)``, ``waypoints`` ``(trail_id, seq, name, type, lat, lon)``.
+    ``points`` are ``(trail_id, track, idx, lat, lon, ele)``, ``waypoints`` ``(trail_id, seq, name, type, lat, lon)`` and
+    perhaps ``off_trail_km`` and ``access_mode``, which are written as extensions where they are known.
     """
     place = F.format_string('<trkpt lat="%.6f" lon="%.6f"><ele>%.1f</ele></trkpt>', "lat", "lon", "ele")
     tracks = points.select("trail_id", "track", "idx", place.alias("x")).groupBy("trail_id", "track")
@@ -19,12 +23,15 @@ def gpx_documents(points: DataFrame, waypoints: DataFrame | None = None) -> Data
     one = F.concat(F.lit("<trk><name>"), escape_xml(F.col("track")), F.lit("</name><trkseg>"), "body", F.lit("</trkseg></trk>"))
     out = tracks.groupBy("trail_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", one.alias("x")))), lambda t: t["x"]), "").alias("tracks"))
     if waypoints is not None:
-        w = F.concat(F.format_string('<wpt lat="%.6f" lon="%.6f"><name>', "lat", "lon"), escape_xml(F.col("name")), F.lit("</name><type>"), escape_xml(F.coalesce("type", F.lit("waypoint"))), F.lit("</type></wpt>"))
+        w = F.concat(F.format_string('<wpt lat="%.6f" lon="%.6f"><name>', "lat", "lon"), escape_xml(F.col("name")), F.lit("</name><type>"), escape_xml(F.coalesce("type", F.lit("waypoint"))), F.lit("</type>"))
+        known = [(c, tag) for c, tag in EXTENSIONS if c in waypoints.columns]
+        inner = F.concat(*(F.coalesce(F.concat(F.lit(f"<tn:{tag}>"), escape_xml(F.col(c).cast("string")), F.lit(f"</tn:{tag}>")), F.lit("")) for c, tag in known), F.lit(""))
+        w = F.concat(w, F.when(inner != "", F.concat(F.lit("<extensions>"), inner, F.lit("</extensions>"))).otherwise(""), F.lit("</wpt>"))
         marks = waypoints.groupBy("trail_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", w.alias("x")))), lambda t: t["x"]), "").alias("marks"))
         out = out.join(marks, "trail_id", "left")
     else:
         out = out.withColumn("marks", F.lit(""))
-    head = '<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" creator="trekframe" xmlns="http://www.topografix.com/GPX/1/1">'
+    head = '<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" creator="trekframe" xmlns="http://www.topografix.com/GPX/1/1" xmlns:tn="urn:trekframe:waypoint">'
     return out.select("trail_id", F.concat(F.lit(head), F.coalesce("marks", F.lit("")), "tracks", F.lit("</gpx>")).alias("gpx"))
 
 
@@ -60,3 +67,42 @@ def publish(files: DataFrame, path: str) -> DataFrame:
         raise ValueError("nothing to publish")
     listed.orderBy("id").write.mode("overwrite").json(f"{path}/catalog")
     return listed
+
+
+def trail_documents(points: DataFrame, waypoints: DataFrame, target: int | None = None) -> DataFrame:
+    """``(trail_id, doc)``: one JSON document a trail with its points and waypoints in order (SNK05, SNK10); with ``target``
+    only the points that a simplification to so many keeps, with the climbs of the full track and short numbers (SNK06).
+
+    ``points`` are ``(trail_id, idx, lat, lon, ele, dist, cum_ascent)``, ``waypoints`` ``(trail_id, seq, name, km)``.
+    """
+    from trekframe.functions.rounding import js_round
+    from trekframe.operators.sequential import simplify
+
+    if target is not None:
+        kept = simplify(points.withColumn("stretch", F.lit(0)), target=target)
+        points = points.join(kept, ["trail_id", "idx"], "left_semi").withColumns({"lat": js_round("lat", 6), "lon": js_round("lon", 6), "ele": js_round("ele", 1), "dist": js_round("dist", 1)})
+    rows = points.groupBy("trail_id").agg(F.array_sort(F.collect_list(F.struct("idx", "lat", "lon", "ele", "dist", "cum_ascent"))).alias("points"))
+    marks = waypoints.groupBy("trail_id").agg(F.array_sort(F.collect_list(F.struct("seq", "name", "km"))).alias("waypoints"))
+    met = rows.join(marks, "trail_id", "left")
+    return met.select("trail_id", F.to_json(F.struct("trail_id", "points", F.coalesce("waypoints", F.array().cast(marks.schema["waypoints"].dataType)).alias("waypoints"))).alias("doc"))
+
+
+def poi_file(existing: DataFrame, pois: DataFrame) -> DataFrame:
+    """``(trail_id, pois, rejected, duplicates)``: newly found places in order of km and key, with what was curated by hand
+    kept from the file before (SNK07)."""
+    order = F.array_sort(F.collect_list(F.struct("km", "key")))
+    found = pois.groupBy("trail_id").agg(F.transform(order, lambda p: p["key"]).alias("pois"))
+    kept = existing.select("trail_id", "rejected", "duplicates")
+    none = F.array().cast("array<string>")
+    return found.join(kept, "trail_id", "full_outer").select("trail_id", F.coalesce("pois", none).alias("pois"), F.coalesce("rejected", none).alias("rejected"), F.coalesce("duplicates", F.create_map().cast("map<string,string>")).alias("duplicates"))
+
+
+def registry_lines(ids: DataFrame) -> DataFrame:
+    """``(trail_id, line)``: a JSON line a trail with its ids in order (SNK13)."""
+    return ids.groupBy("trail_id").agg(F.to_json(F.array_sort(F.collect_set("id"))).alias("line"))
+
+
+def tile_rows(tiles: DataFrame) -> DataFrame:
+    """Tiles ``(z, x, y, seq, data)`` as an archive keeps them: the last of each place, rows counted from below (SNK08)."""
+    last = tiles.groupBy("z", "x", "y").agg(F.max_by("data", "seq").alias("data"))
+    return last.withColumn("y", F.expr("cast(shiftleft(1L, cast(z as int)) - 1 - y as bigint)"))
