@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from trekframe.llm.words import small_batches
 
 COUNTS = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long"
+CACHED_WORDS = 1 << 17
 RULES = ("start", "end", "majority")
 
 
@@ -76,6 +78,8 @@ def section_token_counts(
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
+        if hasattr(tokenizer.model, "_resize_cache"):  # the library's own memory of words, 10,000 of them unless asked for more
+            tokenizer.model._resize_cache(CACHED_WORDS)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             given_sections = batch.column(2).to_pylist() if sections else None
@@ -86,7 +90,7 @@ def section_token_counts(
                 if not own:
                     continue
                 own = np.array(own, dtype=np.int64).reshape(-1, 2)
-                spans = np.array(tokenizer.encode(text, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
+                spans = np.fromiter(chain.from_iterable(tokenizer.encode(text, add_special_tokens=False).offsets), dtype=np.int64).reshape(-1, 2)
                 tokens, crossing = allocate(spans, own, rule)
                 m = len(own)
                 out.append((np.full(m, -1 if doc_id is None else doc_id, np.int64), np.full(m, doc_id is None), np.arange(m, dtype=np.int32), own[:, 0], own[:, 1], tokens, crossing))
