@@ -349,7 +349,7 @@ def sim21(spark, sf_dir):
     rows = places(spark, sf_dir).join(pts(spark, sf_dir).select("event_id", "lat", "lon"), "event_id").select(F.col("event_id").alias("place_id"), "name", "tags", (F.col("lat") + 0.0005).alias("lat"), "lon")
     line = measured(spark, sf_dir)
     waypoints = line.where("event_type = 'purchase'").select(F.col("event_id").alias("waypoint_id"), F.lit("campsite").alias("type"), F.lit("Ponderosa").alias("wp_name"), "lat", "lon")
-    out = linkage.finish_places(rows, line, waypoints, 400.0, 5.0, [("amenity", "fuel")])
+    out = linkage.finish_places(rows, line, waypoints, 120.0, 5.0, [("amenity", "fuel")])
     return out.withColumn("tags", F.to_json("tags"))
 
 
