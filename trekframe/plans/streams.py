@@ -36,3 +36,37 @@ def stm03_once(spark, sf_dir):
 def stm04_stream(spark, sf_dir):
     rows = event_stream(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
     return drained(feeds.limit_rate(rows, 5, 3_600_000))
+
+
+@register("stm02_pulled_table", "SELECT user_id AS key, arg_max(value, event_id) AS value, max(event_id) AS at FROM events GROUP BY user_id")
+def stm02(spark, sf_dir):
+    """A stream of changes pulled into a table of versions, batch by batch, each at least once (STM02, STM03, STM11)."""
+    changes = event_stream(spark, sf_dir).select(F.col("user_id").alias("key"), "value", F.col("event_id").alias("at"))
+    path = scratch_path(spark, "pull")
+    feeds.pull_into(changes, path, "key", "at", scratch_path(spark, "mark")).awaitTermination()
+    return feeds.current(spark, path)
+
+
+@register("stm09_daily_votes", "SELECT user_id AS waypoint_id, event_type AS status, strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL")
+def stm09(spark, sf_dir):
+    """Reports by waypoint, status and day of their own time; the same plan runs on a stream with its watermark."""
+    reports = table(spark, sf_dir, "events").select(F.col("user_id").alias("waypoint_id"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("observed_at"))
+    votes = feeds.water_votes(reports)
+    return votes.select("waypoint_id", "status", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n")
+
+
+@register("stm10_sane_times", "SELECT event_id, strftime(least(CAST(ts AS TIMESTAMP), TIMESTAMP '2024-01-03 00:10:00'), '%Y-%m-%d %H:%M:%S') AS at FROM events")
+def stm10(spark, sf_dir):
+    import datetime
+
+    reports = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("observed_at"))
+    sane = feeds.sane_time(reports, datetime.datetime(2024, 1, 3))
+    return sane.select("event_id", F.date_format("observed_at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@register("stm12_followed_track", "WITH p AS (SELECT event_id, -35 + event_id * 37 % 100 / 1000.0 AS lat FROM events) SELECT event_id AS seq, arg_min(k, {'d': abs(lat - (-35 + k * 0.01)), 'k': k}) AS idx FROM p, (SELECT unnest(range(11)) AS k) t GROUP BY event_id")
+def stm12(spark, sf_dir):
+    """Positions as they come in, each on the nearest point of a straight track of eleven."""
+    k = F.col("event_id")
+    positions = event_stream(spark, sf_dir).select(F.col("user_id").alias("device"), k.alias("seq"), (-35 + k * 37 % 100 / 1000.0).alias("lat"), F.lit(148.0).alias("lon"))
+    return drained(feeds.follow(positions, [(-35 + i * 0.01, 148.0) for i in range(11)])).select("seq", "idx")

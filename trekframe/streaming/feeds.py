@@ -57,7 +57,7 @@ def once(events: DataFrame, keys: list[str], at: str, within: str = "1 hour") ->
 
 
 def limit_rate(events: DataFrame, limit: int, window_ms: int) -> DataFrame:
-    """``(key, seq, allowed)``: a sliding-window limit; a key's state is its allowed times within the window (STM04, STM05).
+    """``(key, seq, allowed)``: a sliding-window limit; a key's state is its allowed times within the window (STM04).
 
     ``events`` are ``(key, seq, ms)``; refused ones do not count.
     """
