@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from trekframe.llm import decontaminate, embedding_dedup, jaccard_join, license_scan, packing, quality, suffix_dedup, token_counts, toxicity, warc
+from trekframe.llm import decontaminate, embedding_dedup, jaccard_join, license_scan, packing, quality, suffix_dedup, token_counts, toxicity, vector_codes, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -117,6 +117,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_report(_table(spark, sf_dir, "documents"), min_bytes=100)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors by four parts, with codebooks trained on all of them."""
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_token_counts": op2_token_counts,
@@ -128,6 +133,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_vector_codes": op12_vector_codes,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op4_license_scan": license_scan.oracle_sql(), "op7_warc": OP7_SQL, "op8_jaccard_join": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op4_license_scan": license_scan.oracle_sql(), "op7_warc": OP7_SQL, "op8_jaccard_join": OP8_SQL,
+    "op12_vector_codes": vector_codes.oracle_sql()}
