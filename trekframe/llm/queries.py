@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from trekframe.llm import decontaminate, embedding_dedup, jaccard_join, license_scan, packing, quality, suffix_dedup, token_counts, toxicity, vector_codes, warc
+from trekframe.llm import conversation_repair, decontaminate, embedding_dedup, jaccard_join, license_scan, packing, quality, suffix_dedup, token_counts, toxicity, vector_codes, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -122,6 +122,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every damaged conversation."""
+    return conversation_repair.repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_token_counts": op2_token_counts,
@@ -134,7 +139,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op12_vector_codes": op12_vector_codes,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op4_license_scan": license_scan.oracle_sql(), "op7_warc": OP7_SQL, "op8_jaccard_join": OP8_SQL,
-    "op12_vector_codes": vector_codes.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_dedup": OP1_SQL,
+    "op4_license_scan": license_scan.oracle_sql(),
+    "op7_warc": OP7_SQL,
+    "op8_jaccard_join": OP8_SQL,
+    "op12_vector_codes": vector_codes.oracle_sql(),
+    "op13_conversation_repair": conversation_repair.oracle_sql(),
+}
