@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from trekframe.llm import conversation_repair, decontaminate, embedding_dedup, jaccard_join, license_scan, packing, quality, suffix_dedup, token_counts, toxicity, vector_codes, warc
+from trekframe.llm import conversation_repair, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, packing, quality, suffix_dedup, token_counts, toxicity, vector_codes, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -117,6 +117,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_report(_table(spark, sf_dir, "documents"), min_bytes=100)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents."""
+    return language_id.predict_languages(_table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all vectors by four parts, with codebooks trained on all of them."""
     return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
@@ -138,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_language_id": op11_language_id,
     "op12_vector_codes": op12_vector_codes,
     "op13_conversation_repair": op13_conversation_repair,
 }
