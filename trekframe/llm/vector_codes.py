@@ -133,7 +133,8 @@ def vector_codes(vectors: DataFrame, parts: int = 4, entries: int = 256, rounds:
     first = rows.orderBy(*order).limit(1).collect()
     width = len(first[0].v) if first else 0
     rows = rows.where(F.size("v") == width)
-    start = np.array([r.v for r in rows.orderBy(*order).limit(entries).select("v").collect()], dtype=np.int64).reshape(-1, width)
+    start = [r.v for r in rows.orderBy(*order).limit(entries).select("v").collect()]
+    start = np.array(start, dtype=np.int64).reshape(len(start), width)
     cuts = part_cuts(width, parts)
     books = [start[:, c] for c in cuts]
     for _ in range(rounds if len(start) and width else 0):
