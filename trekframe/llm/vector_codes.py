@@ -17,36 +17,29 @@ from trekframe.storage import materialize
 _LONG = (1 << 63) - 1
 
 
-def segment_summaries(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row cut into ``n`` segments: their lengths, means, and norms of what is left beside the means."""
+def segment_summaries(x: np.ndarray, n: int) -> np.ndarray:
+    """Of each row cut into ``n`` segments: the segments' means times the roots of their lengths, then the norms of what is
+    left beside the means. The squared distance of two rows is at least that of their summaries."""
     cuts = np.array_split(np.arange(x.shape[1]), n)
-    means = np.stack([x[:, c].mean(axis=1) for c in cuts], axis=1)
-    rest = np.stack([np.sqrt(((x[:, c] - means[:, [k]]) ** 2).sum(axis=1)) for k, c in enumerate(cuts)], axis=1)
-    return np.array([len(c) for c in cuts], dtype=np.float64), means, rest
+    means = [x[:, c].mean(axis=1) for c in cuts]
+    rest = [np.sqrt(((x[:, c] - m[:, None]) ** 2).sum(axis=1)) for c, m in zip(cuts, means)]
+    return np.stack([m * len(c) ** 0.5 for c, m in zip(cuts, means)] + rest, axis=1)
 
 
 class Codebook:
-    """Integer entries of one part, and their summaries by one, two, four ... segments.
+    """Integer entries of one part, and their summaries by one, two, four and eight segments.
 
     In a segment of length L, with means m and residual norms r, a squared distance is at least
     ``L * (m1 - m2)^2 + (r1 - r2)^2``; summed over segments, and finer segments bound closer. A row's entries whose bound
-    exceeds the distance to the entry of the least bound are out; the rest go to the next level, and those left after
-    the finest get exact integer distances. ``slack`` covers the rounding of the bounds, so no entry is lost to it.
+    exceeds the exact distance to an entry met before are out; the rest go to the next level, and those left after the
+    finest get exact integer distances. ``slack`` covers the rounding of the bounds, so no entry is lost to it.
     """
 
     def __init__(self, entries: np.ndarray):
         self.entries = entries
-        width = entries.shape[1]
-        self.levels = [n for n in (1, 2, 4) if n <= width]
+        self.levels = [n for n in (1, 2, 4, 8) if n <= max(1, entries.shape[1] // 2)]
         self.top = max([abs(int(v)) for v in (entries.min(), entries.max())]) if entries.size else 0
-        self.known = [segment_summaries(entries.astype(np.float64), n) for n in self.levels]
-
-    def _exact(self, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        out = np.empty(len(i), dtype=x.dtype)
-        for a in range(0, len(i), 1 << 18):
-            d = x[i[a : a + (1 << 18)]] - self.entries[j[a : a + (1 << 18)]]
-            out[a : a + (1 << 18)] = (d * d).sum(axis=1)
-        return out
+        self.known = [segment_summaries(entries.astype(np.float64), n) for n in self.levels] if entries.size else []
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Per row the nearest entry (ties to the lower number), its squared distance, and how many distances were exact."""
@@ -54,38 +47,33 @@ class Codebook:
         if n == 0 or width == 0:
             return np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), 0
         top = max(self.top, abs(int(x.min())), abs(int(x.max())))
-        if 4 * top * top * width >= _LONG:  # squares of so large differences need whole numbers of any size
-            x = x.astype(object)
-            own = Codebook.__new__(Codebook)
-            own.__dict__ |= self.__dict__ | {"entries": self.entries.astype(object)}
-        else:
-            own = self
+        wide = 4 * top * top * width >= _LONG  # squares of so large differences need whole numbers of any size
+        entries = self.entries.astype(object) if wide else self.entries
         slack = 1e-9 * (float(top) ** 2 * width + 1)
-        real = x.astype(np.float64)
-        i, j, exact = None, None, 0
-        for level, (size, means, rest) in zip(self.levels, self.known):
-            _, m, r = segment_summaries(real, level)
-            if i is None:
-                bound = size[0] * (m[:, :1] - means[:, 0]) ** 2 + (r[:, :1] - rest[:, 0]) ** 2
-                first = bound.argmin(axis=1)
-                most = own._exact(x, np.arange(n), first).astype(np.float64)
-                i, j = np.nonzero(bound <= most[:, None] + slack)
-            else:
-                bound = ((m[i] - means[j]) ** 2 * size + (r[i] - rest[j]) ** 2).sum(axis=1)
-                starts = np.flatnonzero(np.diff(i, prepend=-1))
-                least = np.minimum.reduceat(bound, starts)
-                at = np.flatnonzero(bound == np.repeat(least, np.diff(starts, append=len(i))))
-                at = at[np.flatnonzero(np.diff(i[at], prepend=-1))]
-                most = np.minimum(most, own._exact(x, np.arange(n), j[at]).astype(np.float64))
-                keep = bound <= most[i] + slack
-                i, j = i[keep], j[keep]
-            exact += n
-        found = own._exact(x, i, j)
+        found = [self._nearest(x[a : a + 1024].astype(object if wide else np.int64), entries, slack) for a in range(0, n, 1024)]
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), sum(f[2] for f in found)
+
+    def _nearest(self, x: np.ndarray, entries: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray, int]:
+        def exact(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            d = x[i] - entries[j]
+            return (d * d).sum(axis=1)
+
+        real, every, most, n_exact = x.astype(np.float64), np.arange(len(x)), np.inf, 0
+        alive = np.ones((len(x), len(entries)), dtype=bool)
+        for level, known in zip(self.levels, self.known):
+            own = segment_summaries(real, level)
+            bound = (own * own).sum(axis=1)[:, None] + (known * known).sum(axis=1) - 2 * own @ known.T
+            bound[~alive] = np.inf
+            most = np.minimum(most, exact(every, bound.argmin(axis=1)).astype(np.float64))
+            alive = bound <= most[:, None] + slack
+            n_exact += len(x)
+        i, j = np.nonzero(alive)
+        far = exact(i, j)
         starts = np.flatnonzero(np.diff(i, prepend=-1))
-        least = np.minimum.reduceat(found, starts)
-        at = np.flatnonzero(found == np.repeat(least, np.diff(starts, append=len(i))))
+        least = np.minimum.reduceat(far, starts)
+        at = np.flatnonzero(far == np.repeat(least, np.diff(starts, append=len(i))))
         at = at[np.flatnonzero(np.diff(i[at], prepend=-1))]
-        return j[at], least, exact + len(i)
+        return j[at], least, n_exact + len(i)
 
 
 def part_cuts(width: int, parts: int) -> list[slice]:
