@@ -129,16 +129,17 @@ def segments(points: DataFrame) -> DataFrame:
     return after.where("lat2 is not null and not coalesce(_b, false)").drop("_b")
 
 
-def snap_to_track(places: DataFrame, points: DataFrame, radius_m: float, place_id: str = "place_id") -> DataFrame:
+def snap_to_track(places: DataFrame, points: DataFrame, radius_m: float, place_id: str = "place_id", keys: tuple[str, ...] = ()) -> DataFrame:
     """``(place_id, trail_id, idx, km, metres)``: where each place meets the nearest segment within the radius (JON14, JON15, JON47).
 
-    A segment goes to the cells along it, a place to its own; the earlier segment wins a tie.
+    A segment goes to the cells along it, a place to its own; the earlier segment wins a tie. With ``keys`` (``trail_id``),
+    places meet only the track of their own.
     """
     grid = Grid(radius_m)
     seg = segments(points)
     seg = seg.withColumn("_c", F.explode(grid.along(*(F.col(c) for c in ("lat1", "lon1", "lat2", "lon2"))))).select(*seg.columns, "_c.cy", "_c.cx")
-    near = places.select(place_id, "lat", "lon", *grid.own(F.col("lat"), F.col("lon")))
-    met = near.join(seg, ["cy", "cx"])
+    near = places.select(place_id, "lat", "lon", *keys, *grid.own(F.col("lat"), F.col("lon")))
+    met = near.join(seg, ["cy", "cx", *keys])
     ends = [F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")]
     met = met.withColumn("metres", segment_distance_m(*ends)).where(F.col("metres") <= radius_m)
     km = F.col("d1") + (F.col("d2") - F.col("d1")) * segment_fraction(*ends)
