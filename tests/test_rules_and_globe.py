@@ -219,10 +219,11 @@ def test_finishing_chain_drops_what_each_step_drops(spark):
     places = [
         (1, "Spring", tag(natural="spring", note="x"), -34.95, 148.001), (2, "Far spring", tag(natural="spring"), -34.9, 148.2), (3, None, tag(highway="bus_stop"), -34.9, 148.0),
         (4, "Blue Hut", tag(tourism="wilderness_hut"), -34.88, 148.0), (5, "Cafe", tag(amenity="cafe"), -34.8, 148.0), (6, "Bench", tag(amenity="bench"), -34.8, 148.0),
-        (7, "Second spring", tag(natural="spring", note="x"), -34.9501, 148.002), (8, "Third spring", tag(natural="spring"), -34.75, 148.0),
+        (7, "Second spring", tag(natural="spring", note="x"), -34.9501, 148.002), (10, "Mid spring", tag(natural="spring"), -34.95005, 148.0015), (8, "Third spring", tag(natural="spring"), -34.75, 148.0),
     ]
     frame = spark.createDataFrame(places, "place_id long, name string, tags map<string,string>, lat double, lon double")
     wp = spark.createDataFrame([(9, "hut", "Blue Hut", -34.8801, 148.0)], "waypoint_id long, type string, wp_name string, lat double, lon double")
-    got = {r.place_id: r for r in linkage.finish_places(frame, line, wp, 400.0, 50.0).collect()}
-    assert set(got) == {5, 7, 8} and got[7].tags == {"natural": "spring"} and got[5].category == "restaurant"  # of two springs in a slot, the first of all stays
+    got = {r.place_id: r for r in linkage.finish_places(frame, line, wp, 400.0, 50.0, city=(0.4, 0.2, 2, 5)).collect()}
+    assert set(got) == {1, 5, 7, 8}  # of three springs in one kilometre, the first and the last
+    assert got[7].tags == {"natural": "spring"} and got[5].category == "restaurant"
     assert abs(got[7].km - 5.6) < 0.2 and got[7].off_km == 0.18

@@ -49,10 +49,15 @@ def clamp(x: Column, low: float, high: float, default: float) -> Column:
 
 
 def backoff_ms(attempts: Column, base_ms: int = 30_000, most_ms: int = 3_600_000) -> Column:
-    """Doubling waits up to a limit (MTH11, MTH12)."""
+    """Doubling waits up to a limit (MTH11)."""
     return F.least(F.pow(F.lit(2.0), attempts) * base_ms, F.lit(float(most_ms))).cast("long")
 
 
+def fetch_backoff_ms(failures: Column) -> Column:
+    """The wait after so many failures in a row: an hour after none or one, doubled with each more, two days at most (MTH12)."""
+    return backoff_ms(F.least(F.greatest(failures - 1, F.lit(0)), F.lit(30)), 3_600_000, 172_800_000)
+
+
 def nice_step(span: Column, max_ticks: int) -> Column:
     """The least of 1, 2, 5 times a power of ten that gives at most so many ticks (MTH13)."""
     raw = span / max_ticks

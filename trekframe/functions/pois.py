@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -149,8 +152,22 @@ def is_walkable(tags: Column) -> Column:
     return way & F.when(yes("foot", FOOT_NO), False).when(yes("foot", FOOT_YES), True).otherwise(~yes("access", ACCESS_NO))
 
 
+# The kinds of places that a walker steers by in a town, each with the tags that tell it.
+ANCHORS = [
+    ("supermarket", {"shop": ["supermarket"]}), ("convenience", {"shop": ["convenience"]}), ("outdoor", {"shop": ["outdoor"]}),
+    ("post-office", {"amenity": ["post_office"]}), ("campground", {"tourism": ["camp_site", "caravan_site"]}), ("hut", {"tourism": ["wilderness_hut", "alpine_hut"]}),
+    ("hospital", {"amenity": ["hospital"], "emergency": ["yes"]}), ("station", {"railway": ["station"]}), ("ferry", {"amenity": ["ferry_terminal"]}),
+]
+
+
+def anchor_kind(tags: Column) -> Column:
+    """What a place anchors a walker's stay in a town by, null for any other place (MAP02)."""
+    has = lambda rule: reduce(and_, (F.coalesce(tag(tags, key).isin(values), F.lit(False)) for key, values in rule.items()))
+    return F.coalesce(*(F.when(has(rule), kind) for kind, rule in ANCHORS))
+
+
 def slim_tags(tags: Column) -> Column:
-    """The tags that are shown (PRJ01, MAP02)."""
+    """The tags that are shown (PRJ01)."""
     shown = [*PRIMARY_TAGS, *(key for key, _, _ in LABELLED_TAGS)]
     return F.map_filter(tags, lambda k, v: k.isin(shown) & F.coalesce(v != "", F.lit(False)))
 

@@ -176,23 +176,24 @@ def sectioned(rows: DataFrame, query: str, current: str) -> DataFrame:
     return met.withColumn("section", section).withColumn("place", F.row_number().over(w))
 
 
-def finish_places(places: DataFrame, points: DataFrame, waypoints: DataFrame, radius_m: float, slot_km: float, excluded: list[tuple[str, str]] = ()) -> DataFrame:
+def finish_places(places: DataFrame, points: DataFrame, waypoints: DataFrame, radius_m: float, spacing_km: float, excluded: list[tuple[str, str]] = (), city: tuple = (15.0, 7.5, 40, 5)) -> DataFrame:
     """The places of a trail that are worth showing (SIM21): set on the track within the radius, without noise, without those
-    that repeat a waypoint, thinned by category, with short numbers and the tags that are shown.
+    that repeat a waypoint, thinned where they are dense as in a ``city``, with short numbers and the tags that are shown.
 
     ``places`` are ``(place_id, name, tags, lat, lon)``, ``points`` a measured track, ``waypoints`` as in
     ``mark_duplicates``. Returns ``(place_id, trail_id, category, name, lat, lon, km, off_km, tags)``.
     """
     from trekframe.functions import pois
-    from trekframe.operators.ordered import thin_places
+    from trekframe.operators.ordered import dense_stretches, thin_dense
     from trekframe.operators.spatial import snap_to_track
 
     told = places.withColumns({"category": pois.categorise(F.col("tags")), "noise": pois.noise_reason(F.col("name"), F.col("tags"), list(excluded))})
     sound = materialize(told, "told").where("noise is null and category is not null").drop("noise")
     placed = materialize(sound.join(snap_to_track(sound, points, radius_m).select("place_id", "trail_id", "km", "metres"), "place_id"), "placed")
     copies = mark_duplicates(placed.select("place_id", "category", "name", "lat", "lon"), waypoints).select("place_id")
-    kept = placed.join(copies, "place_id", "left_anti").withColumns({"score": -F.col("metres"), "seq": F.col("place_id")})
-    thin = thin_places(kept, slot_km)
+    kept = placed.join(copies, "place_id", "left_anti").withColumns({"anchor": pois.anchor_kind(F.col("tags")), "branded": F.coalesce(pois.tag(F.col("tags"), "brand") != "", F.lit(False)), "off_km": F.col("metres") / 1000, "kept": F.lit(False)})
+    kept = materialize(kept, "kept")
+    thin = thin_dense(kept, dense_stretches(kept, *city), spacing_km)
     return thin.select(
         "place_id", "trail_id", "category", "name", js_round("lat", 6).alias("lat"), js_round("lon", 6).alias("lon"), js_round("km", 1).alias("km"), js_round(F.col("metres") / 1000, 2).alias("off_km"),
         pois.slim_tags(F.col("tags")).alias("tags"),

@@ -51,7 +51,8 @@ def dense_stretches(places: DataFrame, high: float, low: float, least: int, merg
     """``(key, from_bin, to_bin, n)``: stretches that are dense in places (WIN13).
 
     Unit bins, each with the mean of those within ``half``; islands of bins of at least ``low`` that hold one of
-    ``high``, joined over gaps of up to ``merge`` bins, of at least ``least`` places.
+    ``high``, joined over gaps of up to ``merge`` bins, of at least ``least`` places. A stretch begins and ends with a bin that holds
+    places.
     """
     bins = places.groupBy(key, F.floor("km").alias("bin")).agg(F.count("*").alias("n"))
     span = bins.groupBy(key).agg(F.min("bin").alias("a"), F.max("bin").alias("b"))
@@ -60,20 +61,35 @@ def dense_stretches(places: DataFrame, high: float, low: float, least: int, merg
     grid = grid.withColumn("density", F.sum("n").over(w.rangeBetween(-half, half)) / float(2 * half + 1)).where(F.col("density") >= low)
     grid = grid.withColumn("island", F.col("bin") - F.row_number().over(w))
     islands = grid.groupBy(key, "island").agg(F.min("bin").alias("a"), F.max("bin").alias("b"), F.max("density").alias("peak"), F.sum("n").alias("n")).where(F.col("peak") >= high)
-    w2 = Window.partitionBy(key).orderBy("a")
-    fresh = F.coalesce((F.col("a") - F.lag("b").over(w2) - 1 > merge).cast("int"), F.lit(0))
-    joined = islands.withColumn("_f", fresh).withColumn("g", F.sum("_f").over(w2)).groupBy(key, "g").agg(F.min("a").alias("from_bin"), F.max("b").alias("to_bin"))
-    inside = bins.join(joined, key).where(F.col("bin").between(F.col("from_bin"), F.col("to_bin")))
+    cells = islands.select(key, F.explode(F.sequence("a", "b")).alias("bin"))
+    w2 = Window.partitionBy(key).orderBy("bin")
+    fresh = F.coalesce((F.col("bin") - F.lag("bin").over(w2) - 1 > merge).cast("int"), F.lit(0))
+    joined = bins.select(key, "bin").join(cells, [key, "bin"], "left_semi").withColumn("_f", fresh).withColumn("g", F.sum("_f").over(w2))
+    joined = joined.groupBy(key, "g").agg(F.min("bin").alias("from_bin"), F.max("bin").alias("to_bin"))
+    reach = joined.withColumn("bin", F.explode(F.sequence("from_bin", "to_bin")))
+    inside = bins.join(reach, [key, "bin"])
     return inside.groupBy(key, "from_bin", "to_bin").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
-def thin_places(places: DataFrame, slot_km: float, key: str = "trail_id") -> DataFrame:
-    """Places kept of a crowd: the first and last of each category, and the best of each category and slot (WIN14)."""
-    cat = Window.partitionBy(key, "category")
-    slot = Window.partitionBy(key, "category", F.floor(F.col("km") / slot_km))
-    ends = (F.row_number().over(cat.orderBy("km", "seq")) == 1) | (F.row_number().over(cat.orderBy(F.desc("km"), F.desc("seq"))) == 1)
-    best = F.row_number().over(slot.orderBy(F.desc("score"), "km", "seq")) == 1
-    return places.withColumn("_k", ends | best).where("_k").drop("_k")
+def thin_dense(places: DataFrame, stretches: DataFrame, spacing_km: float = 2.0, key: str = "trail_id") -> DataFrame:
+    """Places left when dense stretches are thinned out (WIN14); those outside stay as they are.
+
+    ``places`` are ``(key, place_id, km, category, anchor, branded, off_km, kept)``, ``stretches`` as from
+    ``dense_stretches``. Inside a stretch stay: places that are ``kept`` in any case, the first and the last of each category,
+    and for each kind of ``anchor`` the best of every ``spacing_km`` from the stretch's start on: one of a brand, then the
+    one nearest the trail, then the lower km and id. Places and stretches meet by equal unit bins.
+    """
+    bins = stretches.select(key, F.explode(F.sequence("from_bin", "to_bin")).alias("_bin"), F.col("from_bin").alias("_from"))
+    met = places.withColumn("_bin", F.floor("km")).join(bins, [key, "_bin"], "left")
+    town = met.where("_from is not null")
+    better = [~F.coalesce("branded", F.lit(False)), F.col("off_km"), F.col("km"), F.col("place_id")]
+    cat = Window.partitionBy(key, "_from", "category")
+    first = F.row_number().over(cat.orderBy("km", *better)) == 1
+    last = F.row_number().over(cat.orderBy(F.desc("km"), *[c.desc() for c in better])) == 1
+    slot = Window.partitionBy(key, "_from", "anchor", F.floor((F.col("km") - F.col("_from")) / spacing_km)).orderBy(*better)
+    best = F.col("anchor").isNotNull() & (F.row_number().over(slot) == 1)
+    town = town.withColumn("_k", F.coalesce("kept", F.lit(False)) | first | last | best).where("_k").drop("_k")
+    return met.where("_from is null").unionByName(town).drop("_bin", "_from")
 
 
 def coalesce_intervals(rows: DataFrame, key: str = "trail_id") -> DataFrame:

@@ -133,29 +133,45 @@ def rate_limited(events: DataFrame, limit: int, window_ms: int, key: str = "key"
     return events.select(key, tie, at).groupBy(key).applyInPandas(one, f"{key} long, {tie} long, allowed boolean")
 
 
-def chain_tracks(ends: list[tuple]) -> list[tuple[int, bool]]:
-    """Order and direction of tracks ``(id, lat1, lon1, lat2, lon2)``: from the first on, always the nearest free end (SIM08)."""
-    left, out = list(ends), []
-    first = left.pop(0)
-    out.append((first[0], False))
-    at = first[3:]
-    while left:
-        best = min(((math.hypot(t[1 + 2 * r] - at[0], (t[2 + 2 * r] - at[1]) * math.cos(math.radians(at[0]))), k, r) for k, t in enumerate(left) for r in (0, 1)))
-        track = left.pop(best[1])
-        out.append((track[0], bool(best[2])))
-        at = track[1:3] if best[2] else track[3:]
-    return out
+def metres_between(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    a = math.sin(math.radians(lat2 - lat1) / 2) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+    return 2 * 6_371_000 * math.atan2(math.sqrt(a), math.sqrt(1 - a))
+
 
+def chain_tracks(ends: list[tuple]) -> list[tuple[int, bool, float | None]]:
+    """Order, direction and gap before each of tracks ``(id, lat1, lon1, lat2, lon2)`` (SIM08).
 
-def combine_tracks(tracks: DataFrame) -> DataFrame:
-    """``(trail_id, track_id, place, reversed)`` of each trail's tracks in walking order."""
+    The chain begins with the first track as it is drawn and grows at both ends: the nearest free end of all tracks left is
+    put behind it, or before it, turned round where that end asks for it. Ties go to the end of the chain, then to the
+    track that stands first.
+    """
+    left = list(ends[1:])
+    chain = [(ends[0][0], False, ends[0][1:3], ends[0][3:5])]  # id, reversed, where it starts and ends
+    while left:
+        head, tail = chain[0][2], chain[-1][3]
+        ways = []
+        for k, t in enumerate(left):
+            start, end = t[1:3], t[3:5]
+            ways += [(metres_between(*x, *y), k, n) for n, (x, y) in enumerate(((tail, start), (tail, end), (head, start), (head, end)))]
+        _, k, n = min(ways)
+        t = left.pop(k)
+        turned = n in (1, 2)
+        link = (t[0], turned, *((t[3:5], t[1:3]) if turned else (t[1:3], t[3:5])))
+        chain = [link, *chain] if n > 1 else [*chain, link]
+    return [(c[0], c[1], metres_between(*before[3], *c[2]) if before else None) for before, c in zip([None, *chain], chain)]
+
+
+def combine_tracks(tracks: DataFrame, warn_m: float = 100.0) -> DataFrame:
+    """``(trail_id, track_id, place, reversed, gap_m)`` of each trail's tracks in walking order; ``gap_m`` is the distance from
+    the track before where that is over ``warn_m``. The first track is that of the least id."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("track_id")
         order = chain_tracks(list(rows[["track_id", "lat1", "lon1", "lat2", "lon2"]].itertuples(index=False, name=None)))
-        return pd.DataFrame({"trail_id": rows["trail_id"].iloc[0], "track_id": [t for t, _ in order], "place": range(len(order)), "reversed": [r for _, r in order]})
+        gaps = [g if g is not None and g > warn_m else None for _, _, g in order]
+        return pd.DataFrame({"trail_id": rows["trail_id"].iloc[0], "track_id": [t for t, _, _ in order], "place": range(len(order)), "reversed": [r for _, r, _ in order], "gap_m": pd.array(gaps, dtype="Float64")})
 
-    return tracks.groupBy("trail_id").applyInPandas(one, "trail_id long, track_id long, place int, reversed boolean")
+    return tracks.groupBy("trail_id").applyInPandas(one, "trail_id long, track_id long, place int, reversed boolean, gap_m double")
 
 
 def rank_days(camps: list[tuple[float, int]], total: float, target: float, most: float, days: int = 14, width: int = 8) -> list[tuple[tuple, bool, int | None]]:

@@ -148,7 +148,7 @@ _SHOWN = [k for k in _VALUES if k in [*pois.PRIMARY_TAGS, *(key for key, _, _ in
     f"""WITH {PLACES} SELECT event_id, {rnd('value / 7', 6)} AS lat, {rnd('value / 3', 1)} AS along, array_to_string(list_sort(list_filter([{", ".join(f"'{k}=' || " + _TAG[k] for k in _SHOWN)}], lambda x: x IS NOT NULL)), ';') AS tags FROM p""",
 )
 def prj01(spark, sf_dir):
-    """Places with the tags that are shown and short numbers (PRJ01, MAP02)."""
+    """Places with the tags that are shown and short numbers (PRJ01)."""
     kept = F.transform(F.map_entries(pois.slim_tags(F.col("tags"))), lambda x: F.concat_ws("=", x["key"], x["value"]))
     return places(spark, sf_dir).select("event_id", js_round(F.col("value") / 7, 6).alias("lat"), js_round(F.col("value") / 3, 1).alias("along"), F.array_join(F.array_sort(kept), ";").alias("tags"))
 
@@ -210,3 +210,19 @@ def agg26(spark, sf_dir):
     """Places that repeat a waypoint and those that do not, by category (AGG26, FLT24)."""
     rows = places(spark, sf_dir).withColumns({"category": pois.categorise(F.col("tags")), "duplicate_of": F.when(F.col("event_id") % 5 == 0, "w")}).where("category is not null")
     return linkage.count_duplicates(rows, "category")
+
+
+# The tables of places have no such tags; they are dealt here in the same way.
+_TOWN = {"shop": ["", "supermarket", "convenience", "outdoor", "bakery"], "amenity": ["", "post_office", "hospital", "ferry_terminal", "cafe", "hospital", ""], "tourism": ["", "camp_site", "caravan_site", "alpine_hut", "", "wilderness_hut", "", "", "", "", ""], "emergency": ["", "yes", "no"], "railway": ["", "station", "", "", "", "", "", "", "", "", "", "", ""]}
+
+
+@register(
+    "map02_anchor_kinds",
+    f"""WITH t AS (SELECT event_id, {", ".join(f"{_dealt_sql(v)} AS {k}" for k, v in _TOWN.items())} FROM events)
+SELECT event_id, CASE WHEN shop IN ('supermarket', 'convenience', 'outdoor') THEN shop WHEN amenity = 'post_office' THEN 'post-office' WHEN tourism IN ('camp_site', 'caravan_site') THEN 'campground' WHEN tourism IN ('wilderness_hut', 'alpine_hut') THEN 'hut'
+  WHEN amenity = 'hospital' AND emergency = 'yes' THEN 'hospital' WHEN railway = 'station' THEN 'station' WHEN amenity = 'ferry_terminal' THEN 'ferry' END AS anchor FROM t""",
+)
+def map02(spark, sf_dir):
+    entries = F.array(*(F.struct(F.lit(k).alias("key"), _dealt(v).alias("value")) for k, v in _TOWN.items()))
+    rows = table(spark, sf_dir, "events").select("event_id", F.map_from_entries(F.filter(entries, lambda x: x["value"].isNotNull())).alias("tags"))
+    return rows.select("event_id", pois.anchor_kind(F.col("tags")).alias("anchor"))

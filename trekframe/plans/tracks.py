@@ -259,18 +259,19 @@ def win12(spark, sf_dir):
     return ordered.chain_groups(pts(spark, sf_dir), 1.0, tie="event_id").select("trail_id", "event_id", "grp")
 
 
-@register(
-    "win13_dense_stretches",
-    """WITH bins AS (SELECT l_suppkey AS trail_id, CAST(floor(l_orderkey / 50.0) AS BIGINT) AS bin, count(*) AS n FROM lineitem GROUP BY ALL),
+_STRETCHES = """bins AS (SELECT l_suppkey AS trail_id, CAST(floor(l_orderkey / 50.0) AS BIGINT) AS bin, count(*) AS n FROM lineitem GROUP BY ALL),
 grid AS (SELECT trail_id, unnest(generate_series(min(bin), max(bin))) AS bin FROM bins GROUP BY trail_id),
 d AS (SELECT g.trail_id, g.bin, coalesce(n, 0) AS n FROM grid g LEFT JOIN bins b ON b.trail_id = g.trail_id AND b.bin = g.bin),
 e AS (SELECT *, sum(n) OVER (PARTITION BY trail_id ORDER BY bin RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5.0 AS density FROM d),
 i AS (SELECT *, bin - row_number() OVER (PARTITION BY trail_id ORDER BY bin) AS island FROM e WHERE density >= 2),
 s AS (SELECT trail_id, island, min(bin) AS a, max(bin) AS b, max(density) AS peak FROM i GROUP BY ALL HAVING max(density) >= 4),
-m AS (SELECT *, coalesce((a - lag(b) OVER (PARTITION BY trail_id ORDER BY a) - 1 > 5)::INT, 0) AS f FROM s),
-k AS (SELECT *, sum(f) OVER (PARTITION BY trail_id ORDER BY a) AS g FROM m), j AS (SELECT trail_id, g, min(a) AS from_bin, max(b) AS to_bin FROM k GROUP BY ALL)
-SELECT j.trail_id, from_bin, to_bin, CAST(sum(n) AS BIGINT) AS n FROM j JOIN bins USING (trail_id) WHERE bin BETWEEN from_bin AND to_bin GROUP BY ALL HAVING sum(n) >= 20""",
-)
+c AS (SELECT b.trail_id, b.bin FROM bins b JOIN s ON s.trail_id = b.trail_id AND b.bin BETWEEN a AND b.bin AND b.bin <= s.b),
+m AS (SELECT *, coalesce((bin - lag(bin) OVER (PARTITION BY trail_id ORDER BY bin) - 1 > 5)::INT, 0) AS f FROM c),
+k AS (SELECT *, sum(f) OVER (PARTITION BY trail_id ORDER BY bin) AS g FROM m), j AS (SELECT trail_id, g, min(bin) AS from_bin, max(bin) AS to_bin FROM k GROUP BY ALL),
+stretches AS (SELECT j.trail_id, from_bin, to_bin, CAST(sum(n) AS BIGINT) AS n FROM j JOIN bins USING (trail_id) WHERE bin BETWEEN from_bin AND to_bin GROUP BY ALL HAVING sum(n) >= 20)"""
+
+
+@register("win13_dense_stretches", f"WITH {_STRETCHES} SELECT trail_id, from_bin, to_bin, n FROM stretches")
 def win13(spark, sf_dir):
     from trekframe.plans.tables import table
 
@@ -278,15 +279,27 @@ def win13(spark, sf_dir):
     return ordered.dense_stretches(rows, 4.0, 2.0, 20, 5)
 
 
+_ANCHOR = {1: "supermarket", 2: "station", 3: "hut"}
+
+
 @register(
     "win14_thin_places",
-    f"""WITH {PTS}, r AS (SELECT *, row_number() OVER (PARTITION BY trail_id, event_type ORDER BY km, event_id) AS a, row_number() OVER (PARTITION BY trail_id, event_type ORDER BY km DESC, event_id DESC) AS b,
-  row_number() OVER (PARTITION BY trail_id, event_type, floor(km / 20.0) ORDER BY ele DESC, km, event_id) AS c FROM pts)
-SELECT trail_id, event_id FROM r WHERE a = 1 OR b = 1 OR c = 1""",
+    f"""WITH {_STRETCHES}, p AS (SELECT DISTINCT l_suppkey AS trail_id, l_orderkey * 10 + l_linenumber AS place_id, l_orderkey / 50.0 AS km, l_linenumber % 4 AS category, CASE l_linenumber {" ".join(f"WHEN {k} THEN '{v}'" for k, v in _ANCHOR.items())} END AS anchor FROM lineitem),
+q AS (SELECT p.*, place_id % 5 = 0 AS branded, place_id % 37 / 100.0 AS off_km, place_id % 53 = 0 AS kept, from_bin FROM p LEFT JOIN stretches s ON s.trail_id = p.trail_id AND p.km >= from_bin AND p.km < to_bin + 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY trail_id, from_bin, category ORDER BY km, NOT branded, off_km, place_id) AS a, row_number() OVER (PARTITION BY trail_id, from_bin, category ORDER BY km DESC, NOT branded DESC, off_km DESC, place_id DESC) AS z,
+  row_number() OVER (PARTITION BY trail_id, from_bin, anchor, floor((km - from_bin) / 2.0) ORDER BY NOT branded, off_km, km, place_id) AS c FROM q)
+SELECT trail_id, place_id FROM r WHERE from_bin IS NULL OR kept OR a = 1 OR z = 1 OR (anchor IS NOT NULL AND c = 1)""",
 )
 def win14(spark, sf_dir):
-    rows = pts(spark, sf_dir).select("trail_id", "event_id", "km", F.col("event_type").alias("category"), F.col("ele").alias("score"), F.col("event_id").alias("seq"))
-    return ordered.thin_places(rows, 20.0).select("trail_id", "event_id")
+    """Lines of a supplier as places on its trail, thinned in the dense stretches."""
+    from trekframe.plans.tables import table
+
+    line, place = F.col("l_linenumber"), F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("trail_id"), place.alias("place_id"), (F.col("l_orderkey") / 50.0).alias("km"), (line % 4).alias("category"), F.coalesce(*(F.when(line == k, v) for k, v in _ANCHOR.items())).alias("anchor"),
+        (place % 5 == 0).alias("branded"), (place % 37 / 100.0).alias("off_km"), (place % 53 == 0).alias("kept"),
+    )
+    return ordered.thin_dense(rows.distinct(), ordered.dense_stretches(rows, 4.0, 2.0, 20, 5)).select("trail_id", "place_id")
 
 
 @register(

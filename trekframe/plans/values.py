@@ -52,9 +52,9 @@ def mth11(spark, sf_dir):
     return _event(spark, sf_dir, hiking.backoff_ms(F.col("event_id") % 12).alias("ms"))
 
 
-@register("mth12_fetch_backoff", "SELECT event_id, CAST(least(pow(2, event_id % 9) * 900000, 86400000) AS BIGINT) AS ms FROM events")
+@register("mth12_fetch_backoff", "SELECT event_id, CAST(least(pow(2, greatest(event_id % 9 - 1, 0)) * 3600000, 172800000) AS BIGINT) AS ms FROM events")
 def mth12(spark, sf_dir):
-    return _event(spark, sf_dir, hiking.backoff_ms(F.col("event_id") % 9, 900_000, 86_400_000).alias("ms"))
+    return _event(spark, sf_dir, hiking.fetch_backoff_ms(F.col("event_id") % 9).alias("ms"))
 
 
 @register("mth14_tiles", f"WITH {CUST} SELECT place_id, CAST(floor((lon + 180) / 360 * 16384) AS BIGINT) AS x, CAST(floor((1 - asinh(tan(radians(lat))) / 3.141592653589793) / 2 * 16384) AS BIGINT) AS y FROM cust")
