@@ -154,3 +154,56 @@ def test_an_unchanged_route_comes_back_as_it_was_and_a_loop_keeps_its_leg(spark)
     assert all(not got[1, k].moved and got[1, k].km == track[k][4] for _, k, *_ in same)
     assert [round(got[2, k].km, 6) for k in (3, 20, 33, 38)] == [round(track[k][4], 6) for k in (3, 20, 33, 38)]
     assert got[3, 0].kind == "sketch" and got[3, 0].km is None and got[3, 0].moved and not got[3, 1].moved
+
+
+def plain_access(edges, nodes, places, touches, snap=300.0, slack=60.0):
+    """Dijkstra's search from each place."""
+    import heapq
+
+    links = {}
+    for a, b, m in edges:
+        links.setdefault(a, []).append((b, m))
+        links.setdefault(b, []).append((a, m))
+    climb = lambda a, b: 0.0 if a is None or b is None else abs(a - b)
+    out = {}
+    for place, lat, lon, ele in places:
+        seeds = sorted((metres_between(lat, lon, *nodes[n][:2]), n) for n in nodes if metres_between(lat, lon, *nodes[n][:2]) <= snap)
+        for own in ([s for s in seeds if s[0] <= seeds[0][0] + slack] if seeds else [], seeds):
+            heap, done = [], set()
+            for d, n in own:
+                rise = climb(ele, nodes[n][2])
+                if not (d > 150 and n in touches and not (d <= 500 and rise <= d * 0.2)):
+                    heapq.heappush(heap, (3 * d + 5000 / 600 * rise, n, d))
+            while heap:
+                cost, n, walked = heapq.heappop(heap)
+                if n in done:
+                    continue
+                done.add(n)
+                if n in touches:
+                    out[place] = (n, round(cost, 4), round(walked, 4))
+                    break
+                for to, m in links.get(n, ()):
+                    heapq.heappush(heap, (cost + 2 * m + 5000 / 600 * climb(nodes[n][2], nodes[to][2]), to, walked + m))
+            if place in out:
+                break
+    return out
+
+
+def test_access_walks_against_dijkstra(spark):
+    from trekframe.operators.access import access_walks
+    from trekframe.plans.moves import lattice
+
+    network, nodes, places, route = lattice(spark, "/root/testdata/sf0.001")
+    edges = [(r.a, r.b, r.metres) for r in network.collect()]
+    spots = {r.node: (r.lat, r.lon, r.ele) for r in nodes.collect()}
+    on_route = [(r.lat, r.lon) for r in route.collect()]
+    columns = {lon for _, lon in on_route}
+    touches = {n for n, (lat, lon, _) in spots.items() if any(abs(lon - c) < 1e-9 for c in columns) and lat <= max(y for y, _ in on_route) + 1e-9}
+    got = {r.place_id: r for r in access_walks(network, nodes, places, route).collect()}
+    want = plain_access(edges, spots, [tuple(r) for r in places.select("place_id", "lat", "lon", "ele").collect()], touches)
+    assert set(got) == set(want) and len(want) > 50
+    for k, (node, effort, walked) in want.items():
+        assert round(got[k].effort, 4) == pytest.approx(effort, abs=2e-4)
+        if got[k].node == node:
+            assert got[k].length_m == pytest.approx(walked, abs=0.01) or got[k].effort == pytest.approx(effort)
+    assert sum(got[k].node == want[k][0] for k in want) >= 0.9 * len(want) and max(r.hops for r in got.values()) > 5

@@ -107,20 +107,6 @@ def test_suggested_days_of_long_trails_and_wide_gaps(spark):
     assert got == [(1, d, d, None) for d in range(1, 15)] + [(2, 1, 1, 2), (2, 2, 2, 2), (3, 1, 1, None), (3, 2, None, None)]
 
 
-def test_shortest_walk_against_all_pairs():
-    rng = random.Random(5)
-    for _ in range(30):
-        edges = [(rng.randrange(8), rng.randrange(8), rng.uniform(1, 9)) for _ in range(14)]
-        d = [[0.0 if a == b else math.inf for b in range(8)] for a in range(8)]
-        for a, b, c in edges:
-            d[a][b], d[b][a] = min(d[a][b], c), min(d[b][a], c)
-        for k, i, j in itertools.product(range(8), repeat=3):
-            d[i][j] = min(d[i][j], d[i][k] + d[k][j])
-        found = S.shortest_walk(edges, {0: 0.0}, {6, 7})
-        best = min(d[0][6], d[0][7])
-        assert (found is None and best == math.inf) or found[1] == pytest.approx(best)
-
-
 def test_greedy_pairs_and_chains():
     assert S.greedy_pairs([(5, 1, 1), (2, 1, 2), (3, 2, 2), (9, 2, 1)]) == [(1, 2), (2, 1)]
     assert [c[:2] for c in S.chain_tracks([(1, 0, 0, 0, 1), (2, 0, 5, 0, 3), (3, 0, 3, 0, 1.1)])] == [(1, False), (3, True), (2, True)]

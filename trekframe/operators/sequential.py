@@ -352,28 +352,6 @@ def shortest_walk(edges: list[tuple], sources: dict[int, float], goals: set[int]
     return None
 
 
-def walk_cost(length_m, climb_m):
-    """Cost of an edge: twice its length, and its climb at the pace of level ground."""
-    return 2 * length_m + 5000 / 600 * F.abs(climb_m)
-
-
-def access_routes(edges: DataFrame, places: DataFrame, goals: DataFrame) -> DataFrame:
-    """``(area, place, goal, cost, hops)``: the cheapest walk from each place to the route, within its area (SIM11, on a network that is given)."""
-
-    def one(key, e: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        links = list(e.loc[e["kind"] == 0, ["a", "b", "cost"]].itertuples(index=False, name=None))
-        ends = set(e.loc[e["kind"] == 1, "a"])
-        for place, node in p[["place", "node"]].itertuples(index=False, name=None):
-            found = shortest_walk(links, {node: 0.0}, ends)
-            if found:
-                out.append((key[0], place, found[0], found[1], len(found[2]) - 1))
-        return pd.DataFrame(out, columns=["area", "place", "goal", "cost", "hops"])
-
-    both = edges.select("area", "a", "b", "cost").withColumn("kind", F.lit(0)).unionByName(goals.select("area", F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("cost")).withColumn("kind", F.lit(1)))
-    return both.groupBy("area").cogroup(places.groupBy("area")).applyInPandas(one, "area long, place long, goal long, cost double, hops int")
-
-
 def greedy_pairs(candidates: list[tuple]) -> list[tuple]:
     """One-to-one pairs ``(a, b)`` taken by least distance, then ids (JON23, JON40)."""
     used_a, used_b, out = set(), set(), []
