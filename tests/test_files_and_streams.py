@@ -88,16 +88,6 @@ def test_pull_is_applied_once(spark, tmp_path):
     assert {(r.id, r.v) for r in rows} == {(2, "b"), (3, "c")}
 
 
-def test_stream_follows_a_track(spark, tmp_path):
-    track = [(-35 + k * 0.001, 148.0) for k in range(100)]
-    rows = spark.createDataFrame([(1, k, -35 + k * 0.0101, 148.0) for k in range(9)], "device long, seq long, lat double, lon double")
-    rows.write.parquet(str(tmp_path / "p"))
-    from trekframe.plans.streams import drained
-
-    got = drained(feeds.follow(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "p")), track)).collect()
-    assert {r.seq: r.idx for r in got} == {k: round(k * 10.1) for k in range(9)}
-
-
 def test_stream_rate_limit_equals_the_batch(spark):
     from trekframe.plans import load_queries
 

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 QUERIES, TWINS = load_queries()
 # Beyond SQL; their operators are held against brute force in test_sequential, test_rules_and_globe and test_files_and_streams.
 TESTED_ELSEWHERE = """sim01_douglas_peucker sim02_simplify_to_target stm04_rate_limit stm04_rate_limit_stream sim08_combine_tracks srt12_suggest_days sim11_access_walks jon23_match_one_to_one set11_drop_close_stops
-win26_reach_in_hours str12_python_text snk01_gpx_documents jon20_mark_duplicates_by_letters str03_letter_ratio snk06_mobile_json jon40_known_retraces srt13_greedy_days sim12_candidate_clusters sim21_finished_places jon40_paired_retraces jon40_stale_retraces jon23_registry_ids jon23_retired_entries""".split()
+win26_reach_in_hours str12_python_text snk01_gpx_documents jon20_mark_duplicates_by_letters str03_letter_ratio snk06_mobile_json jon40_known_retraces srt13_greedy_days sim12_candidate_clusters sim21_finished_places jon40_paired_retraces jon40_stale_retraces jon23_registry_ids jon23_retired_entries stm06_outbox_outcomes""".split()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

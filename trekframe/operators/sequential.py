@@ -328,30 +328,6 @@ def suggest_days(camps: DataFrame, target: float, most: float, plans: int = 1, d
     return camps.select("trail_id", "km", "camp", "total").groupBy("trail_id").applyInPandas(one, schema)
 
 
-def shortest_walk(edges: list[tuple], sources: dict[int, float], goals: set[int]) -> tuple[int, float, list[int]] | None:
-    """Nearest goal from any source, its cost and the way to it: multi-source Dijkstra over ``(a, b, cost)`` (SIM11)."""
-    links: dict[int, list] = {}
-    for a, b, c in edges:
-        links.setdefault(a, []).append((b, c))
-        links.setdefault(b, []).append((a, c))
-    best, came, heap = dict(sources), {}, [(c, n) for n, c in sources.items()]
-    heapq.heapify(heap)
-    while heap:
-        cost, node = heapq.heappop(heap)
-        if cost > best.get(node, math.inf):
-            continue
-        if node in goals:
-            path = [node]
-            while path[-1] in came:
-                path.append(came[path[-1]])
-            return node, cost, path[::-1]
-        for to, c in links.get(node, ()):
-            if cost + c < best.get(to, math.inf):
-                best[to], came[to] = cost + c, node
-                heapq.heappush(heap, (cost + c, to))
-    return None
-
-
 def greedy_pairs(candidates: list[tuple]) -> list[tuple]:
     """One-to-one pairs ``(a, b)`` taken by least distance, then ids (JON23, JON40)."""
     used_a, used_b, out = set(), set(), []
