@@ -198,13 +198,3 @@ def finish_places(places: DataFrame, points: DataFrame, waypoints: DataFrame, ra
         "place_id", "trail_id", "category", "name", js_round("lat", 6).alias("lat"), js_round("lon", 6).alias("lon"), js_round("km", 1).alias("km"), js_round(F.col("metres") / 1000, 2).alias("off_km"),
         pois.slim_tags(F.col("tags")).alias("tags"),
     )
-
-
-def query_texts(rules: DataFrame, south: float, west: float, north: float, east: float) -> DataFrame:
-    """``(category, text)``: what to ask a map server for (UDF05). Rules ``(category, key, value)`` of one key are one pattern,
-    and each statement stands once; the box is the same for all."""
-    box = f"({south},{west},{north},{east})"
-    values = F.array_sort(F.collect_set("value"))
-    per = rules.groupBy("category", "key").agg(F.when(F.size(values) == 1, F.concat(F.lit('="'), values[0], F.lit('"'))).otherwise(F.concat(F.lit('~"^('), F.array_join(values, "|"), F.lit(')$"'))).alias("test"))
-    lines = F.array_sort(F.collect_set(F.concat(F.lit('nwr["'), "key", F.lit('"'), "test", F.lit(f"]{box};"))))
-    return per.groupBy("category").agg(F.concat(F.lit("[out:json];("), F.array_join(lines, ""), F.lit(");out center;")).alias("text"))

@@ -169,13 +169,13 @@ def bounds(points: DataFrame, buffer_deg: float = 0.0) -> DataFrame:
     )
 
 
-def world_cells(spark, step: int, south: int, north: int, west: int, east: int, shards: list[tuple[str, float, float, float, float]]) -> DataFrame:
-    """``(lat, lon, shard)`` of the cells of a lattice in a box (SIM14); a cell belongs to the first shard ``(name, south,
-    north, west, east)`` whose half-open box holds its centre."""
-    lat, lon = (F.explode(F.sequence(F.lit(a), F.lit(b - step), F.lit(step))) for a, b in ((south, north), (west, east)))
-    cells = spark.range(1).select(lat.alias("lat")).select("lat", lon.alias("lon"))
+def cells_of(places: DataFrame, step: int, shards: list[tuple[str, float, float, float, float]]) -> DataFrame:
+    """``(lat, lon, shard, n)``: the cells of a world-wide lattice that hold places, with their number (SIM14); a cell belongs to
+    the first shard ``(name, south, north, west, east)`` whose half-open box holds its centre, null if none does."""
+    corner = lambda c: (F.floor(F.col(c) / step) * step).cast("int").alias(c)
+    cells = places.groupBy(corner("lat"), corner("lon")).agg(F.count("*").alias("n"))
     y, x = F.col("lat") + step / 2, F.col("lon") + step / 2
-    return cells.select("lat", "lon", F.coalesce(*(F.when((y >= s) & (y < n) & (x >= w) & (x < e), name) for name, s, n, w, e in shards)).alias("shard"))
+    return cells.select("lat", "lon", F.coalesce(*(F.when((y >= s) & (y < n) & (x >= w) & (x < e), name) for name, s, n, w, e in shards)).alias("shard"), "n")
 
 
 def visits(places: DataFrame, points: DataFrame, radius_m: float, place_id: str = "place_id", merge_loops: bool = False) -> DataFrame:

@@ -8,13 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def page_size(raw: str | int | None, default: int = 20, most: int = 100) -> int:
-    """(SRT17)"""
-    try:
-        n = int(raw)
-    except (TypeError, ValueError):
-        return default
-    return default if n < 1 else min(n, most)
+def page_sizes(raw: Column, default: int = 20, most: int = 100) -> Column:
+    """The page sizes that requests ask for: whole numbers from 1 up to the most, the default for anything else (SRT17)."""
+    n = F.trim(raw).try_cast("int")
+    return F.when(n >= 1, F.least(n, F.lit(most))).otherwise(F.lit(default))
 
 
 def encode_cursor(value: str, row_id: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("tracks", "places", "relational", "scalars", "sequences", "streams", "planner", "pois", "routes", "values", "copies", "files", "chains", "moves")
+MODULES: tuple[str, ...] = ("tracks", "places", "relational", "scalars", "sequences", "streams", "planner", "pois", "routes", "values", "copies", "files", "chains", "moves", "corridors")
 
 
 def load_queries():

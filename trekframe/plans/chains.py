@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trekframe.functions import pois
 from trekframe.functions.rounding import js_round
 from trekframe.operators import linkage, ordered, sequential, spatial, sync, track
 from trekframe.plans.places import _T
@@ -324,17 +323,6 @@ def sim12(spark, sf_dir):
     return sequential.cluster_candidates(box, 6.0)
 
 
-_SHARDS = [("americas", -60.0, 80.0, -170.0, -30.0), ("asia-south", -20.0, 30.0, 60.0, 180.0), ("north", 30.0, 80.0, -180.0, 180.0), ("rest", -90.0, 90.0, -180.0, 180.0)]
-
-
-@register(
-    "sim14_world_cells",
-    "SELECT lat, lon, " + "CASE " + " ".join(f"WHEN lat + 1 >= {s} AND lat + 1 < {n} AND lon + 1 >= {w} AND lon + 1 < {e} THEN '{name}'" for name, s, n, w, e in _SHARDS) + " END AS shard FROM (SELECT CAST(unnest(range(-60, 80, 2)) AS INT) AS lat) a CROSS JOIN (SELECT CAST(unnest(range(-180, 180, 2)) AS INT) AS lon) b",
-)
-def sim14(spark, sf_dir):
-    return spatial.world_cells(spark, 2, -60, 80, -180, 180, _SHARDS)
-
-
 @register("sim19_contour_index", "SELECT event_id, CAST(floor(value * 10) AS INT) AS elevation, CASE WHEN CAST(floor(value * 10) AS INT) % 50 = 0 THEN 1 ELSE 0 END AS is_index FROM events")
 def sim19(spark, sf_dir):
     height = F.floor(F.col("value") * 10).cast("int")
@@ -372,16 +360,3 @@ def udf04(spark, sf_dir):
     p = pts(spark, sf_dir).select("event_id", "trail_id", (F.col("ele") * 2).alias("km"))
     spans = p.select("trail_id").distinct().select("trail_id", F.inline(F.array(*(F.struct(F.lit(a).alias("from_km"), F.lit(b).alias("to_km"), F.lit(n).alias("number")) for a, b, n in ((0.0, 59.999999999, 1), (60.0, 120.0, 2))))))
     return ordered.first_containing(p, spans).select("event_id", "number")
-
-
-_RULES = ", ".join(f"('{c}', '{k}', '{v}')" for c, k, v in pois.CATALOG + pois.FALLBACKS)
-
-
-@register(
-    "udf05_map_queries",
-    f"""WITH r(category, k, v) AS (VALUES {_RULES}), t AS (SELECT category, k, CASE WHEN count(DISTINCT v) = 1 THEN '="' || min(v) || '"' ELSE '~"^(' || string_agg(DISTINCT v, '|' ORDER BY v) || ')$"' END AS test FROM r GROUP BY category, k),
-l AS (SELECT category, 'nwr["' || k || '"' || test || '](-39.0,144.0,-30.0,153.0);' AS line FROM t) SELECT category, '[out:json];(' || string_agg(line, '' ORDER BY line) || ');out center;' AS text FROM l GROUP BY category""",
-)
-def udf05(spark, sf_dir):
-    rules = spark.createDataFrame(pois.CATALOG + pois.FALLBACKS, "category string, key string, value string")
-    return linkage.query_texts(rules, -39.0, 144.0, -30.0, 153.0)

@@ -187,12 +187,6 @@ def srt10(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.row_number().over(w).alias("place"))
 
 
-@register("srt17_page_sizes", "SELECT * FROM (VALUES ('none', 20), ('x', 20), ('0', 20), ('-3', 20), ('7', 7), ('5000', 100)) t(raw, size)")
-def srt17(spark, sf_dir):
-    asked = [("none", None), ("x", "x"), ("0", "0"), ("-3", "-3"), ("7", "7"), ("5000", "5000")]
-    return spark.createDataFrame([(name, sync.page_size(raw)) for name, raw in asked], "raw string, size int")
-
-
 @register("srt18_plan_deltas", _PAGE.format("o_custkey % 10 = 1 AND (o_orderdate, o_orderkey) > (TIMESTAMP '1996-03-01', 0)", "o_orderdate, o_orderkey", 31))
 def srt18(spark, sf_dir):
     return sync.keyset_page(_orders(spark, sf_dir).where("o_custkey % 10 = 1"), "o_orderdate", "o_orderkey", 30, (_MARK, 0), descending=False).select("o_orderkey")
