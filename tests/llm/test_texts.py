@@ -103,7 +103,14 @@ def test_license_scan(spark):
         assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
         assert r.base_labels == ",".join(sorted({x for _, x in places}))
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+        if places:
+            assert r.score == 1
     assert "mit" in got[7].labels and got[7].n_base == 0 and got[6].labels == ""
+    notice = license_scan.NOTICES[2][0]
+    rows = [(k, phrase * n) for k, (phrase, n) in enumerate([("cc by nc ", 3), ("under the mit license ", 9), (notice + " ", 4), (" ".join(notice.split()[:9] + ["or"] + notice.split()[9:]) + " ", 2), ("cc by nc so cc by ", 5)])]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[k].n_base, got[k].labels, got[k].score) for k in (0, 1, 2)] == [(3, "cc-by-nc", 1.0), (9, "mit", 1.0), (0, "bsd", 1.0)]
+    assert got[3].labels == "bsd" and got[3].score > 0.8 and (got[4].n_base, got[4].score) == (5, 1.0)
 
 
 @pytest.fixture(scope="module")

@@ -58,9 +58,10 @@ def scan_licenses(docs: DataFrame, base: list[tuple[str, str]] = BASE, notices:
 
     Words are runs of lower-cased letters, digits and non-ASCII characters. All rolling n-grams of all texts are joined
     with the templates' positions, and hits vote for their diagonal (place in the text less place in the template). A
-    base phrase stands wherever a diagonal has all its n-grams. For every template, neighbouring diagonals are merged
-    and a passage counts from ``cover`` of its n-grams on; it adds its label. ``score`` is the best share shown, zero
-    below ``cover``. Joined n-grams are compared word by word, so no hash decides.
+    base phrase stands wherever a diagonal has all its n-grams. For every template, each diagonal is merged with those up to
+    ``SLACK`` after it, and such a passage counts from ``cover`` of the n-grams on; it adds its label. Diagonals farther
+    apart are passages of their own, however many lie between. ``score`` is the best share shown, so 1 with any base
+    phrase, zero below ``cover``. Joined n-grams are compared word by word, so no hash decides.
 
     Null and empty texts have no words. Repeated rows are rows of their own. Only hits and one row per document are
     shuffled. ``first_word`` and ``last_word`` are null where no base phrase stands.
@@ -75,23 +76,19 @@ def scan_licenses(docs: DataFrame, base: list[tuple[str, str]] = BASE, notices:
     document = ["doc_id", "text_key", "n_words"]
     votes = hits.select(*document, "template", "label", "base", "t_grams", "t_pos", F.col("pos").cast("long").alias("pos"), (F.col("pos") - F.col("t_pos")).cast("long").alias("diagonal"))
     votes = votes.groupBy(*document, "template", "label", "base", "t_grams", "diagonal").agg(
-        F.count_distinct("t_pos").alias("n_hits"), F.collect_set("t_pos").alias("shown"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n_rows")
+        F.count_distinct("t_pos").alias("n_hits"), F.collect_set("t_pos").alias("shown"), F.count("*").alias("n_rows")
     )
     along = Window.partitionBy(*document, "template").orderBy("diagonal")
-    fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > SLACK, F.lit(True)).cast("int")
-    votes = votes.withColumn("fresh", fresh).withColumn("passage", F.sum("fresh").over(along))
+    # what a diagonal and those next to it show together; a passage starts at each
+    beside = F.flatten(F.collect_list("shown").over(along.rangeBetween(0, SLACK)))
     exact = F.col("base") & (F.col("n_hits") == F.col("t_grams"))
-    passages = votes.groupBy(*document, "template", "label", "base", "t_grams", "passage").agg(
-        F.count(F.when(exact, 1)).alias("places"), F.min(F.when(exact, F.col("diagonal"))).alias("lo"), F.max(F.when(exact, F.col("diagonal"))).alias("hi"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("shown")))).alias("n_shown"), F.max("n_rows").alias("n_rows"), F.min("first").alias("first"), F.max("last").alias("last"),
-    )
-    share = F.when(F.col("template").isNotNull(), F.col("n_shown") / F.col("t_grams"))
-    good = (share >= cover) & (F.col("last") - F.col("first") < 2 * F.col("t_grams") + SLACK)
-    found = passages.groupBy(*document).agg(
-        F.sum("places").alias("n_base"), F.min("lo").alias("first_word"), F.max("hi").alias("last_word"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("places") > 0, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set(F.when(good | (F.col("places") > 0), F.col("label")))), ",").alias("labels"),
-        F.coalesce(F.max(F.when(good, share)), F.lit(0.0)).alias("score"),
+    votes = votes.withColumn("share", F.when(F.col("template").isNotNull(), F.size(F.array_distinct(beside)) / F.col("t_grams")))
+    good = F.col("share") >= cover
+    found = votes.groupBy(*document).agg(
+        F.count(F.when(exact, 1)).alias("n_base"), F.min(F.when(exact, F.col("diagonal"))).alias("first_word"), F.max(F.when(exact, F.col("diagonal"))).alias("last_word"),
+        F.array_join(F.array_sort(F.collect_set(F.when(exact, F.col("label")))), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.collect_set(F.when(good, F.col("label")))), ",").alias("labels"),
+        F.coalesce(F.max(F.when(good, F.col("share"))), F.lit(0.0)).alias("score"),
         F.max(F.when(F.col("template").isNull(), F.col("n_rows"))).alias("copies"),
     )
     found = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
@@ -109,17 +106,12 @@ tg AS (SELECT template, label, base, t_grams, t_pos, array_to_string(tw[t_pos +
 d AS (SELECT doc_id, regexp_extract_all({lower}, '{WORD}') AS words FROM documents),
 p AS (SELECT doc_id, words, unnest(range(0, len(words) - {GRAM - 1})) AS pos FROM d WHERE len(words) >= {GRAM}),
 h AS (SELECT doc_id, template, label, base, t_grams, t_pos, pos, pos - t_pos AS diagonal FROM p JOIN tg ON tg.gram = array_to_string(words[pos + 1:pos + {GRAM}], ' ')),
-v AS (SELECT doc_id, template, label, base, t_grams, diagonal, count(DISTINCT t_pos) AS n_hits FROM h GROUP BY ALL),
-f AS (SELECT *, CASE WHEN coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {SLACK}, true) THEN 1 ELSE 0 END AS fresh FROM v),
-w AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS passage FROM f),
-a AS (SELECT doc_id, template, passage, count(*) AS places, min(diagonal) AS lo, max(diagonal) AS hi FROM w WHERE base AND n_hits = t_grams GROUP BY ALL),
-s AS (SELECT w.doc_id, w.template, w.label, w.t_grams, w.passage, count(DISTINCT h.t_pos) AS n_shown, min(h.pos) AS first, max(h.pos) AS last
-  FROM w JOIN h ON h.doc_id = w.doc_id AND h.template = w.template AND h.diagonal = w.diagonal GROUP BY ALL),
-g AS (SELECT s.*, coalesce(places, 0) AS places, lo, hi, n_shown / t_grams AS share,
-  n_shown / t_grams >= {cover} AND last - first < 2 * t_grams + {SLACK} AS good FROM s LEFT JOIN a USING (doc_id, template, passage)),
-r AS (SELECT doc_id, sum(places) AS n_base, min(lo) AS first_word, max(hi) AS last_word,
-  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE places > 0), '') AS base_labels,
-  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE good OR places > 0), '') AS labels,
+v AS (SELECT doc_id, template, label, base, t_grams, diagonal, count(DISTINCT t_pos) AS n_hits, list(DISTINCT t_pos) AS shown FROM h GROUP BY ALL),
+w AS (SELECT *, len(list_distinct(flatten(list(shown) OVER (PARTITION BY doc_id, template ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND {SLACK} FOLLOWING)))) / t_grams AS share FROM v),
+g AS (SELECT *, base AND n_hits = t_grams AS exact, share >= {cover} AS good FROM w),
+r AS (SELECT doc_id, count(*) FILTER (WHERE exact) AS n_base, min(diagonal) FILTER (WHERE exact) AS first_word, max(diagonal) FILTER (WHERE exact) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE exact), '') AS base_labels,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE good), '') AS labels,
   coalesce(max(share) FILTER (WHERE good), 0.0) AS score FROM g GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
   CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0.0) AS DOUBLE) AS score
