@@ -60,10 +60,11 @@ def mark_duplicates(
     best = met.where(fine).groupBy("place_id").agg(F.min_by(F.struct("waypoint_id", "score", "metres"), order).alias("b")).select("place_id", "b.*")
 
     nameless = tokens.where((F.col("category") == "camping") & F.col("_unnamed")).select("place_id", "lat", "lon", F.explode(types_for(F.col("category"), compatible)).alias("type"))
-    near = radius_pairs(nameless, wp, unnamed_m + margin_m, keys=("type",)).groupBy("place_id").agg(F.array_sort(F.collect_list(F.struct("metres", "waypoint_id", "_b"))).alias("near"))
-    hosts = near.where(F.col("near")[0]["metres"] <= unnamed_m).select("place_id", F.col("near")[0].alias("host"), F.explode_outer(F.slice("near", 2, 1_000_000)).alias("other"))
-    rival = F.coalesce((F.col("other.metres") - F.col("host.metres") <= margin_m) & (score_of(F.col("host._b"), F.col("other._b")) < 0.9), F.lit(False))
-    lone = hosts.groupBy("place_id").agg(F.first("host").alias("h"), F.max(rival).alias("rival")).where("not rival")
+    near = radius_pairs(nameless, wp, unnamed_m + margin_m, keys=("type",)).select("place_id", "waypoint_id", "metres", "_b")
+    host = near.groupBy("place_id").agg(F.min(F.struct("metres", "waypoint_id", "_b")).alias("h")).where(F.col("h.metres") <= unnamed_m)
+    others = near.join(host, "place_id").where((F.col("waypoint_id") != F.col("h.waypoint_id")) & (F.col("metres") - F.col("h.metres") <= margin_m))
+    rivals = others.where(score_of(F.col("h._b"), F.col("_b")) < 0.9).select("place_id").distinct()
+    lone = host.join(rivals, "place_id", "left_anti")
     return best.unionByName(lone.select("place_id", "h.waypoint_id", F.lit(None).cast("double").alias("score"), "h.metres"))
 
 

@@ -184,7 +184,14 @@ def visits(places: DataFrame, points: DataFrame, radius_m: float, place_id: str
     A visit begins at a row within ``radius_m`` and lasts until one beyond three times that; its nearest row counts,
     the earlier in a tie. Rows out of the wider radius are not in the join, so a jump in ``idx`` ends a visit as well.
     With ``merge_loops``, the visit in which a closed track ends is no second one of a place that is in reach of its first row.
+    Places that stand at one spot are visited together: the track is followed once a spot, and places are met at the end.
     """
+    spots = places.select("lat", "lon").where("lat is not null and lon is not null").distinct()
+    per = _visits(spots.withColumn("_spot", F.struct("lat", "lon")), points, radius_m, "_spot", merge_loops)
+    return places.select(place_id, F.struct("lat", "lon").alias("_spot")).join(per, "_spot").drop("_spot")
+
+
+def _visits(places: DataFrame, points: DataFrame, radius_m: float, place_id: str, merge_loops: bool) -> DataFrame:
     met = radius_pairs(places.select(place_id, "lat", "lon"), points.select("trail_id", "idx", "lat", "lon"), 3 * radius_m)
     w = Window.partitionBy(place_id, "trail_id").orderBy("idx")
     met = met.withColumn("_run", F.sum(F.coalesce((F.col("idx") - F.lag("idx").over(w) > 1).cast("int"), F.lit(0))).over(w))
