@@ -126,3 +126,15 @@ def test_letters_in_order_and_python_text(spark):
     one = spark.createDataFrame([("x | St. Mary is far. Next.", "&#65;&#0;&lt;", "::ffff:1.2.3.4", "2001:db8:1:2:3::4", "Café – Mt Éa - x")], "s string, e string, a string, b string, n string")
     r = one.select(text.first_sentence("s").alias("s"), text.decode_entities("e").alias("e"), text.rate_key("a").alias("a"), text.rate_key("b").alias("b"), text.name_tokens(F.col("n")).alias("n")).first()
     assert (r.s, r.e, r.a, r.b, list(r.n)) == ("St. Mary is far.", "A&#0;<", "1.2.3.4", "2001:db8:1:2::/64", ["cafe", "mount", "ea"])
+
+
+def test_suggestions_differ_as_long_as_they_can():
+    km = {k: float(k) * 0.6 for k in range(60)}
+    ranked = S.rank_days([(v, k) for k, v in km.items()], 30.0, 10.0, 14.0, days=4, width=12)
+    got = S.told_apart(ranked, km, 3)
+    assert got[0] == ranked[0] and len(got) == 3 and got != ranked[:3]
+    for i, a in enumerate(got):
+        for b in got[:i]:
+            assert len(a[0]) != len(b[0]) or a[1] != b[1] or any(abs(km[x] - km[y]) >= 1 for x, y in zip(a[0], b[0]))
+    close = [((1,), True, None), ((2,), True, None), ((3,), True, None)]
+    assert S.told_apart(close, {1: 5.0, 2: 5.5, 3: 9.0}, 2) == [close[0], close[2]] and S.told_apart(close, {1: 5.0, 2: 5.5, 3: 5.2}, 2) == close[:2]

@@ -74,7 +74,7 @@ def segment_stats(points: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def between_km(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """``(trail_id, span, gain, loss)`` between the rows nearest two distances (WIN36, JON54, JON55), rounded to metres."""
+    """``(trail_id, span, gain, loss)`` between the rows nearest two distances (WIN36), rounded to metres."""
     row = F.struct("cum_ascent", "cum_descent")
     met = spans.join(points.select("trail_id", "idx", "dist", "cum_ascent", "cum_descent"), "trail_id")
     at = lambda km: F.min_by(row, F.struct(F.abs(F.col("dist") - F.col(km)), F.col("idx")))

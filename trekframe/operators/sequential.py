@@ -212,6 +212,20 @@ def rank_days(camps: list[tuple[float, int]], total: float, target: float, most:
     return [(path, reaches, short) for _, _, path, reaches in sorted(found)]
 
 
+def told_apart(ranked: list[tuple[tuple, bool, int | None]], km_of: dict, most: int, near_km: float = 1.0) -> list[tuple[tuple, bool, int | None]]:
+    """The first ``most`` of ranked plans, without those like a better one as long as there are others; in their order."""
+
+    def alike(a, b) -> bool:
+        return len(a[0]) == len(b[0]) and a[1] == b[1] and all(abs(km_of[x] - km_of[y]) < near_km for x, y in zip(a[0], b[0]))
+
+    chosen: list[int] = []
+    for k, plan in enumerate(ranked):
+        if len(chosen) < most and not any(alike(ranked[c], plan) for c in chosen):
+            chosen.append(k)
+    chosen += [k for k in range(len(ranked)) if k not in chosen][: most - len(chosen)]
+    return [ranked[k] for k in sorted(chosen)]
+
+
 def beam_days(camps: list[tuple[float, int]], total: float, target: float, most: float, days: int = 14, width: int = 8) -> list[list[int]]:
     """The camps of each plan of ``rank_days``, best first."""
     return [list(path) for path, _, _ in rank_days(camps, total, target, most, days, width)]
@@ -313,14 +327,17 @@ def corridor_chunks(points: DataFrame, radius_m: float, most: int = 300, gap_m:
 
 
 def suggest_days(camps: DataFrame, target: float, most: float, plans: int = 1, days: int = 14) -> DataFrame:
-    """``(trail_id, plan, day, camp, short_of)``: the best ways to cut each trail into days at its camps (SRT12).
+    """``(trail_id, plan, day, camp, short_of)``: the best ``plans`` ways to cut each trail into days at its camps (SRT12), of
+    four times as many kept for each camp and day. One that ends all its days within a kilometre of another's is given only if
+    there are not enough others.
 
     ``camp`` is null on a day that walks out to the trail's end. ``short_of`` is the number of days covered where no
     plan reaches the end or fills all the days. A trail whose first day has no camp and no end in reach has no rows.
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        found = rank_days(list(rows[["km", "camp"]].itertuples(index=False, name=None)), float(rows["total"].iloc[0]), target, most, days)[:plans]
+        camps, total = list(rows[["km", "camp"]].itertuples(index=False, name=None)), float(rows["total"].iloc[0])
+        found = told_apart(rank_days(camps, total, target, most, days, 4 * plans), {camp: km for km, camp in camps}, plans)
         out = [(rows["trail_id"].iloc[0], p, d + 1, c, short) for p, (path, reaches, short) in enumerate(found) for d, c in enumerate((*path, None) if reaches else path)]
         return pd.DataFrame(out, columns=["trail_id", "plan", "day", "camp", "short_of"]).astype({"camp": "Int64", "short_of": "Int32"})
 

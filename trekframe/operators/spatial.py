@@ -148,7 +148,7 @@ def snap_to_track(places: DataFrame, points: DataFrame, radius_m: float, place_i
 
 
 def nearest_on_route(places: DataFrame, points: DataFrame, first_radius_m: float, place_id: str = "place_id", widen: float = 4.0) -> DataFrame:
-    """``(place_id, trail_id, idx, km, metres)`` of the nearest segment at any distance (JON16, JON44): rings of growing radius,
+    """``(place_id, trail_id, idx, km, metres)`` of the nearest segment at any distance (JON16): rings of growing radius,
     each written down, as in ``nearest_place``."""
     rest, found, radius = places.select(place_id, "lat", "lon"), None, first_radius_m
     while True:
@@ -220,6 +220,28 @@ def region_of(places: DataFrame, edges: DataFrame, place_id: str = "place_id") -
     return odd.groupBy(place_id).agg(F.min_by("region", "rank").alias("region"))
 
 
+def majority_region(points: DataFrame, edges: DataFrame, samples: int = 256, share: float = 0.02) -> DataFrame:
+    """``(trail_id, country, states, state)`` of tracks ``(trail_id, idx, lat, lon)`` with ``idx`` from 0 on (AGG25).
+
+    ``samples`` rows of each track, evenly spaced with the first and the last, vote for the region that holds them; ``edges``
+    are as in ``region_of`` with the ``country`` of each region. The country is that with the most votes, of equal ones that
+    reached first. Of its regions, ``states`` are those with a ``share`` of all votes, in the order they are reached, and
+    ``state`` the one with the most. A track that no region holds has no row.
+    """
+    last = points.groupBy("trail_id").agg(F.max("idx").alias("last"))
+    picks = last.where(F.col("last") >= samples).select("trail_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: F.floor(k * F.col("last") / (samples - 1) + 0.5))).alias("idx")).distinct()
+    short = last.where(F.col("last") < samples).select("trail_id")
+    chosen = points.join(short, "trail_id", "left_semi").unionByName(points.join(picks, ["trail_id", "idx"], "left_semi"))
+    hits = region_of(chosen.select(F.struct("trail_id", "idx").alias("at"), "lat", "lon"), edges, "at").join(edges.select("region", "country").distinct(), "region")
+    votes = hits.groupBy(F.col("at.trail_id").alias("trail_id"), "country", "region").agg(F.count("*").alias("n"), F.min("at.idx").alias("first"))
+    of = Window.partitionBy("trail_id", "country")
+    votes = votes.withColumns({"all": F.sum("n").over(Window.partitionBy("trail_id")), "in_country": F.sum("n").over(of), "reached": F.min("first").over(of)})
+    best = votes.withColumn("r", F.rank().over(Window.partitionBy("trail_id").orderBy(F.desc("in_country"), "reached"))).where("r = 1")
+    fair = F.col("n") >= F.greatest(F.lit(1), F.ceil(share * F.col("all")))
+    out = best.groupBy("trail_id", "country").agg(F.array_sort(F.collect_list(F.when(fair, F.struct("first", "region")))).alias("s"), F.max_by("region", F.when(fair, F.struct("n", -F.col("first")))).alias("state"))
+    return out.select("trail_id", "country", F.transform("s", lambda x: x["region"]).alias("states"), "state")
+
+
 def near_duplicate_routes(routes: DataFrame, metres: float = 200.0, share: float = 0.05) -> DataFrame:
     """``(a, b)`` of routes with near ends and lengths within the share (JON39)."""
     starts = routes.select("id", F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon"), "end_lat", "end_lon", "km")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trekframe.functions import pois
 from trekframe.functions.rounding import js_round
-from trekframe.operators import corridor, spatial, sync
+from trekframe.operators import corridor, spatial, sync, trips
+from trekframe.plans.places import EDGE_SQL, region_edges
 from trekframe.plans.registry import register
 from trekframe.plans.tables import CUST, PTS, cust, hav, pts, rnd, table
 from trekframe.plans.tracks import DIST, measured
@@ -92,3 +94,61 @@ def srt17(spark, sf_dir):
     k = F.col("event_id")
     raw = F.when(k % 5 == 0, F.concat(F.lit("x"), k)).when(k % 5 == 2, (k % 300).cast("string")).when(k % 5 == 3, (-k).cast("string")).when(k % 5 == 4, " ")
     return table(spark, sf_dir, "events").select("event_id", sync.page_sizes(raw).alias("size"))
+
+
+_NEAR = lambda km: f"(SELECT arg_min({{'up': cum_ascent, 'down': cum_descent}}, {{'d': abs(m.dist - {km}), 'i': m.idx}}) FROM m WHERE m.trail_id = x.trail_id)"
+_METRES = lambda a, b, w: rnd(rnd(f"{b}.{w} - {a}.{w}", 6), 0)
+_TRIP = f"""here AS (SELECT trail_id, idx AS here_id, dist + 0.3 AS km FROM m WHERE idx % 16 = 5), spots AS (SELECT trail_id, event_id AS place_id, dist + 0.1 AS km FROM m WHERE event_type = 'purchase'),
+h AS (SELECT x.*, {_NEAR('x.km')} AS s FROM here x), p AS (SELECT x.*, {_NEAR('x.km')} AS s FROM spots x),
+t AS (SELECT h.trail_id, here_id, place_id, p.km >= h.km AS ahead, abs(p.km - h.km) AS km, CASE WHEN p.km >= h.km THEN {_METRES('h.s', 'p.s', 'up')} ELSE {_METRES('p.s', 'h.s', 'down')} END AS ascent_m, CASE WHEN p.km >= h.km THEN {_METRES('h.s', 'p.s', 'down')} ELSE {_METRES('p.s', 'h.s', 'up')} END AS descent_m, p.km > h.km AS strictly FROM h JOIN p USING (trail_id))
+SELECT trail_id, here_id, place_id, ahead, {rnd('km', 4)} AS km, ascent_m, descent_m, {rnd(rnd('km / 4.0 + ascent_m / 600.0 + greatest(0.0, (descent_m - 300) / 600.0)', 1) + ' * 60', 0)} AS eta_min FROM t"""
+
+
+def _trips(spark, sf_dir, behind):
+    m = measured(spark, sf_dir)
+    here = m.where("idx % 16 = 5").select("trail_id", F.col("idx").alias("here_id"), (F.col("dist") + 0.3).alias("km"))
+    spots = m.where("event_type = 'purchase'").select("trail_id", F.col("event_id").alias("place_id"), (F.col("dist") + 0.1).alias("km"))
+    return trips.trips(here, spots, m, behind=behind).withColumn("km", js_round("km", 4))
+
+
+@register("jon54_trips_ahead", f"WITH {DIST}, {_TRIP} WHERE strictly")
+def jon54(spark, sf_dir):
+    """Distance, climb and time from every sixteenth row of every trail to the places ahead."""
+    return _trips(spark, sf_dir, False)
+
+
+@register("jon55_trips_both_ways", f"WITH {DIST}, {_TRIP}")
+def jon55(spark, sf_dir):
+    return _trips(spark, sf_dir, True)
+
+
+@register(
+    "mth19_day_metrics",
+    f"""WITH {DIST}, x AS (SELECT trail_id, event_id AS stop_id, dist AS km FROM m WHERE event_type = 'click'), s AS (SELECT x.*, {_NEAR('x.km')} AS z FROM x),
+d AS (SELECT trail_id, stop_id, z, km, lag(km) OVER w AS from_km, lag(z) OVER w AS a FROM s WINDOW w AS (PARTITION BY trail_id ORDER BY km, stop_id)),
+e AS (SELECT trail_id, stop_id, km - from_km AS km, {_METRES('a', 'z', 'up')} AS ascent_m, {_METRES('a', 'z', 'down')} AS descent_m FROM d WHERE from_km IS NOT NULL)
+SELECT trail_id, stop_id, {rnd('km', 4)} AS km, ascent_m, descent_m, {rnd('km / 4.0 + ascent_m / 600.0 + greatest(0.0, (descent_m - 300) / 600.0)', 5)} AS hours FROM e""",
+)
+def mth19(spark, sf_dir):
+    """The days between the clicks of every trail."""
+    m = measured(spark, sf_dir)
+    stops = m.where("event_type = 'click'").select("trail_id", F.col("event_id").alias("stop_id"), F.col("dist").alias("km"))
+    return trips.day_metrics(stops, m).select("trail_id", "stop_id", js_round("km", 4).alias("km"), "ascent_m", "descent_m", js_round("hours", 5).alias("hours"))
+
+
+@register(
+    "agg25_route_region",
+    f"""WITH {CUST}, {EDGE_SQL}, r AS (SELECT c_mktsegment AS trail_id, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY place_id) - 1 AS BIGINT) AS idx, lat, lon FROM cust), z AS (SELECT trail_id, max(idx) AS last FROM r GROUP BY trail_id),
+k AS (SELECT DISTINCT trail_id, CAST(floor(k * last / 255.0 + 0.5) AS BIGINT) AS idx FROM z, range(256) t(k) WHERE last >= 256 UNION SELECT trail_id, idx FROM r JOIN z USING (trail_id) WHERE last < 256),
+x AS (SELECT trail_id, idx, region, rank, count(*) FILTER (WHERE (lat1 > lat) <> (lat2 > lat) AND lon < lon1 + (lat - lat1) / nullif(lat2 - lat1, 0) * (lon2 - lon1)) % 2 AS odd FROM r JOIN k USING (trail_id, idx), edges GROUP BY ALL),
+h AS (SELECT trail_id, idx, arg_min(region, rank) AS region FROM x WHERE odd = 1 GROUP BY ALL), v AS (SELECT trail_id, CASE WHEN region = 'south' THEN 'S' ELSE 'N' END AS country, region, count(*) AS n, min(idx) AS first FROM h GROUP BY ALL),
+w AS (SELECT *, sum(n) OVER (PARTITION BY trail_id) AS total, sum(n) OVER (PARTITION BY trail_id, country) AS own, min(first) OVER (PARTITION BY trail_id, country) AS reached FROM v),
+b AS (SELECT *, rank() OVER (PARTITION BY trail_id ORDER BY own DESC, reached) AS r FROM w)
+SELECT trail_id, country, coalesce(string_agg(region, ',' ORDER BY first) FILTER (WHERE n >= greatest(1, ceil(0.02 * total))), '') AS states, arg_max(region, {{'n': n, 'f': -first}}) FILTER (WHERE n >= greatest(1, ceil(0.02 * total))) AS state FROM b WHERE r = 1 GROUP BY trail_id, country""",
+)
+def agg25_route(spark, sf_dir):
+    """All customers of a segment as a track: the country most of its samples lie in, and its states."""
+    c = cust(spark, sf_dir)
+    rows = c.select(F.col("c_mktsegment").alias("trail_id"), (F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("place_id")) - 1).cast("long").alias("idx"), "lat", "lon")
+    edges = region_edges(spark).withColumn("country", F.when(F.col("region") == "south", "S").otherwise("N"))
+    return spatial.majority_region(rows, edges).select("trail_id", "country", F.array_join("states", ",").alias("states"), "state")

@@ -75,22 +75,25 @@ def jon13_all(spark, sf_dir):
 # Three triangles as regions; the first two overlap.
 REGIONS = [("west", 0, [(-39.0, 144.0), (-30.0, 144.0), (-34.0, 149.0)]), ("south", 1, [(-39.0, 144.0), (-39.0, 153.0), (-34.0, 148.0)]), ("east", 2, [(-38.0, 153.0), (-30.0, 153.0), (-33.0, 148.0)])]
 _EDGES = [(name, rank, *ring[k], *ring[(k + 1) % len(ring)]) for name, rank, ring in REGIONS for k in range(len(ring))]
-_EDGE_SQL = "edges(region, rank, lat1, lon1, lat2, lon2) AS (VALUES " + ", ".join(f"('{n}', {r}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for n, r, a, b, c, d in _EDGES) + ")"
+EDGE_SQL = "edges(region, rank, lat1, lon1, lat2, lon2) AS (VALUES " + ", ".join(f"('{n}', {r}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for n, r, a, b, c, d in _EDGES) + ")"
 
 
 @register(
     "jon32_region_of",
-    f"""WITH {CUST}, {_EDGE_SQL}, x AS (SELECT place_id, region, rank, count(*) FILTER (WHERE (lat1 > lat) <> (lat2 > lat) AND lon < lon1 + (lat - lat1) / nullif(lat2 - lat1, 0) * (lon2 - lon1)) % 2 AS odd FROM cust, edges GROUP BY ALL)
+    f"""WITH {CUST}, {EDGE_SQL}, x AS (SELECT place_id, region, rank, count(*) FILTER (WHERE (lat1 > lat) <> (lat2 > lat) AND lon < lon1 + (lat - lat1) / nullif(lat2 - lat1, 0) * (lon2 - lon1)) % 2 AS odd FROM cust, edges GROUP BY ALL)
 SELECT place_id, arg_min(region, rank) AS region FROM x WHERE odd = 1 GROUP BY place_id""",
 )
 def jon32(spark, sf_dir):
-    edges = spark.createDataFrame(_EDGES, "region string, rank int, lat1 double, lon1 double, lat2 double, lon2 double")
-    return spatial.region_of(cust(spark, sf_dir), edges)
+    return spatial.region_of(cust(spark, sf_dir), region_edges(spark))
+
+
+def region_edges(spark):
+    return spark.createDataFrame(_EDGES, "region string, rank int, lat1 double, lon1 double, lat2 double, lon2 double")
 
 
 @register(
     "agg25_majority_region",
-    f"""WITH {CUST}, {_EDGE_SQL}, x AS (SELECT place_id, region, rank, count(*) FILTER (WHERE (lat1 > lat) <> (lat2 > lat) AND lon < lon1 + (lat - lat1) / nullif(lat2 - lat1, 0) * (lon2 - lon1)) % 2 AS odd FROM cust, edges GROUP BY ALL),
+    f"""WITH {CUST}, {EDGE_SQL}, x AS (SELECT place_id, region, rank, count(*) FILTER (WHERE (lat1 > lat) <> (lat2 > lat) AND lon < lon1 + (lat - lat1) / nullif(lat2 - lat1, 0) * (lon2 - lon1)) % 2 AS odd FROM cust, edges GROUP BY ALL),
 p AS (SELECT place_id, arg_min(region, rank) AS region FROM x WHERE odd = 1 GROUP BY place_id), v AS (SELECT c_mktsegment, region, count(*) AS n, min(place_id) AS first FROM p JOIN cust USING (place_id) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY n DESC, first) AS r FROM v) SELECT c_mktsegment, region, n FROM r WHERE r = 1""",
 )
