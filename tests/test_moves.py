@@ -75,6 +75,22 @@ def test_greedy_matching_is_the_sequential_choice(spark):
         assert sorted((r.t, r.a, r.b) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("name", ["jon23_match_one_to_one", "jon40_known_retraces"])
+def test_pairs_of_whole_tables(spark, name, monkeypatch):
+    from trekframe.plans import load_queries
+
+    held = {}
+    real = matching.greedy_matching
+    monkeypatch.setattr(matching, "greedy_matching", lambda rows, *args: real(held.setdefault("rows", rows), *args))
+    got = sorted(tuple(r) for r in load_queries()[0][name](spark, "/root/testdata/sf0.001").collect())
+    used, want = set(), []
+    for d, t, a, b in sorted((r.metres, r.trail_id, r.a, r.b) for r in held["rows"].collect()):
+        if ("a", t, a) not in used and ("b", t, b) not in used:
+            used |= {("a", t, a), ("b", t, b)}
+            want.append((t, a, b))
+    assert got == sorted(want) and want
+
+
 def plain_registry(waypoints, entries, radius=150.0, unmoved=1.0):
     out, kept = {}, set()
     for trail in {w[0] for w in waypoints}:

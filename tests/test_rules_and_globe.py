@@ -192,10 +192,6 @@ def test_first_fit_boxes():
     assert sequential.first_fit_boxes(boxes, 5.0) == [0, 0, 1, 2, 0]
 
 
-def test_pairs_stops_and_reach():
-    assert sequential.greedy_pairs([(5.0, 1, 1), (1.0, 1, 2), (2.0, 2, 2), (9.0, 2, 1)]) == [(1, 2), (2, 1)]
-
-
 def test_close_stops_and_hours_against_plain_loops(spark):
     rng = random.Random(2)
     rows = [(t, i, rng.uniform(0, 5), rng.randint(0, 9)) for t in (1, 2) for i in range(40)]

@@ -107,8 +107,7 @@ def test_suggested_days_of_long_trails_and_wide_gaps(spark):
     assert got == [(1, d, d, None) for d in range(1, 15)] + [(2, 1, 1, 2), (2, 2, 2, 2), (3, 1, 1, None), (3, 2, None, None)]
 
 
-def test_greedy_pairs_and_chains():
-    assert S.greedy_pairs([(5, 1, 1), (2, 1, 2), (3, 2, 2), (9, 2, 1)]) == [(1, 2), (2, 1)]
+def test_chains():
     assert [c[:2] for c in S.chain_tracks([(1, 0, 0, 0, 1), (2, 0, 5, 0, 3), (3, 0, 3, 0, 1.1)])] == [(1, False), (3, True), (2, True)]
     days = S.chain_tracks([(2, 0, 10, 0, 20), (1, 0, 0, 0, 9.9), (3, 0, 31, 0, 20.1)])  # day 2 stands first and is not turned round
     assert [c[:2] for c in days] == [(1, False), (2, False), (3, True)] and days[0][2] is None and 11_000 < days[1][2] < 11_200

@@ -345,27 +345,6 @@ def suggest_days(camps: DataFrame, target: float, most: float, plans: int = 1, d
     return camps.select("trail_id", "km", "camp", "total").groupBy("trail_id").applyInPandas(one, schema)
 
 
-def greedy_pairs(candidates: list[tuple]) -> list[tuple]:
-    """One-to-one pairs ``(a, b)`` taken by least distance, then ids (JON23, JON40)."""
-    used_a, used_b, out = set(), set(), []
-    for d, a, b in sorted(candidates):
-        if a not in used_a and b not in used_b:
-            used_a.add(a)
-            used_b.add(b)
-            out.append((a, b))
-    return out
-
-
-def match_one_to_one(candidates: DataFrame, key: str = "trail_id") -> DataFrame:
-    """``(key, a, b)``: registry ids given to waypoints, nearest pairs first within a trail (JON23, JON40)."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        pairs = greedy_pairs(list(rows[["metres", "a", "b"]].itertuples(index=False, name=None)))
-        return pd.DataFrame({key: rows[key].iloc[0], "a": [a for a, _ in pairs], "b": [b for _, b in pairs]})
-
-    return candidates.select(key, "a", "b", "metres").groupBy(key).applyInPandas(one, f"{key} long, a long, b long")
-
-
 def drop_close_stops(stops: DataFrame, least_km: float = 0.01, key: str = "trail_id") -> DataFrame:
     """``(key, seq)`` of stops kept: not of a waypoint met before, nor too near the last one kept (SET11)."""
 

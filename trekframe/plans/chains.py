@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trekframe.functions.rounding import js_round
-from trekframe.operators import linkage, ordered, sequential, spatial, sync, track
+from trekframe.operators import linkage, matching, ordered, sequential, spatial, sync, track
 from trekframe.plans.places import _T
 from trekframe.plans.registry import register
 from trekframe.plans.tables import CUST, ENDS, PTS, SUPP, cust, ends, hav, pts, rnd, supp, table
@@ -110,7 +110,8 @@ def jon40(spark, sf_dir):
     a = a.withColumn("cell", F.explode(F.array(cell("at", -1), cell("at", 0), cell("at", 1))))
     met = a.join(b.withColumn("cell", cell("bt", 0)), ["trail_id", "cell"])
     fit = (F.abs(F.col("at") - F.col("bt")) <= 1) & (F.abs(F.col("long") - F.col("b_long")) <= F.greatest(F.lit(0.5), 0.15 * F.col("long")))
-    return sequential.match_one_to_one(met.where(fit).select("trail_id", "a", "b", (F.abs(F.col("at") - F.col("bt")) * 1000).alias("metres")))
+    pairs = met.where(fit).select("trail_id", "a", "b", (F.abs(F.col("at") - F.col("bt")) * 1000).alias("metres"))
+    return matching.greedy_matching(pairs, ["trail_id", "a"], ["trail_id", "b"], ["metres"]).select("trail_id", "a", "b")
 
 
 @register("jon41_first_id_lookup", "SELECT o_orderkey, f.n FROM orders LEFT JOIN (SELECT user_id, arg_min(event_type, event_id) AS n FROM events GROUP BY user_id) f ON f.user_id = o_custkey")
