@@ -155,3 +155,21 @@ def test_packing_does_not_hang_on_the_session_and_equals_a_plain_packer(spark):
         placed[r.doc_id, r.piece] = k
     assert len({r[5] for r in seen[0]}) <= len(free) + 2
     assert sum(r[3] for r in seen[0]) <= 256 * len({r[5] for r in seen[0]}) <= 1.1 * sum(r[3] for r in seen[0]) + 512
+
+
+def test_spans_of_plain_texts_are_those_of_the_tokenizer():
+    """Texts that skip the normalizer and texts that may not: the same spans as from the tokenizer itself."""
+    from trekframe.llm.words import SpanEncoder
+
+    texts = [
+        "", " ", "Plain TEXT,  two spaces\n\tand it's 12 tabs", "\u0418\u0306 \u0419 \u0416\u0423\u041a", "\u0130stanbul I\u0307 \u00c4\u00d6\u00dc \u00df \u1e9e",
+        "\u03a3\u0399\u03a3 \u03a3", "A<|ENDOFTEXT|>B <|endoftext|> c", "cafe\u0301 CAF\u00c9 \u00a0\u2003\u0085 x\u200by", "\u4f60\u597d \U0001f600 Z\u0300", "\x00\x1f\x1c A", "L'\u00c9T\u00c9'S \u01c5 \u01c4 \u0149",
+    ]
+    for path in (PATH, public_tokenizers.path("byte_bpe_50k.json")):
+        tok, encoder = Tokenizer.from_file(path), SpanEncoder(path)
+        for text in [*texts, " ".join(texts), "".join(texts) * 50]:
+            assert encoder.of(text).tolist() == [list(x) for x in tok.encode(text, add_special_tokens=False).offsets]
+    plain, low = SpanEncoder(PATH), "".join(map(chr, [*range(0x300), *range(0x400, 0x483), *range(0x48A, 0x530)]))
+    for c in low:
+        text = f"a{c}B {c}{c}"
+        assert plain.of(text).tolist() == [list(x) for x in plain.full.encode(text, add_special_tokens=False).offsets], hex(ord(c))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trekframe.llm.words import small_batches
+from trekframe.llm.words import SpanEncoder, small_batches
 
 COUNTS = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long"
 RULES = ("start", "end", "majority")
@@ -41,14 +41,16 @@ def allocate(spans: np.ndarray, sections: np.ndarray, rule: str) -> tuple[np.nda
     first, last, lo, hi = first[meets], last[meets], lo[meets], hi[meets]
     target = first if rule == "start" else last.copy()
     many = np.flatnonzero(last > first)
+    width = last[many] - first[many] + 1
+    token = np.repeat(many, width)  # a row for each section that a crossing token meets
+    section = np.repeat(first[many] - np.cumsum(width) + width, width) + np.arange(width.sum())
     if rule == "majority":
         target = first.copy()
-        for t in many:
-            own = sections[first[t] : last[t] + 1]
-            target[t] += int(np.argmax(np.minimum(own[:, 1], hi[t]) - np.maximum(own[:, 0], lo[t])))
-    np.add.at(given, target, 1)
-    for t in many:
-        crossing[first[t] : last[t] + 1] += 1
+        shared = np.minimum(sections[section, 1], hi[token]) - np.maximum(sections[section, 0], lo[token])
+        order = np.lexsort((section, -shared, token))
+        target[many] = section[order[np.cumsum(width) - width]]
+    given += np.bincount(target, minlength=n)
+    crossing += np.bincount(section, minlength=n)
     return given, crossing
 
 
@@ -73,9 +75,7 @@ def section_token_counts(
         columns.append(spans.alias("sections"))
 
     def count(batches):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
+        encoder = SpanEncoder(tokenizer_path)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             given_sections = batch.column(2).to_pylist() if sections else None
@@ -86,8 +86,7 @@ def section_token_counts(
                 if not own:
                     continue
                 own = np.array(own, dtype=np.int64).reshape(-1, 2)
-                spans = np.array(tokenizer.encode(text, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
-                tokens, crossing = allocate(spans, own, rule)
+                tokens, crossing = allocate(encoder.of(text), own, rule)
                 m = len(own)
                 out.append((np.full(m, -1 if doc_id is None else doc_id, np.int64), np.full(m, doc_id is None), np.arange(m, dtype=np.int32), own[:, 0], own[:, 1], tokens, crossing))
             if not out:
