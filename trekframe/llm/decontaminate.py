@@ -60,15 +60,14 @@ def walk_keys(words: np.ndarray, starts: np.ndarray, size: int, repeat: int) ->
     return key.view(np.int64)
 
 
-def repeats_for(size: int, share: float, recall: float, trials: int = 400, most: int = 4096) -> int:
-    """Repetitions after which ``recall`` of simulated windows, with as many random edits as allowed, met their item.
-    Raises an error if ``most`` do not get there."""
-    rng = np.random.default_rng(size)
+def edited_windows(size: int, edits: int, trials: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """``trials`` windows of ``size`` random words, one after the other, and the same with ``edits`` random edits each."""
+    rng = np.random.default_rng(seed)
     plain, edited = [], []
     for _ in range(trials):
         x = rng.integers(1, 1 << 62, size, dtype=np.uint64).tolist()
         y = list(x)
-        for _ in range(max_edits(size, share)):
+        for _ in range(edits):
             kind, p = rng.integers(0, 3), int(rng.integers(0, len(y)))
             if kind == 0 or len(y) < 2:
                 y[p] = int(rng.integers(1, 1 << 62))
@@ -78,12 +77,20 @@ def repeats_for(size: int, share: float, recall: float, trials: int = 400, most:
                 y.pop(p)
         plain += x
         edited += (y + [int(v) for v in rng.integers(1, 1 << 62, size)])[:size]
+    return np.array(plain, dtype=np.uint64), np.array(edited, dtype=np.uint64)
+
+
+def repeats_for(size: int, share: float, recall: float, trials: int = 1200, most: int = 4096, longest: int | None = None) -> int:
+    """Repetitions after which ``recall`` of simulated windows met their item, with as many random edits as an item of
+    ``longest`` words, the longest of the class, may have. Two independent sets of trials must both get there, so that
+    a lucky one does not stop too early. Raises an error if ``most`` repetitions are not enough."""
+    edits = max_edits(longest or size, share)
     starts = np.arange(trials, dtype=np.int64) * size
-    a, b = np.array(plain, dtype=np.uint64), np.array(edited, dtype=np.uint64)
-    met = np.zeros(trials, dtype=bool)
+    sets = [(*edited_windows(size, edits, trials, seed), np.zeros(trials, dtype=bool)) for seed in (size, size + (1 << 20))]
     for repeat in range(most):
-        met |= walk_keys(a, starts, size, repeat) == walk_keys(b, starts, size, repeat)
-        if met.mean() >= recall:
+        for a, b, met in sets:
+            met |= walk_keys(a, starts, size, repeat) == walk_keys(b, starts, size, repeat)
+        if all(met.mean() >= recall for _, _, met in sets):
             return repeat + 1
     raise ValueError(f"no {most} repetitions reach a recall of {recall} for {size} words with a share of {share} edited")
 
@@ -176,7 +183,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.15, recal
     known_mask, rare_mask = np.zeros(1 << VOCABULARY_BITS, dtype=np.int64), np.zeros(1 << VOCABULARY_BITS, dtype=np.int64)
     at = masks.column("b").to_numpy()
     known_mask[at], rare_mask[at] = masks.column("known").to_numpy(), masks.column("rare").to_numpy()
-    repeats = {c: repeats_for(c, share, recall) for c in need}
+    repeats = {c: repeats_for(c, share, recall, longest=longest) for c, (_, _, _, longest) in need.items()}
     packed = docs.sparkSession.sparkContext.broadcast((known_mask, rare_mask, need, repeats))  # fixed size
 
     def item_keys(batches):
