@@ -57,3 +57,16 @@ def segment_distance_m(lat: Column, lon: Column, lat1: Column, lon1: Column, lat
     """Metres from a place to the nearest point of a segment."""
     t = segment_fraction(lat, lon, lat1, lon1, lat2, lon2)
     return haversine_m(lat, lon, lat1 + (lat2 - lat1) * t, lon1 + wrap_lon(lon2 - lon1) * t)
+
+
+METRES_PER_DEGREE = 111_320.0
+
+
+def plane_distance_m(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Metres from a place to the nearest point of a segment, on the plane that is true at the place."""
+    k = METRES_PER_DEGREE * F.cos(F.radians(lat))
+    ax, ay = wrap_lon(lon1 - lon) * k, (lat1 - lat) * METRES_PER_DEGREE
+    dx, dy = wrap_lon(lon2 - lon1) * k, (lat2 - lat1) * METRES_PER_DEGREE
+    square = dx * dx + dy * dy
+    t = F.when(square == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), -(ax * dx + ay * dy) / square)))
+    return F.hypot(ax + t * dx, ay + t * dy)

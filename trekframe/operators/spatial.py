@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trekframe.functions.geo import EARTH_M, haversine_m, segment_distance_m, segment_fraction, wrap_lon
+from trekframe.functions.geo import EARTH_M, haversine_m, plane_distance_m, segment_distance_m, segment_fraction, wrap_lon
 from trekframe.storage import materialize
 
 
@@ -147,6 +147,32 @@ def snap_to_track(places: DataFrame, points: DataFrame, radius_m: float, place_i
     return best.select(place_id, "b.trail_id", "b.idx", "b.km", "b.metres")
 
 
+def distance_to_line(places: DataFrame, points: DataFrame, radius_m: float, place_id: str = "place_id", keys: tuple[str, ...] = ()) -> DataFrame:
+    """``(place_id, trail_id, idx, metres, line_m)``: how far each place is from the track as a line (JON44).
+
+    The place is snapped first (``idx``, ``metres``), which leaves out steps across breaks; ``idx`` is the point that it
+    has reached, so one later if it lies past the segment's end. Then the two steps before that point and the two behind
+    it are measured on the plane of the place, those across breaks too, and the least of all is ``line_m``. Points are
+    numbered without gaps. A place without a segment in reach, and a track of one point, give no row.
+    """
+    snapped = snap_to_track(places, points, radius_m, place_id, keys).drop("km")
+    w = Window.partitionBy("trail_id").orderBy("idx")
+    steps = points.select(
+        "trail_id", F.col("idx").alias("_at"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.lead("lat").over(w).alias("lat2"), F.lead("lon").over(w).alias("lon2")
+    ).where("lat2 is not null")
+    near = snapped.join(places.select(place_id, "lat", "lon"), place_id).withColumn("_at", F.explode(F.sequence(F.col("idx") - 2, F.col("idx") + 2)))
+    met = near.join(steps, ["trail_id", "_at"])
+    past = segment_fraction(*(F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2"))) >= 1
+    line = plane_distance_m(*(F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")))
+    best = met.groupBy(place_id, "trail_id", "idx", "metres").agg(
+        F.max(F.when(F.col("_at") == F.col("idx"), past)).alias("_past"),
+        F.min(F.when(F.col("_at") <= F.col("idx") + 1, line)).alias("_here"),
+        F.min(F.when(F.col("_at") >= F.col("idx") - 1, line)).alias("_next"),
+    )
+    least = F.least("metres", F.when(F.col("_past"), F.col("_next")).otherwise(F.col("_here")))
+    return best.select(place_id, "trail_id", (F.col("idx") + F.col("_past").cast("int")).alias("idx"), "metres", least.alias("line_m"))
+
+
 def nearest_on_route(places: DataFrame, points: DataFrame, first_radius_m: float, place_id: str = "place_id", widen: float = 4.0) -> DataFrame:
     """``(place_id, trail_id, idx, km, metres)`` of the nearest segment at any distance (JON16): rings of growing radius,
     each written down, as in ``nearest_place``."""

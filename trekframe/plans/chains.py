@@ -35,7 +35,7 @@ def jon15(spark, sf_dir):
 
 @register("jon16_exact_nearest", _nearest_segment(""))
 def jon16(spark, sf_dir):
-    """The nearest segment of any track, however far it is (JON16, JON44)."""
+    """The nearest segment of any track, however far it is (JON16)."""
     found = spatial.nearest_on_route(cust(spark, sf_dir), _suppliers_track(spark, sf_dir), 30_000)
     return found.select("place_id", "trail_id", "idx", js_round("metres", 2).alias("metres"))
 

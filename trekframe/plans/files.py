@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trekframe.functions.rounding import js_round
+from trekframe.operators import track
 from trekframe.plans.registry import register
 from trekframe.plans.tables import CUST, PTS, cust, pts, rnd, table
 from trekframe.plans.tracks import DIST, measured
@@ -212,6 +213,42 @@ def snk02(spark, sf_dir):
     return back.groupBy("track").agg(F.count("*").alias("n"), js_round(F.min("lat"), 6).alias("south"), js_round(F.max("lat"), 6).alias("north"))
 
 
+def _num(x: str) -> str:
+    return f"regexp_replace(CAST({x} AS VARCHAR), '\\.0$', '')"
+
+
+_TRKPT = f"""'<trkpt lat="' || {_num('lat')} || '" lon="' || {_num('lon')} || '"><ele>' || {_num('ele')} || '</ele></trkpt>'"""
+
+
+@register(
+    "snk04_page_gpx",
+    f"""WITH {DIST}, s AS (SELECT *, sum(CAST(is_break AND idx > 0 AS INT)) OVER (PARTITION BY trail_id ORDER BY idx) AS stretch FROM m),
+seg AS (SELECT trail_id, stretch, string_agg({_TRKPT}, '' ORDER BY idx) AS body FROM s GROUP BY trail_id, stretch), line AS (SELECT trail_id, string_agg('<trkseg>' || body || '</trkseg>', '' ORDER BY stretch) AS line FROM seg GROUP BY trail_id),
+w AS (SELECT trail_id, string_agg('<wpt lat="' || {_num('lat')} || '" lon="' || {_num('lon')} || '">' || CASE WHEN idx % 4 = 0 THEN '' ELSE '<ele>' || {_num('ele')} || '</ele>' END || '<name>' || CASE WHEN idx % 3 = 0 THEN 'Waypoint' ELSE 'Food &amp; ' || event_id END || '</name>' || CASE WHEN idx % 5 = 0 THEN '' ELSE '<type>purchase</type>' END || '</wpt>', '' ORDER BY CAST(idx % 4 = 0 AS INT), idx) AS marks FROM m WHERE event_type = 'purchase' GROUP BY trail_id),
+v AS (SELECT trail_id, idx // 10 AS seq, string_agg({_TRKPT}, '' ORDER BY idx) AS body FROM (SELECT trail_id, idx, lat + 0.001 AS lat, lon, ele FROM m WHERE (idx // 10) % 2 = 1) x GROUP BY ALL),
+o AS (SELECT trail_id, string_agg('<trk><name>' || CASE WHEN seq % 4 = 3 THEN 'Unnamed' ELSE 'variant ' || seq END || '</name><type>' || CASE WHEN seq % 3 = 0 THEN 'side-trip' ELSE 'alternate' END || '</type><trkseg>' || body || '</trkseg></trk>', '' ORDER BY seq) AS others FROM v GROUP BY trail_id),
+t AS (SELECT trail_id, max(dist) AS km FROM m GROUP BY trail_id)
+SELECT trail_id, octet_length(encode(gpx)) AS bytes, md5(gpx) AS md5 FROM (SELECT trail_id, '<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" creator="trekframe" xmlns="http://www.topografix.com/GPX/1/1"><metadata><name>trail ' || trail_id || '</name><desc>north &lt;' || trail_id % 5 || '&gt; - ' || printf('%.1f', km) || ' km</desc></metadata>' ||
+  coalesce(marks, '') || '<trk><name>trail ' || trail_id || '</name>' || line || '</trk>' || coalesce(others, '') || '</gpx>' AS gpx FROM t JOIN line USING (trail_id) LEFT JOIN w USING (trail_id) LEFT JOIN o USING (trail_id)) d""",
+)
+def snk04(spark, sf_dir):
+    """Every trail's page, with its stretches, waypoints and variants, by length and digest."""
+    m = measured(spark, sf_dir)
+    k, idx = F.col("trail_id"), F.col("idx")
+    trails = m.groupBy("trail_id").agg(F.max("dist").alias("km")).select("trail_id", F.concat(F.lit("trail "), k).alias("name"), F.concat(F.lit("north <"), k % 5, F.lit(">")).alias("region"), "km")
+    marks = m.where("event_type = 'purchase'").select(
+        "trail_id", idx.alias("seq"), (idx % 4 == 0).alias("off_trail"), "lat", "lon", "ele", F.when(idx % 3 > 0, F.concat(F.lit("Food & "), "event_id")).alias("name"),
+        F.when(idx % 5 > 0, F.col("event_type")).alias("type"), F.lit(None).cast("string").alias("description"),
+    )
+    seq = F.floor(idx / 10)
+    variants = m.where(seq % 2 == 1).select(
+        "trail_id", seq.alias("seq"), F.when(seq % 4 != 3, F.concat(F.lit("variant "), seq)).alias("name"), F.when(seq % 3 == 0, "side-trip").otherwise("alternate").alias("type"),
+        "idx", (F.col("lat") + 0.001).alias("lat"), "lon", "ele",
+    )
+    pages = sinks.trail_page_gpx(trails, track.split_at_breaks(m), marks, variants)
+    return pages.select("trail_id", F.octet_length("gpx").cast("long").alias("bytes"), F.md5("gpx").alias("md5"))
+
+
 @register("snk03_csv_lines", """SELECT p_partkey || ',"a ""' || p_name || '"", b",' || p_size || ',' AS value FROM part""")
 def snk03(spark, sf_dir):
     said = F.concat(F.lit('a "'), "p_name", F.lit('", b'))

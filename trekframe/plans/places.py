@@ -37,6 +37,38 @@ def jon19(spark, sf_dir):
 _T = "least(1.0, greatest(0.0, ((c.lon - lon1) * cos(radians(lat1)) * (lon2 - lon1) * cos(radians(lat1)) + (c.lat - lat1) * (lat2 - lat1)) / nullif(pow((lon2 - lon1) * cos(radians(lat1)), 2) + pow(lat2 - lat1, 2), 0)))"
 
 
+_PLANE_T = "least(1.0, greatest(0.0, -(ax * dx + ay * dy) / nullif(dx * dx + dy * dy, 0)))"
+_K = "(111320.0 * cos(radians(p.lat)))"
+
+
+def _nation_routes(spark, sf_dir):
+    """All suppliers as points of one trail a nation, with breaks."""
+    from pyspark.sql import Window
+
+    from trekframe.operators.track import cumulative_km
+
+    nation = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("spot_id"), F.col("s_nationkey").alias("trail_id"))
+    rows = supp(spark, sf_dir).join(nation, "spot_id")
+    rows = rows.withColumn("idx", (F.row_number().over(Window.partitionBy("trail_id").orderBy("lon", "spot_id")) - 1).cast("long"))
+    return cumulative_km(rows.withColumn("is_break", F.col("idx") % 7 == 3))
+
+
+@register(
+    "jon44_distance_to_line",
+    f"""WITH {CUST}, {SUPP}, route AS (SELECT s_nationkey AS trail_id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY lon, spot_id) - 1 AS BIGINT) AS idx, lat, lon FROM supp JOIN supplier ON s_suppkey = spot_id),
+g AS (SELECT trail_id, idx, lat AS lat1, lon AS lon1, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM route WINDOW w AS (PARTITION BY trail_id ORDER BY idx)),
+t AS (SELECT place_id, c.lat, c.lon, g.*, coalesce({_T}, 0.0) AS t FROM cust c, g WHERE lat2 IS NOT NULL AND idx % 7 <> 2), d AS (SELECT place_id, lat, lon, trail_id, idx, t, {hav('lat', 'lon', 'lat1 + (lat2 - lat1) * t', 'lon1 + (lon2 - lon1) * t')} AS m FROM t),
+p AS (SELECT place_id, lat, lon, b.m AS m, b.t AS trail_id, b.i + b.f AS idx FROM (SELECT place_id, any_value(lat) AS lat, any_value(lon) AS lon, min({{'m': m, 't': trail_id, 'i': idx, 'f': CASE WHEN t >= 1 THEN 1 ELSE 0 END}}) AS b FROM d WHERE m <= 20000 GROUP BY place_id) x),
+v AS (SELECT place_id, (lon1 - p.lon) * {_K} AS ax, (lat1 - p.lat) * 111320.0 AS ay, (lon2 - lon1) * {_K} AS dx, (lat2 - lat1) * 111320.0 AS dy FROM p JOIN g ON g.trail_id = p.trail_id AND g.idx BETWEEN p.idx - 2 AND p.idx + 1 WHERE lat2 IS NOT NULL),
+l AS (SELECT place_id, min(sqrt(pow(ax + t * dx, 2) + pow(ay + t * dy, 2))) AS line FROM (SELECT *, coalesce({_PLANE_T}, 0.0) AS t FROM v) y GROUP BY place_id)
+SELECT place_id, trail_id, idx, {rnd('m', 2)} AS metres, {rnd('least(m, line)', 2)} AS line_m FROM p JOIN l USING (place_id)""",
+)
+def jon44(spark, sf_dir):
+    """Customers against the routes of all suppliers, breaks included: the snap, and the second measure around it."""
+    out = spatial.distance_to_line(cust(spark, sf_dir), _nation_routes(spark, sf_dir), 20_000)
+    return out.select("place_id", "trail_id", "idx", js_round("metres", 2).alias("metres"), js_round("line_m", 2).alias("line_m"))
+
+
 @register(
     "jon14_snap_to_track",
     f"""WITH {CUST}, {SUPP}, route AS (SELECT s_nationkey AS trail_id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY lon, spot_id) - 1 AS BIGINT) AS idx, lat, lon FROM supp JOIN supplier ON s_suppkey = spot_id),

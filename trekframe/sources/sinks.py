@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trekframe.functions.text import csv_quote, escape_xml
@@ -12,7 +12,7 @@ EXTENSIONS = [("off_trail_km", "offTrailKm"), ("access_mode", "accessMode")]
 
 
 def gpx_documents(points: DataFrame, waypoints: DataFrame | None = None) -> DataFrame:
-    """``(trail_id, gpx)``: one document a trail, points in order within tracks (SNK01, SNK02, SNK04).
+    """``(trail_id, gpx)``: one document a trail, points in order within tracks (SNK01, SNK02).
 
     ``points`` are ``(trail_id, track, idx, lat, lon, ele)``, ``waypoints`` ``(trail_id, seq, name, type, lat, lon)`` and
     perhaps ``off_trail_km`` and ``access_mode``, which are written as extensions where they are known.
@@ -35,6 +35,44 @@ def gpx_documents(points: DataFrame, waypoints: DataFrame | None = None) -> Data
     return out.select("trail_id", F.concat(F.lit(head), F.coalesce("marks", F.lit("")), "tracks", F.lit("</gpx>")).alias("gpx"))
 
 
+def _number(x) -> Column:
+    """A number as short as it can be written: no decimals where there are none."""
+    return F.regexp_replace(F.col(x).cast("string"), r"\.0$", "")
+
+
+def _in_order(rows: DataFrame, keys: list[str], order: list[str], value: Column) -> DataFrame:
+    """``(*keys, body)``: the values of a group in their order, as one text."""
+    return rows.select(*keys, F.struct(*order, value.alias("x")).alias("p")).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["x"]), "").alias("body"))
+
+
+def trail_page_gpx(trails: DataFrame, points: DataFrame, waypoints: DataFrame, variants: DataFrame) -> DataFrame:
+    """``(trail_id, gpx)``: a trail's page as one GPX 1.1 document (SNK04).
+
+    ``trails`` are ``(trail_id, name, region, km)``; ``points`` ``(trail_id, stretch, idx, lat, lon, ele)``, one segment of
+    the track for each stretch between breaks; ``waypoints`` ``(trail_id, seq, off_trail, lat, lon, ele, name, type,
+    description)``, those on the trail first and only they with a height; ``variants`` ``(trail_id, seq, name, type, idx,
+    lat, lon, ele)``, a typed track each. A missing name is 'Waypoint' or 'Unnamed', other missing parts are left out. A
+    trail without points still has its empty track.
+    """
+    tag = lambda name, text: F.coalesce(F.concat(F.lit(f"<{name}>"), escape_xml(text), F.lit(f"</{name}>")), F.lit(""))
+    given = lambda c: F.when(F.col(c) != "", F.col(c))
+    named = lambda other: F.coalesce(given("name"), F.lit(other))
+    where = lambda kind: F.concat(F.lit(f'<{kind} lat="'), _number("lat"), F.lit('" lon="'), _number("lon"), F.lit('">'))
+    spot = F.concat(where("trkpt"), tag("ele", _number("ele")), F.lit("</trkpt>"))
+    segment = F.concat(F.lit("<trkseg>"), F.col("body"), F.lit("</trkseg>"))
+    line = _in_order(_in_order(points, ["trail_id", "stretch"], ["idx"], spot), ["trail_id"], ["stretch"], segment).withColumnRenamed("body", "line")
+    mark = F.concat(where("wpt"), F.when(F.col("off_trail"), F.lit("")).otherwise(tag("ele", _number("ele"))), tag("name", named("Waypoint")), tag("type", given("type")), tag("desc", given("description")), F.lit("</wpt>"))
+    marks = _in_order(waypoints, ["trail_id"], ["off_trail", "seq"], mark).withColumnRenamed("body", "marks")
+    track = F.concat(F.lit("<trk>"), tag("name", named("Unnamed")), tag("type", F.coalesce("type", F.lit(""))), segment, F.lit("</trk>"))
+    others = _in_order(_in_order(variants, ["trail_id", "seq", "name", "type"], ["idx"], spot), ["trail_id"], ["seq"], track).withColumnRenamed("body", "others")
+    met = trails.join(line, "trail_id", "left").join(marks, "trail_id", "left").join(others, "trail_id", "left")
+    about = F.concat(F.lit("<metadata>"), tag("name", F.col("name")), F.lit("<desc>"), escape_xml(F.col("region")), F.format_string(" - %.1f km</desc></metadata>", "km"))
+    part = lambda c: F.coalesce(F.col(c), F.lit(""))
+    head = '<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" creator="trekframe" xmlns="http://www.topografix.com/GPX/1/1">'
+    main = F.concat(F.lit("<trk>"), tag("name", F.col("name")), part("line"), F.lit("</trk>"))
+    return met.select("trail_id", F.concat(F.lit(head), about, part("marks"), main, part("others"), F.lit("</gpx>")).alias("gpx"))
+
+
 def csv_lines(rows: DataFrame) -> DataFrame:
     """One quoted CSV line a row (SNK03)."""
     return rows.select(F.concat_ws(",", *(F.coalesce(csv_quote(F.col(c)), F.lit("")) for c in rows.columns)).alias("value"))
