@@ -1,4 +1,5 @@
 import json
+import math
 
 from pyspark.sql import functions as F
 
@@ -93,3 +94,46 @@ def test_stream_rate_limit_equals_the_batch(spark):
     q, _ = load_queries()
     a, b = (sorted(map(tuple, q[n](spark, "/root/testdata/sf0.001").collect())) for n in ("stm04_rate_limit", "stm04_rate_limit_stream"))
     assert a == b
+
+
+def test_mobile_documents_are_thinned_by_stretch(spark):
+    """All trails of the smallest tables: each stretch to its share of the target, breaks moved, climbs kept, as in a plain loop."""
+    import numpy as np
+
+    from trekframe.operators.sequential import simplify_to_target
+    from trekframe.plans.files import snk06
+    from trekframe.plans.tracks import measured
+
+    sf = "/root/testdata/sf0.001"
+    tracks = {}
+    for r in sorted(measured(spark, sf).collect(), key=lambda r: (r.trail_id, r.idx)):
+        tracks.setdefault(r.trail_id, []).append(r)
+    rounded = lambda x, n=0: math.floor(x * 10**n + 0.5) / 10**n
+    got = {r.trail_id: r for r in snk06(spark, sf).collect()}
+    assert set(got) == set(tracks)
+    several = 0
+    for trail, rows in tracks.items():
+        stretches = [[]]
+        for r in rows:
+            if r.is_break and stretches[-1]:
+                stretches.append([])
+            stretches[-1].append(r)
+        kept, breaks = [], []
+        for stretch in stretches:
+            if kept:
+                breaks.append(len(kept))
+            at = simplify_to_target(np.array([r.lat for r in stretch]), np.array([r.lon for r in stretch]), max(2, math.floor(20 * len(stretch) / len(rows) + 0.5)))
+            kept += [stretch[k] for k in at]
+        several += len(breaks) > 1
+        variants = {}
+        for r in rows:
+            if r.idx // 10 % 2 == 1:
+                variants.setdefault(r.idx // 10, []).append(r)
+        lines = [",".join(str(v[k].idx) for k in simplify_to_target(np.array([r.lat + 0.001 for r in v]), np.array([r.lon for r in v]), 6)) for _, v in sorted(variants.items())]
+        out = got[trail]
+        assert (out.points, out.breaks) == (",".join(str(r.idx) for r in kept), ",".join(map(str, breaks)))
+        assert out.last_ascent == rounded(rounded(kept[-1].cum_ascent, 6)) and out.dist == rounded(max(r.dist for r in rows), 1)
+        assert out.variants == ";".join(lines) and out.waypoints == sum(r.event_type == "purchase" for r in rows)
+        places = 0 if trail % 3 == 0 else len(rows)
+        assert out.pois == (places if trail % 5 else None)
+    assert several > 3

@@ -67,16 +67,16 @@ def simplify_to_target(lat, lon, target: int, rounds: int = 20) -> np.ndarray:
     return best
 
 
-def simplify(points: DataFrame, tolerance_m: float | None = None, target: int | None = None) -> DataFrame:
+def simplify(points: DataFrame, tolerance_m: float | None = None, target: int | str | None = None) -> DataFrame:
     """``(trail_id, idx)`` of the points kept of each stretch (SIM01, SIM02, SIM04, SNK06).
 
-    Points are dealt by stretch and sorted once, and a task walks its stretches one after the other.
+    ``target`` is a number of points, or a column that has one for each stretch. Points are dealt by stretch and sorted once, and a task walks its stretches one after the other.
     """
 
     def thin(batches):
         held = None
         for batch in batches:
-            now = [batch.column(k).to_numpy() for k in range(5)]
+            now = [batch.column(k).to_numpy() for k in range(6)]
             held = now if held is None else [np.concatenate(pair) for pair in zip(held, now)]
             edges = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])) + 1
             if len(edges):
@@ -86,15 +86,15 @@ def simplify(points: DataFrame, tolerance_m: float | None = None, target: int |
             yield work(held, np.empty(0, dtype=np.int64))
 
     def work(columns, edges) -> pa.RecordBatch:
-        trail, _, idx, lat, lon = columns
+        trail, _, idx, lat, lon, most = columns
         kept = []
         for a, b in zip([0, *edges], [*edges, len(idx)]):
-            own = douglas_peucker(lat[a:b], lon[a:b], tolerance_m) if target is None else simplify_to_target(lat[a:b], lon[a:b], target)
+            own = douglas_peucker(lat[a:b], lon[a:b], tolerance_m) if target is None else simplify_to_target(lat[a:b], lon[a:b], int(most[a]))
             kept.append(a + own)
         at = np.concatenate(kept)
         return pa.RecordBatch.from_arrays([pa.array(trail[at]), pa.array(idx[at])], names=["trail_id", "idx"])
 
-    rows = points.select(F.col("trail_id").cast("long"), F.col("stretch").cast("long"), F.col("idx").cast("long"), F.col("lat").cast("double"), F.col("lon").cast("double"))
+    rows = points.select(F.col("trail_id").cast("long"), F.col("stretch").cast("long"), F.col("idx").cast("long"), F.col("lat").cast("double"), F.col("lon").cast("double"), (F.col(target) if isinstance(target, str) else F.lit(target or 0)).cast("long").alias("most"))
     rows = rows.dropna().repartition("trail_id", "stretch").sortWithinPartitions("trail_id", "stretch", "idx")
     return rows.mapInArrow(thin, "trail_id long, idx long")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trekframe.functions.rounding import js_round
 from trekframe.operators import track
+from trekframe.plans.pois import places
 from trekframe.plans.registry import register
 from trekframe.plans.tables import CUST, PTS, cust, pts, rnd, table
 from trekframe.plans.tracks import DIST, measured
@@ -274,11 +275,28 @@ def snk05(spark, sf_dir):
     return back.select("trail_id", F.size("points").cast("long").alias("points"), F.size("waypoints").cast("long").alias("waypoints"), js_round(top("dist"), 4).alias("km"), js_round(top("cum_ascent"), 3).alias("ascent"), F.element_at("points", -1)["ele"].alias("last_ele"))
 
 
+_POINT = "lat: double, lon: double, ele: double"
+_MOBILE = f"""trail_id long, name string, dist double, cum_ascent double, cum_descent double, points array<struct<idx: long, {_POINT}, dist: double, cum_ascent: double, cum_descent: double>>, breaks array<long>,
+waypoints array<struct<seq: long, name: string, {_POINT}, km: double>>, variants array<struct<seq: long, name: string, type: string, points: array<struct<idx: long, {_POINT}>>>>,
+pois array<struct<place_id: long, name: string, lat: double, lon: double, along: double, tags: string>>"""
+
+
 @register("snk06_mobile_json")
 def snk06(spark, sf_dir):
-    """Trails cut to about 20 points, with the climbs of the full tracks; see the tests."""
-    docs = sinks.trail_documents(measured(spark, sf_dir), _marks(spark, sf_dir), target=20)
-    return docs.select(F.from_json("doc", _DOC).alias("d")).select("d.trail_id", F.size("d.points").alias("points"), F.element_at("d.points", -1)["cum_ascent"].alias("ascent"))
+    """Every trail thinned to about 20 points by its stretches, variants to 6, with waypoints and places; see the tests."""
+    m = track.split_at_breaks(measured(spark, sf_dir))
+    trails = m.select("trail_id").distinct().select("trail_id", F.concat(F.lit("trail "), "trail_id").alias("name"), (F.col("trail_id") % 5 > 0).alias("enriched"))
+    marks = m.where("event_type = 'purchase'").select("trail_id", F.col("idx").alias("seq"), F.col("event_type").alias("name"), "lat", "lon", "ele", "km")
+    seq = F.floor(F.col("idx") / 10)
+    variants = m.where(seq % 2 == 1).select("trail_id", seq.alias("seq"), F.concat(F.lit("variant "), seq).alias("name"), F.lit("alternate").alias("type"), "idx", (F.col("lat") + 0.001).alias("lat"), "lon", "ele")
+    spots = places(spark, sf_dir).where("user_id % 3 > 0").select(F.col("user_id").alias("trail_id"), F.col("event_id").alias("place_id"), F.lit("spot").alias("name"), F.col("value").alias("lat"), F.col("value").alias("lon"), (F.col("value") / 3).alias("along"), "tags")
+    docs = sinks.mobile_documents(trails, m, marks, variants, spots, target=20, variant_target=6)
+    back = docs.select(F.from_json("doc", _MOBILE).alias("d")).select("d.*")
+    return back.select(
+        "trail_id", F.array_join(F.transform("points", lambda p: p["idx"]), ",").alias("points"), F.array_join("breaks", ",").alias("breaks"), "dist", "cum_ascent", "cum_descent", F.element_at("points", -1)["cum_ascent"].alias("last_ascent"),
+        F.size("waypoints").alias("waypoints"), F.array_join(F.transform("variants", lambda v: F.array_join(F.transform(v["points"], lambda p: p["idx"]), ",")), ";").alias("variants"),
+        F.when(F.col("pois").isNotNull(), F.size("pois")).alias("pois"), F.aggregate(F.coalesce("pois", F.array().cast("array<struct<place_id: long, name: string, lat: double, lon: double, along: double, tags: string>>")), F.lit(0.0), lambda a, p: a + p["along"]).alias("along"),
+    )
 
 
 @register(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trekframe.functions.pois import slim_tags
+from trekframe.functions.rounding import js_round
 from trekframe.functions.text import csv_quote, escape_xml
+from trekframe.operators.sequential import simplify
 
 
 EXTENSIONS = [("off_trail_km", "offTrailKm"), ("access_mode", "accessMode")]
@@ -107,24 +110,66 @@ def publish(files: DataFrame, path: str) -> DataFrame:
     return listed
 
 
-def trail_documents(points: DataFrame, waypoints: DataFrame, target: int | None = None) -> DataFrame:
-    """``(trail_id, doc)``: one JSON document a trail with its points and waypoints in order (SNK05, SNK10); with ``target``
-    only the points that a simplification to so many keeps, with the climbs of the full track and short numbers (SNK06).
+def trail_documents(points: DataFrame, waypoints: DataFrame) -> DataFrame:
+    """``(trail_id, doc)``: one JSON document a trail with its points and waypoints in order (SNK05, SNK10).
 
     ``points`` are ``(trail_id, idx, lat, lon, ele, dist, cum_ascent)``, ``waypoints`` ``(trail_id, seq, name, km)``.
     """
-    from trekframe.functions.rounding import js_round
-    from trekframe.operators.sequential import simplify
-
-    if target is not None:
-        kept = simplify(points.withColumn("stretch", F.lit(0)), target=target)
-        points = points.join(kept, ["trail_id", "idx"], "left_semi").withColumns({"lat": js_round("lat", 6), "lon": js_round("lon", 6), "ele": js_round("ele", 1), "dist": js_round("dist", 1)})
     rows = points.groupBy("trail_id").agg(F.array_sort(F.collect_list(F.struct("idx", "lat", "lon", "ele", "dist", "cum_ascent"))).alias("points"))
     marks = waypoints.groupBy("trail_id").agg(F.array_sort(F.collect_list(F.struct("seq", "name", "km"))).alias("waypoints"))
     met = rows.join(marks, "trail_id", "left")
     return met.select("trail_id", F.to_json(F.struct("trail_id", "points", F.coalesce("waypoints", F.array().cast(marks.schema["waypoints"].dataType)).alias("waypoints"))).alias("doc"))
 
 
+def _short(columns: dict[str, int]) -> list[Column]:
+    return [js_round(c, digits).alias(c) for c, digits in columns.items()]
+
+
+def _lists(rows: DataFrame, order: str, fields: list, name: str) -> DataFrame:
+    """``(trail_id, name)``: a trail's rows as an array in their order."""
+    return rows.groupBy("trail_id").agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias(name))
+
+
+def mobile_documents(trails: DataFrame, points: DataFrame, waypoints: DataFrame, variants: DataFrame, pois: DataFrame, target: int = 5000, variant_target: int = 1000) -> DataFrame:
+    """``(trail_id, doc)``: one JSON document a trail, thinned for a phone (SNK06).
+
+    ``trails`` are ``(trail_id, name, enriched)``; ``points`` ``(trail_id, stretch, idx, lat, lon, ele, dist, cum_ascent,
+    cum_descent)`` with the climbs of the full track, which the kept points carry on; ``waypoints`` ``(trail_id, seq, name,
+    lat, lon, ele, km)``; ``variants`` ``(trail_id, seq, name, type, idx, lat, lon, ele)``; ``pois`` ``(trail_id, place_id,
+    name, lat, lon, along, tags)``.
+
+    Each stretch is simplified to its share of ``target`` by its number of points, two at least, and a break's index is
+    that of its stretch's first kept point. Variants are simplified to ``variant_target``. Numbers are short, places keep
+    the tags that are shown. A trail that was never enriched has no ``pois``, one with none found an empty list; a trail
+    without points gives no document.
+    """
+    sizes = points.groupBy("trail_id", "stretch").agg(F.count("*").alias("_n"))
+    share = sizes.join(points.groupBy("trail_id").agg(F.count("*").alias("_all")), "trail_id")
+    share = share.select("trail_id", "stretch", F.greatest(F.lit(2), F.floor(F.lit(float(target)) * F.col("_n") / F.col("_all") + 0.5)).alias("_most"))
+    kept = points.join(simplify(points.join(share, ["trail_id", "stretch"]), target="_most"), ["trail_id", "idx"], "left_semi")
+    fields = [*_short({"lat": 6, "lon": 6, "ele": 1, "dist": 1}), *(js_round(js_round(c, 6)).alias(c) for c in ("cum_ascent", "cum_descent"))]
+    thin = _lists(kept, "idx", fields, "points")
+    total = points.groupBy("trail_id").agg(*(js_round(F.max(c), n).alias(c) for c, n in (("dist", 1), ("cum_ascent", 0), ("cum_descent", 0))))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("trail_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.min("stretch").over(Window.partitionBy("trail_id"))
+    cuts = kept.groupBy("trail_id", "stretch").agg(F.count("*").alias("n")).withColumns({"at": before, "first": first}).where("stretch > first")
+    breaks = cuts.groupBy("trail_id").agg(F.array_sort(F.collect_list("at")).alias("breaks"))
+    marks = _lists(waypoints, "seq", ["name", *_short({"lat": 6, "lon": 6, "ele": 1, "km": 1})], "waypoints")
+    numbered = variants.withColumn("row", F.row_number().over(Window.partitionBy("trail_id").orderBy("seq", "idx")))
+    lines = simplify(numbered.select("trail_id", F.col("seq").alias("stretch"), F.col("row").alias("idx"), "lat", "lon"), target=variant_target)
+    lines = numbered.join(lines.withColumnRenamed("idx", "row"), ["trail_id", "row"], "left_semi")
+    lines = lines.groupBy("trail_id", "seq", "name", "type").agg(F.array_sort(F.collect_list(F.struct("idx", *_short({"lat": 6, "lon": 6, "ele": 1})))).alias("points"))
+    others = _lists(lines, "seq", ["name", "type", "points"], "variants")
+    spots = pois.withColumn("tags", F.to_json(slim_tags(F.col("tags"))))  # maps cannot be ordered in an array
+    spots = _lists(spots, "place_id", ["name", *_short({"lat": 6, "lon": 6, "along": 1}), "tags"], "pois")
+    met = trails.join(thin, "trail_id").join(total, "trail_id")
+    for part in (breaks, marks, others, spots):
+        met = met.join(part, "trail_id", "left")
+    listed = [F.coalesce(c, F.array().cast(met.schema[c].dataType)).alias(c) for c in ("breaks", "waypoints", "variants")]
+    found = F.when(F.col("enriched"), F.coalesce("pois", F.array().cast(met.schema["pois"].dataType))).alias("pois")
+    return met.select("trail_id", F.to_json(F.struct("trail_id", "name", "dist", "cum_ascent", "cum_descent", "points", *listed, found)).alias("doc"))
+
+
 def poi_file(existing: DataFrame, pois: DataFrame) -> DataFrame:
     """``(trail_id, pois, rejected, duplicates)``: newly found places in order of km and key, with what was curated by hand
     kept from the file before (SNK07)."""
