@@ -223,3 +223,20 @@ def test_finishing_chain_drops_what_each_step_drops(spark):
     assert set(got) == {1, 5, 7, 8}  # of three springs in one kilometre, the first and the last
     assert got[7].tags == {"natural": "spring"} and got[5].category == "restaurant"
     assert abs(got[7].km - 5.6) < 0.2 and got[7].off_km == 0.18
+
+
+def test_distance_to_line_measures_steps_across_breaks(spark):
+    """A place beside a step across a break is nearer to the line than to the snapped point; one past an end has its next index."""
+    from trekframe.operators import spatial
+
+    points = spark.createDataFrame(
+        [(1, 0, -35.0, 148.0, 0.0, False), (1, 1, -35.0, 148.01, 0.9, False), (1, 2, -35.0, 148.03, 0.9, True), (1, 3, -35.0, 148.04, 1.8, False)],
+        "trail_id long, idx long, lat double, lon double, dist double, is_break boolean",
+    )
+    places = spark.createDataFrame([(1, -35.001, 148.02), (2, -35.001, 148.005), (3, -35.0, 148.012), (4, -35.0, 148.05), (5, 10.0, 10.0)], "place_id long, lat double, lon double")
+    got = {r.place_id: r for r in spatial.distance_to_line(places, points, 3000.0).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    assert got[1].metres > 900 and abs(got[1].line_m - 111.32) < 0.01
+    assert (got[2].idx, round(got[2].line_m)) == (0, 111)
+    assert got[3].idx == 1 and got[3].metres > 180 and got[3].line_m < 0.01
+    assert got[4].idx == 3 and abs(got[4].line_m - got[4].metres) < 2
