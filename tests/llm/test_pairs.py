@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trekframe.llm.decontaminate import edit_match, find_leaks, length_class, max_edits, walk_keys, window_starts
 from trekframe.llm.embedding_dedup import collision_plan, embedding_links
@@ -180,6 +181,41 @@ def test_large_groups_are_cut_into_blocks(spark, texts, monkeypatch):
         assert got[i] == sum(j != i and bool(s) and bool(sets[i]) and len(s & sets[i]) >= 0.8 * len(s | sets[i]) - 1e-9 for j, s in enumerate(sets))
 
 
+def test_each_pair_of_a_bucket_meets_in_one_unit(spark, monkeypatch):
+    """Random band keys with crowds, hubs and equal buckets: a pair with a common key is compared once, others never."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rng = random.Random(5)
+    rows = [(i, [1000 * band + rng.choice([0, rng.randrange(6), 100 + i]) for band in range(6)]) for i in range(90)]
+    rows += [(200 + i, [9000 + band for band in range(4)] + [9004 + i % 3, 5000 + rng.randrange(9)]) for i in range(40)]
+    bands = dict(rows)
+    units = jaccard_join.comparison_units(spark.createDataFrame(rows, "class_id long, bands array<long>"))
+    spread = units.withColumn("other", F.explode(jaccard_join.blocks_to_meet())).collect()
+    tasks = {}
+    for r in spread:
+        tasks.setdefault((r.band, r.key, *sorted((r.own, r.other))), []).append(r)
+    seen = []
+    for (band, _, i, j), own in tasks.items():
+        left, right = [[r for r in own if r.own == side] for side in (i, j)]
+        for a in left:
+            for b in right:
+                if (i != j or a.class_id < b.class_id) and (band < 0 or a.crowd != b.crowd):
+                    common = [k for k, (x, y) in enumerate(zip(bands[a.class_id], bands[b.class_id])) if x == y]
+                    if common and band in (-1, common[0]):
+                        seen.append(tuple(sorted((a.class_id, b.class_id))))
+    want = {(a, b) for a in bands for b in bands if a < b and any(x == y for x, y in zip(bands[a], bands[b]))}
+    assert len(seen) == len(set(seen)) and set(seen) == want
+
+
+def test_chained_chance_hits_stay_linear(spark):
+    """50,000 classes in one chain of chance hits: one component, but each class is in two units of two."""
+    n = 50_000
+    link = lambda i: F.xxhash64(i, F.lit("link"))
+    slot = [link(F.floor(F.col("id") / 2)), link(-F.floor((F.col("id") + 1) / 2) - 1)]
+    chain = spark.range(n).select(F.col("id").alias("class_id"), F.array(*slot, *[F.xxhash64("id", F.lit(b)) for b in range(5)]).alias("bands"))
+    got = jaccard_join.comparison_units(chain).agg(F.count("*").alias("rows"), F.max("blocks").alias("blocks"), F.countDistinct("key").alias("units")).first()
+    assert got.rows <= 2 * n and got.blocks == 1 and got.units == n - 1
+
+
 def test_repetitions_hold_on_fresh_edits_of_the_longest_item():
     """Windows of classes whose longest item may have one edit more than their size: the stated recall, on new trials."""
     from trekframe.llm.decontaminate import edited_windows, length_class, max_edits, repeats_for, walk_keys

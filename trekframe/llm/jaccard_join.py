@@ -7,15 +7,17 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trekframe.llm.pair_blocks import deal, linked
+from trekframe.llm.pair_blocks import linked
 from trekframe.llm.words import WordHashes, mix, shingles, small_batches
 from trekframe.operators.graph import connected_components
 from trekframe.storage import materialize
 
-BLOCK = 64  # members of one block of a group; two blocks meet in one task
+BLOCK = 64  # members of one block of a unit; two blocks meet in one task
+CLOSE = 3  # buckets shared with their least class from which on a class belongs to that one's crowd
+CROWD_UNIT = -1  # the band of a unit that is a crowd, not a bucket
 
 
 def band_plan(threshold: float, recall: float = 0.999, spill: float = 0.2) -> tuple[int, int]:
@@ -94,12 +96,72 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], pairs: np.ndarray
     return out[pairs[:, 0], pairs[:, 1]].round().astype(np.int64)
 
 
-def shared_bands(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Which rows of two matrices of band keys have a key in common."""
-    met = np.zeros((len(left), len(right)), dtype=bool)
-    for band in range(left.shape[1]):
-        met |= left[:, band, None] == right[None, :, band]
-    return met
+def least_common(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The first band in which rows of two matrices of band keys have the same key; -1 where there is none."""
+    first = np.full((len(left), len(right)), -1)
+    for band in range(left.shape[1] - 1, -1, -1):
+        first[left[:, band, None] == right[None, :, band]] = band
+    return first
+
+
+def comparison_units(signed: DataFrame) -> DataFrame:
+    """``(class_id, crowd, band, key, own, skip_from, skip_to, blocks)``: where each of ``(class_id, bands)`` is compared.
+
+    Classes meet in their buckets (band keys of several classes), which are never joined into larger groups: where
+    chance hits chain a whole corpus, a class still takes part in one unit a band at most, and in its crowd. Two things
+    save work and lose no pair:
+
+    * A class that shares ``CLOSE`` buckets with the least class of them belongs to that one's crowd (the least such
+      class; else a crowd of its own). Pairs of a crowd are compared once, in the crowd, and buckets compare only pairs
+      of two crowds, so those within one crowd are dropped.
+    * Of buckets with the same members, that of the first band is kept. A pair counts in its first common band.
+
+    Units are cut into blocks of about ``BLOCK`` members, every two of which are to meet. In a bucket, a crowd of that
+    size has blocks of its own, ``skip_from`` to before ``skip_to``, which need not meet each other.
+    """
+    keys = signed.select("class_id", F.posexplode("bands").alias("band", "key"))
+    shared = keys.groupBy("key").agg(F.min("class_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    met = materialize(keys.join(shared.select("key", "lead").hint("merge"), "key"), "met")
+    close = met.groupBy("class_id", "lead").agg(F.count("*").alias("n"))
+    crowd = F.coalesce(F.min(F.when(F.col("n") >= CLOSE, F.col("lead"))), F.col("class_id")).alias("crowd")
+    crowds = materialize(close.groupBy("class_id").agg(crowd), "crowd")
+    placed = materialize(met.select("class_id", "band", "key").join(crowds.hint("merge"), "class_id"), "placed")
+    hashed, wide = F.xxhash64("class_id"), F.ceil(F.col("size") / BLOCK).cast("int")
+
+    sizes = crowds.groupBy("crowd").agg(F.count("*").alias("size")).where("size > 1")
+    within = crowds.join(sizes.hint("merge"), "crowd").withColumns({
+        "band": F.lit(CROWD_UNIT), "key": F.col("crowd"), "own": F.pmod(hashed, wide).cast("int"),
+        "skip_from": F.lit(0), "skip_to": F.lit(0), "blocks": wide,
+    })
+
+    members = [F.count("*").alias("n"), F.bit_xor(hashed).alias("x"), F.bit_xor(F.xxhash64("class_id", F.lit(1))).alias("y")]
+    buckets = placed.groupBy("key").agg(F.min("band").alias("band"), F.min("crowd").alias("low"), F.max("crowd").alias("high"), *members)
+    kept = buckets.where("low <> high").groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("first"))
+    across = placed.join(kept.select("first.key").hint("merge"), "key")
+    # a bucket's blocks: those of what is in no large crowd, then those of each large crowd
+    shares = across.groupBy("key", "crowd").agg(F.count("*").alias("size"))
+    shares = materialize(shares.withColumn("part", F.when(F.col("size") >= BLOCK, F.col("crowd"))), "shares")
+    parts = shares.groupBy("key", "part").agg(F.sum("size").alias("size")).withColumn("wide", wide)
+    bucket = Window.partitionBy("key")
+    upto = F.sum("wide").over(bucket.orderBy(F.asc_nulls_first("part")).rowsBetween(Window.unboundedPreceding, 0))
+    parts = parts.select(F.col("key").alias("in"), F.col("part").alias("of"), "wide", (upto - F.col("wide")).cast("int").alias("at"), F.sum("wide").over(bucket).cast("int").alias("blocks"))
+    laid = shares.join(parts, (F.col("key") == F.col("in")) & F.col("part").eqNullSafe(F.col("of"))).select("key", "crowd", "part", "wide", "at", "blocks")
+    large = F.col("part").isNotNull()
+    between = across.join(laid.hint("merge"), ["key", "crowd"]).withColumns({
+        "own": (F.col("at") + F.pmod(hashed, "wide")).cast("int"),
+        "skip_from": F.when(large, F.col("at")).otherwise(0),
+        "skip_to": F.when(large, F.col("at") + F.col("wide")).otherwise(0),
+    })
+    columns = ["class_id", "crowd", "band", "key", "own", "skip_from", "skip_to", "blocks"]
+    return materialize(within.select(*columns).unionByName(between.select(*columns)), "units")
+
+
+def blocks_to_meet() -> Column:
+    """The blocks of its unit that a row of ``comparison_units`` meets."""
+    before = F.when(F.col("skip_from") > 0, F.sequence(F.lit(0), F.col("skip_from") - 1))
+    after = F.when(F.col("skip_to") < F.col("blocks"), F.sequence(F.col("skip_to"), F.col("blocks") - 1))
+    none = F.array().cast("array<int>")
+    return F.concat(F.coalesce(before, none), F.coalesce(after, none))
 
 
 def linked_pairs(sets_left: list[np.ndarray], sets_right: list[np.ndarray], threshold: float, same: bool, met: np.ndarray | None = None) -> np.ndarray:
@@ -126,10 +188,10 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: f
     other rows that a row links with, its own class's included. ``component_id`` is the smallest doc_id reachable by
     links; ``kept`` marks that row.
 
-    Band keys are shuffled, and keys met by several classes give each of them an edge to the least one: the connected
-    groups hold every pair that shares a key, and ``recall`` is the chance that a pair at the threshold does. A group is
-    cut into blocks of about ``BLOCK`` members by hash, and each two blocks meet in a task of their own, where the pairs
-    that share a band key are verified on their full sets. No task holds a whole group, and no pairs are written.
+    Band keys are shuffled, and classes meet in the buckets that they give (``comparison_units``); ``recall`` is the
+    chance that a pair at the threshold shares one. Buckets, and crowds of classes that share many, are cut into blocks
+    of about ``BLOCK`` members by hash, and each two blocks meet in a task of their own, where the pairs that share a
+    band key are verified on their full sets. No task holds a whole bucket, and no pairs are written.
 
     A null text is empty, and a row without words has no set and links with nothing; an empty table gives an empty
     result. A row without doc_id links with nothing that has none, and counts as a copy of equal rows. Repeated rows are
@@ -142,32 +204,32 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: f
     classes = signed.where("class_key is not null").groupBy("class_key")
     classes = materialize(classes.agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "class")
     known = classes.where("class_id is not null")
-    keys = known.select("class_id", F.explode("bands").alias("key"))
-    met = keys.groupBy("key").agg(F.min("class_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    stars = keys.join(met, "key").where("class_id <> lead").select("class_id", "lead").distinct()
-    groups = materialize(connected_components(stars, "class_id", "lead"), "group")
-    dealt = deal(groups, "component", "node", BLOCK)
+    units = comparison_units(known)
 
     def gather(batches):
         hashes = WordHashes()
         for batch in batches:
             sets = [text_grams(t, hashes, k) for t in batch.column("text").to_pylist()]
             digests = pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in sets], type=pa.binary())
-            arrays = [*(batch.column(c) for c in ("node", "component", "blocks", "own")), digests, pa.array([g.tobytes() for g in sets], type=pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["node", "component", "blocks", "own", "class_key", "grams"])
+            arrays = [batch.column("class_id"), digests, pa.array([g.tobytes() for g in sets], type=pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["class_id", "class_key", "grams"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    members = texts.join(dealt.hint("merge"), "node").mapInArrow(gather, "node long, component long, blocks int, own int, class_key binary, grams binary")
-    members = members.join(known.select(F.col("class_id").alias("node"), "class_key", "copies", "bands"), ["node", "class_key"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("class_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(units.select("class_id").distinct().hint("merge"), "class_id", "left_semi")
+    sets = texts.mapInArrow(gather, "class_id long, class_key binary, grams binary")
+    sets = sets.join(known.select("class_id", "class_key", "copies", "bands"), ["class_id", "class_key"]).drop("class_key")
+    members = units.join(sets.hint("merge"), "class_id").withColumnRenamed("class_id", "node")
 
     def load(block: pa.Table):
-        return [np.frombuffer(g, dtype=np.uint64) for g in block.column("grams").to_pylist()], np.array(block.column("bands").to_pylist())
+        grams = [np.frombuffer(g, dtype=np.uint64) for g in block.column("grams").to_pylist()]
+        return grams, np.array(block.column("bands").to_pylist()), block.column("crowd").to_numpy(), block.column("band")[0].as_py()
 
     def compare(left, right, same: bool) -> np.ndarray:
-        return linked_pairs(left[0], right[0], threshold, same, shared_bands(left[1], right[1]))
+        first, band = least_common(left[1], right[1]), left[3]
+        met = first >= 0 if band == CROWD_UNIT else (first == band) & (left[2][:, None] != right[2][None, :])
+        return linked_pairs(left[0], right[0], threshold, same, met)
 
-    columns = ["component", "blocks", "node", "own", "copies", "bands", "grams"]
-    found = materialize(linked(members.select(*columns), "component", "node", load, compare), "found")
+    found = materialize(linked(members, ["band", "key"], "node", load, compare, blocks_to_meet()), "found")
     counts = found.where("links > 0").groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("outer"))
     joined = connected_components(found, "a", "b").select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
     reached = classes.join(counts, "class_id", "left").join(joined, "class_id", "left")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LINKS = "a long, b long, links long"
@@ -38,15 +38,16 @@ def deal(groups: DataFrame, group: str, node: str, block: int) -> DataFrame:
     return dealt.withColumn("own", F.pmod(F.xxhash64(node), "blocks").cast("int"))
 
 
-def linked(members: DataFrame, group: str, node: str, load: Callable, compare: Callable) -> DataFrame:
+def linked(members: DataFrame, group: str | list[str], node: str, load: Callable, compare: Callable, others: Column | None = None) -> DataFrame:
     """``(a, b, links)`` of the linked pairs in all groups of ``members`` with ``blocks``, ``own`` and ``copies``.
 
-    Each two blocks of a group meet in a task. ``load(table)`` makes one side of the rows of a block, whose nodes are in
+    Each two blocks of a group meet in a task, or those that ``others`` lists for either. ``load(table)`` makes one side of the rows of a block, whose nodes are in
     ascending order; ``compare(left, right, same)`` returns an array of linked row numbers ``(i, j)``, i < j if both
     are one block. Links come back summed: a row ``(a, a, n)`` for the copies of others that a node links with, and rows
     ``(a, b, 0)`` of a forest that joins what the pairs join.
     """
-    spread = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1) if others is None else others
+    spread = members.select("*", F.explode(others).alias("other"))
     spread = spread.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
     def work(table: pa.Table) -> pa.Table:
@@ -68,4 +69,5 @@ def linked(members: DataFrame, group: str, node: str, load: Callable, compare: C
             out = ([*ends.tolist(), *(x for x, _ in forest)], [*ends.tolist(), *(y for _, y in forest)], [*total.tolist(), *[0] * len(forest)])
         return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("a", "b", "links"), out)})
 
-    return spread.groupBy(group, "i", "j").applyInArrow(work, LINKS)
+    keys = [group] if isinstance(group, str) else group
+    return spread.groupBy(*keys, "i", "j").applyInArrow(work, LINKS)
