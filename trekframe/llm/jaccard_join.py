@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trekframe.llm.hot_groups import with_group_totals
 from trekframe.llm.pair_blocks import linked
 from trekframe.llm.words import WordHashes, mix, shingles, small_batches
 from trekframe.operators.graph import connected_components
@@ -18,6 +19,7 @@ from trekframe.storage import materialize
 BLOCK = 64  # members of one block of a unit; two blocks meet in one task
 CLOSE = 3  # buckets shared with their least class from which on a class belongs to that one's crowd
 CROWD_UNIT = -1  # the band of a unit that is a crowd, not a bucket
+SALTS = 8  # parts of a large group, which meet what is joined with it in tasks of their own
 
 
 def band_plan(threshold: float, recall: float = 0.999, spill: float = 0.2) -> tuple[int, int]:
@@ -104,6 +106,14 @@ def least_common(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return first
 
 
+def _beside(rows: DataFrame, few: DataFrame, on: list[str], large: Column) -> DataFrame:
+    """``rows`` with the one row of ``few`` for their group; groups that ``few`` calls large are joined in parts."""
+    part = F.pmod(F.xxhash64("class_id"), F.lit(SALTS)).cast("int")
+    parted = rows.withColumn("salt", F.explode(F.array(F.lit(-1), part)))
+    salts = F.when(large, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))
+    return parted.join(few.withColumn("salt", F.explode(salts)).hint("merge"), [*on, "salt"]).drop("salt")
+
+
 def comparison_units(signed: DataFrame) -> DataFrame:
     """``(class_id, crowd, band, key, own, skip_from, skip_to, blocks)``: where each of ``(class_id, bands)`` is compared.
 
@@ -120,16 +130,15 @@ def comparison_units(signed: DataFrame) -> DataFrame:
     size has blocks of its own, ``skip_from`` to before ``skip_to``, which need not meet each other.
     """
     keys = signed.select("class_id", F.posexplode("bands").alias("band", "key"))
-    shared = keys.groupBy("key").agg(F.min("class_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    met = materialize(keys.join(shared.select("key", "lead").hint("merge"), "key"), "met")
+    totals = {"lead": F.min("class_id"), "n": F.count(F.lit(1))}
+    met = materialize(with_group_totals(keys, ["key"], totals, least=2).where("n > 1").drop("n"), "met")
     close = met.groupBy("class_id", "lead").agg(F.count("*").alias("n"))
     crowd = F.coalesce(F.min(F.when(F.col("n") >= CLOSE, F.col("lead"))), F.col("class_id")).alias("crowd")
     crowds = materialize(close.groupBy("class_id").agg(crowd), "crowd")
     placed = materialize(met.select("class_id", "band", "key").join(crowds.hint("merge"), "class_id"), "placed")
     hashed, wide = F.xxhash64("class_id"), F.ceil(F.col("size") / BLOCK).cast("int")
 
-    sizes = crowds.groupBy("crowd").agg(F.count("*").alias("size")).where("size > 1")
-    within = crowds.join(sizes.hint("merge"), "crowd").withColumns({
+    within = with_group_totals(crowds, ["crowd"], {"size": F.count(F.lit(1))}, least=2).where("size > 1").withColumns({
         "band": F.lit(CROWD_UNIT), "key": F.col("crowd"), "own": F.pmod(hashed, wide).cast("int"),
         "skip_from": F.lit(0), "skip_to": F.lit(0), "blocks": wide,
     })
@@ -137,7 +146,7 @@ def comparison_units(signed: DataFrame) -> DataFrame:
     members = [F.count("*").alias("n"), F.bit_xor(hashed).alias("x"), F.bit_xor(F.xxhash64("class_id", F.lit(1))).alias("y")]
     buckets = placed.groupBy("key").agg(F.min("band").alias("band"), F.min("crowd").alias("low"), F.max("crowd").alias("high"), *members)
     kept = buckets.where("low <> high").groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("first"))
-    across = placed.join(kept.select("first.key").hint("merge"), "key")
+    across = materialize(_beside(placed, kept.select("first.key", "n"), ["key"], F.col("n") >= BLOCK).drop("n"), "across")
     # a bucket's blocks: those of what is in no large crowd, then those of each large crowd
     shares = across.groupBy("key", "crowd").agg(F.count("*").alias("size"))
     shares = materialize(shares.withColumn("part", F.when(F.col("size") >= BLOCK, F.col("crowd"))), "shares")
@@ -147,7 +156,7 @@ def comparison_units(signed: DataFrame) -> DataFrame:
     parts = parts.select(F.col("key").alias("in"), F.col("part").alias("of"), "wide", (upto - F.col("wide")).cast("int").alias("at"), F.sum("wide").over(bucket).cast("int").alias("blocks"))
     laid = shares.join(parts, (F.col("key") == F.col("in")) & F.col("part").eqNullSafe(F.col("of"))).select("key", "crowd", "part", "wide", "at", "blocks")
     large = F.col("part").isNotNull()
-    between = across.join(laid.hint("merge"), ["key", "crowd"]).withColumns({
+    between = _beside(across, laid, ["key", "crowd"], large).withColumns({
         "own": (F.col("at") + F.pmod(hashed, "wide")).cast("int"),
         "skip_from": F.when(large, F.col("at")).otherwise(0),
         "skip_to": F.when(large, F.col("at") + F.col("wide")).otherwise(0),
