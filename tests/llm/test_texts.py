@@ -168,3 +168,12 @@ def test_pipeline_stages(spark):
         assert out.columns == docs.columns
         kept = {r.doc_id for r in out.select("doc_id").collect()}
         assert kept <= ids and len(kept) > 0.5 * len(ids), name
+
+
+def test_texts_are_cut_in_one_python_worker_a_task(spark, capsys):
+    """The filter behind the cut must not bring a second run of it: each would hold a worker of its own beside the task."""
+    docs = spark.createDataFrame([(1, "x" * 300), (2, "short"), (3, None), (4, "y" * 150 + "x" * 120)], "doc_id long, text string")
+    out = suffix_dedup.drop_repeats(docs)
+    out.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython [") == 1
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "x", 2: "short", 3: None, 4: "y"}

@@ -469,15 +469,18 @@ def drop_repeats(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
         for texts, spans in batches:
             out = []
             for text, own in zip(texts.to_pylist(), spans.to_pylist()):
+                if text is None:
+                    out.append(None)
+                    continue
                 raw = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
                 gone, _ = removed_mask(len(raw), np.array(own, dtype=np.int64).reshape(-1, 2))
                 out.append(raw[~gone].tobytes().decode("utf-8", errors="ignore"))
             yield pa.array(out, type=pa.string())
 
+    kept = kept.asNondeterministic()  # else the filter below takes a second run of it, in a Python worker more per task
     spans, rest = _free_name(docs, "spans"), _free_name(docs, "rest")
     marked = _with_spans(docs, min_bytes, spans)
-    touched = F.col(spans).isNotNull() & F.col("text").isNotNull()
-    marked = marked.withColumn(rest, F.when(touched, kept(F.coalesce("text", F.lit("")), F.coalesce(spans, F.array().cast("array<array<bigint>>")))))
+    marked = marked.withColumn(rest, kept(F.when(F.col(spans).isNotNull(), F.col("text")), spans))  # only texts with repeats go to Python
     marked = marked.where(F.col(rest).isNull() | (F.col(rest) != ""))
     out = marked.withColumn("text", F.coalesce(rest, "text"))
     if "n_chars" in docs.columns:
