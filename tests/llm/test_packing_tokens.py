@@ -173,3 +173,39 @@ def test_spans_of_plain_texts_are_those_of_the_tokenizer():
     for c in low:
         text = f"a{c}B {c}{c}"
         assert plain.of(text).tolist() == [list(x) for x in plain.full.encode(text, add_special_tokens=False).offsets], hex(ord(c))
+
+
+@pytest.mark.parametrize("rule", ["start", "end", "majority"])
+def test_tokens_between_edges_are_counted_without_all_spans(rule):
+    """The counts over all spans, from an encoding that shows the spans of single tokens only."""
+    from trekframe.llm.token_counts import count_tokens
+    from trekframe.llm.words import SpanEncoder
+
+    class Single:
+        def __init__(self, encoding):
+            self.n, self.token_to_chars = len(encoding), encoding.token_to_chars
+
+        def __len__(self):
+            return self.n
+
+    class Encoder(SpanEncoder):
+        def encoded(self, text):
+            encoding, ordered = super().encoded(text)
+            return Single(encoding) if ordered else encoding, ordered
+
+    rng = random.Random(11)
+    encoder = Encoder(PATH)
+    whole = SpanEncoder(PATH)
+    for k in range(200):
+        text = "".join(rng.choice("abcdefgh  étеҁӀԁ''\n12.!?-XYZ") for _ in range(rng.randint(200, 900))) + (" 中 " if k % 10 == 0 else "") * 40
+        if k % 10:
+            cuts = sorted(rng.sample(range(len(text) + 1), 8))
+            sections = [(cuts[j], cuts[j + 1]) for j in range(0, 7, rng.choice((1, 2)))]
+        else:
+            sections = [(0, len(text) // 2), (len(text) // 2, len(text))]
+        if k % 10 == 0:
+            encoder = SpanEncoder(PATH)  # not the plain way: all spans
+        got = count_tokens(encoder, text, np.array(sections), rule)
+        encoder = Encoder(PATH) if k % 10 == 0 else encoder
+        want = _brute(whole.of(text).tolist(), sections, rule)
+        assert (got[0].tolist(), got[1].tolist()) == want

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trekframe.llm.words import SpanEncoder, small_batches
+from trekframe.llm.words import SpanEncoder, all_spans, small_batches
 
 COUNTS = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long"
 RULES = ("start", "end", "majority")
@@ -54,6 +55,32 @@ def allocate(spans: np.ndarray, sections: np.ndarray, rule: str) -> tuple[np.nda
     return given, crossing
 
 
+def count_tokens(encoder: SpanEncoder, text: str, sections: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
+    """What ``allocate`` gives for the tokens of a text, without a list of all their spans.
+
+    Where tokens stand in order, those between two edges of sections are counted by number: the first token behind an
+    edge is found by bisection, and only tokens across an edge have their spans looked at.
+    """
+    encoding, ordered = encoder.encoded(text)
+    n = len(encoding)
+    edges = np.unique(sections)
+    if not ordered or len(edges) * 8 > n:
+        return allocate(all_spans(encoding), sections, rule)
+    span, behind, before, across = encoding.token_to_chars, [], [], []
+    at = 0
+    for edge in edges.tolist():
+        at = bisect_left(range(n), edge, at, key=lambda k: span(k)[0])
+        low = at
+        while low and span(low - 1)[1] > edge:
+            low -= 1
+        behind.append(at)  # the first token that starts here or later
+        before.append(low)  # the first that does not end here or earlier
+        across += range(max(low, across[-1] + 1 if across else 0), at)
+    given, crossing = allocate(np.array([span(k) for k in across], dtype=np.int64).reshape(-1, 2), sections, rule)
+    lo, hi = np.searchsorted(edges, sections[:, 0]), np.searchsorted(edges, sections[:, 1])
+    return given + np.maximum(np.array(before)[hi] - np.array(behind)[lo], 0), crossing
+
+
 def section_token_counts(
     docs: DataFrame, tokenizer_path: str, sections: str | None = None, rule: str = "majority", id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -86,7 +113,7 @@ def section_token_counts(
                 if not own:
                     continue
                 own = np.array(own, dtype=np.int64).reshape(-1, 2)
-                tokens, crossing = allocate(encoder.of(text), own, rule)
+                tokens, crossing = count_tokens(encoder, text, own, rule)
                 m = len(own)
                 out.append((np.full(m, -1 if doc_id is None else doc_id, np.int64), np.full(m, doc_id is None), np.arange(m, dtype=np.int32), own[:, 0], own[:, 1], tokens, crossing))
             if not out:
