@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -209,3 +210,30 @@ def test_tokens_between_edges_are_counted_without_all_spans(rule):
         encoder = Encoder(PATH) if k % 10 == 0 else encoder
         want = _brute(whole.of(text).tolist(), sections, rule)
         assert (got[0].tolist(), got[1].tolist()) == want
+
+
+def test_spellings_of_a_word_are_encoded_once():
+    """One memory of a word for all its spellings, with the ids of the whole tokenizer for every character and case."""
+    tok, encoder = Tokenizer.from_file(PATH), WordEncoder(PATH)
+    encoder.ids("Word WORD word\nwOrD Élan ÉLAN")
+    assert set(encoder.words) == {"word", "élan"} == set(encoder.letters)
+    low = "".join(map(chr, [*range(0x300), *range(0x400, 0x483), *range(0x48A, 0x530)]))
+    texts = [f"a{c}B {c}{c} X{c}." for c in low] + [
+        low, low.upper(), "A<|ENDOFTEXT|>B <|endoftext|> <|StartOfText|>", "X<|ENDOFTEXT|>", "İSTANBUL Word", "Й Й ΣΙΣ Σ Word", "L'ÉTÉ'S IT'LL Ǆ ŉ ẞ", "",
+    ]
+    for text in texts:
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_a_process_keeps_its_encoder_until_the_file_changes(tmp_path):
+    from trekframe.llm.words import word_encoder
+
+    first = word_encoder(PATH)
+    first.ids("remembered")
+    assert word_encoder(PATH) is first and "remembered" in first.words
+    path = tmp_path / "t.json"
+    path.write_bytes(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read())
+    assert not word_encoder(str(path)).by_word
+    path.write_bytes(open(PATH, "rb").read())
+    os.utime(path, ns=(1, 1))
+    assert word_encoder(str(path)).by_word

@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trekframe.llm.words import WordEncoder, small_batches
+from trekframe.llm.words import small_batches, word_encoder
 from trekframe.storage import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -60,7 +60,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, e
     """One row per piece of each document: its ids and then ``end_id``, cut only if longer than ``max_tokens``."""
 
     def encode(batches):
-        encoder, end = WordEncoder(tokenizer_path), int(end_id).to_bytes(4, "little")
+        encoder, end = word_encoder(tokenizer_path), int(end_id).to_bytes(4, "little")
         for batch in batches:
             out = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
