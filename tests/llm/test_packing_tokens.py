@@ -237,3 +237,29 @@ def test_a_process_keeps_its_encoder_until_the_file_changes(tmp_path):
     path.write_bytes(open(PATH, "rb").read())
     os.utime(path, ns=(1, 1))
     assert word_encoder(str(path)).by_word
+
+
+@pytest.mark.parametrize("rule", ["start", "end", "majority"])
+def test_a_text_is_counted_from_words_met_before(rule):
+    """The tokenizer sees only words across an edge, and the counts are those over all spans of the whole text."""
+    from trekframe.llm.token_counts import count_tokens
+    from trekframe.llm.words import SpanEncoder
+
+    class Seen:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.texts = tokenizer, []
+
+        def encode(self, text, **options):
+            self.texts.append(text)
+            return self.tokenizer.encode(text, **options)
+
+    encoder, whole, rng = SpanEncoder(PATH), SpanEncoder(PATH), random.Random(17)
+    encoder.plain = seen = Seen(encoder.plain)
+    for _ in range(200):
+        text = "".join(rng.choice(["Word", "it's ", "'LL", " ", " ", "\n", "\x0b", " ", "ÉtÉ", "Жук ", "1984 ", "?!", "-- ", "internationalisation "]) for _ in range(300))
+        cuts = sorted(rng.sample(range(len(text) + 20), 6))
+        sections = [(cuts[j], cuts[j + 1]) for j in range(0, 5, rng.choice((1, 2)))]
+        seen.texts.clear()
+        got = count_tokens(encoder, text, np.array(sections), rule)
+        assert (got[0].tolist(), got[1].tolist()) == _brute(whole.of(text).tolist(), sections, rule)
+        assert len(seen.texts) <= 6 and not any(c in word for word in seen.texts for c in " \n")

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trekframe.llm.words import SpanEncoder, all_spans, small_batches
+from trekframe.llm.words import SpanEncoder, small_batches, span_encoder
 
 COUNTS = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long"
 RULES = ("start", "end", "majority")
@@ -58,27 +57,27 @@ def allocate(spans: np.ndarray, sections: np.ndarray, rule: str) -> tuple[np.nda
 def count_tokens(encoder: SpanEncoder, text: str, sections: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """What ``allocate`` gives for the tokens of a text, without a list of all their spans.
 
-    Where tokens stand in order, those between two edges of sections are counted by number: the first token behind an
-    edge is found by bisection, and only tokens across an edge have their spans looked at.
+    Where no token crosses white space, the tokens of a word between two edges of sections are counted by number, and
+    only those of words across an edge have their spans looked at. Texts whose words cannot be encoded one by one, or
+    stand across edges for more than an eighth (and eight), have the spans of all their tokens joined with the sections.
     """
-    encoding, ordered = encoder.encoded(text)
-    n = len(encoding)
-    edges = np.unique(sections)
-    if not ordered or len(edges) * 8 > n:
-        return allocate(all_spans(encoding), sections, rule)
-    span, behind, before, across = encoding.token_to_chars, [], [], []
-    at = 0
-    for edge in edges.tolist():
-        at = bisect_left(range(n), edge, at, key=lambda k: span(k)[0])
-        low = at
-        while low and span(low - 1)[1] > edge:
-            low -= 1
-        behind.append(at)  # the first token that starts here or later
-        before.append(low)  # the first that does not end here or earlier
-        across += range(max(low, across[-1] + 1 if across else 0), at)
-    given, crossing = allocate(np.array([span(k) for k in across], dtype=np.int64).reshape(-1, 2), sections, rule)
-    lo, hi = np.searchsorted(edges, sections[:, 0]), np.searchsorted(edges, sections[:, 1])
-    return given + np.maximum(np.array(before)[hi] - np.array(behind)[lo], 0), crossing
+    found = encoder.words(text)
+    if found is None:
+        return allocate(encoder.of(text), sections, rule)
+    words, lengths, counts = found
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    edges = sections.ravel()
+    before = np.searchsorted(starts, edges) - 1  # the last word that starts before each edge
+    across = sorted(set(before[(before >= 0) & (ends[before] > edges)].tolist()))
+    if len(across) > 8 + len(words) // 8:
+        return allocate(encoder.of(text), sections, rule)
+    counts[across] = 0
+    sums = np.concatenate(([0], np.cumsum(counts)))
+    given = sums[np.searchsorted(ends, sections[:, 1], side="right")] - sums[np.searchsorted(starts, sections[:, 0])]
+    spans = [(a + x, a + y) for k in across for a in (int(starts[k]),) for x, y in encoder.word_spans(words[k])]
+    tokens, crossing = allocate(np.array(spans, dtype=np.int64).reshape(-1, 2), sections, rule)
+    return given + tokens, crossing
 
 
 def section_token_counts(
@@ -87,7 +86,8 @@ def section_token_counts(
     """Tokens of each section of each document.
 
     ``sections`` names a column of sorted, disjoint ``struct<start, end>`` character spans; without it the lines of
-    the text are the sections. The whole text is encoded once and its token spans are joined with the sections; see
+    the text are the sections. The whole text is encoded once, whatever its sections are (word by word where no token
+    crosses white space, which gives the same tokens), and its token spans are joined with the sections; see
     ``allocate`` for tokens that cross a boundary. Returns a row for each section: ``n_tokens`` given to it and
     ``n_crossing`` of the tokens that it shares with another. A null text counts as empty, with one empty section; a
     null or empty list of sections gives no row. Repeated rows and null ids give rows of their own, texts of any length
@@ -102,7 +102,7 @@ def section_token_counts(
         columns.append(spans.alias("sections"))
 
     def count(batches):
-        encoder = SpanEncoder(tokenizer_path)
+        encoder = span_encoder(tokenizer_path)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             given_sections = batch.column(2).to_pylist() if sections else None
