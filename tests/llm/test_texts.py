@@ -113,6 +113,16 @@ def test_license_scan(spark):
     assert got[3].labels == "bsd" and got[3].score > 0.8 and (got[4].n_base, got[4].score) == (5, 1.0)
 
 
+def test_license_scan_cuts_words_out_of_hits_only(spark):
+    """The join's key is the hash of a run of words, never the words; votes are counted in one aggregation."""
+    docs = spark.createDataFrame([(1, "so under the mit license, mit license the"), (2, "apache license version"), (2, "apache license version")], "doc_id long, text string")
+    found = license_scan.scan_licenses(docs)
+    assert [(r.doc_id, r.n_base, r.first_word) for r in found.orderBy("doc_id").collect()] == [(1, 1, 1), (2, 0, None), (2, 0, None)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    (join,) = [line for line in plan.split("\n") if "HashJoin" in line]
+    assert "slice(" not in join and plan.count("HashAggregate(") == 4
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(3)
