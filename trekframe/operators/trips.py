@@ -13,9 +13,11 @@ from trekframe.operators.ordered import asof
 def at_km(rows: DataFrame, points: DataFrame, name: str) -> DataFrame:
     """Adds ``name``, the running climb ``(up, down)`` at the track row nearest to each row's ``km``, the earlier in a tie (WIN25).
 
-    ``points`` are ``(trail_id, dist, cum_ascent, cum_descent)``. Two ordered passes; no row meets a whole track.
+    ``points`` are ``(trail_id, idx, dist, cum_ascent, cum_descent)``; of rows at one distance, as those at a break and those
+    that do not move, the first counts. Two ordered passes; no row meets a whole track.
     """
-    line = points.select("trail_id", F.col("dist").alias("km"), F.struct("dist", F.col("cum_ascent").alias("up"), F.col("cum_descent").alias("down")).alias("s"))
+    row = F.struct("dist", F.col("cum_ascent").alias("up"), F.col("cum_descent").alias("down"))
+    line = points.groupBy("trail_id", F.col("dist").alias("km")).agg(F.min_by(row, "idx").alias("s"))
     both = asof(asof(rows, line, "trail_id", "km", F.col("s"), "_b"), line, "trail_id", "km", F.col("s"), "_a", forward=True)
     nearer = F.col("_b").isNull() | (F.col("_a.dist") - F.col("km") < F.col("km") - F.col("_b.dist"))
     return both.withColumn(name, F.when(F.coalesce(nearer, F.lit(False)), F.col("_a")).otherwise(F.col("_b"))).drop("_a", "_b")
