@@ -1,6 +1,13 @@
 """What only larger tables show: ties, long axes, and many rows at one spot."""
 
-from trekframe.operators import trips
+import random
+
+import pytest
+
+from trekframe.functions.rounding import js_round
+from trekframe.operators import routes, spatial, trips
+from trekframe.operators.sequential import metres_between
+from trekframe.operators.track import cumulative_km
 
 
 def test_of_rows_at_one_distance_the_first_counts(spark):
@@ -10,3 +17,58 @@ def test_of_rows_at_one_distance_the_first_counts(spark):
     rows = spark.createDataFrame([(1, k, km) for k, km in enumerate(kms)], "trail_id long, place_id long, km double")
     got = {r.place_id: (r.s.up, r.s.down) for r in trips.at_km(rows, points, "s").collect()}
     assert got == {k: min(track, key=lambda t: (abs(t[2] - km), t[1]))[3:] for k, km in enumerate(kms)}
+
+
+PLACES = "place_id long, lat double, lon double"
+
+
+def crowds(n, copies, seed):
+    """Places on few spots in one degree, ``copies`` at each."""
+    rng = random.Random(seed)
+    spots = [(rng.uniform(-35, -34), rng.uniform(148, 149)) for _ in range(n)]
+    return spots, [(k, *spots[k % n]) for k in range(n * copies)]
+
+
+@pytest.fixture
+def met(monkeypatch):
+    """The radius of each search of pairs and how many places take part."""
+    seen, real = [], spatial.radius_pairs
+    monkeypatch.setattr(spatial, "radius_pairs", lambda left, right, radius, keys=(): seen.append((radius, left.count(), right.count())) or real(left, right, radius, keys))
+    return seen
+
+
+def test_the_nearest_of_crowded_places_is_looked_for_nearby_and_once_a_spot(spark, met):
+    (spots, left), (others, right) = crowds(40, 30, 1), crowds(300, 5, 2)
+    got = {r.place_id: (r.b, r.metres) for r in spatial.nearest_within(spark.createDataFrame(left, PLACES), spark.createDataFrame(right, "b long, lat double, lon double"), "place_id", "b", 60_000).collect()}
+    for k, lat, lon in left:
+        d, b = min((metres_between(lat, lon, *spot), i) for i, spot in enumerate(others))
+        assert got[k] == (b, pytest.approx(d, abs=1e-6))
+    assert len(got) == 1200 and met[0][0] < 20_000 and max(n for _, n, _ in met) == 40 and max(n for _, _, n in met) == 300
+
+
+def test_crowded_places_are_snapped_nearby_and_once_a_spot(spark, monkeypatch):
+    radii, real = [], spatial.Grid
+    monkeypatch.setattr(spatial, "Grid", lambda radius: radii.append(radius) or real(radius))
+    (_, left), (ends, _) = crowds(200, 4, 3), crowds(60, 1, 4)
+    points = [(1, k, *ends[k // 2], 0.0, k % 14 == 7) for k in range(120)]  # every point twice
+    track = cumulative_km(spark.createDataFrame(points, "trail_id long, idx long, lat double, lon double, ele double, is_break boolean"))
+    got = {r.place_id: r for r in spatial.snap_to_track(spark.createDataFrame(left, PLACES), track, 60_000).collect()}
+    monkeypatch.setattr(spatial, "_first_radius", lambda spots, keys, radius_m: radius_m)
+    wide = {r.place_id: r for r in spatial.snap_to_track(spark.createDataFrame(left, PLACES), track, 60_000).collect()}
+    assert got == wide and len(got) == 800 and all(tuple(got[k])[1:] == tuple(got[k % 200])[1:] for k in got)
+    first = next(r for r in radii if r != 60_000)
+    assert first < 20_000
+
+
+def test_distances_off_a_track_are_told_to_the_centimetre(spark):
+    track = cumulative_km(spark.createDataFrame([(1, 0, 0.0, 148.0, 0.0, False), (1, 1, 0.0, 149.0, 0.0, False)], "trail_id long, idx long, lat double, lon double, ele double, is_break boolean"))
+    lat = 274.998 / 111_194.92664455873
+    rows = spark.createDataFrame([(1, lat, 148.5, None), (2, lat, 148.5, 1.25)], PLACES + ", off_km double")
+    out = routes.straight_line_access(rows, track, 1_000).select("place_id", js_round("off_km", 2).alias("km")).collect()
+    assert {r.place_id: r.km for r in out} == {1: 0.28, 2: 1.25}
+
+
+def test_a_segment_along_a_parallel_is_met_all_along(spark):
+    track = cumulative_km(spark.createDataFrame([(1, 0, -35.0, 148.0, 0.0, False), (1, 1, -35.0, 149.0, 0.0, False)], "trail_id long, idx long, lat double, lon double, ele double, is_break boolean"))
+    rows = spark.createDataFrame([(k, -35.001, 148.0 + k / 10) for k in range(11)], PLACES)
+    assert {r.place_id for r in spatial.snap_to_track(rows, track, 1_000).collect()} == set(range(11))

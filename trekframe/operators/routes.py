@@ -255,6 +255,7 @@ def walk_network(ways: DataFrame, densify_m: float = 25.0) -> DataFrame:
 
 
 def straight_line_access(rows: DataFrame, points: DataFrame, radius_m: float) -> DataFrame:
-    """Rows ``(place_id, lat, lon, off_km)`` with the straight line to the track where no distance is known (JON47)."""
-    snapped = snap_to_track(rows.where("off_km is null"), points, radius_m).select("place_id", (F.col("metres") / 1000).alias("_d"))
+    """Rows ``(place_id, lat, lon, off_km)`` with the straight line to the track, to the centimetre, where no distance is known
+    (JON47)."""
+    snapped = snap_to_track(rows.where("off_km is null"), points, radius_m).select("place_id", (js_round("metres", 2) / 1000).alias("_d"))
     return rows.join(snapped, "place_id", "left").withColumn("off_km", F.coalesce("off_km", "_d")).drop("_d")

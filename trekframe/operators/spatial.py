@@ -6,11 +6,12 @@ Places meet through cells of a grid, so that each side is shuffled once by cell
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trekframe.functions.geo import EARTH_M, haversine_m, plane_distance_m, segment_distance_m, segment_fraction, wrap_lon
+from trekframe.functions.geo import EARTH_M, haversine_m, plane_distance_m, segment_fraction, wrap_lon
 from trekframe.storage import materialize
 
 
@@ -43,34 +44,27 @@ class Grid:
         row = self.row(lat)
         return [row.alias("cy"), self.column(lon, self.columns(row)).alias("cx")]
 
-    def around(self, lat: Column, lon: Column) -> Column:
-        """The cells that hold all places within the radius, as an array of ``(cy, cx)``."""
-        rows = F.sequence(self.row(lat) - 1, self.row(lat) + 1)
+    def around(self, frame: DataFrame) -> DataFrame:
+        """Rows with a place ``lat``, ``lon``, once for each cell ``(cy, cx)`` of those that hold all places within the radius."""
+        rows = frame.withColumn("cy", F.explode(F.sequence(self.row(F.col("lat")) - 1, self.row(F.col("lat")) + 1)))
+        rows = rows.withColumn("_n", self.columns(F.col("cy"))).withColumn("_x", self.column(F.col("lon"), F.col("_n")))
+        near = F.array_distinct(F.array(*(F.pmod(F.col("_x") + k, F.col("_n")) for k in (-1, 0, 1))))
+        return rows.select(*frame.columns, "cy", F.explode(near).alias("cx"))
 
-        def beside(row):
-            n = self.columns(row)
-            at = self.column(lon, n)
-            return F.transform(F.array_distinct(F.array(F.pmod(at - 1, n), at, F.pmod(at + 1, n))), lambda x: F.struct(row.alias("cy"), x.alias("cx")))
+    def along(self, frame: DataFrame) -> DataFrame:
+        """Rows with a segment ``lat1``, ``lon1``, ``lat2``, ``lon2``, once for each cell ``(cy, cx)`` of those of all places within
+        the radius of it, row by row along it."""
+        lat1, lon1, lat2, lon2 = (F.col(c) for c in ("lat1", "lon1", "lat2", "lon2"))
+        row, n, turn = F.col("cy"), F.col("_n"), wrap_lon(lon2 - lon1)
+        rows = frame.withColumn("cy", F.explode(F.sequence(self.row(F.least(lat1, lat2)) - 1, self.row(F.greatest(lat1, lat2)) + 1)))
 
-        return F.flatten(F.transform(rows, beside))
+        def share(lat, other):
+            return F.when(lat2 == lat1, F.lit(other)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (lat - lat1) / F.nullif(lat2 - lat1, F.lit(0.0)))))
 
-    def along(self, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-        """The cells of all places within the radius of a segment, row by row along it, as an array of ``(cy, cx)``."""
-        turn = wrap_lon(lon2 - lon1)
-        rows = F.sequence(self.row(F.least(lat1, lat2)) - 1, self.row(F.greatest(lat1, lat2)) + 1)
-
-        def share(lat):
-            return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (lat - lat1) / F.nullif(lat2 - lat1, F.lit(0.0))))
-
-        def beside(row):
-            n = self.columns(row)
-            a, b = F.coalesce(share((row - 1) * self.step), F.lit(0.0)), F.coalesce(share((row + 2) * self.step), F.lit(1.0))
-            x, y = lon1 + turn * a, lon1 + turn * b
-            first = F.floor((F.least(x, y) + 180) / 360 * n).cast("long") - 1
-            last = F.floor((F.greatest(x, y) + 180) / 360 * n).cast("long") + 1
-            return F.transform(F.sequence(first, F.least(last, first + n - 1)), lambda c: F.struct(row.alias("cy"), F.pmod(c, n).alias("cx")))
-
-        return F.flatten(F.transform(rows, beside))
+        rows = rows.withColumns({"_n": self.columns(row), "_a": lon1 + turn * share((row - 1) * self.step, 0.0), "_b": lon1 + turn * share((row + 2) * self.step, 1.0)})
+        rows = rows.withColumn("_x", F.floor((F.least("_a", "_b") + 180) / 360 * n).cast("long") - 1)
+        rows = rows.withColumn("_y", F.least(F.floor((F.greatest("_a", "_b") + 180) / 360 * n).cast("long") + 1, F.col("_x") + n - 1))
+        return rows.withColumn("_x", F.explode(F.sequence("_x", "_y"))).select(*frame.columns, "cy", F.pmod(F.col("_x"), n).alias("cx"))
 
 
 def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -80,37 +74,73 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, keys: tuple
     its own cell and those around it, the right side to its own. Rows without a position meet nothing.
     """
     grid = Grid(radius_m)
-    a = left.withColumn("_c", F.explode(grid.around(F.col("lat"), F.col("lon")))).select(*left.columns, "_c.cy", "_c.cx")
+    a = grid.around(left)
     b = right.withColumnsRenamed({"lat": "r_lat", "lon": "r_lon"})
     b = b.select("*", *grid.own(F.col("r_lat"), F.col("r_lon")))
     met = a.join(b, ["cy", "cx", *keys]).withColumn("metres", haversine_m(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")))
     return met.where(F.col("metres") <= radius_m).drop("cy", "cx")
 
 
-def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius_m: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``(left_id, right_id, metres)`` of the nearest right place within the radius; the smaller id in a tie (JON12, JON15).
-    Places with different ``keys`` do not meet."""
-    met = radius_pairs(left.select(left_id, "lat", "lon", *keys), right.select(right_id, "lat", "lon", *keys), radius_m, keys)
-    best = met.groupBy(left_id).agg(F.min(F.struct(F.col("metres"), F.col(right_id))).alias("b"))
-    return best.select(left_id, f"b.{right_id}", "b.metres")
+def _spots(places: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``(_spot, lat, lon, *keys)``: each position of places once, those without one left out; written down."""
+    spots = places.select("lat", "lon", *keys).where("lat is not null and lon is not null").distinct()
+    return materialize(spots.select(F.struct("lat", "lon", *keys).alias("_spot"), "*"), "spots")
 
 
-def nearest_place(left: DataFrame, right: DataFrame, left_id: str, right_id: str, first_radius_m: float, widen: float = 4.0) -> DataFrame:
-    """``(left_id, right_id, metres)`` of the nearest right place at any distance (JON17).
+def _at_spots(places: DataFrame, found: DataFrame, place_id: str, keys: tuple[str, ...], rank: list[str]) -> DataFrame:
+    """``(place_id, *rank)``: what was found at the spots, for each place again."""
+    met = places.select(place_id, F.struct("lat", "lon", *keys).alias("_spot")).join(found, "_spot")
+    return met.groupBy(place_id).agg(F.min(F.struct(*rank)).alias("b")).select(place_id, *(f"b.{c}" for c in rank))
 
-    Rings of growing radius, each written down: rows that found a neighbour within a ring are done, and only the others
-    go on to the next. The last ring spans the globe.
-    """
-    rest, found, radius = left.select(left_id, "lat", "lon"), None, first_radius_m
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows over all cores: each of a short table may meet many cells."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, *rows.columns)
+
+
+def _first_radius(spots: DataFrame, keys: tuple[str, ...], radius_m: float) -> float:
+    """The radius whose cells hold about one of the spots, 1/64 of ``radius_m`` at least: dense spots need no wide search."""
+    n, cells = spots.select(F.struct(*keys, *Grid(radius_m).own(F.col("lat"), F.col("lon"))).alias("c")).agg(F.count("*"), F.count_distinct("c")).first()
+    return radius_m * max(1 / 64, min(1.0, math.sqrt(cells / max(1, n))))
+
+
+def _in_rings(rest: DataFrame, search: Callable[[DataFrame, float], DataFrame], first_m: float, most_m: float, spot: str = "_spot", widen: float = 4.0) -> DataFrame:
+    """``search(rest, radius)`` in rings of growing radius, each written down: what is found within a ring is the nearest at
+    all, and only the other spots go on to the next. The last ring is ``most_m`` wide."""
+    if first_m * 2 > most_m:
+        return search(rest, most_m)
+    found, radius = None, first_m
     while True:
-        got = materialize(nearest_within(rest, right, left_id, right_id, radius), "ring")
+        got = materialize(search(rest, radius), "ring")
         found = got if found is None else found.unionByName(got)
-        if radius >= math.pi * EARTH_M:
+        if radius >= most_m:
             return found
-        rest = materialize(rest.join(got.select(left_id), left_id, "left_anti"), "rest")
+        rest = materialize(rest.join(got.select(spot), spot, "left_anti"), "rest")
         if rest.isEmpty():
             return found
-        radius = min(radius * widen, math.pi * EARTH_M)
+        radius = min(radius * widen, most_m)
+
+
+def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius_m: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``(left_id, right_id, metres)`` of the nearest right place within the radius; the smaller id in a tie (JON12, JON15).
+    Places with different ``keys`` do not meet. Places at one spot are searched for, and met, together, and where places are
+    dense the search begins with a smaller radius."""
+    spots = _spots(left, keys)
+    at = materialize(right.where("lat is not null and lon is not null").groupBy("lat", "lon", *keys).agg(F.min(right_id).alias(right_id)), "at")
+
+    def search(rest: DataFrame, radius: float) -> DataFrame:
+        met = radius_pairs(_dealt(rest), at, radius, keys)
+        return met.groupBy("_spot").agg(F.min(F.struct("metres", right_id)).alias("b")).select("_spot", "b.*")
+
+    found = _in_rings(spots, search, _first_radius(at, keys, radius_m), radius_m)
+    return _at_spots(left, found, left_id, keys, ["metres", right_id]).select(left_id, right_id, "metres")
+
+
+def nearest_place(left: DataFrame, right: DataFrame, left_id: str, right_id: str, first_radius_m: float, widen: float = 4.0) -> DataFrame:
+    """``(left_id, right_id, metres)`` of the nearest right place at any distance (JON17), in rings of growing radius; the last
+    one spans the globe."""
+    search = lambda rest, radius: nearest_within(rest, right, left_id, right_id, radius)
+    return _in_rings(left.select(left_id, "lat", "lon"), search, first_radius_m, math.pi * EARTH_M, left_id, widen)
 
 
 def near_rows(left: DataFrame, right: DataFrame, left_id: str, metres: float) -> DataFrame:
@@ -133,18 +163,28 @@ def snap_to_track(places: DataFrame, points: DataFrame, radius_m: float, place_i
     """``(place_id, trail_id, idx, km, metres)``: where each place meets the nearest segment within the radius (JON14, JON15, JON47).
 
     A segment goes to the cells along it, a place to its own; the earlier segment wins a tie. With ``keys`` (``trail_id``),
-    places meet only the track of their own.
+    places meet only the track of their own. Places at one spot are snapped together, equal segments count as the first of
+    them, and where places are dense the search begins with a smaller radius.
     """
-    grid = Grid(radius_m)
-    seg = segments(points)
-    seg = seg.withColumn("_c", F.explode(grid.along(*(F.col(c) for c in ("lat1", "lon1", "lat2", "lon2"))))).select(*seg.columns, "_c.cy", "_c.cx")
-    near = places.select(place_id, "lat", "lon", *keys, *grid.own(F.col("lat"), F.col("lon")))
-    met = near.join(seg, ["cy", "cx", *keys])
-    ends = [F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")]
-    met = met.withColumn("metres", segment_distance_m(*ends)).where(F.col("metres") <= radius_m)
-    km = F.col("d1") + (F.col("d2") - F.col("d1")) * segment_fraction(*ends)
-    best = met.withColumn("km", km).groupBy(place_id).agg(F.min(F.struct("metres", "trail_id", "idx", "km")).alias("b"))
-    return best.select(place_id, "b.trail_id", "b.idx", "b.km", "b.metres")
+    spots = _spots(places, keys)
+    corners, own = ["lat1", "lon1", "lat2", "lon2"], [c for c in ("trail_id", "idx", "d1", "d2") if c not in keys]
+    steps = segments(points).groupBy(*corners, *keys).agg(F.min(F.struct(*own)).alias("_s"))
+    turn, k = wrap_lon(F.col("lon2") - F.col("lon1")), F.cos(F.radians("lat1"))
+    steps = steps.select(*corners, *keys, "_s.*", turn.alias("turn"), k.alias("k"), (turn * k).alias("dx"), (F.col("lat2") - F.col("lat1")).alias("dy"))
+    steps = _dealt(materialize(steps.withColumn("square", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")), "steps"))
+    along = (wrap_lon(F.col("lon") - F.col("lon1")) * F.col("k") * F.col("dx") + (F.col("lat") - F.col("lat1")) * F.col("dy")) / F.col("square")
+    t = F.when(F.col("square") == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), along)))
+
+    def search(rest: DataFrame, radius: float) -> DataFrame:
+        grid = Grid(radius)
+        met = rest.select("*", *grid.own(F.col("lat"), F.col("lon"))).join(grid.along(steps), ["cy", "cx", *keys])
+        met = met.select("*", F.explode(F.array(t)).alias("t"))  # a column of its own; written out in place, it makes code too long to be compiled
+        met = met.withColumn("metres", haversine_m(F.col("lat"), F.col("lon"), F.col("lat1") + F.col("dy") * F.col("t"), F.col("lon1") + F.col("turn") * F.col("t")))
+        km = F.col("d1") + (F.col("d2") - F.col("d1")) * F.col("t")
+        return met.where(F.col("metres") <= radius).withColumn("km", km).groupBy("_spot").agg(F.min(F.struct("metres", "trail_id", "idx", "km")).alias("b")).select("_spot", "b.*")
+
+    found = _in_rings(spots, search, _first_radius(spots, keys, radius_m), radius_m)
+    return _at_spots(places, found, place_id, keys, ["metres", "trail_id", "idx", "km"]).select(place_id, "trail_id", "idx", "km", "metres")
 
 
 def distance_to_line(places: DataFrame, points: DataFrame, radius_m: float, place_id: str = "place_id", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -176,16 +216,8 @@ def distance_to_line(places: DataFrame, points: DataFrame, radius_m: float, plac
 def nearest_on_route(places: DataFrame, points: DataFrame, first_radius_m: float, place_id: str = "place_id", widen: float = 4.0) -> DataFrame:
     """``(place_id, trail_id, idx, km, metres)`` of the nearest segment at any distance (JON16): rings of growing radius,
     each written down, as in ``nearest_place``."""
-    rest, found, radius = places.select(place_id, "lat", "lon"), None, first_radius_m
-    while True:
-        got = materialize(snap_to_track(rest, points, radius, place_id), "ring")
-        found = got if found is None else found.unionByName(got)
-        if radius >= math.pi * EARTH_M:
-            return found
-        rest = materialize(rest.join(got.select(place_id), place_id, "left_anti"), "rest")
-        if rest.isEmpty():
-            return found
-        radius = min(radius * widen, math.pi * EARTH_M)
+    search = lambda rest, radius: snap_to_track(rest, points, radius, place_id)
+    return _in_rings(places.select(place_id, "lat", "lon"), search, first_radius_m, math.pi * EARTH_M, place_id, widen)
 
 
 def bounds(points: DataFrame, buffer_deg: float = 0.0) -> DataFrame:

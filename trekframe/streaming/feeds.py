@@ -112,8 +112,7 @@ def track_cells(track: DataFrame, within_m: float) -> DataFrame:
     of a place in it."""
     from trekframe.operators.spatial import Grid
 
-    spread = track.withColumn("_c", F.explode(Grid(within_m).around(F.col("lat"), F.col("lon"))))
-    return spread.groupBy("trail_id", "_c.cy", "_c.cx").agg(F.collect_list(F.struct("idx", "lat", "lon")).alias("near"))
+    return Grid(within_m).around(track).groupBy("trail_id", "cy", "cx").agg(F.collect_list(F.struct("idx", "lat", "lon")).alias("near"))
 
 
 def follow(positions: DataFrame, cells: DataFrame, within_m: float = 2_000.0, hint: int = 50, trusted_m: float = 500.0) -> DataFrame:
