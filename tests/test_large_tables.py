@@ -5,7 +5,7 @@ import random
 import pytest
 
 from trekframe.functions.rounding import js_round
-from trekframe.operators import routes, spatial, trips
+from trekframe.operators import ordered, routes, spatial, trips
 from trekframe.operators.sequential import metres_between
 from trekframe.operators.track import cumulative_km
 
@@ -72,3 +72,44 @@ def test_a_segment_along_a_parallel_is_met_all_along(spark):
     track = cumulative_km(spark.createDataFrame([(1, 0, -35.0, 148.0, 0.0, False), (1, 1, -35.0, 149.0, 0.0, False)], "trail_id long, idx long, lat double, lon double, ele double, is_break boolean"))
     rows = spark.createDataFrame([(k, -35.001, 148.0 + k / 10) for k in range(11)], PLACES)
     assert {r.place_id for r in spatial.snap_to_track(rows, track, 1_000).collect()} == set(range(11))
+
+
+def test_intervals_of_any_length_meet_their_points(spark):
+    rng = random.Random(5)
+    spans = [(1, 0.0, 3e9, 9), (1, 5.5, 5.5, 2), (1, 7.0, 6.0, 1), (2, -40.0, 1e7, 3)] + [(2, a, a + rng.choice([0.2, 1.0, 3.0, 70.0]), n) for n, a in enumerate(rng.uniform(-50, 300) for _ in range(12))]
+    points = [(k, k % 3, km) for k, km in enumerate([5.5, -1.0, 2.9e9, 6.5, None, *(rng.uniform(-60, 400) for _ in range(150))])]
+    frame = spark.createDataFrame(points, "event_id long, trail_id long, km double")
+    got = {r.event_id: r.number for r in ordered.first_containing(frame, spark.createDataFrame(spans, "trail_id long, from_km double, to_km double, number int")).collect()}
+    assert got == {k: min((n for s, a, b, n in spans if km is not None and s == t and a <= km <= b), default=0) for k, t, km in points}
+    pieces = spark.createDataFrame([(t, a, b, n, 10.0 * n) for t, a, b, n in spans], "trail_id long, from_km double, to_km double, rank int, route_start double")
+    routes_km = {r.event_id: r.route_km for r in ordered.map_piecewise(frame, pieces).collect()}
+    for k, t, km in points:
+        held = min(((n, a) for s, a, b, n in spans if km is not None and s == t and a <= km <= b), default=None)
+        assert routes_km[k] == (held and 10.0 * held[0] + km - held[1])
+
+
+def test_dense_stretches_draw_no_grid_where_nothing_is(spark):
+    rng = random.Random(6)
+    bins = {t: [rng.choice([0, 0, 1, 2, 3, 8]) if 20 < b < 120 else 0 for b in range(160)] for t in (1, 2, 3)}
+    rows = [(t, b + 0.5) for t, ns in bins.items() for b, n in enumerate(ns) for _ in range(n)] + [(t, km) for t in bins for km in (0.5, 3e9 * t)]
+    want = []
+    for t, ns in bins.items():
+        ns = [1, *ns[1:]]
+        density = [sum(ns[max(0, b - 2) : b + 3]) / 5 for b in range(160)]
+        islands, b = [], 0
+        while b < 160:
+            end = b
+            while end < 160 and density[end] >= 2:
+                end += 1
+            if end > b and max(density[b:end]) >= 4:
+                islands += [k for k in range(b, end) if ns[k]]
+            b = end + 1
+        parts = []
+        for k in islands:
+            if parts and k - parts[-1][1] - 1 <= 5:
+                parts[-1][1] = k
+            else:
+                parts.append([k, k])
+        want += [(t, a, z, sum(ns[a : z + 1])) for a, z in parts if sum(ns[a : z + 1]) >= 20]
+    got = ordered.dense_stretches(spark.createDataFrame(rows, "trail_id long, km double"), 4.0, 2.0, 20, 5).collect()
+    assert sorted((r.trail_id, r.from_bin, r.to_bin, r.n) for r in got) == sorted(want) and want

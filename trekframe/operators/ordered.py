@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trekframe.storage import materialize
+
 EPS = 1e-9
 
 
@@ -54,11 +56,20 @@ def dense_stretches(places: DataFrame, high: float, low: float, least: int, merg
     ``high``, joined over gaps of up to ``merge`` bins, of at least ``least`` places. A stretch begins and ends with a bin that holds
     places.
     """
-    bins = places.groupBy(key, F.floor("km").alias("bin")).agg(F.count("*").alias("n"))
-    span = bins.groupBy(key).agg(F.min("bin").alias("a"), F.max("bin").alias("b"))
-    grid = span.select(key, F.explode(F.sequence("a", "b")).alias("bin")).join(bins, [key, "bin"], "left").fillna({"n": 0})
-    w = Window.partitionBy(key).orderBy("bin")
-    grid = grid.withColumn("density", F.sum("n").over(w.rangeBetween(-half, half)) / float(2 * half + 1)).where(F.col("density") >= low)
+    bins = places.select(key, F.floor("km").alias("bin")).repartition(key).groupBy(key, "bin").agg(F.count("*").alias("n"))
+    bins = materialize(bins.where("bin is not null"), "bins")
+    w, least_n = Window.partitionBy(key).orderBy("bin"), low * (2 * half + 1)
+    whole = Window.partitionBy(key)
+    if low > 0:  # a bin is dense only if those around it hold so many; all others are left out before the grid is drawn
+        wide = bins.withColumns({"a": F.min("bin").over(whole), "b": F.max("bin").over(whole), "around": F.sum("n").over(w.rangeBetween(-2 * half, 2 * half))})
+        some = wide.where(F.col("around") >= least_n - EPS).select(key, "bin", "n", "a", "b", F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("_d"))
+        grid = some.select(key, (F.col("bin") + F.col("_d")).alias("bin"), F.when(F.col("_d") == 0, F.col("n")).otherwise(0).alias("own"), "n", "a", "b").where("bin between a and b")
+        grid = grid.groupBy(key, "bin").agg(F.sum("own").alias("own"), F.sum("n").alias("_sum")).withColumn("density", F.col("_sum") / float(2 * half + 1))
+        grid = grid.select(key, "bin", F.col("own").alias("n"), "density").where(F.col("density") >= low)
+    else:
+        span = bins.groupBy(key).agg(F.min("bin").alias("a"), F.max("bin").alias("b"))
+        grid = span.select(key, F.explode(F.sequence("a", "b")).alias("bin")).join(bins, [key, "bin"], "left").fillna({"n": 0})
+        grid = grid.withColumn("density", F.sum("n").over(w.rangeBetween(-half, half)) / float(2 * half + 1)).where(F.col("density") >= low)
     grid = grid.withColumn("island", F.col("bin") - F.row_number().over(w))
     islands = grid.groupBy(key, "island").agg(F.min("bin").alias("a"), F.max("bin").alias("b"), F.max("density").alias("peak"), F.sum("n").alias("n")).where(F.col("peak") >= high)
     cells = islands.select(key, F.explode(F.sequence("a", "b")).alias("bin"))
@@ -80,7 +91,7 @@ def thin_dense(places: DataFrame, stretches: DataFrame, spacing_km: float = 2.0,
     one nearest the trail, then the lower km and id. Places and stretches meet by equal unit bins.
     """
     bins = stretches.select(key, F.explode(F.sequence("from_bin", "to_bin")).alias("_bin"), F.col("from_bin").alias("_from"))
-    met = places.withColumn("_bin", F.floor("km")).join(bins, [key, "_bin"], "left")
+    met = materialize(places.withColumn("_bin", F.floor("km")).join(bins, [key, "_bin"], "left"), "met")
     town = met.where("_from is not null")
     better = [~F.coalesce("branded", F.lit(False)), F.col("off_km"), F.col("km"), F.col("place_id")]
     cat = Window.partitionBy(key, "_from", "category")
@@ -124,24 +135,34 @@ def nearest_by_km(left: DataFrame, right: DataFrame, key: str = "trail_id", at:
     return both.withColumn("near_km", F.when(F.col("_b").isNull() | (F.col("_a") - F.col(at) < F.col(at) - F.col("_b")), F.col("_a")).otherwise(F.col("_b"))).drop("_a", "_b")
 
 
+def _met_in_cells(points: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
+    """Points with the ``from_km``, ``to_km`` and ``number`` of all intervals that may hold them, null if there is none.
+
+    Intervals are dealt to cells of about their own length, so three at most, however long they are; a point looks into its
+    cell of each width that its trail's intervals have.
+    """
+    level = F.floor(F.log2(F.greatest(F.lit(1.0), F.col("to_km") - F.col("from_km")))).cast("int")
+    sized = intervals.select(key, "from_km", "to_km", "number").withColumn("_level", level)
+    at = lambda km, by: F.floor(F.col(km) / F.pow(F.lit(2.0), F.col(by)))
+    cells = sized.where("from_km <= to_km").withColumn("_cell", F.explode(F.sequence(at("from_km", "_level"), at("to_km", "_level"))))
+    looks = points.join(sized.select(key, "_level").distinct().hint("merge"), key, "left").withColumn("_cell", at("km", "_level"))
+    return looks.join(cells.hint("merge"), [key, "_level", "_cell"], "left")
+
+
 def first_containing(points: DataFrame, intervals: DataFrame, key: str = "trail_id") -> DataFrame:
     """Adds ``number``: the first interval ``from_km <= km <= to_km`` that holds the point, 0 if none (JON27).
 
-    Intervals are dealt to unit cells, so that the join is on equal cells and not on a range alone.
+    Intervals and points meet in cells, so that the join is on equal cells and not on a range alone.
     """
-    cells = intervals.withColumn("_cell", F.explode(F.sequence(F.floor("from_km"), F.floor("to_km")))).select(key, "_cell", "from_km", "to_km", "number")
-    met = points.withColumn("_cell", F.floor("km")).join(cells, [key, "_cell"], "left")
     hit = F.when(F.col("km").between(F.col("from_km"), F.col("to_km")), F.col("number"))
-    return met.groupBy(*points.columns).agg(F.coalesce(F.min(hit), F.lit(0)).alias("number"))
+    return _met_in_cells(points, intervals, key).groupBy(*points.columns).agg(F.coalesce(F.min(hit), F.lit(0)).alias("number"))
 
 
 def map_piecewise(points: DataFrame, pieces: DataFrame, key: str = "trail_id") -> DataFrame:
     """Adds ``route_km``: kilometres carried over by the first piece ``[from_km, to_km]`` that holds them, else null (JON28-30)."""
     numbered = pieces.select(key, "from_km", "to_km", F.struct("rank", "route_start", "from_km").alias("number"))
-    cells = numbered.withColumn("_cell", F.explode(F.sequence(F.floor("from_km"), F.floor("to_km"))))
-    met = points.withColumn("_cell", F.floor("km")).join(cells, [key, "_cell"], "left")
     hit = F.when(F.col("km").between(F.col("from_km"), F.col("to_km")), F.col("number"))
-    out = met.groupBy(*points.columns).agg(F.min(hit).alias("p"))
+    out = _met_in_cells(points, numbered, key).groupBy(*points.columns).agg(F.min(hit).alias("p"))
     return out.withColumn("route_km", F.col("p.route_start") + F.col("km") - F.col("p.from_km")).drop("p")
 
 
