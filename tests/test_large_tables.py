@@ -5,7 +5,7 @@ import random
 import pytest
 
 from trekframe.functions.rounding import js_round
-from trekframe.operators import ordered, routes, spatial, trips
+from trekframe.operators import linkage, ordered, routes, spatial, trips
 from trekframe.operators.sequential import metres_between
 from trekframe.operators.track import cumulative_km
 
@@ -113,3 +113,28 @@ def test_dense_stretches_draw_no_grid_where_nothing_is(spark):
         want += [(t, a, z, sum(ns[a : z + 1])) for a, z in parts if sum(ns[a : z + 1]) >= 20]
     got = ordered.dense_stretches(spark.createDataFrame(rows, "trail_id long, km double"), 4.0, 2.0, 20, 5).collect()
     assert sorted((r.trail_id, r.from_bin, r.to_bin, r.n) for r in got) == sorted(want) and want
+
+
+@pytest.fixture
+def compared(monkeypatch):
+    """How many rows of either side each search of pairs in ``linkage`` gets."""
+    seen, real = [], linkage.radius_pairs
+    monkeypatch.setattr(linkage, "radius_pairs", lambda left, right, radius, keys=(): seen.append((left.count(), right.count())) or real(left, right, radius, keys))
+    return seen
+
+
+def test_places_and_waypoints_of_one_kind_are_compared_once(spark, compared):
+    kinds = [("camping", "Blue Gum", -35.0), ("camping", "Blue Gum", -35.1), ("camping", None, -35.2), ("camping", None, -35.3), ("camping", None, -35.4), (None, "Blue Gum", -35.0)]
+    marks = [("hut", "Blue Gum", -35.0), ("hut", "Grey Owl", -35.2), ("hut", "Campsite", -35.3), ("hut", "Grey Owl", -35.4), ("hut", "Red Fox", -35.4), ("spring", "Blue Gum", -35.1)]
+    places = [(k, *kinds[k % 6], 148.0) for k in range(120)]
+    wps = [(1000 + k, *marks[k % 6], 148.0) for k in range(120)]
+    got = linkage.mark_duplicates(spark.createDataFrame(places, "place_id long, category string, name string, lat double, lon double"), spark.createDataFrame(wps, "waypoint_id long, type string, wp_name string, lat double, lon double"))
+    want = {k: 1000 if k % 6 == 0 else 1001 for k in range(120) if k % 6 in (0, 2)}  # names that say nothing are rivals of each other
+    assert {r.place_id: r.waypoint_id for r in got.collect()} == want
+    assert max(max(n) for n in compared) <= 60
+
+
+def test_copies_at_one_position_are_linked_with_the_first(spark, compared):
+    rows = [(k, "n", "hut", -35.0 + k % 4 * 0.001, 148.0, k % 7 == 3, 0.0, f"d{k % 2}") for k in range(200)] + [(900 + k, None, "hut", -35.0, 148.0, False, 0.0, "") for k in range(3)]
+    got = linkage.merge_near_copies(spark.createDataFrame(rows, "waypoint_id long, name string, type string, lat double, lon double, preferred boolean, km double, description string"), 150.0).collect()
+    assert [(r.survivor, r.merged_ids, r.description) for r in got] == [(3, list(range(200)), "d0\n\nd1")] and compared == [(4, 4)]
